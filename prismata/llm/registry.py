@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from prismata.llm import quality
+from prismata.llm import bpe, quality
 
 
 def queries() -> dict:
-    return {"op10_quality_rules": quality.op10_quality_rules}
+    return {"op8_bpe": bpe.op8_bpe, "op10_quality_rules": quality.op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
