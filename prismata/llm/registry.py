@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from prismata.llm import bpe, lm, quality
+from prismata.llm import bpe, langid, lm, quality
 
 
 def queries() -> dict:
-    return {"op8_bpe": bpe.op8_bpe, "op9_lm_score": lm.op9_lm_score, "op10_quality_rules": quality.op10_quality_rules}
+    return {"op1_langid": langid.op1_langid, "op8_bpe": bpe.op8_bpe, "op9_lm_score": lm.op9_lm_score, "op10_quality_rules": quality.op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
