@@ -5,9 +5,10 @@ unknown word) and bigrams with a Dirichlet prior of weight PRIOR on the unigrams
 
     P(w | h) = (c(h, w) + PRIOR * P(w)) / (c(h) + PRIOR),
 
-over training documents only; every document ends with one end token and starts in a
+over training documents only, for words that occur MIN_COUNT times there (other pairs take
+the failure arc; the little mass that their arcs would have is not given away); every document ends with one end token and starts in a
 start state. As an automaton: a state for each known word and the start, an arc for each
-bigram with count > 0, and a failure arc of weight PRIOR / (c(h) + PRIOR) to the root,
+such bigram with count > 0, and a failure arc of weight PRIOR / (c(h) + PRIOR) to the root,
 which has an arc for each word and one for the unknown word. A document is scored by one
 left-to-right traversal that carries the state and adds up log10 weights.
 
@@ -29,10 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismata.llm import blocks as B
-from prismata.session import drop_materialized, materialize
+from prismata.session import materialize
 
 #: Weight of the unigram distribution in each bigram context, in tokens.
 PRIOR = 1000.0
+#: Bigrams are arcs only between words that occur this often in training (the start state counts as such a word).
+MIN_COUNT = 5
+#: Bytes of text in a block here: its word pairs need more memory than its words.
+BLOCK_BYTES = 8 << 20
 END = b""  # no word is empty
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -55,7 +60,7 @@ def _block(ids: list, texts: list[str], held: list[bool]) -> tuple[B.Block, np.n
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]):
-    for ids, texts in B.blocks_of(_marked(batches)):
+    for ids, texts in B.blocks_of(_marked(batches), BLOCK_BYTES):
         yield [i for i, _ in ids], texts, [h for _, h in ids]
 
 
@@ -147,20 +152,25 @@ def _open(table: pa.Table):
     return train.astype(bool), hashes, payload, known
 
 
-def _pairs(hashes: np.ndarray, seq: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token the number of its (state, word) pair; the hash of each distinct pair, rising; and each token's state (-1: start)."""
-    state = np.empty(len(seq), np.int64)
+def _pairs(hashes: np.ndarray, known: np.ndarray, seq: np.ndarray, lengths: np.ndarray, least: int):
+    """For each token the number of its (state, word) pair (-1: never an arc) and its state (-1: start); the hash of each pair that may be an arc, rising."""
+    import pandas as pd
+
+    state = np.empty(len(seq), np.int32)
     state[1:] = seq[:-1]
     state[np.cumsum(lengths)[:-1].astype(np.int64)] = -1
     state[:1] = -1
-    local = (state + 1) * (len(hashes) + 1) + seq
-    distinct, at = np.unique(local, return_inverse=True)
+    often = np.append(known >= least, True)  # the last is the start state
+    at = np.full(len(seq), -1, np.int32)
+    some = np.flatnonzero(often[seq] & often[state])
+    codes, distinct = pd.factorize((state[some].astype(np.int64) + 1) * (len(hashes) + 1) + seq[some])
     before, word = distinct // (len(hashes) + 1) - 1, distinct % (len(hashes) + 1)
     pair = _mix(np.where(before < 0, START, hashes[before]), hashes[word])
-    order = np.argsort(pair, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return rank[at], pair[order], state
+    order = np.argsort(pair)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    at[some] = rank[codes]
+    return at, state, pair[order]
 
 
 def _sorted_bytes(values: np.ndarray) -> bytes:
@@ -172,21 +182,29 @@ def _from_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(B.unpack(blob)[0].reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
-def _ask_pairs(parts: int):
-    """A block with its word counts -> its documents again (with the counts), and its distinct pairs by part."""
+def _carry(least: int):
+    """A block with its word counts -> its documents again, with the counts; hashes of words without arcs are blanked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        train, hashes, payload, known = _open(table)
+        slim = np.where(known >= least, hashes, np.uint64(0))
+        return pa.Table.from_batches([B.rows([(table.column("block")[0].as_py(), len(hashes), "docs", B.pack(train.astype(np.uint8), slim, payload, B.pack_planes(known)))])])
+
+    return run
+
+
+def _ask_pairs(parts: int, least: int):
+    """A block with its word counts -> its distinct pairs by part; a part is a range of hashes, so that each part's pairs rise."""
 
     def run(table: pa.Table) -> pa.Table:
         name = table.column("block")[0].as_py()
         train, hashes, payload, known = _open(table)
         _, _, lengths, seq = B.open_docs(payload)
-        at, pair, _ = _pairs(hashes, seq, lengths)
-        counts = np.bincount(at, weights=np.repeat(train, lengths), minlength=len(pair)).astype("<u4")
-        out = [(name, len(hashes), "docs", B.pack(train.astype(np.uint8), hashes, payload, B.pack_planes(known)))]
-        # a part is a range of hashes, so the parts' pairs stay in rising order
+        at, _, pair = _pairs(hashes, known, seq, lengths, least)
+        counted = at[np.repeat(train, lengths) & (at >= 0)]
+        counts = np.bincount(counted, minlength=len(pair)).astype("<u4")
         cuts = np.searchsorted(pair, (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64))
-        for part, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(pair)])):
-            if b > a:
-                out.append((name, part, "pairs", B.pack(_sorted_bytes(pair[a:b]), B.pack_planes(counts[a:b]))))
+        out = [(name, part, "pairs", B.pack(_sorted_bytes(pair[a:b]), B.pack_planes(counts[a:b]))) for part, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(pair)])) if b > a]
         return pa.Table.from_batches([B.rows(out)])
 
     return run
@@ -232,7 +250,7 @@ class Automaton:
         return np.where(arcs > 0, np.log10(direct), self.fail[state] + self.root[word])
 
 
-def _score(tokens_: int, types: int, starts: int, prior: float):
+def _score(tokens_: int, types: int, starts: int, prior: float, least: int):
     """All rows of a block -> one row a document."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -246,11 +264,11 @@ def _score(tokens_: int, types: int, starts: int, prior: float):
             raise RuntimeError("answers without their block: the input changed between two reads")
         train, hashes, payload, known = docs[0].astype(bool), docs[1], docs[2], B.unpack_planes(docs[3]).astype(np.int64)
         ids, no_id, lengths, seq = B.open_docs(payload)
-        at, pair, state = _pairs(hashes, seq, lengths)
+        at, state, pair = _pairs(hashes, known, seq, lengths, least)
         arcs = np.concatenate([B.unpack_planes(x).astype(np.int64) for _, x in sorted(found)]) if found else np.zeros(0, np.int64)
         if len(arcs) != len(pair):
             raise RuntimeError("a block misses answers: the input changed between two reads")
-        steps = Automaton(known, tokens_, types, starts, prior).traverse(state, seq, arcs[at])
+        steps = Automaton(known, tokens_, types, starts, prior).traverse(state, seq, np.where(at < 0, 0, np.append(arcs, 0)[at]))
         base = np.log10((known + 1) / (tokens_ + types + 1))[seq]
         cuts = (np.cumsum(lengths) - lengths).astype(np.int64)
         add = lambda x: np.add.reduceat(x, cuts)  # noqa: E731  every document has its end token
@@ -272,7 +290,7 @@ def _score(tokens_: int, types: int, starts: int, prior: float):
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score(docs: DataFrame, out_of_training: Column | None = None, prior: float = PRIOR) -> DataFrame:
+def score(docs: DataFrame, out_of_training: Column | None = None, prior: float = PRIOR, least: int = MIN_COUNT) -> DataFrame:
     """log10 probabilities of every row of docs under the model of the rows for which out_of_training is false."""
     spark = docs.sparkSession
     parts = B.part_count(spark)
@@ -284,10 +302,11 @@ def score(docs: DataFrame, out_of_training: Column | None = None, prior: float =
     for r in counted.filter("kind = 'total'").select("payload").toLocalIterator():  # one short row a part, at most 1024
         a, b = B.unpack(bytes(r[0]))[0].tolist()
         n, v = n + a, v + b
-    known = text.mapInArrow(_docs, B.ROW).unionByName(counted.filter("kind = 'answer'"))
-    asked = materialize(known.groupBy("block").applyInArrow(_ask_pairs(parts), B.ROW), "lm-pairs")
-    answers = asked.filter("kind = 'pairs'").groupBy("part").applyInArrow(_count_pairs, B.ROW)
-    return asked.filter("kind = 'docs'").unionByName(answers).groupBy("block").applyInArrow(_score(n, v, starts, prior), SCHEMA)
+    known = text.mapInArrow(_docs, B.ROW).unionByName(counted.filter("kind = 'answer'")).groupBy("block")
+    # both read the one exchange by block
+    carried, asked = known.applyInArrow(_carry(least), B.ROW), known.applyInArrow(_ask_pairs(parts, least), B.ROW)
+    answers = asked.groupBy("part").applyInArrow(_count_pairs, B.ROW)
+    return carried.unionByName(answers).groupBy("block").applyInArrow(_score(n, v, starts, prior, least), SCHEMA)
 
 
 def op9_lm_score(spark, sf_dir):
