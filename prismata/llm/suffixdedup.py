@@ -10,7 +10,8 @@ Exact, in four steps:
 3. The remaining distinct segments that share a name go together, at most CUT windows
    each. Column-wise multi-document construction, as in BCR (Bauer, Cox, Rosone, "Lightweight
    algorithms for constructing and inverting the BWT of string collections"): each segment
-   is read in STEP phases, whose symbols are STEP-byte chunks; every round inserts one
+   is read in STEP phases (counted from its name's place, so that each phase is a collection
+   of its own), whose symbols are STEP-byte chunks; every round inserts one
    symbol of each string, from the right end, into the suffix order of the collection (the
    transform in its inverse form: first symbol and rank of the rest), which is merged
    sequentially, in a file once it exceeds IN_MEMORY entries. There are at most
@@ -49,7 +50,7 @@ CUT = 368
 #: Distinct segments of one name beyond which the name is split, into at most SPLITS parts.
 HOT, SPLITS = 20_000, 16
 #: Bytes of segments that are ordered together, and entries beyond which the order lives in a file.
-BATCH, IN_MEMORY = 3 << 20, 16 << 20
+BATCH, IN_MEMORY = 2 << 20, 16 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 NULL_ID = -(1 << 63)
@@ -168,21 +169,22 @@ def _cut_rows(length: int):
         gram = gram_size(length)
         for batch in batches:
             out: list[tuple] = []
-            for k1, k2, text, segs in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                raw = text.encode()
-                for seg in segs:
+            for k1, k2, text, segs in zip(*(batch.column(i) for i in range(4))):
+                raw, k1, k2 = text.as_py().encode(), k1.as_py(), k2.as_py()
+                for seg in segs.as_py():
                     s, n, name, parts = seg["s"], seg["n"], seg["h"], seg["parts"]
-                    if parts <= 1:
-                        out.append((name, k1, k2, s, n, raw[s : s + n + length - 1]))
-                        continue
                     here = raw[s : s + n + length - 1]
                     places = np.flatnonzero(Hashes(here).grams(gram).view(np.int64) == name)
+                    place = -1 if seg["again"] else int(places[0])
+                    if parts <= 1:
+                        out.append((name, k1, k2, s, place, here))
+                        continue
                     away = places[np.searchsorted(places, np.arange(n))] - np.arange(n)
                     part = away * parts // (length - gram + 1)
                     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
                     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                         g = int(mix(np.array([name], np.int64).view(np.uint64) ^ np.uint64(part[a] + 1)).view(np.int64)[0])
-                        out.append((g, k1, k2, s + a, b - a, here[a : b + length - 1]))
+                        out.append((g, k1, k2, s + a, place - a if place >= 0 else -1, here[a : b + length - 1]))
                 if len(out) > 5000:
                     yield _cut_batch(out)
                     out = []
@@ -194,7 +196,7 @@ def _cut_rows(length: int):
 
 def _cut_batch(out: list[tuple]) -> pa.RecordBatch:
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["g", "k1", "k2", "s", "n", "body"])
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["g", "k1", "k2", "s", "place", "body"])
 
 
 class Order:
@@ -272,13 +274,8 @@ def _symbols(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return code.astype(np.int32)
 
 
-def repeated_windows(bodies: list[bytes], length: int, folder: str | None = None) -> list[np.ndarray]:
-    """For each body, the starts of its windows of length bytes that occur elsewhere in the bodies."""
-    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
-    flat = np.frombuffer(b"".join(bodies), np.uint8)
-    offset = np.cumsum(sizes) - sizes
-    body = np.repeat(np.arange(len(bodies)), STEP)
-    phase = np.tile(np.arange(STEP), len(bodies))
+def _collection(flat: np.ndarray, offset: np.ndarray, sizes: np.ndarray, body: np.ndarray, phase: np.ndarray, length: int, folder: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(body, start) of each repeated window among strings of STEP-byte symbols: string i is body[i] from byte phase[i]."""
     count = np.maximum((sizes[body] - phase) // STEP, 0)  # symbols of each string
     order = Order(len(body), folder)
     rank = np.arange(len(body), dtype=np.int64)
@@ -287,22 +284,38 @@ def repeated_windows(bodies: list[bytes], length: int, folder: str | None = None
     symbol = _symbols(flat, np.repeat(offset[body] + phase, count) + STEP * inside)
     for t in range(1, int(count.max(initial=0)) + 1):
         live = np.flatnonzero(count >= t)
-        # ranks of suffixes of strings that have ended move too: only live ones are carried
         rank[live] = order.insert(symbol[(begins + count - t)[live]], rank[live].astype(np.int32), live.astype(np.int32), t)
     hit = np.flatnonzero(order.repeated(length // STEP))
     string = order.origin[hit]
-    start = phase[string] + STEP * (count[string] - order.size[hit])
-    by = np.lexsort((start, body[string]))
-    cuts = np.searchsorted(body[string][by], np.arange(len(bodies) + 1))
+    return body[string], phase[string] + STEP * (count[string] - order.size[hit])
+
+
+def repeated_windows(bodies: list[bytes], length: int, places: list[int] | None = None, folder: str | None = None) -> list[np.ndarray]:
+    """For each body, the starts of its windows of length bytes that occur elsewhere in the bodies.
+
+    places: where the name of the body's windows stands in it; equal windows are equally far
+    from it, so each phase is a collection of its own. -1: unknown, all phases go together.
+    """
+    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    flat = np.frombuffer(b"".join(bodies), np.uint8)
+    offset = np.cumsum(sizes) - sizes
+    place = np.full(len(bodies), -1, np.int64) if places is None else np.array(places, np.int64)
+    aligned, loose = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+    found = [_collection(flat, offset, sizes, aligned, (place[aligned] - k) % STEP, length, folder) for k in range(STEP if len(aligned) else 0)]
+    if len(loose):
+        found.append(_collection(flat, offset, sizes, np.repeat(loose, STEP), np.tile(np.arange(STEP), len(loose)), length, folder))
+    body, start = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(2))
+    by = np.lexsort((start, body))
+    cuts = np.searchsorted(body[by], np.arange(len(bodies) + 1))
     return [start[by][a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _compare(length: int):
-    """Sorted (g, k1, k2, s, n, body) rows -> spans (k1, k2, a, b) of repeated windows."""
+    """Sorted (g, k1, k2, s, place, body) rows -> spans (k1, k2, a, b) of repeated windows."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
         with tempfile.TemporaryDirectory() as folder:
-            found = repeated_windows([x[5] for x in held], length, folder)
+            found = repeated_windows([x[5] for x in held], length, [x[4] for x in held], folder)
         out: list[tuple] = []
         for (_, k1, k2, s, _, _), starts in zip(held, found):
             if len(starts):
@@ -341,10 +354,10 @@ def spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = materialize(every.join(often, "h", "left_semi"), "suffix-shared")
     kinds = materialize(shared.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("k1", "k2", "s", "n")).alias("r"), F.max("again").alias("again")), "suffix-kinds")
     whole = shared.join(kinds.filter("m > 1").select("h", "c"), ["h", "c"], "left_semi").select("k1", "k2", F.col("s").alias("a"), (F.col("s") + F.col("n") + (length - 1)).alias("b"))
-    several = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("again").alias("again")).filter("kinds > 1 OR again").select("h", "kinds")
+    several = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("again").alias("again")).filter("kinds > 1 OR again")
     parts = F.least(F.ceil(F.col("kinds") / HOT), F.lit(SPLITS)).cast("int").alias("parts")
-    open_ = kinds.join(several, "h").select("r.k1", "r.k2", F.struct("r.s", "r.n", "h", parts).alias("seg")).groupBy("k1", "k2").agg(F.collect_list("seg").alias("segs"))
-    bodies = text.join(open_, ["k1", "k2"]).select("k1", "k2", "body", "segs").mapInArrow(_cut_rows(length), "g bigint, k1 bigint, k2 bigint, s int, n int, body binary")
+    open_ = kinds.drop("again").join(several, "h").select("r.k1", "r.k2", F.struct("r.s", "r.n", "h", "again", parts).alias("seg")).groupBy("k1", "k2").agg(F.collect_list("seg").alias("segs"))
+    bodies = text.join(open_, ["k1", "k2"]).select("k1", "k2", "body", "segs").mapInArrow(_cut_rows(length), "g bigint, k1 bigint, k2 bigint, s int, place int, body binary")
     near = bodies.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(length), "k1 bigint, k2 bigint, a int, b int")
     return whole.unionByName(near).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
