@@ -8,7 +8,7 @@ else only the children of nodes that differ are compared, level by level, down t
 records of the shards that differ.
 
 Status of a record: ok, corrupt (its leaves differ), missing (not in the replica) or extra
-(only in the replica). Null urls and payloads are empty; rows with a null number are left
+(only in the replica; its offset is -1). Null urls and payloads are empty; rows with a null number are left
 out, as they have no place in an archive; equal numbers are ordered by their leaves and
 compared as one group. Every task sees FANOUT records of a shard at most (more only for
 repeated numbers). Empty archives have no rows.
@@ -95,7 +95,7 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     state = F.when(F.col("other").isNull(), "missing").when(F.col("own").isNull(), "extra").when(F.col("own") == F.col("other"), "ok").otherwise("corrupt")
     states = compared.select("rec", state.alias("s")).filter("s != 'ok'")
     known = placed.join(states.filter("s != 'extra'"), "rec", "left").select("rec", "shard", "start", "n_bytes", "leaf", F.coalesce("s", F.lit("ok")).alias("status"))
-    extra = b.join(states.filter("s = 'extra'"), "rec", "left_semi").select("rec", "shard", F.lit(None).cast("bigint").alias("start"), "n_bytes", "leaf", F.lit("extra").alias("status"))
+    extra = b.join(states.filter("s = 'extra'"), "rec", "left_semi").select("rec", "shard", F.lit(-1).cast("bigint").alias("start"), "n_bytes", "leaf", F.lit("extra").alias("status"))
     return known.unionByName(extra)
 
 
@@ -128,5 +128,5 @@ a AS (SELECT *, CAST(coalesce(sum(n_bytes) OVER (PARTITION BY shard ORDER BY pag
 b AS (SELECT * FROM h WHERE side = 'b')
 SELECT a.page_id, a.shard, a."offset", a.n_bytes, a.leaf, CASE WHEN b.page_id IS NULL THEN 'missing' WHEN a.leaf = b.leaf THEN 'ok' ELSE 'corrupt' END AS status
 FROM a LEFT JOIN b ON a.page_id = b.page_id
-UNION ALL SELECT page_id, shard, NULL, n_bytes, leaf, 'extra' FROM b WHERE page_id NOT IN (SELECT page_id FROM a)
+UNION ALL SELECT page_id, shard, -1, n_bytes, leaf, 'extra' FROM b WHERE page_id NOT IN (SELECT page_id FROM a)
 """

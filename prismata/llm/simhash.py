@@ -106,24 +106,27 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints -> (cell, home, fp): two home cells each, and every cell one step up."""
+    """(fp, table, node) -> (cell, home, fp, node): two home cells each, and every cell one step up."""
     for batch in batches:
         fp = batch.column(0).to_numpy().view(np.uint64)
         table = batch.column(1).to_numpy().astype(np.uint64)
+        node = batch.column(2).to_numpy()
         emb = popcounts(fp)
-        cell, home, own = [], [], []
+        cell, home, own, of = [], [], [], []
         for half in range(2):
             base = (emb >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
             key = base | np.uint64(half << 32) | (table << np.uint64(33))
             cell.append(key)
             home.append(np.ones(len(fp), bool))
             own.append(fp)
+            of.append(node)
             for k in range(16):
                 up = ((base >> np.uint64(2 * k)) & np.uint64(3)) < 2
                 cell.append(key[up] + np.uint64(1 << (2 * k)))
                 home.append(np.zeros(int(up.sum()), bool))
                 own.append(fp[up])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell).view(np.int64)), pa.array(np.concatenate(home)), pa.array(np.concatenate(own).view(np.int64))], names=["cell", "home", "fp"])
+                of.append(node[up])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell).view(np.int64)), pa.array(np.concatenate(home)), pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(of))], names=["cell", "home", "fp", "node"])
 
 
 def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -133,7 +136,7 @@ def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return ok
 
 
-def _sweep(fp: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _sweep(fp: np.ndarray, home: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what the near pairs of one crowded cell connect (pairs of two shown members do not count here)."""
     left = np.arange(len(fp))
     a, b = [], []
@@ -146,42 +149,42 @@ def _sweep(fp: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, n
                 ok &= home[left]
             got = left[ok]
             if len(got):
-                a.append(np.full(len(got), fp[i]))
-                b.append(fp[got])
+                a.append(np.full(len(got), node[i]))
+                b.append(node[got])
                 queue += got.tolist()
                 left = left[~ok]
-    empty = np.zeros(0, np.uint64)
+    empty = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
-def _links(radius: int):
-    """Sorted (cell, home, fp) rows -> linked pairs of fingerprints."""
+def _links(radius: int, crowd: int):
+    """Sorted (cell, home, fp, node) rows -> linked pairs of nodes."""
 
-    def cells(cell, home, fp):
+    def cells(cell, home, fp, node):
         out_a, out_b = [], []
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         sizes = np.diff(np.r_[starts, len(cell)])
-        for s, n in zip(starts[sizes > CELL].tolist(), sizes[sizes > CELL].tolist()):
-            a, b = _sweep(fp[s : s + n], home[s : s + n], radius)
+        for s, n in zip(starts[sizes > crowd].tolist(), sizes[sizes > crowd].tolist()):
+            a, b = _sweep(fp[s : s + n], home[s : s + n], node[s : s + n], radius)
             out_a.append(a)
             out_b.append(b)
-        keep = np.repeat(sizes <= CELL, sizes) & np.repeat(sizes > 1, sizes)
-        cell, home, fp = cell[keep], home[keep], fp[keep]
-        for lag in range(1, CELL):
+        keep = np.repeat(sizes <= crowd, sizes) & np.repeat(sizes > 1, sizes)
+        cell, home, fp, node = cell[keep], home[keep], fp[keep], node[keep]
+        for lag in range(1, crowd):
             at = np.flatnonzero(cell[lag:] == cell[:-lag]) if lag < len(cell) else []
             if not len(at):
                 break
             at = at[home[at] | home[at + lag]]
             ok = near(fp[at], fp[at + lag], radius)
-            out_a.append(fp[at[ok]])
-            out_b.append(fp[at[ok] + lag])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (out_a, out_b))
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            out_a.append(node[at[ok]])
+            out_b.append(node[at[ok] + lag])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64)]
+        rest = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
         for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64)]
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()]
             rest = [np.concatenate(x) for x in zip(rest, new)]
             cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0  # the last cell may go on
             if cut:
@@ -193,12 +196,12 @@ def _links(radius: int):
     return run
 
 
-def links(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b): links between different fingerprints of the same table that connect all within radius. prints: fp, t."""
+def links(prints: DataFrame, radius: int = 3, crowd: int = CELL) -> DataFrame:
+    """(a, b): links between nodes whose fingerprints of one table are within radius; in each cell they connect all that are. prints: fp, t, node."""
     if radius > 3:
         raise ValueError("two halves bound a half's distance by one up to radius 3")
-    spots = prints.mapInArrow(_cells, "cell bigint, home boolean, fp bigint")
-    return spots.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(radius), "a bigint, b bigint").distinct()
+    spots = prints.select("fp", "t", "node").mapInArrow(_cells, "cell bigint, home boolean, fp bigint, node bigint")
+    return spots.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(radius, crowd), "a bigint, b bigint").filter("a != b").distinct()
 
 
 def op6_fingerprint(text: str | None) -> list[int]:
@@ -209,7 +212,7 @@ def classify(docs: DataFrame, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
     prints = materialize(fingerprints(docs, op6_fingerprint).select("doc_id", F.col("fps")[0].alias("fp")), "simhash")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = materialize(links(nodes.select("fp", F.lit(0).alias("t")), radius), "simhash-links")
+    found = materialize(links(nodes.select("fp", F.lit(0).alias("t"), F.col("fp").alias("node")), radius), "simhash-links")
     parts = connected_components(found.withColumnRenamed("a", "src").withColumnRenamed("b", "dst"))
     # of each linked fingerprint's component, the smallest id; lone fingerprints are their own component
     named = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
@@ -219,5 +222,59 @@ def classify(docs: DataFrame, radius: int = 3) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+#: Near-duplicates by shingles: words of a shingle, least similarity, and independent fingerprints of the set of words.
+SHINGLE, SIMILARITY, TABLES = 5, 0.8, 6
+
+
+def word_set_fingerprints(text: str | None) -> list[int]:
+    """TABLES fingerprints of the distinct words: a few edited words move few of their bits, however many shingles they break."""
+    import xxhash
+
+    words = set(words_of(text))
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    out = []
+    for k in range(TABLES):
+        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        out.append(fold(x ^ (x >> np.uint64(30))))
+    return out
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(t.as_py(), SHINGLE)).view(np.int64) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "sh"])
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of rows that are alike: equal words in order, or shingle sets of a Jaccard similarity of at least `similarity`.
+
+    Equal documents are one node first. Candidates are within three bits in one of TABLES
+    fingerprints; each is verified on its whole shingle sets. A cell with more than eight
+    members contributes the links of a sweep instead of all its pairs.
+    """
+    words = F.regexp_replace(F.btrim(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+", " ")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(F.xxhash64(words).alias("x"), F.crc32(F.encode(words, "UTF-8")).alias("y")).alias("same"))
+    same = materialize(rows.filter("doc_id IS NOT NULL"), "near-same")
+    nodes = materialize(same.groupBy("same").agg(F.min("doc_id").alias("node")), "near-nodes")
+    text = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text")).join(nodes.select("node"), "node", "left_semi")
+    prints = fingerprints(text.withColumnRenamed("node", "doc_id"), word_set_fingerprints, TABLES).select(F.col("doc_id").alias("node"), F.posexplode("fps").alias("t", "fp"))
+    pairs = materialize(links(prints, 3, 8), "near-pairs")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialize(text.join(involved, "node", "left_semi").select("node", "text").mapInArrow(_shingle_sets, "node bigint, sh array<bigint>"), "near-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    parts = connected_components(alike)
+    of = nodes.join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    return same.join(of, "same").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs (all columns) whose doc_id is the smallest of its group; rows without a doc_id stay. Rows that share a doc_id are one document."""
+    gone = near_duplicates(docs, similarity).filter("doc_id != component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
+
+
 def op6_simhash(spark, sf_dir):
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
