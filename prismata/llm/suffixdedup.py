@@ -306,8 +306,9 @@ def repeated_windows(bodies: list[bytes], length: int, places: list[int] | None
         found.append(_collection(flat, offset, sizes, np.repeat(loose, STEP), np.tile(np.arange(STEP), len(loose)), length, folder))
     body, start = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(2))
     by = np.lexsort((start, body))
-    cuts = np.searchsorted(body[by], np.arange(len(bodies) + 1))
-    return [start[by][a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    body, start = body[by], start[by]
+    cuts = np.searchsorted(body, np.arange(len(bodies) + 1))
+    return [start[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _compare(length: int):
