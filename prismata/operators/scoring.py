@@ -86,8 +86,8 @@ def fit_ranker(feedback: DataFrame) -> DataFrame:
                 w += RATE * (e * xi - DECAY * w)
         return pd.DataFrame({"bias": [b], "weight": [w], "examples": [len(x)]})
 
-    newest = feedback.select("seq", "quality", F.col("keep").cast("double").alias("keep")).orderBy(F.desc("seq")).limit(NEWEST)
-    return newest.groupBy(F.lit(1)).applyInPandas(run, "bias double, weight double, examples bigint")
+    newest = feedback.select("seq", "quality", F.col("keep").cast("double").alias("keep")).orderBy(F.desc("seq")).limit(NEWEST).withColumn("model", F.lit(0))
+    return newest.groupBy("model").applyInPandas(run, "bias double, weight double, examples bigint")
 
 
 def rank(rows: DataFrame, model: DataFrame) -> DataFrame:

@@ -82,5 +82,5 @@ def catalog(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 def sql(names: tuple[str, ...], body: str) -> str:
     """DuckDB SQL over the named views; body may begin with further named queries (", x AS (...)")."""
-    ctes = ",\n".join(f"{v} AS ({re.sub(r'EPOCH\((\w+)\)', r'CAST(epoch(\1) AS BIGINT)', VIEWS[v][1])})" for v in _needs(names)[0])
-    return f"WITH {ctes}\n{body}"
+    ctes = ",\n".join(f"{v} AS ({re.sub(r'EPOCH\((\w+)\)', r'CAST(floor(epoch(\1)) AS BIGINT)', VIEWS[v][1])})" for v in _needs(names)[0])
+    return f"WITH {ctes}\n{body}" if ctes else f"WITH {body[2:]}" if body.startswith(", ") else body
