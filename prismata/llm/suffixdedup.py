@@ -341,8 +341,9 @@ def _compare(length: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, k1, k2, body): the row as it is, and keys and text beside it, so that no column name can clash."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"k1": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), "k2": F.xxhash64(text), "body": text})
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("body"))
 
 
 def spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -397,7 +398,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    keyed = _keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select("doc_id", "k1", "k2", "body")
+    keyed = _keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select(F.col("row.doc_id").alias("doc_id"), "k1", "k2", "body")
     joined = keyed.join(spans(keyed, length), ["k1", "k2"], "left").select("doc_id", "body", "spans")
     return joined.mapInArrow(_digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
@@ -413,8 +414,8 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     keyed = _keyed(docs)
     joined = keyed.join(spans(keyed, length), ["k1", "k2"], "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(left("body", "spans"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(left("body", "spans"))
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op2_suffix_dedup(spark, sf_dir):
