@@ -55,13 +55,13 @@ def _grams(words: Column) -> Column:
     return F.when(n > 0, both(both(at[0], at[1]), at[2])).otherwise(F.array().cast("array<bigint>"))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that the threshold table names, in one narrow pass without a shuffle."""
-    text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    split = text.select("doc_id", "t", _words(F.col("t")).alias("w"), F.filter(F.split("t", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")).alias("l"))
+def measure(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The key column and the counts that the threshold table names, in one narrow pass without a shuffle."""
+    text = docs.select(key, F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    split = text.select(key, "t", _words(F.col("t")).alias("w"), F.filter(F.split("t", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")).alias("l"))
     stop = F.array(*[F.lit(x) for w in STOP_WORDS for x in dict.fromkeys((w, w.capitalize(), w.upper()))])
     counted = split.select(
-        "doc_id",
+        key,
         F.size("w").cast("bigint").alias("n_words"),
         F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", f"[{SYMBOLS}]", ""))).cast("bigint").alias("n_symbols"),
@@ -100,8 +100,11 @@ def judge(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 
 def keep_good(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """The rows of docs (all columns) that pass the base rules and the table."""
-    good = judge(docs, thresholds).filter("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    verdict = ~base_failed() & compile_rules(thresholds)
+    # a filter would be pushed below the projections and evaluate them anew for each rule; it stops at a column that is not deterministic
+    held = measure(whole, "row").select("row", (verdict & (F.spark_partition_id() >= 0)).alias("kept"))
+    return held.filter("kept").select("row.*")
 
 
 def op10_quality_rules(spark, sf_dir):
