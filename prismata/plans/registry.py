@@ -42,9 +42,9 @@ VIEW = """view_ AS (SELECT i.id, i.root_id, i.folder_id, i.file_name, i.relative
 PEOPLE = """person_images AS (SELECT image_id, name FROM image_tags WHERE kind = 'person' UNION ALL SELECT f.image_id, p.display_name FROM faces f JOIN people p ON f.person_id = p.id WHERE f.review_state = 'confirmed' AND p.state = 'active')"""
 
 
-@query("f1_base_view", BASE, f", {VIEW} SELECT id, absolute_path, relative_path, rating, color_label, date_taken, lens FROM view_")
+@query("f1_base_view", BASE, f", {VIEW} SELECT id, absolute_path, relative_path, rating, color_label, coalesce(date_taken, -1) AS date_taken, lens FROM view_")
 def _(images, roots, versions, metadata):
-    return C.base_view(images, roots, versions, metadata).select("id", "absolute_path", "relative_path", "rating", "color_label", "date_taken", "lens")
+    return C.base_view(images, roots, versions, metadata).select("id", "absolute_path", "relative_path", "rating", "color_label", F.coalesce("date_taken", F.lit(-1)).alias("date_taken"), "lens")
 
 
 SEARCH = (*BASE, "image_tags", "ai_tags", "faces", "people")
@@ -292,10 +292,10 @@ def _(image_tags):
     return tags.select("tag", parse.tag_kind(F.col("tag")).alias("k")).select("tag", "k.name", "k.kind")
 
 
-@query("x2_dates", ("orders",), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE CAST(epoch(o_orderdate) AS BIGINT) END AS taken FROM orders")
+@query("x2_dates", ("orders",), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN -1 ELSE CAST(floor(epoch(o_orderdate)) AS BIGINT) END AS taken FROM orders")
 def _(orders):
     form = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.lit("unknown"))
-    return orders.select("o_orderkey", parse.parse_date(form).alias("taken"))
+    return orders.select("o_orderkey", F.coalesce(parse.parse_date(form), F.lit(-1)).alias("taken"))
 
 
 @query("x3_x4_batch_rename", ("images",), """SELECT id, regexp_replace(file_name, '\\.[^.]*$', '') || '_' || lpad(CAST(row_number() OVER (PARTITION BY folder_id ORDER BY modified_at, id) AS VARCHAR), CAST(length(CAST(count(*) OVER (PARTITION BY folder_id) AS VARCHAR)) AS INT), '0') || '_' || strftime(to_timestamp(modified_at) AT TIME ZONE 'UTC', '%Y-%m') AS name FROM images""")
