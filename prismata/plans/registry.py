@@ -429,3 +429,6 @@ def _(labels, documents):
 def _(faces):
     rows = faces.select("id", "person_id", "review_state", F.round(0.48 * F.col("bbox_x") + 0.08 * F.col("confidence"), 6).alias("score"))
     return scoring.covers(rows, faces.filter("false").select("person_id", F.col("id").alias("face_id")))
+
+
+from prismata.plans import more  # noqa: E402, F401  (registers further queries)
