@@ -64,12 +64,12 @@ def _(embeddings):
     return similarity.sigmoid_tags(_logits(embeddings), _labels(embeddings.sparkSession), 3)
 
 
-@query("g13_g14_softmax_tags", ("embeddings",), f""", {LOGITS}, t AS (SELECT id, 'tag' || pos AS tag, round(round(exp(x - max(x) OVER w) / sum(exp(x)) OVER w * exp(max(x) OVER w), 6), 5) AS score FROM each WINDOW w AS (PARTITION BY id)),
+@query("g13_g14_softmax_tags", ("embeddings",), f""", {LOGITS}, t AS (SELECT id, 'tag' || pos AS tag, round(exp(x - max(x) OVER w) / sum(exp(x)) OVER w * exp(max(x) OVER w), 6) AS score FROM each WINDOW w AS (PARTITION BY id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tag) AS rn FROM t WHERE score > 0.1), b AS (SELECT id, tag, score FROM r WHERE rn <= 2)
 SELECT id, tag, max(score) AS score FROM (SELECT * FROM b UNION ALL SELECT id, CASE tag WHEN 'tag1' THEN 'animal' ELSE 'tag4' END, 0.0 FROM b WHERE tag IN ('tag1', 'tag2')) GROUP BY 1, 2""")
 def _(embeddings):
     parents = embeddings.sparkSession.createDataFrame([("tag1", "animal"), ("tag2", "tag4")], "child string, parent string")
-    return similarity.softmax_tags(_logits(embeddings), _labels(embeddings.sparkSession), parents, 0.1, 2).withColumn("score", F.round("score", 5))
+    return similarity.softmax_tags(_logits(embeddings), _labels(embeddings.sparkSession), parents, 0.1, 2)
 
 
 @query("g19_g20_cull_plan", BASE, f"""{GROUPED}, q AS (SELECT id, group_id, round((id % 97) / 97.0, 4) AS quality, CAST(id % 300 AS DOUBLE) AS sharpness FROM grouped),
