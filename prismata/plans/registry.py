@@ -134,8 +134,8 @@ def _(*views):
 
 for _key, _down in (("iso", True), ("name", True), ("rating", False)):
     _own = "lower(file_name) DESC" if _key == "name" else f"coalesce(CAST({_key} AS DOUBLE), 0) {'DESC' if _down else 'ASC'}, lower(file_name) ASC"
-    query(f"o2_list_sort_{_key}", BASE, f", {VIEW} SELECT id, row_number() OVER (ORDER BY {_own}, id) AS place FROM (SELECT * FROM view_ ORDER BY {_own}, id LIMIT 300)")(
-        lambda *v, k=_key, d=_down: C.base_view(*v).orderBy(*dsl.list_order(k, d)).limit(300).withColumn("place", F.row_number().over(Window.orderBy(*dsl.list_order(k, d))).cast("bigint")).select("id", "place")
+    query(f"o2_list_sort_{_key}", BASE, f", {VIEW} SELECT id, folder_id, row_number() OVER (PARTITION BY folder_id ORDER BY {_own}, id) AS place FROM view_")(
+        lambda *v, k=_key, d=_down: C.base_view(*v).withColumn("place", F.row_number().over(Window.partitionBy("folder_id").orderBy(*dsl.list_order(k, d))).cast("bigint")).select("id", "folder_id", "place")
     )
 
 
@@ -246,10 +246,10 @@ def _(ai_tags):
 
 
 @query("q23_provenance", ("images", "image_tags", "ai_tags", "faces"), """SELECT i.id, i.file_name, (SELECT count(*) FROM image_tags t WHERE t.image_id = i.id) AS tags, (SELECT count(*) FROM ai_tags t WHERE t.image_id = i.id AND t.review_state = 'accepted') AS accepted,
-(SELECT max(confidence) FROM ai_tags t WHERE t.image_id = i.id) AS best, (SELECT count(*) FROM faces f WHERE f.image_id = i.id) AS faces FROM images i WHERE i.id < 400""")
+(SELECT max(confidence) FROM ai_tags t WHERE t.image_id = i.id) AS best, (SELECT count(*) FROM faces f WHERE f.image_id = i.id) AS faces FROM images i""")
 def _(images, image_tags, ai_tags, faces):
     n = lambda rows, *aggs: rows.groupBy(F.col("image_id").alias("id")).agg(*aggs)
-    one = images.filter("id < 400").select("id", "file_name")
+    one = images.select("id", "file_name")
     for part in (n(image_tags, F.count("*").alias("tags")), n(ai_tags, F.count_if(F.col("review_state") == "accepted").alias("accepted"), F.max("confidence").alias("best")), n(faces, F.count("*").alias("faces"))):
         one = one.join(part, "id", "left")
     return one.fillna(0, ["tags", "accepted", "faces"])
