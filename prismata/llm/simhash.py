@@ -201,7 +201,7 @@ def links(prints: DataFrame, radius: int = 3, crowd: int = CELL) -> DataFrame:
     if radius > 3:
         raise ValueError("two halves bound a half's distance by one up to radius 3")
     spots = prints.select("fp", "t", "node").mapInArrow(_cells, "cell bigint, home boolean, fp bigint, node bigint")
-    return spots.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(radius, crowd), "a bigint, b bigint").filter("a != b").distinct()
+    return spots.repartition("cell").sortWithinPartitions("cell", "node", "fp", "home").mapInArrow(_links(radius, crowd), "a bigint, b bigint").filter("a != b").distinct()
 
 
 def op6_fingerprint(text: str | None) -> list[int]:
