@@ -222,22 +222,10 @@ def classify(docs: DataFrame, radius: int = 3) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-#: Near-duplicates by shingles: words of a shingle, least similarity, and independent fingerprints of the set of words.
-SHINGLE, SIMILARITY, TABLES = 5, 0.8, 6
-
-
-def word_set_fingerprints(text: str | None) -> list[int]:
-    """TABLES fingerprints of the distinct words: a few edited words move few of their bits, however many shingles they break."""
-    import xxhash
-
-    words = set(words_of(text))
-    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    out = []
-    for k in range(TABLES):
-        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        out.append(fold(x ^ (x >> np.uint64(30))))
-    return out
+#: Near-duplicates by shingles: words of a shingle and least similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Counters of the shingle sketch (a power of two), and the slices in which tasks hand it over.
+SKETCH, SLICES = 1 << 20, 16
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,22 +234,110 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "sh"])
 
 
+def _counters(flat: np.ndarray) -> np.ndarray:
+    return (flat >> np.uint64(44)).astype(np.int64)  # the upper 20 bits: SKETCH counters
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of a column of sets, and the size of each set."""
+    return column.flatten().to_numpy().view(np.uint64), np.diff(column.offsets.to_numpy())
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SKETCH, np.int64)
+    for batch in batches:
+        total += np.bincount(_counters(_flat(batch.column(0))[0]), minlength=SKETCH)
+    if total.any():
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.astype("<u4").tobytes() for x in np.split(total, SLICES)])], names=["slice", "n"])
+
+
+def _add_sketches(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("n").to_pylist())
+    return pa.table({"slice": table.column("slice")[:1], "n": pa.array([np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
+
+
+def shingle_ranks(sets: DataFrame) -> np.ndarray:
+    """How common the shingles of each counter are, as a power of two: any value gives right results, a true one keeps common shingles out of prefixes."""
+    out = np.zeros((SLICES, SKETCH // SLICES), np.uint8)
+    for r in sets.select("sh").mapInArrow(_sketch, "slice int, n binary").groupBy("slice").applyInArrow(_add_sketches, "slice int, n binary").collect():  # SLICES rows, 1 MB
+        out[r["slice"]] = np.frombuffer(bytes(r["n"]), np.uint8)
+    return out.reshape(-1)
+
+
+def _prefixes(ranks: np.ndarray, similarity: float):
+    """Sets -> (key, node, n, place): the first n - ceil(similarity * n) + 1 shingles of each, rare ones first.
+
+    Two sets of a Jaccard similarity of at least `similarity` share that part of either set,
+    so the first shingle that they have in common is in both prefixes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, n = _flat(batch.column(1))
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.argsort(row * 64 + ranks[_counters(flat)], kind="stable")  # hashes rise in each set, so ties do
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            keep = place < np.repeat(n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, n)
+            node = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(flat[order][keep].view(np.int64)), pa.array(node[row[keep]]), pa.array(n[row[keep]].astype(np.int32)), pa.array(place[keep].astype(np.int32))], names=["key", "node", "n", "place"])
+
+    return run
+
+
+def _candidates(similarity: float):
+    """Sorted (key, n, node, place) rows -> pairs of one key that its places and their sizes allow to be alike."""
+
+    def cells(key, node, n, place):
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at = np.arange(len(key))
+        for lag in range(1, len(key)):
+            at = at[at + lag < len(key)]
+            at = at[(key[at] == key[at + lag]) & (n[at] >= similarity * n[at + lag] - 1e-6)]  # sizes rise: later ones are farther
+            if not len(at):
+                break
+            to = at + lag
+            most = np.minimum(place[at], place[to]) + np.minimum(n[at] - place[at], n[to] - place[to])
+            ok = (most * (1 + similarity) >= similarity * (n[at] + n[to]) - 1e-6) & (node[at] != node[to])
+            out_a.append(node[at[ok]])
+            out_b.append(node[to[ok]])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            rest = [np.concatenate([x, c.to_numpy().astype(np.int64)]) for x, c in zip(rest, batch.columns)]
+            cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0  # the last cell may go on
+            if cut:
+                yield cells(*[x[:cut] for x in rest])
+                rest = [x[cut:] for x in rest]
+        if len(rest[0]):
+            yield cells(*rest)
+
+    return run
+
+
+def candidates(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): pairs of nodes, among them every pair whose sets have at least this Jaccard similarity. sets: node, sh (rising as unsigned numbers)."""
+    if not 0 < similarity <= 1:
+        raise ValueError("a prefix needs a similarity above 0")
+    spots = sets.select("node", "sh").mapInArrow(_prefixes(shingle_ranks(sets), similarity), "key bigint, node bigint, n int, place int")
+    return spots.repartition("key").sortWithinPartitions("key", "n", "node", "place").mapInArrow(_candidates(similarity), "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of rows that are alike: equal words in order, or shingle sets of a Jaccard similarity of at least `similarity`.
 
-    Equal documents are one node first. Candidates are within three bits in one of TABLES
-    fingerprints; each is verified on its whole shingle sets. A cell with more than eight
-    members contributes the links of a sweep instead of all its pairs.
+    Equal documents are one node first. Candidates share a shingle of their prefixes, which
+    no pair of that similarity misses; each is verified on its whole shingle sets.
     """
     words = F.regexp_replace(F.btrim(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+", " ")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(F.xxhash64(words).alias("x"), F.crc32(F.encode(words, "UTF-8")).alias("y")).alias("same"))
     same = materialize(rows.filter("doc_id IS NOT NULL"), "near-same")
     nodes = materialize(same.groupBy("same").agg(F.min("doc_id").alias("node")), "near-nodes")
     text = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text")).join(nodes.select("node"), "node", "left_semi")
-    prints = fingerprints(text.withColumnRenamed("node", "doc_id"), word_set_fingerprints, TABLES).select(F.col("doc_id").alias("node"), F.posexplode("fps").alias("t", "fp"))
-    pairs = materialize(links(prints, 3, 8), "near-pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(text.join(involved, "node", "left_semi").select("node", "text").mapInArrow(_shingle_sets, "node bigint, sh array<bigint>"), "near-sets")
+    sets = materialize(text.mapInArrow(_shingle_sets, "node bigint, sh array<bigint>"), "near-sets")
+    pairs = materialize(candidates(sets, similarity), "near-pairs")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     alike = both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select(F.col("a").alias("src"), F.col("b").alias("dst"))

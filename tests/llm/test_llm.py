@@ -215,6 +215,37 @@ def test_near_duplicates_by_shingles(spark):
     assert sorted(x.doc_id for x in simhash.keep_one(df).collect()) == [2, 7, 8]
 
 
+def brute_groups(sets, similarity=0.8):
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_duplicates_find_appended_and_truncated_copies(spark):
+    r = random.Random(11)
+    footer, texts = [f"f{i}" for i in range(400)], []
+    for _ in range(40):
+        w = [f"w{r.randint(0, 99999)}" for _ in range(r.randint(60, 400))]
+        k = int(len(w) * r.uniform(0.05, 0.3))
+        cut = r.randint(0, len(footer) - k)
+        edited = ["edited" if r.random() < 0.02 else x for x in w]
+        texts += [w, w + footer[cut : cut + k], w[:-k], w[k:], edited]
+    texts = [" ".join(w) for w in texts]
+    want = brute_groups([set(simhash.shingle_hashes(t, 5).tolist()) for t in texts])
+    got = dict(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def brute_hits(text, items):
     import re
 
