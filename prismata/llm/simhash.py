@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismata.operators.components import connected_components
-from prismata.session import materialize
+from prismata.session import materialize, small_side
 
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
@@ -226,12 +226,21 @@ def classify(docs: DataFrame, radius: int = 3) -> DataFrame:
 SHINGLE, SIMILARITY = 5, 0.8
 #: Counters of the shingle sketch (a power of two), and the slices in which tasks hand it over.
 SKETCH, SLICES = 1 << 20, 16
+#: Members of a prefix cell up to which its pairs are candidates one by one, and shingles in a block of a component of candidates.
+CROWD, CROWD_BLOCK = 8, 1 << 21
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches, which bounds the arrays made of them."""
     for batch in batches:
-        sets = [np.unique(shingle_hashes(t.as_py(), SHINGLE)).view(np.int64) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "sh"])
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        sets = [np.unique(shingle_hashes(t.as_py(), SHINGLE)).view(np.int64) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "x", "sh"])
 
 
 def _counters(flat: np.ndarray) -> np.ndarray:
@@ -245,7 +254,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SKETCH, np.int64)
-    for batch in batches:
+    for batch in _slices(batches):
         total += np.bincount(_counters(_flat(batch.column(0))[0]), minlength=SKETCH)
     if total.any():
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.astype("<u4").tobytes() for x in np.split(total, SLICES)])], names=["slice", "n"])
@@ -265,30 +274,46 @@ def shingle_ranks(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(ranks: np.ndarray, similarity: float):
-    """Sets -> (key, node, n, place): the first n - ceil(similarity * n) + 1 shingles of each, rare ones first.
+    """Sets -> (key, x, node, n, place): the first n - ceil(similarity * n) + 1 shingles of each, rare ones first.
 
     Two sets of a Jaccard similarity of at least `similarity` share that part of either set,
-    so the first shingle that they have in common is in both prefixes.
+    so the first shingle that they have in common is in both prefixes. Of copies (equal x)
+    in a batch, only the smallest node gives its prefix.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, n = _flat(batch.column(1))
+        for batch in _slices(batches):
+            table = pa.Table.from_batches([batch]).sort_by([("x", "ascending"), ("node", "ascending")])
+            x = table.column("x").to_numpy()
+            batch = table.filter(pa.array(np.r_[True, x[1:] != x[:-1]][: len(x)])).combine_chunks()
+            if not len(batch):
+                continue
+            batch = batch.to_batches()[0]
+            flat, n = _flat(batch.column(2))
             row = np.repeat(np.arange(len(n)), n)
             order = np.argsort(row * 64 + ranks[_counters(flat)], kind="stable")  # hashes rise in each set, so ties do
             place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
             keep = place < np.repeat(n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, n)
-            node = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(flat[order][keep].view(np.int64)), pa.array(node[row[keep]]), pa.array(n[row[keep]].astype(np.int32)), pa.array(place[keep].astype(np.int32))], names=["key", "node", "n", "place"])
+            node, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(flat[order][keep].view(np.int64)), pa.array(x[row[keep]]), pa.array(node[row[keep]]), pa.array(n[row[keep]].astype(np.int32)), pa.array(place[keep].astype(np.int32))], names=["key", "x", "node", "n", "place"])
 
     return run
 
 
-def _candidates(similarity: float):
-    """Sorted (key, n, node, place) rows -> pairs of one key that its places and their sizes allow to be alike."""
+def _candidates(similarity: float, crowd: int):
+    """Sorted (key, n, x, node, place) rows -> pairs of one key that its places and their sizes allow to be alike; of a cell of more than `crowd` rows, a chain through all of them.
+
+    Copies meet in every cell of theirs, where only the smallest node stays.
+    """
 
-    def cells(key, node, n, place):
+    def cells(key, n, node, place):
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        sizes = np.diff(np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]))
+        full = np.repeat(sizes > crowd, sizes)
+        # members next to each other whose sizes allow no likeness part those before from those behind
+        chain = np.flatnonzero(full[1:] & (key[1:] == key[:-1]) & (n[:-1] >= similarity * n[1:] - 1e-6) & (node[1:] != node[:-1]))
+        chain_a, chain_b = node[chain], node[chain + 1]
+        key, node, n, place = key[~full], node[~full], n[~full], place[~full]
         at = np.arange(len(key))
         for lag in range(1, len(key)):
             at = at[at + lag < len(key)]
@@ -300,48 +325,109 @@ def _candidates(similarity: float):
             ok = (most * (1 + similarity) >= similarity * (n[at] + n[to]) - 1e-6) & (node[at] != node[to])
             out_a.append(node[at[ok]])
             out_b.append(node[to[ok]])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        a, b = np.concatenate([*out_a, chain_a]), np.concatenate([*out_b, chain_b])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 4
+        rest = [np.zeros(0, np.int64)] * 5
         for batch in batches:
             rest = [np.concatenate([x, c.to_numpy().astype(np.int64)]) for x, c in zip(rest, batch.columns)]
+            new = np.ones(len(rest[0]), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in rest[:3]], axis=0)  # key, n and x
+            rest = [x[new] for x in rest]
             cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0  # the last cell may go on
             if cut:
-                yield cells(*[x[:cut] for x in rest])
+                yield cells(*[x[:cut] for i, x in enumerate(rest) if i != 2])
                 rest = [x[cut:] for x in rest]
         if len(rest[0]):
-            yield cells(*rest)
+            yield cells(*[x for i, x in enumerate(rest) if i != 2])
 
     return run
 
 
-def candidates(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): pairs of nodes, among them every pair whose sets have at least this Jaccard similarity. sets: node, sh (rising as unsigned numbers)."""
+def candidates(sets: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """(src, dst): pairs of nodes. Every pair whose sets have at least this Jaccard similarity is among them, or joined by a path of them. sets: node, x (equal for copies), sh (rising as unsigned numbers)."""
     if not 0 < similarity <= 1:
         raise ValueError("a prefix needs a similarity above 0")
-    spots = sets.select("node", "sh").mapInArrow(_prefixes(shingle_ranks(sets), similarity), "key bigint, node bigint, n int, place int")
-    return spots.repartition("key").sortWithinPartitions("key", "n", "node", "place").mapInArrow(_candidates(similarity), "a bigint, b bigint").distinct()
+    spots = sets.select("node", "x", "sh").mapInArrow(_prefixes(shingle_ranks(sets), similarity), "key bigint, x bigint, node bigint, n int, place int")
+    cells = spots.repartition("key").sortWithinPartitions("key", "n", "x", "node", "place").select("key", "n", "x", "node", "place")
+    return cells.mapInArrow(_candidates(similarity, crowd), "src bigint, dst bigint").distinct()
+
+
+def _sweep_sets(similarity: float):
+    """All sets of two blocks of a component of candidates -> verified links that connect what all its alike pairs connect."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node = table.column("node").to_numpy()
+        sh = table.column("sh").combine_chunks()
+        flat, n = _flat(sh.chunk(0) if isinstance(sh, pa.ChunkedArray) else sh)
+        distinct, ids, times = np.unique(flat, return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(n)), n)
+        shared = times[ids] > 1  # the others meet nothing
+        ids, row = ids[shared], row[shared]
+        ends = np.cumsum(np.bincount(row, minlength=len(n)))
+        mark = np.zeros(len(distinct), np.uint8)
+        unseen, left = np.ones(len(n), bool), len(n)
+        near_ids, near_row = ids, row  # of the members that no search has reached yet
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first in range(len(n)):
+            if not unseen[first]:
+                continue
+            unseen[first], left, queue = False, left - 1, [first]
+            while queue and left:
+                i = queue.pop()
+                own = ids[ends[i - 1] if i else 0 : ends[i]]
+                mark[own] = 1
+                common = np.bincount(near_row[mark[near_ids].view(bool)], minlength=len(n))
+                mark[own] = 0
+                got = np.flatnonzero(unseen & (common > 0) & (common >= similarity * (n + n[i] - common)))
+                if len(got):
+                    a.append(np.full(len(got), node[i]))
+                    b.append(node[got])
+                    unseen[got] = False
+                    left -= len(got)
+                    queue += got.tolist()
+            if 2 * unseen[near_row].sum() < len(near_row):
+                keep = unseen[near_row]
+                near_ids, near_row = near_ids[keep], near_row[keep]
+        return pa.table({"src": np.concatenate(a), "dst": np.concatenate(b)})
+
+    return run
+
+
+def verified_links(found: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, block: int = CROWD_BLOCK) -> DataFrame:
+    """(src, dst): links that connect what all pairs of at least this similarity connect. found: candidates().
+
+    Each component of the candidates is compared on its whole sets, which move once. It is
+    dealt into blocks of about `block` shingles, and every two of its blocks are compared in
+    a task of their own, so none has to fit into one.
+    """
+    of = materialize(connected_components(found), "near-crowds")
+    of_small = small_side(of)
+    sized = sets.select("node", F.size("sh").cast("bigint").alias("n")).join(of_small, "node")
+    count = sized.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    placed = of.join(small_side(count), "component").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tasks = placed.select("node", "component", "own", other.alias("other")).select("node", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    tasks = small_side(materialize(tasks, "near-tasks"))
+    return sets.select("node", "sh").join(tasks, "node").groupBy("component", "lo", "hi").applyInArrow(_sweep_sets(similarity), "src bigint, dst bigint")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of rows that are alike: equal words in order, or shingle sets of a Jaccard similarity of at least `similarity`.
 
-    Equal documents are one node first. Candidates share a shingle of their prefixes, which
-    no pair of that similarity misses; each is verified on its whole shingle sets.
+    Equal documents are one node. Candidates share a shingle of their prefixes, which no pair
+    of that similarity misses. What they connect is swept on the similarity of the whole
+    shingle sets itself, so a crowd falls apart as all its pairs do.
     """
     words = F.regexp_replace(F.btrim(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+", " ")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(F.xxhash64(words).alias("x"), F.crc32(F.encode(words, "UTF-8")).alias("y")).alias("same"))
     same = materialize(rows.filter("doc_id IS NOT NULL"), "near-same")
     nodes = materialize(same.groupBy("same").agg(F.min("doc_id").alias("node")), "near-nodes")
-    text = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text")).join(nodes.select("node"), "node", "left_semi")
-    sets = materialize(text.mapInArrow(_shingle_sets, "node bigint, sh array<bigint>"), "near-sets")
-    pairs = materialize(candidates(sets, similarity), "near-pairs")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    alike = both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    parts = connected_components(alike)
+    text = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("node"), F.xxhash64(words).alias("x"), F.col("text").cast("string").alias("text"))
+    sets = materialize(text.mapInArrow(_shingle_sets, "node bigint, x bigint, sh array<bigint>"), "near-sets")
+    parts = connected_components(verified_links(materialize(candidates(sets, similarity), "near-pairs"), sets, similarity))
     of = nodes.join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
     return same.join(of, "same").select("doc_id", "component_id")
 

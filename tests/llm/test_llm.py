@@ -246,6 +246,18 @@ def test_near_duplicates_find_appended_and_truncated_copies(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("block", [simhash.CROWD_BLOCK, 8000])
+def test_a_crowd_around_the_threshold_falls_apart_as_its_pairs_do(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash.verified_links, "__defaults__", (simhash.SIMILARITY, block))
+    r = random.Random(3)
+    base = [f"w{r.randint(0, 99999)}" for _ in range(343)]
+    texts = [" ".join(f"e{r.randint(0, 99999)}" if r.random() < 0.016 else x for x in base) for _ in range(150)]
+    want = brute_groups([set(simhash.shingle_hashes(t, 5).tolist()) for t in texts])
+    assert 10 < len(set(want)) < 140
+    got = dict(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def brute_hits(text, items):
     import re
 
