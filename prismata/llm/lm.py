@@ -5,8 +5,7 @@ unknown word) and bigrams with a Dirichlet prior of weight PRIOR on the unigrams
 
     P(w | h) = (c(h, w) + PRIOR * P(w)) / (c(h) + PRIOR),
 
-over training documents only, for words that occur MIN_COUNT times there (other pairs take
-the failure arc; the little mass that their arcs would have is not given away); every document ends with one end token and starts in a
+over training documents only; every document ends with one end token and starts in a
 start state. As an automaton: a state for each known word and the start, an arc for each
 such bigram with count > 0, and a failure arc of weight PRIOR / (c(h) + PRIOR) to the root,
 which has an arc for each word and one for the unknown word. A document is scored by one
@@ -34,8 +33,8 @@ from prismata.session import materialize
 
 #: Weight of the unigram distribution in each bigram context, in tokens.
 PRIOR = 1000.0
-#: Bigrams are arcs only between words that occur this often in training (the start state counts as such a word).
-MIN_COUNT = 5
+#: Bigrams are arcs only between words that occur this often in training (the start state counts as such a word): all of them.
+MIN_COUNT = 1
 #: Bytes of text in a block here: its word pairs need more memory than its words.
 BLOCK_BYTES = 8 << 20
 END = b""  # no word is empty

@@ -132,6 +132,12 @@ def test_lm_against_formula(spark, docs):
     assert lm.score(docs.filter("false")).count() == 0
 
 
+def test_lm_counts_bigrams_of_rare_words(spark):
+    one = spark.createDataFrame([(0, "a b")], "doc_id long, text string")
+    assert zlib.crc32(b"0") % 7 != 2  # it trains
+    assert abs(lm.score(one).first().score - 3 * math.log10((1 + 1000 / 6) / 1001)) < 1e-6
+
+
 def test_langid(spark):
     r = random.Random(1)
     bag = {"xx": "ka ko ki ku ke".split(), "yy": "lam lom lim lum".split(), "zz": "ß ü öz äß".split()}
