@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismata.llm import blocks, bpe, decontam, extract, fixity, langid, lm, quality, simhash, suffixdedup, urlgraph
+from prismata.llm import blocks, bpe, decontam, extract, fixity, langid, lm, neardup, quality, simhash, suffixdedup, urlgraph
 
 LONG = "alpha beta gamma " * 3000
 TEXTS = ["", None, "one", "a b c a b c", "The cat sat.\nThe cat sat.\n x", "É é Ä", LONG, "a\tb\x0bc\x0cd\re  f", "😀 emoji 😀", "Same text here", "Same text here", "### *** $$$"]
@@ -216,9 +216,9 @@ def test_near_duplicates_by_shingles(spark):
     far[10::30] = ["other"] * len(far[10::30])
     rows = [(5, base), (2, near), (9, base), (7, far), (8, [f"x{i}" for i in range(300)])]
     df = spark.createDataFrame([(i, " ".join(w).upper() if i == 9 else " ".join(w)) for i, w in rows], "doc_id long, text string")
-    got = dict(simhash.near_duplicates(df).select("doc_id", "component_id").collect())
+    got = dict(neardup.near_duplicates(df).select("doc_id", "component_id").collect())
     assert got == {5: 2, 2: 2, 9: 2, 7: 7, 8: 8}
-    assert sorted(x.doc_id for x in simhash.keep_one(df).collect()) == [2, 7, 8]
+    assert sorted(x.doc_id for x in neardup.keep_one(df).collect()) == [2, 7, 8]
 
 
 def brute_groups(sets, similarity=0.8):
@@ -248,19 +248,19 @@ def test_near_duplicates_find_appended_and_truncated_copies(spark):
         texts += [w, w + footer[cut : cut + k], w[:-k], w[k:], edited]
     texts = [" ".join(w) for w in texts]
     want = brute_groups([set(simhash.shingle_hashes(t, 5).tolist()) for t in texts])
-    got = dict(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    got = dict(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     assert [got[i] for i in range(len(texts))] == want
 
 
-@pytest.mark.parametrize("block", [simhash.CROWD_BLOCK, 8000])
+@pytest.mark.parametrize("block", [neardup.BLOCK, 8000])
 def test_a_crowd_around_the_threshold_falls_apart_as_its_pairs_do(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash.verified_links, "__defaults__", (simhash.SIMILARITY, block))
+    monkeypatch.setattr(neardup.verified_links, "__defaults__", (neardup.SIMILARITY, block))
     r = random.Random(3)
     base = [f"w{r.randint(0, 99999)}" for _ in range(343)]
     texts = [" ".join(f"e{r.randint(0, 99999)}" if r.random() < 0.016 else x for x in base) for _ in range(150)]
     want = brute_groups([set(simhash.shingle_hashes(t, 5).tolist()) for t in texts])
     assert 10 < len(set(want)) < 140
-    got = dict(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    got = dict(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     assert [got[i] for i in range(len(texts))] == want
 
 
