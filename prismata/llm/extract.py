@@ -1,24 +1,34 @@
 """HTML main-text extraction by the line-block distribution.
 
-Markup is stripped into lines, one for each block element, in page order. Lines inside
-menus, headers, footers, sidebars, notices, adverts, forms, comments and code have weight
-0, every other line the length of its text; if the page declares an article or main
-element, lines outside it have weight 0 too. Weights are summed over sliding windows of
-WINDOW lines: a surge is where the sum rises over the threshold, the next dive is where it
-falls to it. Text between surge and dive is kept: with a declared article all of it (the
-threshold is 0), without one the run with the most text (the threshold is SURGE).
+Markup is stripped into lines, one for each block element, in page order. A line weighs the
+length of its text; lines inside menus, headers, footers, sidebars, notices, adverts, forms,
+comments and code weigh nothing, nor do lines outside the article or main elements of a page
+that declares some, nor lines that are all link on a page that does not. Weights of the
+lines that are left are summed over sliding windows of WINDOW lines: a surge is where the
+sum rises over SURGE, the next dive is where it falls to it; every line of a window over
+SURGE lies between them.
+
+Surges and dives decide where the text is. On a page that declares articles, those in which
+a surge lies are kept (a short teaser has none). On other pages the text container is the
+innermost element that holds SHARE of all that lies between surges and dives; kept is what
+stands in it from its first surge to its last dive, and then outwards the short lines of the
+same elements (an opening or closing paragraph) and the headings right before. A page
+without any surge is a page of a few words: all that weighs something is kept.
 
 Null and empty html give an empty text. Character references are decoded, white space
 inside a block becomes one space, blocks are joined by an empty line. The time is linear
-in the page; nothing is capped. Repeated rows are handled one by one, other columns are
-ignored.
+in the page, broken markup included; nothing is capped. Repeated rows are handled one by
+one, other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import string
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +37,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 80
+#: Part of the text between surges and dives that the text container holds.
+SHARE = 0.6
 
 # Element names, and words of class, id and role that mark what is not article text.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -35,6 +47,8 @@ ARTICLE = frozenset(("article", "main"))
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template tfoot th thead tr ul".split()
 )
+CONTAINERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure main nav ol section table tbody td th tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottom comment comments disqus replies respond social share sharing related recommended popular popup modal overlay widget search pagination pager toolbar contentinfo complementary".split()
@@ -55,42 +69,88 @@ def _noisy(attributes: str) -> bool:
     return bool(HIDDEN.search(attributes)) if attributes else False
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, is dropped, is inside an article) of each block of the page, in order."""
-    lines: list[tuple[str, bool, bool]] = []
+def _ascii_lower(text: str) -> str:
+    """A-Z lower-cased, every other character in its place."""
+    if text.isascii():
+        return text.lower()
+    for c in string.ascii_uppercase:
+        text = text.replace(c, c.lower())
+    return text
+
+
+class Line(NamedTuple):
+    text: str
+    dropped: bool  # inside an element that is no article text
+    article: int  # number of the declared article around it; 0: none
+    box: int  # number of the innermost container
+    linked: bool  # nothing but link text
+    heading: bool
+
+
+def lines_of(page: str) -> tuple[list[Line], list[int]]:
+    """The lines of the page in order, and the container around each container (a smaller number; 0 is the page)."""
+    lines: list[Line] = []
     held: list[str] = []
-    low = page.lower() if len(page.lower()) == len(page) else page
+    low = _ascii_lower(page)
+    boxes, around, open_of = [("", 0)], [0], Counter()
     dropped, depth, until_block = "", 0, False  # the element that drops, its open namesakes, and whether any block ends it
-    articles = 0
-    at = 0
+    articles, article, link, linked, heading = 0, 0, False, 0, False
+    last_close: dict[str, int] = {}
+    at, end, last_tag = 0, len(page), page.rfind(">")
+
+    def closes(name: str, after: int) -> bool:
+        if name not in last_close:
+            last_close[name] = low.rfind(f"</{name}")
+        return last_close[name] >= after
+
+    def keep(text: str) -> None:
+        nonlocal linked
+        held.append(text)
+        if link:
+            linked += len(text)
 
     def flush() -> None:
+        nonlocal link, linked
         if held:
-            text = " ".join(entities.unescape("".join(held)).split())
-            held.clear()
+            raw = "".join(held)
+            text = " ".join(entities.unescape(raw).split())
             if text:
-                lines.append((text, bool(dropped), articles > 0))
+                lines.append(Line(text, bool(dropped), article if articles else 0, boxes[-1][1], linked >= len(raw.strip()), heading))
+        held.clear()
+        link, linked = False, 0
 
-    end = len(page)
     while at < end:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last_tag or low.find("<!", at) >= 0 else None
         if m is None:
-            held.append(page[at:])
+            keep(page[at:])
             break
         if m.start() > at:
-            held.append(page[at : m.start()])
+            keep(page[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if not name:
             continue
-        name, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] if m[2] else m[6]
-        block = name in BLOCKS
-        if block:
+        name, closing, attributes = _ascii_lower(name), bool(m[1] or m[4]), m[3] if m[2] else m[6]
+        if name in BLOCKS:
             flush()
+            heading = name in HEADINGS and not closing
             if dropped and until_block:
                 dropped, until_block = "", False
         elif name == "br":
             held.append(" ")
+        elif name == "a":
+            link = not closing
+        if name in CONTAINERS:
+            if not closing:
+                around.append(boxes[-1][1])
+                boxes.append((name, len(around) - 1))
+                open_of[name] += 1
+            elif open_of[name]:
+                while True:
+                    inner = boxes.pop()[0]
+                    open_of[inner] -= 1
+                    if inner == name:
+                        break
         if closing:
             if dropped == name:
                 depth -= 1
@@ -101,8 +161,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
                 articles = max(0, articles - 1)
             continue
         if name in RAW:
-            close = low.find(f"</{name}", at)
-            close = end if close < 0 else close
+            close = low.find(f"</{name}", at) if closes(name, at) else end
             shut = page.find(">", close)
             at = end if close == end or shut < 0 else shut + 1
             continue
@@ -114,34 +173,62 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if name in DROPPED or (name == "header" and not articles) or (name not in ("html", "body", *ARTICLE) and _noisy(attributes)):
             flush()
             dropped, depth = name, 1
-            until_block = name == "p" or low.find(f"</{name}", at) < 0
+            until_block = name == "p" or not closes(name, at)
             continue
         if name in ARTICLE:
+            article += not articles
             articles += 1
     flush()
-    return lines
-
-
-def runs(weights: np.ndarray, threshold: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """[surge, dive) ranges of lines: the window sum rises over the threshold, and falls to it again."""
-    n = len(weights)
-    if not n:
-        return []
-    sums = np.convolve(weights, np.ones(window, np.int64))[window - 1 :]  # of line i and those that follow
-    high = np.flatnonzero(np.diff(np.r_[False, sums > threshold, False].astype(np.int8)))
-    return [(int(a), int(b)) for a, b in zip(high[::2], high[1::2])]
+    return lines, around
+
+
+def surges(weights: np.ndarray, threshold: int = SURGE, window: int = WINDOW) -> np.ndarray:
+    """Whether each line lies between a surge and a dive: in a window whose sum is over the threshold."""
+    if not len(weights):
+        return np.zeros(0, bool)
+    sums = np.convolve(weights, np.ones(window, np.int64))  # of the window that ends at each line, and beyond
+    high = (sums > threshold).astype(np.int64)
+    return np.convolve(high, np.ones(window, np.int64))[window - 1 : window - 1 + len(weights)] > 0
+
+
+def _between(lines: list[Line], around: list[int], inside: np.ndarray) -> np.ndarray:
+    """Undeclared pages: which lines lie in the text container from its first surge to its last dive, or belong to them."""
+    box = np.array([x.box for x in lines])
+    held = np.zeros(len(around), np.int64)
+    np.add.at(held, box[inside], [len(x.text) for x, ok in zip(lines, inside) if ok])
+    total = int(held.sum())
+    for k in range(len(around) - 1, 0, -1):
+        held[around[k]] += held[k]
+    main = int(np.flatnonzero(held >= SHARE * total).max())  # these contain each other; the last is the innermost
+    within = np.zeros(len(around), bool)
+    within[main] = True
+    for k in range(main + 1, len(around)):
+        within[k] = within[around[k]]
+    core = np.flatnonzero(inside & within[box])
+    first, last = int(core[0]), int(core[-1])
+    own = {main, *box[first : last + 1].tolist()}
+    while first and within[box[first - 1]] and lines[first - 1].box in own:
+        first -= 1
+    while first and lines[first - 1].heading:
+        first -= 1
+    while last + 1 < len(lines) and within[box[last + 1]] and lines[last + 1].box in own:
+        last += 1
+    keep = np.zeros(len(lines), bool)
+    keep[first : last + 1] = True
+    return keep & (within[box] | np.array([x.heading for x in lines]))
 
 
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    declared = any(article for _, _, article in lines)
-    weights = np.array([0 if drop or (declared and not article) else len(t) for t, drop, article in lines], np.int64)
-    found = runs(weights, 0 if declared else SURGE)
-    if not declared:
-        if not found and weights.any():
-            found = [(0, len(lines))]  # a page of a few words: all of it
-        found = sorted(found, key=lambda r: -int(weights[r[0] : r[1]].sum()))[:1]
-    return "\n\n".join(lines[i][0] for a, b in found for i in range(a, b) if weights[i])
+    every, around = lines_of(page or "")
+    declared = any(x.article and not x.dropped for x in every)
+    lines = [x for x in every if not x.dropped and (x.article if declared else not x.linked)]
+    inside = surges(np.array([len(x.text) for x in lines], np.int64))
+    if inside.any() and declared:
+        kept = {x.article for x, ok in zip(lines, inside) if ok}
+        lines = [x for x in lines if x.article in kept]
+    elif inside.any():
+        lines = [x for x, ok in zip(lines, _between(lines, around, inside)) if ok]
+    return "\n\n".join(x.text for x in lines)
 
 
 def extract(pages: DataFrame) -> DataFrame:

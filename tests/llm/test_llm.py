@@ -306,7 +306,46 @@ def test_extraction():
     body = "".join(f"<p>{'word ' * 30}{i}</p>" for i in range(5))
     plain = f"<ul>{'<li>x</li>' * 9}</ul><div>{body}</div><p>y</p><p>y</p><p>y</p><p>y</p>"
     assert [x[-1] for x in extract.main_text(plain).split("\n\n") if x.startswith("word")] == list("01234")
-    assert extract.runs(np.array([0, 0, 0, 50, 50, 50, 0, 0, 0]), 80) == [(2, 5)]
+    assert extract.surges(np.array([0, 0, 0, 50, 50, 50, 0, 0, 0]), 80).tolist() == [False, False, True, True, True, True, True, False, False]
+
+
+def test_surges_equal_a_brute_force_windower():
+    r = random.Random(8)
+    for _ in range(300):
+        w = [r.choice([0, 3, 20, 41, 90]) for _ in range(r.randrange(12))]
+        want = [any(sum(w[max(a, 0) : a + 3]) > 80 for a in range(i - 2, i + 1)) for i in range(len(w))]
+        assert extract.surges(np.array(w, np.int64)).tolist() == want
+
+
+def test_extraction_of_undeclared_pages():
+    line = lambda k: "".join(f"<p>{'word ' * 30}{i}</p>" for i in range(k))
+    menu = "<ul><li>Home</li><li>About us</li></ul>"
+    page = f"<div>{menu}<div class=text><h2>Head</h2><p>Short.</p>{line(5)}{'<div class=advert>buy</div>' * 4}{line(4)}<ul><li>a point</li></ul><p>The end.</p></div><div><a href=x>{'linked ' * 40}</a></div></div>"
+    blocks = extract.main_text(page).split("\n\n")
+    assert blocks[:2] == ["Head", "Short."] and blocks[-2:] == ["a point", "The end."] and len(blocks) == 13
+    assert extract.main_text("<div><p>a few</p><p>words</p></div>") == "a few\n\nwords"
+    # teasers are declared articles too, but no surge lies in them
+    assert extract.main_text(f"<article>{line(3)}<p>end</p></article><article><p>teaser</p></article>").endswith("2\n\nend")
+    assert extract.main_text("İ<SCRIPT>x</SCRIPT><p>two</p>") == "İ\n\ntwo"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<form>" * 150_000, '<a "' * 250_000, "<div>" * 100_000 + "</section>" * 50_000, "<script>" * 100_000, "<" * 1_000_000])
+def test_extraction_takes_linear_time(page):
+    import time
+
+    start = time.perf_counter()
+    extract.main_text(page)
+    assert time.perf_counter() - start < 5
+
+
+def test_extract_rows(spark):
+    page = f"<article><p>{'word ' * 20_000}</p></article>"
+    rows = [(1, "u", page, "x", 9), (1, "u", page, "x", 9), (2, None, None, None, None), (None, "v", "<p>x", "y", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    out = extract.extract(pages).collect()
+    assert sorted((r.page_id or 0, r.url, r.n_chars) for r in out if r.url) == [(0, "v", 1), (1, "u", 99_999), (1, "u", 99_999)]
+    assert [r.text for r in out if r.url is None] == [""] and extract.extract(pages.limit(0)).count() == 0
+    assert out[0].__fields__ == ["page_id", "url", "text", "n_chars"]
 
 
 def test_url_graph(spark):
