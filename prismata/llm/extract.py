@@ -222,7 +222,11 @@ def main_text(page: str | None) -> str:
     every, around = lines_of(page or "")
     declared = any(x.article and not x.dropped for x in every)
     lines = [x for x in every if not x.dropped and (x.article if declared else not x.linked)]
-    inside = surges(np.array([len(x.text) for x in lines], np.int64))
+    size = np.array([len(x.text) for x in lines], np.int64)
+    number = np.array([x.article for x in lines], np.int64)
+    inside = np.zeros(len(lines), bool)
+    for own in np.split(np.arange(len(lines)), np.flatnonzero(np.diff(number)) + 1):  # no window reaches from one article into another
+        inside[own] = surges(size[own])
     if inside.any() and declared:
         kept = {x.article for x, ok in zip(lines, inside) if ok}
         lines = [x for x in lines if x.article in kept]
