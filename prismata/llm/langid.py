@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Training rows taken of each language (expected; by a hash threshold), and n-grams kept of each.
+from prismata.session import materialize
+
+#: Training rows taken of each language (expected; by a hash threshold).
 SAMPLE = 2_000
-GRAMS = 40_000
 ORDERS = (1, 2, 3, 4)
 SHARE = 0.3
 #: Slots of the bit-sliced table (a power of two) and hash functions of each filter.
@@ -147,38 +148,46 @@ def held_out(modulus: int = 4, remainder: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, kept: int = GRAMS) -> Filters:
+def _spots(langs: list[str], slots: int):
+    """(lang, gram) -> (word, slot, mask): where the filters of the languages hold each n-gram."""
+    number = {k: i for i, k in enumerate(langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = Filters(langs, slots)
+        for batch in batches:
+            lang = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
+            for s in shape._slots(batch.column(1).to_numpy().view(np.uint64)):
+                mask = (np.uint64(1) << (lang % 64).astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((lang // 64).astype(np.int32)), pa.array(s.astype(np.int64)), pa.array(mask)], names=["word", "slot", "mask"])
+
+    return run
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, slots: int = SLOTS) -> Filters:
     """Filters of the labelled rows of docs (lang, text, doc_id).
 
-    What reaches the driver is bounded: a count for each language, and kept n-grams of each.
+    All n-grams of the sample count. The filters are filled in Spark, slot by slot; what reaches
+    the driver is a count for each language and the finished table, whose size is fixed.
     """
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     langs = sorted(sizes, key=lambda x: (-sizes[x], x))
-    out = Filters(langs)
+    out = Filters(langs, slots)
     if not langs:
         return out
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample / sizes[k]))])
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     taken = labelled.filter(chance < share[F.col("lang")]).select("lang", "text")
-    counts = taken.mapInArrow(_count, "lang string, gram bigint, n bigint, ord int").groupBy("lang", "gram", "ord").agg(F.sum("n").alias("n"))
-    ranked = counts.withColumn("r", F.row_number().over(_by_count())).filter(F.col("r") <= kept).select("lang", "gram", "ord", "n")
-    got = ranked.toPandas()
-    number = {k: i for i, k in enumerate(langs)}
-    got["lang"] = got["lang"].map(number)
-    got["part"] = got["n"] / got.groupby(["lang", "ord"])["n"].transform("sum")
-    got = got[(got["part"] >= SHARE * got.groupby(["gram", "ord"])["part"].transform("max")) & (got["n"] > 1)]
-    for i, own in got.groupby("lang"):
-        out.add(int(i), own["gram"].to_numpy().view(np.uint64))
+    counts = materialize(taken.mapInArrow(_count, "lang string, gram bigint, n bigint, ord int").groupBy("gram", "ord", "lang").agg(F.sum("n").alias("n")), "langid-grams")
+    total = counts.groupBy("lang", "ord").agg(F.sum("n").alias("all"))
+    parts = counts.join(F.broadcast(total), ["lang", "ord"]).withColumn("part", F.col("n") / F.col("all"))  # a row a language and order
+    most = parts.groupBy("gram", "ord").agg(F.max("part").alias("most"), F.collect_list(F.struct("lang", "part")).alias("own"))
+    held = most.select("gram", F.explode(F.filter("own", lambda x: x["part"] >= SHARE * F.col("most"))).alias("x")).select("x.lang", "gram")
+    table = held.mapInArrow(_spots(langs, slots), "word int, slot bigint, mask bigint").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out.table[table["word"].to_numpy(), table["slot"].to_numpy()] = table["mask"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def _by_count():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("lang", "ord").orderBy(F.col("n").desc(), "gram")
-
-
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row; only text is an input of a prediction."""
     held = filters  # its table has SLOTS words: 8 MB for up to 64 languages
