@@ -361,12 +361,71 @@ def test_url_graph(spark):
 
 
 def test_merkle_audit(spark):
-    rows = [(i, f"u{i}", "x" * (i % 7)) for i in range(500)] + [(7, "u7", "x" * 0), (None, "u", "x"), (600, None, None)]
-    a = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows = [(i, f"u{i}", "x" * (i % 7), "s", 5) for i in range(500)] + [(7, "u7", "x" * 0, "s", 5), (None, "u", "x", "s", 5), (None, "u", "x", "s", 5), (None, "v", "y" * 100_000, "s", 5), (600, None, None, None, None)]
+    a = spark.createDataFrame(rows, "page_id long, url string, html string, leaf string, start long")
     same = lambda x: fixity.leaves(x, "page_id", "url", "html")
-    assert fixity.audit(same(a), same(a)).filter("status != 'ok'").count() == 0
-    b = a.filter("page_id IS NULL OR page_id != 300").withColumn("html", F.when(F.col("page_id") == 100, "?").otherwise(F.col("html"))).union(spark.createDataFrame([(-9, "n", "n")], a.schema))
-    bad = {(r.rec, r.status) for r in fixity.audit(same(a), same(b)).filter("status != 'ok'").collect()}
-    assert bad == {(300, "missing"), (100, "corrupt"), (-9, "extra")}
-    assert {r.shard for r in fixity.differing_shards(same(a), same(b)).collect()} == {300 // 64, 100 // 64, -1}
+    out = fixity.audit(same(a), same(a)).collect()
+    assert len(out) == len(rows) and {r.status for r in out} == {"ok"} and sum(r.rec is None for r in out) == 3
+    changed = F.when((F.col("page_id") == 100) | (F.col("page_id").isNull() & (F.col("url") == "v")), "?").when(F.col("page_id") == 200, "longer " * 9).otherwise(F.col("html"))
+    b = a.filter("page_id IS NULL OR page_id != 300").withColumn("html", changed).union(spark.createDataFrame([(-9, "n", "n", "s", 1)], a.schema))
+    found = fixity.audit(same(a), same(b)).filter("status != 'ok'").collect()
+    moved = {r.rec for r in found if r.status == "moved"}
+    assert {(r.rec, r.status) for r in found if r.status != "moved"} == {(300, "missing"), (100, "corrupt"), (200, "corrupt"), (-9, "extra"), (None, "missing"), (None, "extra")}
+    sizes = {i: i % 7 for i in range(500)}
+    assert moved == set(range(201, 256)) | set(range(301, 320)) | (set(range(101, 128)) if sizes[100] != 1 else set())
+    shards = {r.shard for r in fixity.differing_shards(*(fixity.offsets(same(x).filter("rec IS NOT NULL")) for x in (a, b))).collect()}
+    assert shards == {300 // 64, 100 // 64, 200 // 64, -1}
+    # a changed offset alone is seen: the records are the same, one stands elsewhere
+    twice = a.filter("page_id BETWEEN 64 AND 127")
+    other = fixity.offsets(same(twice)).withColumn("start", F.col("start") + F.when(F.col("rec") == 70, 1).otherwise(0))
+    assert [r.shard for r in fixity.differing_shards(fixity.offsets(same(twice)), other).collect()] == [1]
     assert fixity.audit(same(a.filter("false")), same(a.filter("false"))).count() == 0
+
+
+def test_langid_equals_exact_sets(spark):
+    """The filters, against Python sets of n-grams without a filter."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    docs = spark.read.parquet(path).withColumn("held_out", langid.held_out())
+    got = {r.doc_id: r for r in langid.predict(docs, langid.train(docs.filter("NOT held_out"))).collect()}
+    rows = docs.collect()
+
+    def grams(text):
+        plain = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+        out = []
+        for word in plain.split():
+            for k in langid.ORDERS:
+                padded = word if k == 1 else f" {word} "
+                out += [(k, padded[i : i + k]) for i in range(len(padded) - k + 1)]
+        return out
+
+    counts = collections.defaultdict(lambda: collections.defaultdict(collections.Counter))
+    size = collections.Counter()
+    for r in rows:
+        if not r.held_out and r.lang and r.text is not None:
+            size[r.lang] += 1
+            for k, g in grams(r.text):
+                counts[r.lang][k][g] += 1
+    share = {(x, k, g): n / sum(c.values()) for x, by in counts.items() for k, c in by.items() for g, n in c.items()}
+    most = collections.defaultdict(float)
+    for (x, k, g), p in share.items():
+        most[k, g] = max(most[k, g], p)
+    held = {key for key, p in share.items() if p >= langid.SHARE * most[key[1:]]}
+    order = sorted(size, key=lambda x: (-size[x], x))
+    for r in rows:
+        own = grams(r.text or "")
+        if not own:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        hits = [sum((x, *g) in held for g in own) for x in order]
+        best = max(range(len(order)), key=lambda i: (hits[i], -i))
+        ranked = sorted(hits, reverse=True)
+        if ranked[0] - ranked[1] > 0.01 * len(own):  # nearer ones may turn on a false positive
+            assert got[r.doc_id].lang_pred == order[best], r.doc_id
+        assert abs(got[r.doc_id].score - max(hits) / max(sum(hits), 1)) < 0.02
+
+
+def test_langid_repeats_long_texts_and_clashing_columns(spark):
+    rows = [(1, "the cat " * 30_000, "en", "x", 0.5), (1, "the cat " * 30_000, "en", "x", 0.5), (2, "le chat noir", "fr", None, None), (None, "le chien", "fr", None, None), (3, None, "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double").withColumn("held_out", F.lit(False))
+    out = langid.predict(docs, langid.train(docs)).collect()
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in out) == [(0, "fr"), (1, "en"), (1, "en"), (2, "fr"), (3, "und")]
