@@ -8,14 +8,16 @@ documents' shingles. The place of the prefix in its window fixes where the windo
 start; the positional bound (start >= 0) and the length bound (start + length <= words of
 the document) prune; then the words are compared one by one.
 
-Words are compared with A-Z lower-cased, as the contract says. The join itself uses
-Unicode lower case, which is faster and can only add candidates.
+Texts are cut into words once; the passes that count and join read the words again from
+the shared folder. Words are compared with A-Z lower-cased, as the contract says. The join
+itself uses Unicode lower case, which is faster and can only add candidates.
 
 Null and empty texts have no words; items without words have no window. Equal windows of
-several items are joined once. Repeated documents are judged one by one if their doc_id
-differs; rows that share a doc_id are counted together. The benchmark's windows are
-broadcast only if their counted number is small; beyond that both sides are shuffled by
-shingle, with each occurrence carrying only the words around it.
+several items are joined once, and their items looked up at the end. Rows are keyed by doc_id
+and a hash of their text, so repeated rows, rows that share a doc_id and rows without one are
+judged one by one. The benchmark's windows are broadcast only if their counted number is
+small; beyond that both sides are shuffled by shingle, with each occurrence carrying only
+the words around it.
 """
 
 from __future__ import annotations
@@ -29,95 +31,117 @@ from prismata.session import materialize
 
 WINDOW = 10
 SHINGLE = 2
-#: Windows up to which the benchmark's side of the joins is broadcast.
+#: Windows up to which the benchmark's side of the joins is broadcast (a window has at most WINDOW words).
 SMALL = 400_000
 #: Runs of characters that make a word, before lower-casing.
 WORD = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
+NULL_ID = -(1 << 63)
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(1))
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD), F.lit(1))
 
 
 def _ascii_lower(x: Column) -> Column:
     return F.translate(x, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def _shingle(w: Column, i: Column, k: int) -> Column:
-    """The key of the k words from place i (0-based), null beyond the end."""
-    return F.when(i + k <= F.size(w), F.xxhash64(*[F.lower(F.get(w, i + j)) for j in range(k)], F.lit(k)))
+def _keys(w: Column, k: int) -> Column:
+    """For each place the key of the k words from it."""
+    if k == 1:
+        return F.transform(w, lambda a: F.xxhash64(a))
+    later = [F.slice(w, j + 1, F.greatest(F.size(w) - j, F.lit(0))) for j in range(k)]
+    zipped = F.slice(F.arrays_zip(*[x.alias(f"w{j}") for j, x in enumerate(later)]), 1, F.greatest(F.size(w) - k + 1, F.lit(0)))
+    return F.transform(zipped, lambda z: F.xxhash64(*[z[f"w{j}"] for j in range(k)]))
+
+
+def _lowered(s: Column) -> Column:
+    """The words of a text of words, Unicode lower-cased; none for an empty text."""
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(s), " "))
 
 
 def windows(items: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(words, k, items): distinct windows, the size of their shingles and the ids of their items."""
-    w = items.select(F.col("item_id").cast("string").alias("item_id"), F.transform(words(F.col("text")), _ascii_lower).alias("w")).filter(F.size("w") > 0)
+    """(item_id, window, length, k): the windows of each item as text, their words and the size of their shingles."""
+    w = items.select(F.col("item_id").cast("string").alias("item_id"), words(_ascii_lower(F.coalesce(F.col("text"), F.lit("")))).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
     each = w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, size))).alias("words"))
-    return each.groupBy("words").agg(F.collect_set("item_id").alias("items")).withColumn("k", F.least(F.size("words"), F.lit(shingle)))
+    return each.select("item_id", F.array_join("words", " ").alias("window"), F.size("words").alias("length")).distinct().withColumn("k", F.least("length", F.lit(shingle)))
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", words(F.col("text")).alias("w"))
+def keys(docs: DataFrame) -> list[Column]:
+    """The columns that name a row: its doc_id, and a hash of its text."""
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("k1"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("k2")]
 
 
-def _occurrences(tokens: DataFrame, k: int) -> DataFrame:
-    """One row for each place of each document: i, key."""
-    placed = tokens.select("doc_id", "w", F.posexplode_outer("w").alias("i", "x"))
-    return placed.withColumn("key", _shingle(F.col("w"), F.col("i"), k))
+def tokenized(docs: DataFrame) -> DataFrame:
+    """(k1, k2, s, n) of each row: its words joined by spaces, and their number."""
+    w = docs.select(*keys(docs), words(F.col("text")).alias("w"))
+    return materialize(w.select("k1", "k2", F.array_join("w", " ").alias("s"), F.size("w").alias("n")), "decontam-words")
 
 
 def _prefixes(wins: DataFrame, tokens: DataFrame, k: int, hint) -> DataFrame:
-    """(key, place, words, items) of each window with shingles of k words: its rarest shingle in the corpus."""
-    own = wins.filter(F.col("k") == k)
-    places = own.select("words", "items", F.posexplode("words").alias("place", "x")).withColumn("key", _shingle(F.col("words"), F.col("place"), k)).filter("key IS NOT NULL").drop("x")
-    keys = places.select("key").distinct()
-    counts = _occurrences(tokens, k).select("key").join(hint(keys), "key").groupBy("key").agg(F.count("*").alias("n"))
-    ranked = places.join(counts, "key", "left").select("words", "items", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "place").alias("r"))
-    return ranked.groupBy("words").agg(F.min("r").alias("r"), F.first("items").alias("items")).filter("r.n > 0").select("r.key", "r.place", "words", "items")
-
-
-def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_words, spans, item_ids): each document, the word ranges hit and the items whose windows occur."""
-    wins = materialize(windows(items, size, shingle), "decontam-windows")
-    kinds = [r["k"] for r in wins.select("k").distinct().collect()]  # at most SHINGLE values
+    """(key, place, window, length) of each window with shingles of k words: its rarest shingle in the corpus. Windows with a shingle that never occurs are left out."""
+    own = wins.filter(F.col("k") == k).select("window", "length").distinct()
+    places = own.select("window", "length", F.posexplode(_keys(_lowered(F.col("window")), k)).alias("place", "key"))
+    asked = places.select("key").distinct()
+    counts = tokens.select(F.explode(_keys(_lowered(F.col("s")), k)).alias("key")).join(hint(asked), "key").groupBy("key").agg(F.count("*").alias("n"))
+    ranked = places.join(counts, "key", "left").select("window", "length", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "place").alias("r"))
+    return ranked.groupBy("window", "length").agg(F.min("r").alias("r")).filter("r.n > 0").select("r.key", "r.place", "window", "length")
+
+
+def occurrences(tokens: DataFrame, wins: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(k1, k2, window, a, b): where each window occurs, as a range of words."""
+    kinds = sorted(r["k"] for r in wins.select("k").distinct().collect())  # at most SHINGLE values
     small = wins.limit(SMALL + 1).count() <= SMALL
     hint = F.broadcast if small else (lambda df: df)
-    tokens = _tokens(docs)
     found = None
     for k in kinds:
         prefix = materialize(_prefixes(wins, tokens, k, hint), "decontam-prefixes")
-        at = _occurrences(tokens, k).filter("key IS NOT NULL")
+        at = tokens.select("k1", "k2", "n", "s", F.posexplode(_keys(_lowered(F.col("s")), k)).alias("i", "key"))
+        low = F.lit(0)
         if not small:  # only the words around an occurrence are shuffled
             low = F.greatest(F.col("i") - size + 1, F.lit(0))
-            at = at.select("doc_id", "key", "i", low.alias("low"), F.slice("w", low + 1, 2 * size).alias("w"), F.size("w").alias("n"))
-        else:
-            at = at.select("doc_id", "key", "i", F.lit(0).alias("low"), "w", F.size("w").alias("n"))
-        start, length = F.col("i") - F.col("place"), F.size("words")
-        bounded = at.join(hint(prefix), "key").filter((start >= 0) & (start + length <= F.col("n")))
-        # one string comparison, not a lambda: a lambda in the join would copy the document's words for each place
-        same = _ascii_lower(F.array_join(F.slice("w", start - F.col("low") + 1, length), " ")) == F.array_join("words", " ")
-        got = bounded.filter(same).select("doc_id", F.struct(start.alias("a"), (start + length).alias("b")).alias("span"), "items")
+            at = at.select("k1", "k2", "n", "i", "key", low.alias("low"), F.array_join(F.slice(F.split("s", " "), low + 1, F.lit(2 * size)), " ").alias("s"))
+            low = F.col("low")
+        start = F.col("i") - F.col("place")
+        bounded = at.join(hint(prefix), "key").filter((start >= 0) & (start + F.col("length") <= F.col("n")))
+        here = F.array_join(F.slice(F.split("s", " "), start - low + 1, F.col("length")), " ")
+        got = bounded.filter(_ascii_lower(here) == F.col("window")).select("k1", "k2", "window", start.alias("a"), (start + F.col("length")).alias("b"))
         found = got if found is None else found.unionAll(got)
-    sized = tokens.select("doc_id", F.size("w").cast("bigint").alias("n_words")).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
+    return found
+
+
+def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """The rows as (k1, k2, n), and (k1, k2, spans, item_ids) of those in which windows occur: the word ranges hit and the items whose windows they are."""
+    tokens = tokenized(docs)
+    wins = materialize(windows(items, size, shingle), "decontam-windows")
+    found = occurrences(tokens, wins, size)
     if found is None:
-        return sized.select("doc_id", "n_words", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("item_ids"))
-    per_doc = found.groupBy("doc_id").agg(F.collect_set("span").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
-    return sized.join(per_doc, sized["doc_id"].eqNullSafe(per_doc["doc_id"]), "left").select(sized["doc_id"], "n_words", "spans", "item_ids")
+        none = tokens.filter("false").select("k1", "k2", F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))).alias("spans"), F.array(F.lit("")).alias("item_ids"))
+        return tokens.select("k1", "k2", "n"), none
+    found = materialize(found, "decontam-found")
+    spans = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    whose = found.select("k1", "k2", "window").distinct().join(wins.select("window", "item_id"), "window").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    return tokens.select("k1", "k2", "n"), spans.join(whose, ["k1", "k2"])
 
 
 def judge(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256 and contaminated."""
-    h = hits(docs, items, size, shingle)
-    none = F.array().cast("array<int>")
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
+    rows, found = hits(docs, items, size, shingle)
     places = F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"] - 1)))
-    out = h.select("doc_id", "n_words", F.size(F.array_distinct(F.coalesce(places, none))).cast("bigint").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("ids"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    digest = found.select("k1", "k2", F.size(F.array_distinct(places)).cast("bigint").alias("hit"), F.size("item_ids").cast("bigint").alias("items"), F.sha2(F.array_join("item_ids", ","), 256).alias("sha"))
+    out = rows.join(digest, ["k1", "k2"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    return out.select(
+        F.when(F.col("k1") != NULL_ID, F.col("k1")).alias("doc_id"), F.col("n").cast("bigint").alias("n_words"), zero("hit").alias("n_hit"), zero("items").alias("n_items"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), (zero("hit") > 0).alias("contaminated")
+    )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs in which no window of any item occurs."""
-    bad = hits(docs, items, size, shingle).filter("spans IS NOT NULL").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of docs (all columns) in which no window of any item occurs."""
+    _, bad = hits(docs, items, size, shingle)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keys(docs))
+    return keyed.join(bad.select("k1", "k2"), ["k1", "k2"], "left_anti").select("row.*")
 
 
 def op7_decontam(spark, sf_dir):

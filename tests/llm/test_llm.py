@@ -298,6 +298,19 @@ def test_decontamination(spark, monkeypatch, small):
     assert decontam.judge(docs.filter("false"), bench).count() == 0
 
 
+def test_decontamination_judges_rows_not_ids(spark):
+    leak = "one two three four five six seven eight nine ten"
+    rows = [(1, leak + " more", "a", 1), (1, "clean words only", "a", 1), (1, leak + " more", "b", 2), (None, leak, "a", 3), (None, "clean too", "a", 3), (2, "word " * 30_000 + leak, "a", 4), (3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string, n long")
+    bench = spark.createDataFrame([(7, leak), (8, leak.upper()), (9, "never seen anywhere")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontam.judge(docs, bench).collect())
+    assert got == sorted([(1, 11, 10, 2), (1, 3, 0, 0), (1, 11, 10, 2), (0, 10, 10, 2), (0, 2, 0, 0), (2, 30_010, 10, 2), (3, 0, 0, 0)])
+    left = decontam.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "", r.k1 or "", r.n or 0) for r in left.collect()) == [(0, "clean too", "a", 3), (1, "clean words only", "a", 1), (3, "", "", 0)]
+    assert decontam.drop_contaminated(docs, bench.filter("false")).count() == len(rows)
+
+
 def test_extraction():
     page = '<header>Site</header><div class="cookie-notice">c</div><article><h1>T &amp; x</h1><p>one<br>two</p><aside>s</aside><p class=ad>buy<p>three<script>var t="</p>";</script></p><form><input><p>f</p></form><section class="comments"><p>c1</p></section></article><footer>f</footer>'
     assert extract.main_text(page) == "T & x\n\none two\n\nthree"
