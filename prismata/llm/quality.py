@@ -22,10 +22,10 @@ STOP_WORDS = (
 #: Name, numerator, denominator, least and most: numerator / denominator must lie within [least, most].
 #: Bounds are given in hundredths, so that the comparison is exact in integers.
 THRESHOLDS: tuple[tuple[str, str, str, int | None, int | None], ...] = (
-    ("words", "n_words", "one", 5_000, 10_000_000),
+    ("words", "n_words", "one", 5_000, None),
     ("word_length", "word_chars", "n_words", 200, 1_500),
     ("symbols", "n_symbols", "n_words", None, 10),
-    ("stop_words", "n_stop_words", "one", 300, None),
+    ("stop_words", "n_stop_words", "n_words", 5, None),
     ("duplicate_lines", "n_dup_lines", "n_lines", None, 50),
     ("repeated_words", "n_repeat_words", "n_words", None, 50),
 )
@@ -59,7 +59,7 @@ def measure(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The key column and the counts that the threshold table names, in one narrow pass without a shuffle."""
     text = docs.select(key, F.coalesce(F.col("text"), F.lit("")).alias("t"))
     split = text.select(key, "t", _words(F.col("t")).alias("w"), F.filter(F.split("t", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")).alias("l"))
-    stop = F.array(*[F.lit(x) for w in STOP_WORDS for x in dict.fromkeys((w, w.capitalize(), w.upper()))])
+    stop = [x for w in STOP_WORDS for x in dict.fromkeys((w, w.capitalize(), w.upper()))]
     counted = split.select(
         key,
         F.size("w").cast("bigint").alias("n_words"),
@@ -67,7 +67,7 @@ def measure(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         (F.length("t") - F.length(F.regexp_replace("t", f"[{SYMBOLS}]", ""))).cast("bigint").alias("n_symbols"),
         F.size("l").cast("bigint").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"),
-        F.size(F.array_intersect("w", stop)).cast("bigint").alias("n_stop_words"),
+        F.size(F.filter("w", lambda x: x.isin(*stop))).cast("bigint").alias("n_stop_words"),
         _grams(F.col("w")).alias("g"),
     )
     # Only documents with an equal pair of windows are sorted; each step is a column of its own, so that none is evaluated twice.
@@ -131,7 +131,7 @@ n AS (SELECT doc_id, count(DISTINCT p) AS n FROM r GROUP BY 1),
 c AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
-             len(list_distinct(list_filter(w, lambda x: x IN ({stop})))) AS n_stop_words,
+             len(list_filter(w, lambda x: x IN ({stop}))) AS n_stop_words,
              CAST(coalesce(n.n, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN n USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
