@@ -5,7 +5,7 @@ Exact, in four steps:
 1. Sampling. Each window of LENGTH bytes is named by the smallest hash of its GRAM-byte
    strings. Equal windows have equal names. Consecutive windows with one name are a segment;
    a name of one segment that holds its string once proves the segment's windows unique.
-2. Equal segments (name and content hash) are repeated throughout: whole groups of exact
+2. Equal segments (name and 128-bit digest of the bytes) are repeated throughout: whole groups of exact
    copies end here, without any comparison, whatever their size.
 3. The remaining distinct segments that share a name go together, at most CUT windows
    each. Column-wise multi-document construction, as in BCR (Bauer, Cox, Rosone, "Lightweight
@@ -48,7 +48,7 @@ STEP = 16
 #: Most windows in a segment.
 CUT = 368
 #: Distinct segments of one name beyond which the name is split, into at most SPLITS parts.
-HOT, SPLITS = 20_000, 16
+HOT, SPLITS = 2_000, 256
 #: Bytes of segments that are ordered together, and entries beyond which the order lives in a file.
 BATCH, IN_MEMORY = 2 << 20, 16 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -115,7 +115,9 @@ def gram_size(length: int) -> int:
 
 
 def segments(text: bytes, length: int) -> tuple[np.ndarray, ...] | None:
-    """(first window, number of windows, name, content hash) of each segment."""
+    """(first window, number of windows, name, digest of the bytes, whether the name's string is there twice) of each segment."""
+    import xxhash
+
     if len(text) < length:
         return None
     h, gram = Hashes(text), gram_size(length)
@@ -129,7 +131,8 @@ def segments(text: bytes, length: int) -> tuple[np.ndarray, ...] | None:
         cut = np.repeat(starts, pieces) + within * CUT
         sizes = np.minimum(CUT, np.repeat(starts + sizes, pieces) - cut)
         starts = cut
-    content = h.of(starts, sizes + (length - 1)) ^ mix(sizes.astype(np.uint64))
+    digest, ends = xxhash.xxh3_128_digest, (starts + sizes + (length - 1)).tolist()
+    content = np.array([digest(text[a:b]) for a, b in zip(starts.tolist(), ends)], object)
     return starts, sizes, name[starts], content, _again(grams, name[starts], starts, sizes + (length - gram))
 
 
@@ -157,7 +160,7 @@ def _segment_rows(length: int):
                     found.append((np.full(len(got[0]), ids[i]), np.full(len(got[0]), keys[i]), *got))
             if found:
                 k1, k2, s, n, name, content, again = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, s.astype(np.int32), n.astype(np.int32), name.view(np.int64), content.view(np.int64), again)], names=["k1", "k2", "s", "n", "h", "c", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, s.astype(np.int32), n.astype(np.int32), name.view(np.int64))] + [pa.array(content, pa.binary()), pa.array(again)], names=["k1", "k2", "s", "n", "h", "c", "again"])
 
     return run
 
@@ -351,7 +354,7 @@ def spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     if length % STEP:
         raise ValueError(f"length must be a multiple of {STEP}")
     text = keyed.select("k1", "k2", "body")
-    every = materialize(text.mapInArrow(_segment_rows(length), "k1 bigint, k2 bigint, s int, n int, h bigint, c bigint, again boolean"), "suffix-segments")
+    every = materialize(text.mapInArrow(_segment_rows(length), "k1 bigint, k2 bigint, s int, n int, h bigint, c binary, again boolean"), "suffix-segments")
     often = every.groupBy("h").agg(F.count("*").alias("m"), F.max("again").alias("again")).filter("m > 1 OR again").select("h")
     shared = materialize(every.join(often, "h", "left_semi"), "suffix-shared")
     kinds = materialize(shared.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("k1", "k2", "s", "n")).alias("r"), F.max("again").alias("again")), "suffix-kinds")
