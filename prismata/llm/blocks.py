@@ -11,9 +11,9 @@ token of a block of documents, not once for each occurrence:
   which the block asked (``answer`` rows);
 * the block's documents and all its answers meet again by block (``assemble``).
 
-A block is named by a digest of its keys and documents, so a task that runs again after a
-lost executor makes the same block, and a mismatch fails loudly instead of giving a wrong
-answer. All payloads are zstd-compressed Arrow-free byte strings: little is shuffled.
+A block is named by a digest of its keys and documents, and documents are read from files
+(settled()), so a task that runs again after a lost executor makes the same block; a
+mismatch fails loudly instead of giving a wrong answer. All payloads are zstd-compressed Arrow-free byte strings: little is shuffled.
 Memory in a Python worker is bounded by BLOCK_BYTES of text; one longer document is a
 block of its own.
 """
@@ -26,6 +26,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
+
+from prismata.session import materialize
 
 #: Bytes of text in a block; the unit of memory of a Python worker.
 BLOCK_BYTES = 12 << 20
@@ -157,6 +160,26 @@ def grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple]:
         yield last, held
 
 
-def part_count(spark) -> int:
-    """Parts among which the distinct keys are dealt: as many as shuffle partitions, within bounds that keep the rows between blocks and parts few."""
-    return min(1024, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+#: Bytes of text for each part among which the distinct keys are dealt: the unit of memory of a part's task.
+PART_BYTES = 64 << 20
+
+
+def part_count(spark, text_bytes: int) -> int:
+    """Parts among which the distinct keys are dealt: they grow with the texts, so a part does not."""
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // PART_BYTES))
+
+
+#: Nodes of a plan that reads files and gives the same rows in the same order whenever it is read.
+SETTLED = ("Project", "Filter", "LogicalRelation", "DataSourceV2ScanRelation", "LocalRelation")
+
+
+def settled(docs: DataFrame, label: str) -> DataFrame:
+    """docs as a table that reads the same each time: blocks are made anew in each read, and after a lost executor. What comes from a shuffle or from Python is written first."""
+    nodes = [docs._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() not in SETTLED:
+            return materialize(docs, label)
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return docs

@@ -43,8 +43,8 @@ def default_pattern() -> str:
 
 
 @functools.lru_cache(2)
-def encoding(path: str, pattern: str):
-    """The encoder of a rank file, and the bytes of each id."""
+def encoding(path: str):
+    """The encoder of a rank file for single pre-tokens, and the bytes of each id."""
     import tiktoken
 
     with open(path, "rb") as f:
@@ -52,7 +52,8 @@ def encoding(path: str, pattern: str):
     table = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), table
+    # a pre-token is one match already, whatever stood around it
+    return tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}), table
 
 
 @functools.lru_cache(2)
@@ -82,11 +83,11 @@ def _split(kinds: str, pattern: str, parts: int):
     return run
 
 
-def _encode(path: str, pattern: str):
+def _encode(path: str):
     """Ask rows -> answer rows: each distinct pre-token is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoding(path, pattern)[0]._encode_single_piece
+        encoder = encoding(path)[0].encode_ordinary
         known: dict[bytes, list[int]] = {}
         for batch in batches:
             out = []
@@ -98,7 +99,7 @@ def _encode(path: str, pattern: str):
                     if ids is None:
                         if len(known) >= MEMO:
                             known.clear()
-                        ids = known[word] = encoder(word)
+                        ids = known[word] = encoder(word.decode())
                     answers.append(ids)
                 sizes = np.fromiter(map(len, answers), "<u4", len(answers))
                 ids = np.fromiter((i for a in answers for i in a), "<u4", int(sizes.sum()))
@@ -116,7 +117,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[at]
 
 
-def _assemble(path: str, pattern: str, with_ids: bool):
+def _assemble(path: str, with_ids: bool):
     """All rows of a block -> one row a document: ids in order of position, and the bytes that they decode to."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -140,7 +141,7 @@ def _assemble(path: str, pattern: str, with_ids: bool):
         if (sizes < 0).any():
             raise RuntimeError("a block misses answers: the input changed between two reads")
         flat = np.concatenate(flats) if flats else np.zeros(0, "<u4")
-        token_bytes = encoding(path, pattern)[1]
+        token_bytes = encoding(path)[1]
         words = [b"".join([token_bytes[i] for i in flat[a : a + n].tolist()]) for a, n in zip(starts.tolist(), sizes.tolist())]
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] * with_ids))}
         end = 0
@@ -167,22 +168,22 @@ def _schema(with_ids: bool) -> pa.Schema:
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, digests of ids and decoded bytes and, if asked for, ids; one row for each row of docs."""
     path, pattern = path or default_path(), pattern or default_pattern()
-    parts = B.part_count(docs.sparkSession)
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = B.settled(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), "bpe-texts")
+    parts = B.part_count(docs.sparkSession, text.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     ask = text.mapInArrow(_split("ask", pattern, parts), B.ROW)
-    answer = ask.repartition(parts, "part").mapInArrow(_encode(path, pattern), B.ROW)
+    answer = ask.repartition(parts, "part").mapInArrow(_encode(path), B.ROW)
     own = text.mapInArrow(_split("docs", pattern, parts), B.ROW)
     ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return own.unionByName(answer).groupBy("block").applyInArrow(_assemble(path, pattern, with_ids), ddl)
+    return own.unionByName(answer).groupBy("block").applyInArrow(_assemble(path, with_ids), ddl)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and text of rows with ids: the ids joined with the token-byte table (a fixed table of the vocabulary's size)."""
-    path, pattern = path or default_path(), default_pattern()
+    path = path or default_path()
 
     @F.pandas_udf("string")
     def text(ids):
-        table = encoding(path, pattern)[1]
+        table = encoding(path)[1]
         return ids.map(lambda x: None if x is None else b"".join(table[i] for i in x).decode("utf-8", "replace"))
 
     return encoded.select("doc_id", text("ids").alias("text"))

@@ -292,13 +292,13 @@ SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 def score(docs: DataFrame, out_of_training: Column | None = None, prior: float = PRIOR, least: int = MIN_COUNT) -> DataFrame:
     """log10 probabilities of every row of docs under the model of the rows for which out_of_training is false."""
     spark = docs.sparkSession
-    parts = B.part_count(spark)
     held = held_out() if out_of_training is None else out_of_training
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    starts = text.filter(~F.col("held_out")).count()
+    text = B.settled(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out")), "lm-texts")
+    size = text.agg(F.count_if(~F.col("held_out")).alias("starts"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    starts, parts = size["starts"], B.part_count(spark, size["bytes"] or 0)
     counted = materialize(text.mapInArrow(_ask_words(parts), B.ROW).groupBy("part").applyInArrow(_count_words, B.ROW), "lm-words")
     n, v = 0, 0
-    for r in counted.filter("kind = 'total'").select("payload").toLocalIterator():  # one short row a part, at most 1024
+    for r in counted.filter("kind = 'total'").select("payload").toLocalIterator():  # one short row a part, one part a PART_BYTES of text
         a, b = B.unpack(bytes(r[0]))[0].tolist()
         n, v = n + a, v + b
     known = text.mapInArrow(_docs, B.ROW).unionByName(counted.filter("kind = 'answer'")).groupBy("block")

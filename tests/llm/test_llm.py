@@ -442,3 +442,28 @@ def test_langid_repeats_long_texts_and_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double").withColumn("held_out", F.lit(False))
     out = langid.predict(docs, langid.train(docs)).collect()
     assert sorted((r.doc_id or 0, r.lang_pred) for r in out) == [(0, "fr"), (1, "en"), (1, "en"), (2, "fr"), (3, "und")]
+
+
+def test_lm_probabilities_add_up_to_one():
+    text = "a b a c b a a d b c a".split()
+    seen = collections.Counter([*text, "end"])
+    words = [*seen, "unknown"]
+    pairs = collections.Counter(zip([None, *text], [*text, "end"]))
+    known = np.array([seen[w] for w in words], np.int64)
+    automaton = lm.Automaton(known, sum(seen.values()), len(seen), 1, 7.0)
+    for i, h in enumerate([*words, None]):
+        if h == "end":
+            continue  # nothing follows it
+        arcs = np.array([pairs[h, w] for w in words], np.int64)
+        state = np.full(len(words), -1 if h is None else i)
+        assert abs((10 ** automaton.traverse(state, np.arange(len(words)), arcs)).sum() - 1) < 1e-9, h
+
+
+def test_blocks_of_settled_texts(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string").write.parquet(path)
+    scan = spark.read.parquet(path).filter("doc_id > 0").select("doc_id", "text")
+    assert blocks.settled(scan, "x") is scan
+    shuffled = scan.repartition(3)
+    assert blocks.settled(shuffled, "x") is not shuffled
+    assert blocks.part_count(spark, 100 << 30) == 100 * 16
