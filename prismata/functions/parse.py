@@ -66,8 +66,26 @@ def resize_target(width: Column, height: Column, longest: int) -> Column:
     return F.struct(F.greatest(F.round(width * scale), F.lit(1)).cast("int").alias("w"), F.greatest(F.round(height * scale), F.lit(1)).cast("int").alias("h"))
 
 
-def iso_band(iso: Column) -> Column:
-    return F.when(iso.isNull(), "unknown").when(iso <= 400, "low").when(iso <= 1600, "mid").otherwise("high")
+def demosaic_for_iso(iso: Column) -> Column:
+    """The demosaicing method for a sensitivity; the last two suit noise."""
+    return F.when(iso >= 1600, "lmmse").when(iso >= 800, "igv").when(iso.isNotNull(), "amaze")
+
+
+def denoise_for_iso(iso: Column) -> Column:
+    """Strength of denoising, 0 to 1; null if the sensitivity is unknown."""
+    return F.when(iso.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (iso - 100.0) / 6300.0)))
+
+
+def lens_specification(values: Column) -> Column:
+    """'24-70 mm, f/2.8' from (numerator, denominator) structs n, d: shortest and longest focal length, and the widest aperture at each.
+
+    Null with fewer than four values or without both focal lengths; the aperture is left out if it is unknown.
+    """
+    at = lambda i: F.try_divide(F.get(values, F.lit(i))["n"].cast("float"), F.get(values, F.lit(i))["d"].cast("float")).cast("float")
+    plain = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
+    span = lambda a, b: F.when(F.abs(a - b) < 0.01, plain(a)).otherwise(F.concat(plain(a), F.lit("-"), plain(b)))
+    focal, aperture = span(at(0), at(1)), span(at(2), at(3))
+    return F.when((F.size(values) >= 4) & focal.isNotNull(), F.concat(focal, F.lit(" mm"), F.coalesce(F.concat(F.lit(", f/"), aperture), F.lit(""))))
 
 
 def normalized(vector: Column) -> Column:

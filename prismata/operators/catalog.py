@@ -5,6 +5,8 @@ Text comparison folds case by Unicode; user text is matched literally (no LIKE w
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 #: Names of people, and of exclusions, that a query honours.
 MAX_NAMES = 12
 MAX_ROWS = 20_000
+#: The last second (of the year 2099) that a date of a query may name.
+LAST_DATE = 4_102_444_800
 
 
 def base_view(images: DataFrame, roots: DataFrame, versions: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -49,6 +53,34 @@ class CatalogQuery:
     exclude_people: list[str] = field(default_factory=list)
     limit: int | None = None
 
+    @classmethod
+    def of_json(cls, text: str) -> CatalogQuery:
+        """A stored query: camelCase names; fields that it does not know are ignored, anything but an object is an error."""
+        stored = json.loads(text)
+        if not isinstance(stored, dict):
+            raise ValueError("a stored query is a JSON object")
+        own = {"rootId": "root_id", "minRating": "min_rating", "tagMode": "tag_mode", "aiTags": "ai_tags", "excludedPeople": "exclude_people", "excludedTags": "exclude_tags", "excludedAiTags": "exclude_ai_tags", "dateFrom": "date_from", "dateTo": "date_to", "isRaw": "is_raw", "isEdited": "is_edited"}
+        known = {own.get(k, k): v for k, v in stored.items() if v is not None}
+        if known.get("person") and not known.get("people"):
+            known["people"] = [known["person"]]
+        return cls(**{k: v for k, v in known.items() if k in cls.__dataclass_fields__})
+
+    def sanitized(self) -> CatalogQuery:
+        """What a generated query may ask: known ranges, trimmed and bounded texts, dates in order; never a scope of its own."""
+        within = lambda v, low, high: v if v is not None and low <= v <= high else None
+        short = lambda v, n: (v or "").strip()[:n] or None
+        names = lambda vs, n: [t for t in ((v or "").strip()[:n] for v in vs) if t][:MAX_NAMES]
+        people = self.people
+        if len(people) == 1:  # "A and B" names two
+            people = [p for p in re.split(r",| and | & ", people[0]) if p.strip()]
+        dates = sorted(d for d in (within(self.date_from, 0, LAST_DATE), within(self.date_to, 0, LAST_DATE)) if d is not None)
+        first, last = dates if len(dates) == 2 else (within(self.date_from, 0, LAST_DATE), within(self.date_to, 0, LAST_DATE))
+        return CatalogQuery(
+            rating=within(self.rating, 0, 5), min_rating=within(self.min_rating, 0, 5), year=within(self.year, 1900, 2100), date_from=first, date_to=last, is_raw=self.is_raw, is_edited=self.is_edited,
+            color=short(self.color, 32), lens=short(self.lens, 120), camera=short(self.camera, 120), text=short(self.text, 200), tags=names(self.tags, 80), ai_tags=names(self.ai_tags, 80), tag_mode=self.tag_mode if self.tag_mode in ("AND", "OR") else "AND",
+            people=names(people, 120), exclude_tags=names(self.exclude_tags, 120), exclude_ai_tags=names(self.exclude_ai_tags, 120), exclude_people=names(self.exclude_people, 120), limit=MAX_ROWS,
+        )
+
 
 def has(column: Column, text: str) -> Column:
     return F.lower(F.coalesce(column, F.lit(""))).contains(text.lower())
@@ -136,12 +168,18 @@ def resolve_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def companions(faces: DataFrame, images: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """(face_id, companion_id): faces of other images of the same folder and stem at about the same place."""
-    placed = faces.join(images.select(F.col("id").alias("image_id"), "folder_id", F.lower(F.substring_index("file_name", ".", 1)).alias("stem")), "image_id")
-    a, b = placed.alias("a"), placed.alias("b")
-    same = (F.col("a.folder_id") == F.col("b.folder_id")) & (F.col("a.stem") == F.col("b.stem")) & (F.col("a.image_id") != F.col("b.image_id"))
-    near = (F.abs(F.col("a.bbox_x") - F.col("b.bbox_x")) < tolerance) & (F.abs(F.col("a.bbox_y") - F.col("b.bbox_y")) < tolerance)
-    return a.join(b, same & near).select(F.col("a.id").alias("face_id"), F.col("b.id").alias("companion_id"))
+    """(face_id, companion_id): faces of other images of the same folder and stem (its case counts) at about the same place.
+
+    A stem with very many faces would meet in one task: places are cut into cells twice as wide
+    as the tolerance, and each face also looks into the next cell on each side.
+    """
+    placed = faces.join(images.select(F.col("id").alias("image_id"), "folder_id", F.substring_index("file_name", ".", 1).alias("stem")), "image_id")
+    cell = F.floor(F.col("bbox_x") / (2 * tolerance)).cast("bigint")
+    side = lambda p, x: placed.select(F.col("id").alias(f"{p}_id"), F.col("image_id").alias(f"{p}_image"), "folder_id", "stem", F.col("bbox_x").alias(f"{p}_x"), F.col("bbox_y").alias(f"{p}_y"), x.alias("cell"))
+    a, b = side("a", cell), side("b", F.explode(F.array(cell - 1, cell, cell + 1)))
+    both = a.join(b, ["folder_id", "stem", "cell"]).filter("a_image != b_image")
+    near = (F.abs(F.col("a_x") - F.col("b_x")) < tolerance) & (F.abs(F.col("a_y") - F.col("b_y")) < tolerance)
+    return both.filter(near).select(F.col("a_id").alias("face_id"), F.col("b_id").alias("companion_id"))
 
 
 def pending(images: DataFrame, analysis: DataFrame, kind: str) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismata.functions.parse import dot
 from prismata.session import drop_materialized, materialize
 
 
@@ -63,17 +64,16 @@ def components_with_singletons(nodes: DataFrame, edges: DataFrame, min_size: int
     return every.join(sizes, "component").select("node", "component", "size")
 
 
-def medoids(members: DataFrame, similarities: DataFrame) -> DataFrame:
-    """(component, medoid, mean_similarity): the member with the largest mean similarity to its group, itself included.
+def medoids(members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(component, medoid, mean_similarity): the member with the largest mean inner product with its group, its own counted as 1.
 
-    members: node, component. similarities: src, dst, similarity of pairs once each. Ties go
-    to the smaller node.
+    members: node, component. vectors: node, v (of one length). No pair is made: the products
+    with all members add up to the product with the sum of their vectors. Ties go to the
+    smaller node.
     """
-    both = similarities.select("src", "dst", "similarity").unionByName(similarities.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "similarity"))
-    m = members.select("node", "component")
-    pairs = both.join(m.withColumnRenamed("node", "src"), "src").join(m.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst").filter("component = other")
-    sums = pairs.groupBy("component", F.col("src").alias("node")).agg(F.sum("similarity").alias("s"))
-    sized = m.join(m.groupBy("component").agg(F.count("*").alias("n")), "component")
-    mean = sized.join(sums, ["component", "node"], "left").select("component", "node", ((F.coalesce("s", F.lit(0.0)) + 1.0) / F.col("n")).alias("mean"))
-    best = mean.groupBy("component").agg(F.max(F.struct("mean", (-F.col("node")).alias("k"))).alias("b"))
+    rows = members.join(vectors, "node").select("component", "node", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    places = rows.select("component", F.posexplode("v").alias("i", "x")).groupBy("component", "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    total = places.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("s"), F.max("n").alias("n"))
+    mean = (dot(F.col("v"), F.col("s")) - dot(F.col("v"), F.col("v")) + 1.0) / F.col("n")
+    best = rows.join(total, "component").select("component", "node", F.round(mean, 9).alias("mean")).groupBy("component").agg(F.max(F.struct("mean", (-F.col("node")).alias("k"))).alias("b"))
     return best.select("component", (-F.col("b.k")).alias("medoid"), F.col("b.mean").alias("mean_similarity"))

@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def facet(rows: DataFrame, value: str, limit: int = 50, distinct: str | None = None) -> DataFrame:
-    """(value, count): the most frequent non-empty values, ties by value."""
+def facet(rows: DataFrame, value: str, limit: int | None = 50, distinct: str | None = None) -> DataFrame:
+    """(value, count): the most frequent non-empty values, ties by value without regard to case. limit None: all of them."""
     n = F.count_distinct(distinct) if distinct else F.count("*")
-    named = rows.filter(F.col(value).isNotNull() & (F.col(value).cast("string") != ""))
-    return named.groupBy(F.col(value).cast("string").alias("value")).agg(n.alias("count")).orderBy(F.desc("count"), "value").limit(limit)
+    text = F.col(value).cast("string")
+    found = rows.filter(text.isNotNull() & (text != "")).groupBy(text.alias("value")).agg(n.alias("count"))
+    return found if limit is None else found.orderBy(F.desc("count"), F.lower("value"), "value").limit(limit)
 
 
-def metrics(images: DataFrame, versions: DataFrame) -> DataFrame:
-    """One row of counts, in one pass over images and one over versions."""
-    a = images.agg(F.count_if(F.col("status") == "present").alias("total"), F.count_if(F.col("status") == "missing").alias("missing"), F.count_if((F.col("status") == "present") & F.col("is_raw")).alias("raw"))
-    b = versions.agg(F.count_if((F.col("copy_id") == "") & F.col("is_edited")).alias("edited"), F.count_if((F.col("copy_id") == "") & (F.col("rating") > 0)).alias("rated"), F.count_if(F.col("copy_id") != "").alias("copies"))
-    return a.join(b)  # one row each
+def of_present(rows: DataFrame, images: DataFrame, key: str = "image_id") -> DataFrame:
+    """The rows that belong to a present image."""
+    return rows.join(images.filter("status = 'present'").select(F.col("id").alias(key)), key, "left_semi")
+
+
+def camera() -> Column:
+    """Make and model as one name."""
+    return F.trim(F.concat(F.coalesce("camera_make", F.lit("")), F.lit(" "), F.coalesce("camera_model", F.lit(""))))
+
+
+def metrics(images: DataFrame, versions: DataFrame, ai_tags: DataFrame, analysis: DataFrame, sessions: DataFrame, events: DataFrame, kind: str = "tags") -> DataFrame:
+    """One row of counts: one pass over each table. Edited and rated count original versions of present images; a failed image counts as pending too."""
+    is_ = lambda c, v: F.count_if(F.col(c) == v)
+    own = of_present(versions.filter("copy_id = ''"), images)
+    parts = (
+        images.agg(is_("status", "present").alias("total"), is_("status", "missing").alias("missing")),
+        own.agg(F.count_if("is_edited").alias("edited"), F.count_if(F.col("rating") > 0).alias("rated")),
+        ai_tags.agg(is_("review_state", "suggested").alias("tags_suggested"), is_("review_state", "accepted").alias("tags_accepted")),
+        analysis_status(images, analysis, kind).drop("images"),
+        sessions.agg(F.count("*").alias("sessions")),
+        events.agg(F.count("*").alias("overrides")),
+    )
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.join(F.broadcast(one))  # one row each
+    return out
 
 
 def image_states(images: DataFrame, analysis: DataFrame, kind: str) -> DataFrame:

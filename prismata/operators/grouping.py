@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismata.functions.parse import extension, stem_before_last_dot
+from prismata.operators import similarity
+from prismata.session import materialize
 
 
-def sibling_groups(rows: DataFrame, same_time: bool = False) -> DataFrame:
-    """rows with group_id: files of one folder and stem, two or more (and, if asked, of one known time of capture); null for others."""
+def sibling_groups(rows: DataFrame, same_time: bool = False, edited_too: bool = True) -> DataFrame:
+    """rows with group_id: files of one folder and stem (its case counts), two or more; null for others.
+
+    Virtual copies (is_virtual_copy, if rows have it) are in no group, nor are edited files
+    unless edited_too. same_time: all members must have one known time of capture.
+    """
     folder = F.regexp_replace("relative_path", r"/?[^/]*$", "")
-    keyed = rows.withColumn("key", F.concat_ws("/", F.col("root_id").cast("string"), folder, stem_before_last_dot(F.col("file_name"))))
+    fit = ~F.coalesce("is_virtual_copy", F.lit(False)) if "is_virtual_copy" in rows.columns else F.lit(True)
+    fit = fit if edited_too else fit & ~F.coalesce("is_edited", F.lit(False))
+    keyed = rows.withColumn("key", F.when(fit, F.concat_ws("/", F.col("root_id").cast("string"), folder, stem_before_last_dot(F.col("file_name")))))
     known = [F.count("*").alias("n")] + ([F.count("date_taken").alias("k"), F.min("date_taken").alias("lo"), F.max("date_taken").alias("hi")] if same_time else [])
-    sizes = keyed.groupBy("key").agg(*known).filter("n >= 2" + (" AND k = n AND lo = hi" if same_time else "")).select("key", F.col("key").alias("group_id"))
+    sizes = keyed.filter("key IS NOT NULL").groupBy("key").agg(*known).filter("n >= 2" + (" AND k = n AND lo = hi" if same_time else "")).select("key", F.col("key").alias("group_id"))
     return keyed.join(sizes, "key", "left").drop("key")
 
 
 def collapse(grouped: DataFrame, prefer: str = "raw") -> DataFrame:
-    """One row a group: the preferred member, the number of members and the badge of their formats."""
+    """One row a group: the preferred member (raw, jpeg: any that is not raw, or else the first), the number of members and the badge of their formats."""
     kind = extension(F.col("file_name"))
-    rank = {"raw": F.when(F.col("is_raw"), 0).otherwise(1), "jpeg": F.when(kind.isin("jpg", "jpeg"), 0).otherwise(1)}.get(prefer, F.lit(0))
-    rows = grouped.filter("group_id IS NOT NULL").select("group_id", "id", F.upper(kind).alias("ext"), F.struct(rank.alias("r"), F.lower("file_name").alias("f"), "id").alias("o"))
+    rank = {"raw": F.when(F.col("is_raw"), 0).otherwise(1), "jpeg": F.when(F.col("is_raw"), 1).otherwise(0)}.get(prefer, F.lit(0))
+    label = F.when(kind == "", "FILE").otherwise(F.upper(kind))
+    rows = grouped.filter("group_id IS NOT NULL").select("group_id", "id", label.alias("ext"), F.struct(rank.alias("r"), F.lower("file_name").alias("f"), "id").alias("o"))
     return rows.groupBy("group_id").agg(F.min("o").alias("o"), F.count("*").alias("members"), F.array_join(F.array_sort(F.collect_set("ext")), "+").alias("badge")).select("group_id", F.col("o.id").alias("primary_id"), "members", "badge")
 
 
@@ -38,32 +47,37 @@ def ordered_near_duplicates(rows: DataFrame, threshold: int = 28) -> DataFrame:
     In order of path, each free item opens a group and takes, breadth first, free items that
     come after the one being expanded and differ from it in at most threshold bits; the
     representative has the best quality (ties: the first). rows: scope, id, path, words
-    (array of 64-bit hash words), quality. A scope is the unit of work, as a folder is.
+    (array of 64-bit hash words), quality. The comparison of all pairs is blocked
+    (similarity.hamming_pairs); only the order of the found pairs is followed in one task a
+    scope, which is as large as the duplicates in it.
     """
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["path", "id"], kind="stable").reset_index(drop=True)
-        h = np.array(pdf["words"].tolist(), np.int64).view(np.uint64).reshape(len(pdf), -1)
-        free, out = np.ones(len(pdf), bool), []
-        for i in range(len(pdf)):
+    pairs = materialize(similarity.hamming_pairs(rows, threshold), "near-hashes")
+    linked = pairs.select("scope", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    items = rows.select("scope", "id", "path", "quality").join(linked, ["scope", "id"])
+
+    def run(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["path", "id"], kind="stable").reset_index(drop=True)
+        at = {v: i for i, v in enumerate(own["id"].tolist())}
+        after: list[list[int]] = [[] for _ in at]
+        for a, b in zip(links["src"].map(at).tolist(), links["dst"].map(at).tolist()):
+            after[min(a, b)].append(max(a, b))
+        free, out, quality, ids = [True] * len(at), [], own["quality"].tolist(), own["id"].tolist()
+        for i in range(len(at)):
             if not free[i]:
                 continue
-            free[i], members, at = False, [i], 0
-            while at < len(members):
-                j = members[at]
-                at += 1
-                later = np.flatnonzero(free[j + 1 :]) + j + 1
-                got = later[np.bitwise_count(h[later] ^ h[j]).sum(1) <= threshold]
-                free[got] = False
-                members += got.tolist()
+            free[i], members = False, [i]
+            for j in members:  # grows while it is read
+                got = [k for k in sorted(after[j]) if free[k]]
+                for k in got:
+                    free[k] = False
+                members += got
             if len(members) > 1:
-                best = max(members, key=lambda m: (pdf["quality"][m], -m))
-                out += [(pdf["scope"][m], pdf["id"][m], pdf["id"][i], pdf["id"][best]) for m in members]
+                best = max(members, key=lambda m: (quality[m], -members.index(m)))
+                out += [(key[0], ids[m], ids[i], ids[best]) for m in members]
         return pd.DataFrame(out, columns=["scope", "id", "group_root", "representative"])
 
-    return rows.groupBy("scope").applyInPandas(run, "scope string, id bigint, group_root bigint, representative bigint")
+    both = items.groupBy("scope").cogroup(pairs.select("scope", "src", "dst").groupBy("scope"))
+    return both.applyInPandas(run, "scope string, id bigint, group_root bigint, representative bigint")
 
 
 def blurry(rows: DataFrame, grouped: DataFrame, least: float = 100.0) -> DataFrame:
@@ -80,3 +94,34 @@ def latest(log: DataFrame, *keys: str, order: str = "seq") -> DataFrame:
 def top_per_group(rows: DataFrame, group: str, k: int, *order) -> DataFrame:
     """The first k rows of each group."""
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rn") <= k)
+
+
+def stitching_order(edges: DataFrame) -> DataFrame:
+    """(set, place, node): the images of each set in the order of stitching: a spanning tree of the strongest links, walked breadth first from the first image with the fewest links. edges: set, src, dst, inliers.
+
+    A set is one panorama; the edges of a set meet in one task. Of a set that falls apart only the part of the start is walked.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parent: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while parent.setdefault(i, i) != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        near: dict[int, list[int]] = {}
+        for a, b in pdf.sort_values(["inliers", "src", "dst"], ascending=[False, True, True])[["src", "dst"]].itertuples(index=False, name=None):
+            if find(a) != find(b):
+                parent[find(a)] = find(b)
+                near.setdefault(a, []).append(b)
+                near.setdefault(b, []).append(a)
+        order = [min(near, key=lambda i: (len(near[i]), i))] if near else []
+        seen = set(order)
+        for i in order:  # grows while it is read
+            fresh = [j for j in near[i] if j not in seen]
+            seen.update(fresh)
+            order += fresh
+        return pd.DataFrame({"set": [key[0]] * len(order), "place": range(len(order)), "node": order}).astype({"place": "int64", "node": "int64"})
+
+    return edges.groupBy("set").applyInPandas(run, "set bigint, place bigint, node bigint")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismata.operators.grouping import latest
+from prismata.session import drop_materialized, materialize
 
 
 def replace_for_key(log: DataFrame, rows: DataFrame, seq: int, *key: str) -> DataFrame:
@@ -31,13 +32,22 @@ def reviewed(items: DataFrame, decisions: DataFrame, key: str = "id", state: str
     return joined.withColumn(state, F.coalesce("single", F.when(F.col(state) == batch_only, F.col("many")), state)).drop("single", "many")
 
 
-def merged_people(people: DataFrame, rounds: int = 8) -> DataFrame:
-    """(id, root): the person that each merge pointer chain ends at; each round doubles the length followed."""
-    now = people.select("id", F.coalesce("merged_into", "id").alias("root"))
+def merged_people(people: DataFrame, rounds: int = 40) -> DataFrame:
+    """(id, root): the person that each merge pointer chain ends at.
+
+    Each round doubles the length followed and is written, so the plan stays short; it ends
+    when nothing moves. A chain that never ends (a loop) is an error.
+    """
+    spark = people.sparkSession
+    now = materialize(people.select("id", F.coalesce("merged_into", "id").alias("root")), "merged-people")
     for _ in range(rounds):
         hop = now.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        now = now.join(hop, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-    return now
+        step = materialize(now.join(hop, "root", "left").select("id", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")), "merged-people")
+        drop_materialized(spark, now)
+        now = step.select("id", "root")
+        if step.filter("moved").isEmpty():
+            return now
+    raise ValueError("merge pointers form a loop")
 
 
 def renamed(people: DataFrame, log: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def quality(sharpness: Column, focus: Column, exposure: Column, composition: Column) -> Column:
     """.38 sharpness + .32 focus + .22 exposure + .08 composition; without a composition the rest is scaled up. Metrics are log-normalised and capped at 1."""
-    unit = lambda x: F.least(F.log10(F.greatest(x, F.lit(0.0)) + 1) / 3, F.lit(1.0))
+    unit = lambda x: F.least(F.log10(F.greatest(x, F.lit(0.0)) + 1) / 3.5, F.lit(1.0))
     base = 0.38 * unit(sharpness) + 0.32 * unit(focus) + 0.22 * exposure
     return F.when(composition.isNull(), base / 0.92).otherwise(base + 0.08 * composition)
 
@@ -20,33 +20,38 @@ def exposure_score(dark: Column, bright: Column) -> Column:
 
 
 def subject_adjustment(frontal: Column, eyes: Column) -> Column:
-    """Pose and eye state as a change of the score: eyes are open, closed or unsure."""
-    pose = F.when(frontal.isNull(), 0.0).when(frontal >= 0.6, 0.04).when(frontal < 0.3, -0.04).otherwise(0.0)
-    eye = F.when(eyes == "closed", -0.15).when(eyes == "unsure", -0.05).otherwise(0.0)
-    return F.greatest(F.lit(-0.2), F.least(F.lit(0.04), pose + eye))
+    """Pose and eye state as a change of the score: eyes are open, semi-closed or closed; nulls change nothing."""
+    pose = F.when(frontal.isNotNull(), F.greatest(F.lit(-0.04), F.least(F.lit(0.04), (frontal - 0.5) * 0.08)))
+    eye = F.when(eyes == "closed", -0.15).when(eyes == "semi-closed", -0.05).otherwise(0.0)
+    return F.greatest(F.lit(-0.2), F.least(F.lit(0.04), F.coalesce(pose, F.lit(0.0)) + eye))
 
 
 def eye_state(p_open: Column) -> Column:
-    return F.when(p_open >= 0.6, "open").when(p_open <= 0.4, "closed").otherwise("unsure")
+    """open from 0.7, semi-closed from 0.3, else closed; null for null."""
+    return F.when(p_open >= 0.7, "open").when(p_open >= 0.3, "semi-closed").when(p_open.isNotNull(), "closed")
 
 
-def pose(landmarks: Column) -> Column:
-    """(frontal, roll) from five points (x, y): eyes, nose, mouth corners."""
-    x, y = (lambda i: F.element_at(landmarks, 2 * i + 1).cast("double")), (lambda i: F.element_at(landmarks, 2 * i + 2).cast("double"))
-    eyes = F.greatest(F.abs(x(1) - x(0)), F.lit(1e-6))
-    shift = F.abs(x(2) - (x(0) + x(1)) / 2) / eyes
-    return F.struct(F.greatest(F.lit(0.0), 1 - 2 * shift).alias("frontal"), F.degrees(F.atan2(y(1) - y(0), x(1) - x(0))).alias("roll"))
+def pose(right_eye: tuple[Column, Column], left_eye: tuple[Column, Column], nose_x: Column) -> Column:
+    """(frontal, roll) from landmarks: the nose's distance from the middle of the eyes over theirs, and the angle of their line; null if the eyes coincide."""
+    (rx, ry), (lx, ly) = right_eye, left_eye
+    apart = F.sqrt(F.pow(lx - rx, 2) + F.pow(ly - ry, 2))
+    off = F.least(F.abs(nose_x - (rx + lx) * 0.5) / apart, F.lit(1.0))
+    known = F.struct(F.greatest(F.lit(0.0), 1 - 1.35 * off).alias("frontal"), F.abs(F.degrees(F.atan2(ly - ry, lx - rx))).alias("roll"))
+    return F.when((apart > 1.1920929e-07) & (apart < float("inf")) & nose_x.isNotNull(), known)
 
 
-def cover_score(frontal: Column, roll: Column, sharpness: Column, size: Column, confidence: Column) -> Column:
-    level = F.greatest(F.lit(0.0), 1 - F.abs(roll) / 45)
-    return 0.48 * frontal + 0.14 * level + 0.18 * sharpness + 0.12 * size + 0.08 * confidence
+def cover_score(frontal: Column, roll: Column, sharpness: Column, width: Column, height: Column, confidence: Column) -> Column:
+    """How fit a face is as a cover: .48 frontal, .14 level, .18 sharp, .12 large, .08 sure. Unknown poses count as 0.12 and 45 degrees, unknown sharpness as 0.15."""
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    level = unit(1 - F.coalesce(roll, F.lit(45.0)) / 35)
+    size = unit(F.sqrt(width * height) / 0.2)
+    return 0.48 * F.coalesce(frontal, F.lit(0.12)) + 0.14 * level + 0.18 * F.coalesce(sharpness, F.lit(0.15)) + 0.12 * size + 0.08 * unit(confidence)
 
 
 def covers(faces: DataFrame, manual: DataFrame) -> DataFrame:
     """(person_id, face_id): the manual cover if that face is still the person's and confirmed, else the best score (first on ties)."""
     own = faces.filter("review_state = 'confirmed'").groupBy("person_id").agg(F.max(F.struct("score", (-F.col("id")).alias("k"))).alias("b"))
-    valid = manual.join(faces.filter("review_state = 'confirmed'").select("person_id", F.col("id").alias("face_id")), ["person_id", "face_id"], "left_semi")
+    valid = manual.join(faces.filter("review_state = 'confirmed'").select("person_id", F.col("id").alias("face_id")), ["person_id", "face_id"], "left_semi").select("person_id", "face_id")
     return own.join(valid, "person_id", "left").select("person_id", F.coalesce("face_id", -F.col("b.k")).alias("face_id"))
 
 
@@ -56,7 +61,7 @@ def cull_plan(rows: DataFrame, least: float = 0.35, soft: float = 100.0) -> Data
     rows: id, group_root and representative (null outside groups), quality, sharpness, adjustment, personal (null without a ranker).
     """
     blended = F.when(F.col("personal").isNull(), F.col("quality")).otherwise(0.8 * F.col("quality") + 0.2 * F.col("personal"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), blended + F.coalesce("adjustment", F.lit(0.0))))
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), blended + F.coalesce("adjustment", F.lit(0.0)))), 6)
     reason = F.when(F.col("group_root").isNotNull() & (F.col("id") != F.col("representative")), "duplicate").when(F.col("sharpness") < soft, "blurry").when(score < least, "low quality").when(F.col("group_root").isNotNull(), "best of group").otherwise("unique")
     return rows.withColumn("score", score).withColumn("reason", reason).withColumn("verdict", F.when(F.col("reason").isin("duplicate", "blurry", "low quality"), "reject").otherwise("keep"))
 
@@ -65,6 +70,13 @@ def cull_plan(rows: DataFrame, least: float = 0.35, soft: float = 100.0) -> Data
 EPOCHS, RATE, DECAY, NEWEST, NEEDED = 80, 0.08, 0.01, 5_000, 200
 
 
+def ranker_examples(events: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(seq, quality, keep): what users changed, the NEWEST of it. events: id, decision_id, next_status, source. decisions: id, quality_score."""
+    own = events.filter("source = 'user'").select(F.col("id").alias("seq"), F.col("decision_id"), (F.col("next_status") == "keep").alias("keep"))
+    joined = own.join(decisions.select(F.col("id").alias("decision_id"), F.col("quality_score").alias("quality")), "decision_id")
+    return joined.select("seq", "quality", "keep").orderBy(F.desc("seq"), "quality", "keep").limit(NEWEST)
+
+
 def fit_ranker(feedback: DataFrame) -> DataFrame:
     """(bias, weight, examples): one-feature logistic model by sequential gradient steps, newest first; no row below NEEDED examples.
 
@@ -74,11 +86,11 @@ def fit_ranker(feedback: DataFrame) -> DataFrame:
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("seq", ascending=False, kind="stable")
+        pdf = pdf.sort_values(["seq", "quality", "keep"], ascending=[False, True, True], kind="stable")
         x, y = pdf["quality"].clip(0, 1).to_numpy(float), pdf["keep"].to_numpy(float)
         if len(x) < NEEDED:
             return pd.DataFrame({"bias": [], "weight": [], "examples": []}).astype({"bias": float, "weight": float, "examples": "int64"})
-        b = w = 0.0
+        b, w = 0.0, 1.0
         for _ in range(EPOCHS):
             for xi, yi in zip(x.tolist(), y.tolist()):
                 e = yi - 1.0 / (1.0 + float(np.exp(-(b + w * xi))))
@@ -86,7 +98,7 @@ def fit_ranker(feedback: DataFrame) -> DataFrame:
                 w += RATE * (e * xi - DECAY * w)
         return pd.DataFrame({"bias": [b], "weight": [w], "examples": [len(x)]})
 
-    newest = feedback.select("seq", "quality", F.col("keep").cast("double").alias("keep")).orderBy(F.desc("seq")).limit(NEWEST).withColumn("model", F.lit(0))
+    newest = feedback.select("seq", "quality", F.col("keep").cast("double").alias("keep")).orderBy(F.desc("seq"), "quality", "keep").limit(NEWEST).withColumn("model", F.lit(0))
     return newest.groupBy("model").applyInPandas(run, "bias double, weight double, examples bigint")
 
 

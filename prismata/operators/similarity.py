@@ -1,8 +1,9 @@
-"""Vector and hash similarity joins, labels and tag scores.
+"""Vector and hash similarity joins, labels and tag scores.
 
-All-pairs joins are blocked: the vectors of a block stand in one row, each pair of blocks is
-one multiplication in a task, and only pairs over the threshold leave it. Every row is
-compared with every other, no pair of rows is materialised, and a task holds two blocks.
+All-pairs joins are blocked: vectors near one pivot stand in blocks of at most BLOCK, each a
+row of flat numbers; a pair of blocks whose centres and radii rule out the threshold is
+never made, every other is one multiplication in a task, and only pairs over the threshold
+leave it. No pair of rows is materialised, and a task holds two blocks.
 """
 
 from __future__ import annotations
@@ -12,47 +13,130 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismata.functions.parse import dot
+from prismata.session import materialize, small_side
+
 BLOCK = 2048
+#: Most pivots by which vectors are sorted into blocks.
+PIVOTS = 256
 #: Model -> (least similarity to suggest, least similarity to cluster).
 THRESHOLDS = {"sface": (0.45, 0.48), "arcface": (0.42, 0.48)}
 
 
-def _blocks(vectors: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
-    """(block, ids, flat, n): rows dealt by hash, each block cut into rows of at most BLOCK vectors by its own order."""
-    placed = vectors.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("v IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    return placed.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+def _pivots(vectors: DataFrame, n: int) -> list[list[float]]:
+    """n vectors (those of the smallest hashes), at most PIVOTS: they decide which blocks there are, not the result."""
+    if n <= 1:
+        return []
+    size = vectors.agg(F.mode(F.size("v"))).first()[0]
+    taken = vectors.filter(F.size("v") == size).orderBy(F.xxhash64("id"), "id").limit(n).select("v").collect()
+    return [r["v"] for r in taken]
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, threshold: float, same: bool) -> DataFrame:
-    """(src, dst, similarity): pairs with an inner product of at least threshold; same: each unordered pair once."""
-    counts = [left.count(), left.count() if same else right.count()]
-    n = [max(1, -(-c // BLOCK)) for c in counts]
-    a, b = _blocks(left, key, vector, n[0]), _blocks(right, key, vector, n[1])
-    a = a.select(F.col("block").alias("i"), F.col("rows").alias("a"), F.explode(F.sequence(F.col("block") if same else F.lit(0), F.lit(n[1] - 1))).alias("j"))
-    joined = a.join(b.select(F.col("block").alias("j"), F.col("rows").alias("b")), "j")
+def _blocks(vectors: DataFrame, pivots: list[list[float]], blocks: int) -> DataFrame:
+    """(dim, block, ids, flat, centre, radius): vectors by nearest pivot, cut by hash into blocks; vectors of different lengths never meet."""
+
+    @F.pandas_udf("int")
+    def nearest(v):
+        import pandas as pd
+
+        p = np.array(pivots)
+        own = [np.asarray(x, float) for x in v]
+        if p.size and all(len(x) == p.shape[1] for x in own):
+            return pd.Series(((p * p).sum(1)[None, :] - 2 * np.array(own).reshape(len(own), -1) @ p.T).argmin(1))
+        return pd.Series([int(((p - x) ** 2).sum(1).argmin()) if p.size and len(x) == p.shape[1] else 0 for x in own])
+
+    placed = vectors.withColumn("cell", nearest("v") if pivots else F.lit(0))
+    cut = F.pmod(F.xxhash64("id"), F.col("parts"))
+    parts = small_side(placed.groupBy(F.size("v").alias("dim"), "cell").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("parts")))
+    keyed = placed.withColumn("dim", F.size("v")).join(parts, ["dim", "cell"]).withColumn("block", F.concat_ws("-", "cell", cut))
+    rows = keyed.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    flat = rows.select("dim", "block", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat"))
+
+    def measure(batches):
+        for batch in batches:
+            centres, radii = [], []
+            for dim, x in zip(batch.column(0).to_pylist(), batch.column(3)):
+                x = x.values.to_numpy().reshape(-1, max(dim, 1))
+                centres.append(x.mean(0))
+                radii.append(float(np.sqrt(((x - x.mean(0)) ** 2).sum(1)).max(initial=0)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64())], names=["dim", "block", "ids", "flat", "centre", "radius"])
+
+    return flat.mapInArrow(measure, "dim int, block string, ids array<bigint>, flat array<double>, centre array<double>, radius double")
+
+
+def _product(left: DataFrame, right: DataFrame | None, key: str, vector: str, threshold: float | None, keep) -> DataFrame:
+    """Rows (src, dst, similarity) that keep() takes from the product of each pair of blocks that can reach the threshold. right None: left with itself."""
+    plain = lambda df: df.select(F.col(key).cast("bigint").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("v IS NOT NULL AND id IS NOT NULL")
+    same = right is None
+    n = -(-left.count() // BLOCK)
+    pivots = _pivots(plain(left), min(n, PIVOTS))
+    a = materialize(_blocks(plain(left), pivots, n), "vector-blocks")
+    b = a if same else materialize(_blocks(plain(right), pivots, n), "vector-blocks")
+    about = lambda df, p: df.select("dim", F.col("block").alias(p), F.col("centre").alias(f"{p}c"), F.col("radius").alias(f"{p}r"))
+    size = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    most = dot(F.col("ic"), F.col("jc")) + size("ic") * F.col("jr") + size("jc") * F.col("ir") + F.col("ir") * F.col("jr")
+    pairs = about(a, "i").join(about(b, "j"), "dim")
+    pairs = pairs.filter("i <= j") if same else pairs
+    pairs = (pairs if threshold is None else pairs.filter(most >= threshold - 1e-9)).select("dim", "i", "j")
+    first = a.select("dim", F.col("block").alias("i"), F.col("ids").alias("a"), F.col("flat").alias("x"))
+    second = b.select("dim", F.col("block").alias("j"), F.col("ids").alias("b"), F.col("flat").alias("y"))
+    joined = pairs.join(first, ["dim", "i"]).join(second, ["dim", "j"])
 
     def run(batches):
         for batch in batches:
-            for i, j, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                yield _pairs(x, y, threshold, same and i == j, same)
+            dims, i, j = (batch.column(k).to_pylist() for k in range(3))
+            for k, dim in enumerate(dims):
+                ia, x, ib, y = (batch.column(c)[k].values.to_numpy() for c in range(3, 7))
+                s = x.reshape(-1, max(dim, 1)) @ y.reshape(-1, max(dim, 1)).T
+                p, q = keep(s, ia, ib, same and i[k] == j[k])
+                src, dst = ia[p], ib[q]
+                if same:
+                    src, dst = np.minimum(src, dst), np.maximum(src, dst)
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(s[p, q])], names=["src", "dst", "similarity"])
 
-    return joined.select("i", "j", "a", "b").mapInArrow(run, "src bigint, dst bigint, similarity double")
+    return joined.select("dim", "i", "j", "a", "x", "b", "y").mapInArrow(run, "src bigint, dst bigint, similarity double")
 
 
-def _pairs(x: list, y: list, threshold: float, own: bool, same: bool) -> pa.RecordBatch:
-    ia, ib = np.array([r["id"] for r in x], np.int64), np.array([r["id"] for r in y], np.int64)
-    size = len(x[0]["v"]) if x else 0
-    ok = lambda rows: np.array([len(r["v"]) == size for r in rows], bool)  # noqa: E731  other lengths match nothing
-    ka, kb = ok(x), ok(y)
-    ia, ib = ia[ka], ib[kb]
-    s = np.array([r["v"] for r, k in zip(x, ka) if k]).reshape(-1, max(size, 1)) @ np.array([r["v"] for r, k in zip(y, kb) if k]).reshape(-1, max(size, 1)).T
-    p, q = np.nonzero(s >= threshold)
-    if own:
-        p, q = p[ia[p] < ib[q]], q[ia[p] < ib[q]]
-    src, dst, sim = ia[p], ib[q], s[p, q]
-    if same:
-        src, dst = np.minimum(src, dst), np.maximum(src, dst)
-    return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(sim)], names=["src", "dst", "similarity"])
+def similar_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, threshold: float, same: bool) -> DataFrame:
+    """(src, dst, similarity): pairs with an inner product of at least threshold; same: each unordered pair of left once. Nulls match nothing."""
+
+    def keep(s, ia, ib, own):
+        p, q = np.nonzero(s >= threshold)
+        if own:
+            up = ia[p] < ib[q]
+            p, q = p[up], q[up]
+        return p, q
+
+    return _product(left, None if same else right, key, vector, threshold, keep)
+
+
+def hamming_pairs(rows: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+    """(scope, src, dst, bits): all pairs of one scope whose hashes differ in at most threshold bits (exact). rows: scope, id, words (array of 64-bit words).
+
+    A scope is dealt into blocks; each pair of blocks is compared in a task of its own, so no task holds a scope.
+    """
+    parts = small_side(rows.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+    placed = rows.select("scope", "id", "words").join(parts, "scope").withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    spread = placed.select("scope", "id", "words", "own", other).select("scope", "id", "words", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        words = [np.asarray(x, np.int64).view(np.uint64) for x in table.column("words").to_pylist()]
+        src, dst, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        h = np.array(words, np.uint64).reshape(len(words), -1)
+        first, second = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        for i in first.tolist():
+            d = np.bitwise_count(h[second] ^ h[i]).sum(1)
+            ok = (d <= threshold) & (ids[second] > ids[i] if lo == hi else True)
+            src.append(np.full(int(ok.sum()), ids[i]))
+            dst.append(ids[second][ok])
+            bits.append(d[ok].astype(np.int64))
+        a, b = np.concatenate(src), np.concatenate(dst)
+        return pa.table({"scope": [table.column("scope")[0].as_py()] * len(a), "src": np.minimum(a, b), "dst": np.maximum(a, b), "bits": np.concatenate(bits)}, schema=pa.schema([("scope", table.schema.field("scope").type), ("src", pa.int64()), ("dst", pa.int64()), ("bits", pa.int64())]))
+
+    return spread.groupBy("scope", "lo", "hi").applyInArrow(run, f"scope {rows.schema['scope'].dataType.simpleString()}, src bigint, dst bigint, bits bigint")
 
 
 def best_exemplar(candidates: DataFrame, exemplars: DataFrame, threshold: float) -> DataFrame:
@@ -64,18 +148,26 @@ def best_exemplar(candidates: DataFrame, exemplars: DataFrame, threshold: float)
 
 
 def nearest_labels(queries: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
-    """(id, label, similarity, rank): the k most similar labels of each row. labels: label, embedding; a taxonomy, joined by its size."""
-    from prismata.session import small_side
+    """(id, label, similarity, rank): the k most similar labels of each row (ties: the first by name). labels: label, embedding.
+
+    A blocked product: each block of labels gives its best k of a row (by rounded similarity), the best of all blocks remain.
+    """
+    numbered = labels.select("label", "embedding").withColumn("id", F.row_number().over(Window.orderBy("label")).cast("bigint")) if _few(labels) else labels.withColumn("id", F.xxhash64("label"))
 
-    pairs = queries.select("id", F.col("embedding").alias("e")).join(small_side(labels.select("label", F.col("embedding").alias("f"))))
-    scored = pairs.select("id", "label", F.round(_dot(F.col("e"), F.col("f")), 6).alias("similarity"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "label"))).filter(F.col("rank") <= k)
+    def keep(s, ia, ib, own):
+        r = np.round(s, 6)
+        if r.shape[1] <= k:
+            return np.nonzero(np.ones_like(r, bool))
+        least = np.partition(r, r.shape[1] - k, axis=1)[:, -k][:, None]
+        return np.nonzero(r >= least)  # ties with the last one too
 
+    scored = _product(queries.select("id", "embedding"), numbered.select("id", "embedding"), "id", "embedding", None, keep)
+    named = scored.join(small_side(numbered.select(F.col("id").alias("dst"), "label")), "dst").select(F.col("src").alias("id"), "label", F.round("similarity", 6).alias("similarity"))
+    return named.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "label"))).filter(F.col("rank") <= k)
 
-def _dot(a: Column, b: Column) -> Column:
-    from prismata.functions.parse import dot
 
-    return dot(a, b)
+def _few(labels: DataFrame) -> bool:
+    return labels.limit(BLOCK + 1).count() <= BLOCK
 
 
 def confident_label(ranked: DataFrame, least: float = 0.35, margin: float = 0.04) -> DataFrame:
@@ -96,20 +188,40 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def sigmoid_tags(logits: DataFrame, labels: DataFrame, top: int = 10) -> DataFrame:
-    """(id, tag, score): sigmoid of each logit (clamped to 30), over its label's threshold, best first. labels: pos, tag, threshold."""
-    each = logits.select("id", F.posexplode("logits").alias("pos", "x")).join(F.broadcast(labels), "pos")
-    scored = each.select("id", "tag", F.round(1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("x"))))), 6).alias("score"), "threshold").filter("score >= threshold")
-    return scored.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "tag"))).filter(F.col("rn") <= top).select("id", "tag", "score")
+    """(id, tag, score): sigmoid of each logit (clamped to 30), strictly over its label's threshold, best first. labels: pos, tag, threshold."""
+    each = logits.select("id", F.posexplode("logits").alias("pos", "x")).join(small_side(labels), "pos")
+    scored = each.select("id", "tag", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("x")))))).alias("score"), "threshold").filter("score > threshold")
+    return scored.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "tag"))).filter(F.col("rn") <= top).select("id", "tag", F.round("score", 6).alias("score"))
+
+
+def with_parents(tags: DataFrame, parents: DataFrame, rounds: int = 16) -> DataFrame:
+    """tags (id, tag, score) with their ancestors at score 0 where absent. parents (child, parent) is a taxonomy of any depth, up to rounds; a loop ends it too."""
+    above = parents.select(F.col("child").alias("tag"), F.col("parent").alias("up")).filter("tag != up").distinct()
+    closed = step = materialize(above, "taxonomy")
+    for _ in range(rounds):
+        step = materialize(step.join(above.withColumnRenamed("tag", "mid").withColumnRenamed("up", "next"), F.col("up") == F.col("mid")).select("tag", F.col("next").alias("up")).distinct().join(closed, ["tag", "up"], "left_anti"), "taxonomy")
+        if step.isEmpty():
+            break
+        closed = closed.unionByName(step)
+    added = tags.join(small_side(closed), "tag").select("id", F.col("up").alias("tag"), F.lit(0.0).alias("score"))
+    return tags.unionByName(added).groupBy("id", "tag").agg(F.max("score").alias("score"))
 
 
 def softmax_tags(logits: DataFrame, labels: DataFrame, parents: DataFrame, least: float = 0.005, top: int = 10) -> DataFrame:
-    """(id, tag, score): softmax over least, the top ones, and their parents at score 0 where absent."""
-    each = logits.select("id", F.array_max("logits").alias("m"), F.posexplode("logits").alias("pos", "x")).withColumn("e", F.exp(F.col("x") - F.col("m")))
-    total = each.groupBy("id").agg(F.sum("e").alias("t"))
-    scored = each.join(total, "id").join(F.broadcast(labels.select("pos", "tag")), "pos").select("id", "tag", F.round(F.col("e") / F.col("t"), 6).alias("score")).filter(F.col("score") > least)
-    best = scored.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "tag"))).filter(F.col("rn") <= top).select("id", "tag", "score")
-    above = best.join(F.broadcast(parents), best["tag"] == parents["child"]).select("id", F.col("parent").alias("tag"), F.lit(0.0).alias("score"))
-    return best.unionByName(above).groupBy("id", "tag").agg(F.max("score").alias("score"))
+    """(id, tag, score): softmax over least, the top ones, and their ancestors at score 0 where absent."""
+    whole = logits.withColumn("m", F.array_max("logits")).withColumn("t", F.aggregate("logits", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("m"))))
+    each = whole.select("id", "m", "t", F.posexplode("logits").alias("pos", "x"))
+    scored = each.join(small_side(labels.select("pos", "tag")), "pos").select("id", "tag", (F.exp(F.col("x") - F.col("m")) / F.col("t")).alias("score")).filter(F.col("score") > least)
+    best = scored.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "tag"))).filter(F.col("rn") <= top).select("id", "tag", F.round("score", 6).alias("score"))
+    return with_parents(best, parents)
+
+
+def over_threshold(pairs: DataFrame, models: DataFrame, use: str = "suggest") -> DataFrame:
+    """pairs (with similarity and model_id) that reach their model's own threshold to suggest or to cluster; models without one are left out. models: id, model_id of the src rows."""
+    least = F.lit(None).cast("double")
+    for name, (suggest, cluster) in THRESHOLDS.items():
+        least = F.when(F.col("model_id") == name, suggest if use == "suggest" else cluster).otherwise(least)
+    return pairs.join(models.select(F.col("id").alias("src"), "model_id"), "src").filter(F.col("similarity") >= least)
 
 
 def iou(a: str, b: str) -> Column:

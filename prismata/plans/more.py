@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prismata.functions import parse
 from prismata.operators import catalog as C
 from prismata.operators import grouping, raster, review, scoring, similarity
-from prismata.plans.registry import BASE, GROUPED, PIXELS, VIEW, _pixels, query
+from prismata.plans.registry import BASE, GROUPED, PIXELS, POSE, VIEW, _pixels, query
 from prismata.sources import files
 from prismata.streaming import jobs
 
@@ -24,20 +24,22 @@ def _(*views):
     return grouping.blurry(g, g.filter("group_id IS NOT NULL")).select("id", "sharpness")
 
 
-@query("g9_model_thresholds", ("embeddings",), "SELECT m AS model, count(*) AS n FROM embeddings, (VALUES ('sface', 0.1, 0), ('arcface', 0.2, 1)) t(m, s, k) WHERE vec_id % 2 = k AND embedding[1] >= s GROUP BY 1")
+@query("g9_model_thresholds", ("embeddings",), """, p AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+SELECT src, dst, round(s, 6) AS similarity FROM p WHERE s >= CASE src % 3 WHEN 0 THEN 0.45 WHEN 1 THEN 0.42 END""")
 def _(embeddings):
-    config = embeddings.sparkSession.createDataFrame([("sface", 0.1, 0), ("arcface", 0.2, 1)], "model string, least double, k int")
-    rows = embeddings.select((F.col("vec_id") % 2).cast("int").alias("k"), F.col("embedding")[0].alias("x"))
-    return rows.join(F.broadcast(config), "k").filter("x >= least").groupBy("model").agg(F.count("*").alias("n"))
+    pairs = similarity.similar_pairs(embeddings, embeddings, "vec_id", "embedding", min(s for s, _ in similarity.THRESHOLDS.values()), True)
+    models = embeddings.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 3 == 0, "sface").when(F.col("vec_id") % 3 == 1, "arcface").otherwise("unknown").alias("model_id"))
+    return similarity.over_threshold(pairs, models).select("src", "dst", F.round("similarity", 6).alias("similarity"))
 
 
-@query("g10_verified_duplicates", ("embeddings",), """, m AS (SELECT vec_id AS id, vec_id - vec_id % 5 AS representative FROM embeddings)
-SELECT m.id, m.representative FROM m LEFT JOIN embeddings a ON a.vec_id = m.id AND m.id % 3 <> 0 LEFT JOIN embeddings b ON b.vec_id = m.representative WHERE a.vec_id IS NULL OR round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.1""")
+@query("g10_verified_duplicates", ("embeddings",), """, m AS (SELECT vec_id AS id, vec_id - vec_id % 5 AS representative, label FROM embeddings)
+SELECT m.id, m.representative FROM m LEFT JOIN embeddings a ON a.vec_id = m.id AND m.label <> 3 LEFT JOIN embeddings b ON b.vec_id = m.representative WHERE a.vec_id IS NULL OR round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.1""")
 def _(embeddings):
     members = embeddings.select(F.col("vec_id").alias("id"), (F.col("vec_id") - F.col("vec_id") % 5).alias("representative"))
-    pairs = members.filter("id % 3 != 0").join(embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("a")), "id").join(embeddings.select(F.col("vec_id").alias("representative"), F.col("embedding").alias("b")), "representative")
-    known = pairs.select("id", "representative", F.round(parse.dot(F.col("a"), F.col("b")), 6).alias("similarity"))
-    return similarity.drop_unlike_members(members, known, 0.1).select("id", "representative")
+    known = embeddings.select(F.col("vec_id").alias("id"), F.when(F.col("label") != 3, F.col("embedding")).alias("a"))  # label 3 stands for images without a vector
+    pairs = members.join(known, "id").join(embeddings.select(F.col("vec_id").alias("representative"), F.col("embedding").alias("b")), "representative")
+    scored = pairs.filter("a IS NOT NULL").select("id", "representative", F.round(parse.dot(F.col("a"), F.col("b")), 6).alias("similarity"))
+    return similarity.drop_unlike_members(members, scored, 0.1).select("id", "representative")
 
 
 @query("g11_box_overlap", ("faces",), """, b AS (SELECT id, image_id, bbox_x AS x, bbox_y AS y, 0.3 AS w, 0.3 AS h FROM faces), p AS (SELECT a.id AS a, b.id AS b, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i FROM b a JOIN b ON a.image_id = b.image_id AND a.id < b.id)
@@ -48,55 +50,67 @@ def _(faces):
     return pairs.withColumn("iou", similarity.iou("p", "q")).filter("iou > 0.3").select("a", "b", F.round("iou", 6).alias("iou"))
 
 
-LOGITS = "logits AS (SELECT vec_id AS id, [10 * x FOR x IN embedding[1:8]] AS logits FROM embeddings), each AS (SELECT id, unnest(logits)::DOUBLE AS x, unnest(range(0, 8)) AS pos FROM logits)"
+LOGITS = "logits AS (SELECT vec_id AS id, [10 * x FOR x IN embedding] AS logits FROM embeddings), each AS (SELECT id, unnest(logits)::DOUBLE AS x, unnest(range(0, 64)) AS pos FROM logits)"
 
 
 def _logits(embeddings):
-    return embeddings.select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 8), lambda x: (x * F.lit(10).cast("float")).cast("double")).alias("logits"))
+    return embeddings.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: (x * F.lit(10).cast("float")).cast("double")).alias("logits"))
 
 
 def _labels(spark):
-    return spark.range(8).select(F.col("id").cast("int").alias("pos"), F.concat(F.lit("tag"), "id").alias("tag"), (F.lit(0.5) + F.col("id") / 50).alias("threshold"))
+    return spark.range(64).select(F.col("id").cast("int").alias("pos"), F.concat(F.lit("tag"), "id").alias("tag"), (F.lit(0.5) + F.col("id") / 200).alias("threshold"))
 
 
-@query("g12_sigmoid_tags", ("embeddings",), f", {LOGITS}, s AS (SELECT id, 'tag' || pos AS tag, round(1 / (1 + exp(-greatest(-30, least(30, x)))), 6) AS score, 0.5 + pos / 50 AS t FROM each), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tag) AS rn FROM s WHERE score >= t) SELECT id, tag, score FROM r WHERE rn <= 3")
+@query("g12_sigmoid_tags", ("embeddings",), f", {LOGITS}, s AS (SELECT id, 'tag' || pos AS tag, 1 / (1 + exp(-greatest(-30, least(30, x)))) AS score, 0.5 + pos / 200 AS t FROM each), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tag) AS rn FROM s WHERE score > t) SELECT id, tag, round(score, 6) AS score FROM r WHERE rn <= 3")
 def _(embeddings):
     return similarity.sigmoid_tags(_logits(embeddings), _labels(embeddings.sparkSession), 3)
 
 
-@query("g13_g14_softmax_tags", ("embeddings",), f""", {LOGITS}, t AS (SELECT id, 'tag' || pos AS tag, round(exp(x - max(x) OVER w) / sum(exp(x)) OVER w * exp(max(x) OVER w), 6) AS score FROM each WINDOW w AS (PARTITION BY id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tag) AS rn FROM t WHERE score > 0.1), b AS (SELECT id, tag, score FROM r WHERE rn <= 2)
-SELECT id, tag, max(score) AS score FROM (SELECT * FROM b UNION ALL SELECT id, CASE tag WHEN 'tag1' THEN 'animal' ELSE 'tag4' END, 0.0 FROM b WHERE tag IN ('tag1', 'tag2')) GROUP BY 1, 2""")
+@query("g13_g14_softmax_tags", ("embeddings",), f""", {LOGITS}, t AS (SELECT id, 'tag' || pos AS tag, exp(x - max(x) OVER w) / sum(exp(x)) OVER w * exp(max(x) OVER w) AS score FROM each WINDOW w AS (PARTITION BY id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tag) AS rn FROM t WHERE score > 0.03), b AS (SELECT id, tag, round(score, 6) AS score FROM r WHERE rn <= 4),
+up AS (SELECT * FROM (VALUES ('tag1', 'tag2'), ('tag2', 'bird'), ('tag1', 'bird'), ('bird', 'animal'), ('tag2', 'animal'), ('tag1', 'animal'), ('tag9', 'tag4')) v(child, parent))
+SELECT id, tag, max(score) AS score FROM (SELECT * FROM b UNION ALL SELECT id, parent, 0.0 FROM b JOIN up ON b.tag = up.child) GROUP BY 1, 2""")
 def _(embeddings):
-    parents = embeddings.sparkSession.createDataFrame([("tag1", "animal"), ("tag2", "tag4")], "child string, parent string")
-    return similarity.softmax_tags(_logits(embeddings), _labels(embeddings.sparkSession), parents, 0.1, 2)
+    parents = embeddings.sparkSession.createDataFrame([("tag1", "tag2"), ("tag2", "bird"), ("bird", "animal"), ("tag9", "tag4")], "child string, parent string")
+    return similarity.softmax_tags(_logits(embeddings), _labels(embeddings.sparkSession), parents, 0.03, 4)
 
 
-@query("g19_g20_cull_plan", BASE, f"""{GROUPED}, q AS (SELECT id, group_id, round((id % 97) / 97.0, 4) AS quality, CAST(id % 300 AS DOUBLE) AS sharpness FROM grouped),
-r AS (SELECT *, CASE WHEN group_id IS NOT NULL THEN first_value(id) OVER (PARTITION BY group_id ORDER BY quality DESC, id) END AS rep FROM q)
-SELECT id, CASE WHEN reason IN ('duplicate', 'blurry', 'low quality') THEN 'reject' ELSE 'keep' END AS verdict, reason FROM (SELECT id, CASE WHEN group_id IS NOT NULL AND id <> rep THEN 'duplicate' WHEN sharpness < 100 THEN 'blurry' WHEN quality < 0.35 THEN 'low quality' WHEN group_id IS NOT NULL THEN 'best of group' ELSE 'unique' END AS reason FROM r)""")
+@query("g19_g20_cull_plan", BASE, f"""{GROUPED}, q AS (SELECT id, group_id, round((id % 97) / 97.0, 4) AS quality, CAST(id % 300 AS DOUBLE) AS sharpness,
+CASE WHEN id % 4 <> 0 THEN (id % 21) / 20.0 END AS frontal, CASE id % 5 WHEN 0 THEN 0.7 WHEN 1 THEN 0.3 WHEN 2 THEN 0.29 END AS p, CASE WHEN id % 3 <> 0 THEN (id % 11) / 10.0 END AS personal FROM grouped),
+j AS (SELECT *, greatest(-0.2, least(0.04, CASE WHEN frontal IS NULL THEN 0 ELSE greatest(-0.04, least(0.04, (frontal - 0.5) * 0.08)) END + CASE WHEN p >= 0.7 OR p IS NULL THEN 0 WHEN p >= 0.3 THEN -0.05 ELSE -0.15 END)) AS adjustment FROM q),
+x AS (SELECT *, round(greatest(0, least(1, CASE WHEN personal IS NULL THEN quality ELSE 0.8 * quality + 0.2 * personal END + adjustment)), 6) AS score FROM j),
+r AS (SELECT *, CASE WHEN group_id IS NOT NULL THEN first_value(id) OVER (PARTITION BY group_id ORDER BY quality DESC, id) END AS rep FROM x)
+SELECT id, score, CASE WHEN reason IN ('duplicate', 'blurry', 'low quality') THEN 'reject' ELSE 'keep' END AS verdict, reason FROM (SELECT id, score, CASE WHEN group_id IS NOT NULL AND id <> rep THEN 'duplicate' WHEN sharpness < 100 THEN 'blurry' WHEN score < 0.35 THEN 'low quality' WHEN group_id IS NOT NULL THEN 'best of group' ELSE 'unique' END AS reason FROM r)""")
 def _(*views):
-    g = grouping.sibling_groups(C.base_view(*views)).select("id", "group_id", F.round((F.col("id") % 97) / 97.0, 4).alias("quality"), (F.col("id") % 300).cast("double").alias("sharpness"))
-    best = g.filter("group_id IS NOT NULL").groupBy("group_id").agg((-F.max(F.struct("quality", (-F.col("id")).alias("k")))["k"]).alias("representative"))
-    rows = g.join(best, "group_id", "left").select("id", F.col("representative").alias("group_root"), "representative", "quality", "sharpness", F.lit(None).cast("double").alias("adjustment"), F.lit(None).cast("double").alias("personal"))
-    return scoring.cull_plan(rows).select("id", "verdict", "reason")
+    i = F.col("id")
+    g = grouping.sibling_groups(C.base_view(*views)).select("id", "group_id", F.round((i % 97) / 97.0, 4).alias("quality"), (i % 300).cast("double").alias("sharpness"))
+    best = g.filter("group_id IS NOT NULL").groupBy("group_id").agg((-F.max(F.struct("quality", (-i).alias("k")))["k"]).alias("representative"))
+    eyes = scoring.eye_state(F.when(i % 5 == 0, 0.7).when(i % 5 == 1, 0.3).when(i % 5 == 2, 0.29))
+    adjustment = scoring.subject_adjustment(F.when(i % 4 != 0, (i % 21) / 20.0), eyes)
+    rows = g.join(best, "group_id", "left").select("id", F.col("representative").alias("group_root"), "representative", "quality", "sharpness", adjustment.alias("adjustment"), F.when(i % 3 != 0, (i % 11) / 10.0).alias("personal"))
+    return scoring.cull_plan(rows).select("id", "score", "verdict", "reason")
 
 
-@query("g22_x13_pose_and_eyes", ("embeddings",), """, p AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id, greatest(0, 1 - 2 * abs(e[5] - (e[1] + e[3]) / 2) / greatest(abs(e[3] - e[1]), 1e-6)) AS f, degrees(atan2(e[4] - e[2], e[3] - e[1])) AS r, e[7] AS o FROM p)
-SELECT vec_id, round(f, 6) AS frontal, round(r, 6) AS roll, CASE WHEN o >= 0.6 THEN 'open' WHEN o <= 0.4 THEN 'closed' ELSE 'unsure' END AS eyes FROM q""")
-def _(embeddings):
-    pose = scoring.pose(F.col("embedding"))
-    return embeddings.select("vec_id", F.round(pose["frontal"], 6).alias("frontal"), F.round(pose["roll"], 6).alias("roll"), scoring.eye_state(F.col("embedding")[6].cast("double")).alias("eyes"))
+@query("g22_pose", ("faces",), f"{POSE} SELECT id, person_id, round(frontal, 6) AS frontal, round(roll, 6) AS roll FROM w")
+def _(faces):
+    c = F.col
+    pose = scoring.pose((c("right_eye_x"), c("right_eye_y")), (c("left_eye_x"), c("left_eye_y")), c("nose_x"))
+    return faces.select("id", "person_id", pose.alias("p")).select("id", "person_id", F.round("p.frontal", 6).alias("frontal"), F.round("p.roll", 6).alias("roll"))
+
+
+@query("x13_eye_states", ("lineitem",), "SELECT CASE WHEN p >= 0.7 THEN 'open' WHEN p >= 0.3 THEN 'semi-closed' ELSE 'closed' END AS eyes, count(*) AS n FROM (SELECT l_quantity / 50 AS p FROM lineitem) GROUP BY 1")
+def _(lineitem):
+    return lineitem.groupBy(scoring.eye_state(F.col("l_quantity") / 50).alias("eyes")).agg(F.count("*").alias("n"))
 
 
-LOG = """, log AS (SELECT l_orderkey * 10 + l_linenumber AS seq, l_partkey AS id, CASE WHEN l_tax > 0.04 THEN 'accepted' ELSE 'rejected' END AS decision, l_linenumber % 2 = 0 AS batch FROM lineitem WHERE l_partkey % 3 = 0)"""
+LOG = """, log AS (SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS seq, l_partkey AS id, CASE WHEN l_tax > 0.04 THEN 'accepted' ELSE 'rejected' END AS decision, l_linenumber % 2 = 0 AS batch FROM lineitem)"""
 
 
 @query("m3_reviews", ("part", "lineitem"), f"""{LOG}, s AS (SELECT id, arg_max(decision, seq) AS d FROM log WHERE NOT batch GROUP BY 1), b AS (SELECT id, arg_min(decision, seq) AS d FROM log WHERE batch GROUP BY 1)
 SELECT p_partkey AS id, coalesce(s.d, CASE WHEN p_size % 2 = 0 THEN b.d END, CASE WHEN p_size % 2 = 0 THEN 'suggested' ELSE 'accepted' END) AS review_state FROM part LEFT JOIN s ON s.id = p_partkey LEFT JOIN b ON b.id = p_partkey""")
 def _(part, lineitem):
     items = part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, "suggested").otherwise("accepted").alias("review_state"))
-    log = lineitem.filter("l_partkey % 3 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_partkey").alias("id"), F.when(F.col("l_tax") > 0.04, "accepted").otherwise("rejected").alias("decision"), (F.col("l_linenumber") % 2 == 0).alias("batch"))
+    log = lineitem.select((F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_partkey").alias("id"), F.when(F.col("l_tax") > 0.04, "accepted").otherwise("rejected").alias("decision"), (F.col("l_linenumber") % 2 == 0).alias("batch"))
     return review.reviewed(items, log)
 
 
@@ -120,9 +134,14 @@ def _(images):
     return review.moved(rows, moves).select("id", "path")
 
 
-@query("m12_q35_cache_hits", ("analysis", "images"), "SELECT a.image_id, a.image_modified_at FROM analysis a JOIN images i ON i.id = a.image_id AND i.modified_at = a.image_modified_at WHERE a.state = 'completed'")
-def _(analysis, images):
-    return review.cache_hits(analysis.withColumn("feature_set_version", F.col("state")), images, "completed").select("image_id", "image_modified_at")
+CACHE = ", cache AS (SELECT id AS image_id, CASE WHEN id % 3 = 0 THEN modified_at - 1 ELSE modified_at END AS image_modified_at, CASE WHEN id % 4 = 0 THEN 'v2' ELSE 'v3' END AS feature_set_version, (id % 89) / 89.0 AS quality_score FROM images)"
+
+
+@query("m12_q35_cache_hits", ("images",), f"{CACHE} SELECT c.image_id, round(c.quality_score, 6) AS quality_score FROM cache c JOIN images i ON i.id = c.image_id AND i.modified_at = c.image_modified_at WHERE c.feature_set_version = 'v3'")
+def _(images):
+    i = F.col("id")
+    cache = images.select(i.alias("image_id"), F.when(i % 3 == 0, F.col("modified_at") - 1).otherwise(F.col("modified_at")).alias("image_modified_at"), F.when(i % 4 == 0, "v2").otherwise("v3").alias("feature_set_version"), ((i % 89) / 89.0).alias("quality_score"))
+    return review.cache_hits(cache, images, "v3").select("image_id", F.round("quality_score", 6).alias("quality_score"))
 
 
 @query("m1_m2_replacements", ("ai_tags",), "SELECT id, image_id FROM (SELECT *, max(model_revision) OVER (PARTITION BY image_id, model_id) AS last FROM ai_tags) WHERE model_revision = last")
@@ -141,19 +160,30 @@ def _(images):
     return images.select("id", F.sha2(F.concat_ws("|", "relative_path", F.col("modified_at").cast("string")), 256).alias("key"), F.base64(F.encode("file_name", "UTF-8")).alias("name64"))
 
 
-@query("x11_iso_bands", ("metadata",), "SELECT CASE WHEN iso IS NULL THEN 'unknown' WHEN iso <= 400 THEN 'low' WHEN iso <= 1600 THEN 'mid' ELSE 'high' END AS band, count(*) AS n FROM metadata GROUP BY 1")
+@query("x11_iso_heuristics", ("metadata",), "SELECT image_id, CASE WHEN iso >= 1600 THEN 'lmmse' WHEN iso >= 800 THEN 'igv' WHEN iso IS NOT NULL THEN 'amaze' END AS method, CASE WHEN iso IS NOT NULL THEN round(greatest(0, least(1, (iso - 100) / 6300)), 6) END AS strength FROM metadata")
 def _(metadata):
-    return metadata.groupBy(parse.iso_band(F.col("iso")).alias("band")).agg(F.count("*").alias("n"))
+    return metadata.select("image_id", parse.demosaic_for_iso(F.col("iso")).alias("method"), F.round(parse.denoise_for_iso(F.col("iso")), 6).alias("strength"))
 
 
-@query("x14_normalized", ("embeddings",), "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings")
+@query("x14_normalized", ("embeddings",), "SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6))[pos] AS x, pos FROM embeddings, (SELECT unnest(range(1, 65)) AS pos)")
 def _(embeddings):
-    return embeddings.select("vec_id", F.round(parse.normalized(F.col("embedding"))[0], 6).alias("first"))
+    return embeddings.select("vec_id", F.posexplode(parse.normalized(F.col("embedding"))).alias("pos", "x")).select("vec_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
 
 
-@query("s3_formats", ("images",), "SELECT lower(regexp_extract(file_name, '\\.([^./]+)$', 1)) AS ext, regexp_extract(lower(file_name), '\\.([^./]+)$', 1) = 'arw' AS raw, count(*) AS n FROM images GROUP BY 1, 2")
-def _(images):
-    return images.groupBy(parse.extension(F.col("file_name")).alias("ext"), files.is_raw(F.col("file_name")).alias("raw")).agg(F.count("*").alias("n"))
+# Fixed values of the oracle: the formats as they are listed for users.
+LISTED_RAW = "dng pro ari crw cr2 cr3 bay raw erf raf 3fr fff iiq kdc k25 dcs dcr mos rwl mef mrw nef nrw orf rw2 pef ptx srw x3f arw srf sr2"
+LISTED_OTHER = "jpg jpeg png gif bmp tiff tif webp jxl exr hdr tga ico dds qoi ff pnm pbm pgm ppm pam"
+UNKNOWN = "txt xmp mov"
+_every = "string_split('" + " ".join((LISTED_RAW, LISTED_OTHER, UNKNOWN)) + "', ' ')"
+_count = len(" ".join((LISTED_RAW, LISTED_OTHER, UNKNOWN)).split())
+
+
+@query("s3_formats", ("part",), f"""SELECT p_partkey AS id, list_contains(string_split('{LISTED_RAW}', ' '), e) AS raw, NOT list_contains(string_split('{UNKNOWN}', ' '), e) AS supported FROM (SELECT p_partkey, {_every}[CAST(p_partkey % {_count} AS INT) + 1] AS e FROM part)""")
+def _(part):
+    kinds = F.array(*[F.lit(x) for x in " ".join((LISTED_RAW, LISTED_OTHER, UNKNOWN)).split()])
+    name = part.select("p_partkey", F.element_at(kinds, (F.col("p_partkey") % _count).cast("int") + 1).alias("e"))
+    path = F.concat(F.lit("/a.b/x."), F.when(F.col("p_partkey") % 2 == 0, F.upper("e")).otherwise(F.col("e")))
+    return name.select(F.col("p_partkey").alias("id"), files.is_raw(path).alias("raw"), files.is_supported(path).alias("supported"))
 
 
 @query("s9_s10_xmp_round_trip", (*BASE, "image_tags"), f", {VIEW}, t AS (SELECT image_id AS id, list_sort(list(DISTINCT name)) AS t FROM image_tags GROUP BY 1) SELECT id, rating, coalesce(color_label, '') AS label, array_to_string(coalesce(t, []), ',') AS tags FROM view_ LEFT JOIN t USING (id)")
@@ -175,10 +205,9 @@ def _(images):
     return files.export_plan(rows, "/base", 1000)
 
 
-@query("n3_recovery", ("job_log",), ", s AS (SELECT job_id, arg_max(state, seq) AS state FROM job_log GROUP BY 1) SELECT job_id, 'failed' AS state FROM s WHERE state IN ('view', 'click')")
+@query("n3_recovery", ("job_log",), ", s AS (SELECT job_id, arg_max(state, seq) AS state FROM job_log GROUP BY 1) SELECT job_id, 'failed' AS state FROM s WHERE state IN ('running', 'paused', 'cancelling')")
 def _(job_log):
-    states = jobs.job_states(job_log).withColumn("state", F.when(F.col("state").isin("view", "click"), "running").otherwise(F.col("state")))
-    return jobs.recover(states, 0).select("job_id", "state")
+    return jobs.recover(jobs.job_states(job_log), 0).select("job_id", "state")
 
 
 @query("k2_linear_light", ("lineitem",), "SELECT l_orderkey * 10 + l_linenumber AS id, round(CASE WHEN l_discount <= 0.04045 THEN l_discount / 12.92 ELSE pow((l_discount + 0.055) / 1.055, 2.4) END, 6) AS linear FROM lineitem")

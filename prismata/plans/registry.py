@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from prismata.functions import parse
 from prismata.operators import catalog as C
 from prismata.operators import components, dsl, facets, grouping, raster, scoring, similarity
 from prismata.plans.standin import catalog, sql
+from prismata.sources import files
 from prismata.streaming import jobs
 
 QUERIES: dict = {}
@@ -37,7 +40,7 @@ def oracle_sql() -> dict[str, str]:
 
 BASE = ("images", "roots", "versions", "metadata")
 VIEW = """view_ AS (SELECT i.id, i.root_id, i.folder_id, i.file_name, i.relative_path, i.modified_at, i.is_raw, r.absolute_path, v.rating, v.is_edited, v.color_label,
- m.date_taken, m.year, m.camera_make, m.camera_model, m.lens, m.iso, m.aperture, m.title, coalesce(m.date_taken, i.modified_at) AS date
+ m.date_taken, m.year, m.camera_make, m.camera_model, m.lens, m.lens_make, m.iso, m.aperture, m.shutter_speed, m.focal_length, m.title, coalesce(m.date_taken, i.modified_at) AS date
  FROM images i JOIN roots r ON i.root_id = r.id JOIN versions v ON v.image_id = i.id AND v.copy_id = '' LEFT JOIN metadata m ON m.image_id = i.id WHERE i.status = 'present')"""
 PEOPLE = """person_images AS (SELECT image_id, name FROM image_tags WHERE kind = 'person' UNION ALL SELECT f.image_id, p.display_name FROM faces f JOIN people p ON f.person_id = p.id WHERE f.review_state = 'confirmed' AND p.state = 'active')"""
 
@@ -72,15 +75,15 @@ _search_query(
 )
 _search_query("f3_equality_and_range", C.CatalogQuery(root_id=2, year=1995, is_edited=False, color="BLUE"), "root_id = 2 AND year = 1995 AND NOT is_edited AND lower(color_label) = 'blue'")
 _search_query("f4_substring", C.CatalogQuery(text="AutoMobile", lens="high"), r"contains(lower(coalesce(lens, '')), 'high') AND contains(lower(concat_ws(chr(10), file_name, relative_path, title, camera_make, camera_model, lens, color_label)), 'automobile')")
-_search_query("f5_folder_scope", C.CatalogQuery(folder="france", recursive=True), "starts_with(relative_path, 'france/')")
-_search_query("f5_folder_direct", C.CatalogQuery(folder="france/c1", recursive=False), "regexp_replace(relative_path, '/?[^/]*$', '') = 'france/c1'")
+_search_query("f5_folder_scope", C.CatalogQuery(folder="nation_3", recursive=True), "starts_with(relative_path, 'nation_3/')")
+_search_query("f5_folder_direct", C.CatalogQuery(folder="nation_3/c1", recursive=False), "regexp_replace(relative_path, '/?[^/]*$', '') = 'nation_3/c1'")
 _search_query("f6_any_tag", C.CatalogQuery(tags=["brand#11", "brand#52"], tag_mode="OR"), "(" + " OR ".join(HIT.format(t="image_tags", w="", n=n) for n in ("brand#11", "brand#52")) + ")")
 _search_query("f7_exclusions", C.CatalogQuery(people=["supplier#00000000"], exclude_tags=["brand#2"], exclude_people=["brand#4"]), " AND ".join([HIT.format(t="person_images", w="", n="supplier#00000000"), "NOT " + HIT.format(t="image_tags", w="", n="brand#2"), "NOT " + HIT.format(t="person_images", w="", n="brand#4")]))
 
 
-@query("f8_list_filter", BASE, f", {VIEW} SELECT id FROM view_ WHERE rating >= 3 AND NOT is_raw AND (lower(color_label) IN ('green') OR color_label IS NULL)")
+@query("f8_list_filter", BASE, f", {VIEW} SELECT id FROM view_ WHERE rating >= 3 AND NOT is_raw AND (color_label IN ('green', 'blue') OR color_label IS NULL)")
 def _(images, roots, versions, metadata):
-    return C.base_view(images, roots, versions, metadata).filter(dsl.list_filter(3, "not", "all", ("Green", "none"))).select("id")
+    return C.base_view(images, roots, versions, metadata).filter(dsl.list_filter(3, "not", "all", ("green", "blue", "none"))).select("id")
 
 
 TAGGED = ", tagged AS (SELECT image_id AS id, list(name) AS tags FROM image_tags GROUP BY 1)"
@@ -91,14 +94,19 @@ def _tagged(images, roots, versions, metadata, image_tags):
     return C.base_view(images, roots, versions, metadata).join(tags, "id", "left")
 
 
-@query("f9_mini_language", (*BASE, "image_tags"), f", {VIEW}{TAGGED} SELECT id FROM view_ LEFT JOIN tagged USING (id) WHERE (coalesce(iso, 0) <= 200 AND contains(lower(coalesce(lens, '')), 'low')) AND len(list_filter(coalesce(tags, []), lambda t: contains(lower(t), 'brand#1'))) > 0")
-def _(*views):
-    return _tagged(*views).filter(dsl.query(["iso <= 200", "lens: low", "Brand#1"], "AND")).select("id")
+SECONDS = "coalesce(1.0 / CAST(regexp_extract(shutter_speed, '1/([0-9]+)', 1) AS DOUBLE), 0)"
+TERMS = {
+    "f9_mini_language": (["iso <= 200", "lens: low", "Brand#1"], "AND", "", "coalesce(iso, 0) <= 200 AND contains(lower(concat(coalesce(lens, ''), ' ', coalesce(lens_make, ''))), 'low') AND {tag:brand#1}"),
+    "f9_mini_language_or": (["rating:=5", "iso > 700"], "OR", "IMG_1", "(coalesce(rating, 0) = 5 OR coalesce(iso, 0) > 700) AND (contains(lower(file_name), 'img_1') OR {tag:img_1})"),
+    "f9_no_operator": (["iso 400", "camera:HOUSEHOLD"], "AND", "", "coalesce(iso, 0) = 400 AND contains(lower(concat(coalesce(camera_make, ''), ' ', coalesce(camera_model, ''))), 'household')"),
+    "f9_shutter_and_focal": (["s >= 1/90", "mm < 60", "model urgent"], "AND", "", f"{SECONDS} >= 1.0 / 90 AND coalesce(focal_length, 0) < 60 AND contains(lower(concat(coalesce(camera_make, ''), ' ', coalesce(camera_model, ''))), 'urgent')"),
+    "f9_colors_and_odd_terms": (["color:Red", "lens > low", "focal 50"], "OR", "", "contains(coalesce(color_label, ''), 'red')"),
+}
 
 
-@query("f9_mini_language_or", (*BASE, "image_tags"), f", {VIEW}{TAGGED} SELECT id FROM view_ LEFT JOIN tagged USING (id) WHERE (coalesce(rating, 0) = 5 OR coalesce(CAST(iso AS DOUBLE), 0) > 700) AND (contains(lower(file_name), 'img_1') OR len(list_filter(coalesce(tags, []), lambda t: contains(lower(t), 'img_1'))) > 0)")
-def _(*views):
-    return _tagged(*views).filter(dsl.query(["rating:=5", "iso > 700"], "OR", "IMG_1")).select("id")
+for _name, (_terms, _mode, _free, _where) in TERMS.items():
+    _where = re.sub(r"\{tag:([^}]*)\}", r"len(list_filter(coalesce(tags, []), lambda t: contains(replace(lower(t), 'user:', ''), '\1'))) > 0", _where)
+    query(_name, (*BASE, "image_tags"), f", {VIEW}{TAGGED} SELECT id FROM view_ LEFT JOIN tagged USING (id) WHERE {_where}")(lambda *v, t=_terms, m=_mode, x=_free: _tagged(*v).filter(dsl.query(t, m, x)).select("id"))
 
 
 GROUPED = f""", {VIEW}, keyed AS (SELECT *, concat_ws('/', CAST(root_id AS VARCHAR), regexp_replace(relative_path, '/?[^/]*$', ''), regexp_replace(file_name, '\\.[^.]*$', '')) AS k FROM view_),
@@ -120,43 +128,66 @@ def _(*views):
     return grouping.sibling_groups(C.base_view(*views), same_time=True).select("id", "group_id")
 
 
-@query("g2_collapse_groups", BASE, f"""{GROUPED}, e AS (SELECT group_id, id, upper(regexp_extract(file_name, '\\.([^./]+)$', 1)) AS ext, row_number() OVER (PARTITION BY group_id ORDER BY CASE WHEN is_raw THEN 0 ELSE 1 END, lower(file_name), id) AS rn FROM grouped WHERE group_id IS NOT NULL)
-SELECT group_id, max(CASE WHEN rn = 1 THEN id END) AS primary_id, count(*) AS members, string_agg(DISTINCT ext, '+' ORDER BY ext) AS badge FROM e GROUP BY 1""")
-def _(*views):
-    return grouping.collapse(grouping.sibling_groups(C.base_view(*views)))
+for _prefer, _rank in (("raw", "CASE WHEN is_raw THEN 0 ELSE 1 END"), ("jpeg", "CASE WHEN is_raw THEN 1 ELSE 0 END")):
+    query(f"g2_collapse_groups_{_prefer}", BASE, f"""{GROUPED}, e AS (SELECT group_id, id, upper(regexp_extract(file_name, '\\.([^./]+)$', 1)) AS ext, row_number() OVER (PARTITION BY group_id ORDER BY {_rank}, lower(file_name), id) AS rn FROM grouped WHERE group_id IS NOT NULL)
+	SELECT group_id, max(CASE WHEN rn = 1 THEN id END) AS primary_id, count(*) AS members, string_agg(DISTINCT ext, '+' ORDER BY ext) AS badge FROM e GROUP BY 1""")(lambda *v, p=_prefer: grouping.collapse(grouping.sibling_groups(C.base_view(*v)), p))
 
 
-@query("g3_expand_selection", BASE, f"{GROUPED} SELECT id FROM grouped WHERE group_id IN (SELECT group_id FROM grouped WHERE rating = 4 AND is_raw) UNION SELECT id FROM grouped WHERE rating = 4 AND is_raw")
+@query("g1_unedited_originals", BASE, ", all_ AS (SELECT i.id, i.root_id, i.relative_path, i.file_name, v.copy_id, v.is_edited, CASE WHEN v.copy_id = '' AND NOT v.is_edited THEN concat_ws('/', CAST(i.root_id AS VARCHAR), regexp_replace(i.relative_path, '/?[^/]*$', ''), regexp_replace(i.file_name, '\\.[^.]*$', '')) END AS k FROM images i JOIN versions v ON v.image_id = i.id) SELECT id, copy_id, CASE WHEN k IS NOT NULL AND count(*) OVER (PARTITION BY k) >= 2 THEN k END AS group_id FROM all_")
+def _(images, roots, versions, metadata):
+    rows = images.join(versions.withColumnRenamed("image_id", "id"), "id").withColumn("is_virtual_copy", F.col("copy_id") != "")
+    return grouping.sibling_groups(rows, edited_too=False).select("id", "copy_id", "group_id")
+
+
+@query("g3_expand_selection", BASE, f"{GROUPED} SELECT id FROM grouped WHERE group_id IN (SELECT group_id FROM grouped WHERE rating = 3 AND is_raw) UNION SELECT id FROM grouped WHERE rating = 3 AND is_raw")
 def _(*views):
     g = grouping.sibling_groups(C.base_view(*views))
-    return grouping.expand_selection(g, g.filter("rating = 4 AND is_raw"))
+    return grouping.expand_selection(g, g.filter("rating = 3 AND is_raw"))
 
 
-for _key, _down in (("iso", True), ("name", True), ("rating", False)):
-    _own = "lower(file_name) DESC" if _key == "name" else f"coalesce(CAST({_key} AS DOUBLE), 0) {'DESC' if _down else 'ASC'}, lower(file_name) ASC"
-    query(f"o2_list_sort_{_key}", BASE, f", {VIEW} SELECT id, folder_id, row_number() OVER (PARTITION BY folder_id ORDER BY {_own}, id) AS place FROM view_")(
+ORDERS = {
+    "date_taken": ("coalesce(date_taken, -9223372036854775808) {d}, modified_at {d}", True), "iso": ("coalesce(iso, 0) {d}", True), "shutter_speed": (SECONDS + " {d}", False), "aperture": ("coalesce(aperture, 0) {d}", False),
+    "focal_length": ("coalesce(focal_length, 0) {d}", True), "date": ("modified_at {d}", True), "rating": ("coalesce(rating, 0) {d}", False), "edited": ("CAST(is_edited AS INT) {d}", True), "name": ("lower(file_name) {d}", True),
+}
+for _key, (_own, _down) in ORDERS.items():
+    _tie = "" if _key == "name" else "lower(file_name) ASC, "
+    query(f"o2_list_sort_{_key}", BASE, f", {VIEW} SELECT id, folder_id, row_number() OVER (PARTITION BY folder_id ORDER BY {_own.format(d='DESC' if _down else 'ASC')}, {_tie}id) AS place FROM view_")(
         lambda *v, k=_key, d=_down: C.base_view(*v).withColumn("place", F.row_number().over(Window.partitionBy("folder_id").orderBy(*dsl.list_order(k, d))).cast("bigint")).select("id", "folder_id", "place")
     )
 
 
-@query("a1_metrics", ("images", "versions"), ", i AS (SELECT count(*) FILTER (status = 'present') AS total, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'present' AND is_raw) AS raw FROM images) SELECT i.*, (SELECT count(*) FROM versions WHERE copy_id = '' AND is_edited) AS edited, (SELECT count(*) FROM versions WHERE copy_id = '' AND rating > 0) AS rated, (SELECT count(*) FROM versions WHERE copy_id <> '') AS copies FROM i")
-def _(images, versions):
-    return facets.metrics(images, versions)
+PRESENT = "(SELECT id FROM images WHERE status = 'present')"
+METRICS = ("images", "versions", "ai_tags", "analysis", "cull_sessions", "cull_events")
 
 
-@query("a2_facet_camera", ("metadata",), "SELECT camera_make AS value, count(*) AS count FROM metadata WHERE camera_make <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
-def _(metadata):
-    return facets.facet(metadata, "camera_make")
+@query("a1_q3_metrics", METRICS, f""", st AS (SELECT i.id, coalesce(bool_or(a.state = 'completed'), false) AS done, coalesce(bool_or(a.state = 'failed'), false) AS failed FROM images i LEFT JOIN analysis a ON a.image_id = i.id AND a.image_modified_at = i.modified_at AND a.analysis_kind = 'tags' WHERE i.status = 'present' GROUP BY 1)
+SELECT (SELECT count(*) FROM images WHERE status = 'present') AS total, (SELECT count(*) FROM images WHERE status = 'missing') AS missing, (SELECT count(*) FROM versions WHERE copy_id = '' AND is_edited AND image_id IN {PRESENT}) AS edited, (SELECT count(*) FROM versions WHERE copy_id = '' AND rating > 0 AND image_id IN {PRESENT}) AS rated,
+(SELECT count(*) FROM ai_tags WHERE review_state = 'suggested') AS tags_suggested, (SELECT count(*) FROM ai_tags WHERE review_state = 'accepted') AS tags_accepted, (SELECT count(*) FROM st WHERE done) AS analysed, (SELECT count(*) FROM st WHERE NOT done) AS pending, (SELECT count(*) FROM st WHERE failed AND NOT done) AS failed,
+(SELECT count(*) FROM cull_sessions) AS sessions, (SELECT count(*) FROM cull_events) AS overrides""")
+def _(*tables):
+    return facets.metrics(*tables)
 
 
-@query("a2_facet_rating_all_versions", ("versions",), "SELECT CAST(rating AS VARCHAR) AS value, count(*) AS count FROM versions GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
-def _(versions):
-    return facets.facet(versions, "rating")
+FACETS = {
+    "cameras": ("metadata", "trim(coalesce(camera_make, '') || ' ' || coalesce(camera_model, ''))", 50, None, "", lambda m: m.withColumn("v", facets.camera())),
+    "lenses": ("metadata", "lens", 50, None, "", lambda m: m.withColumn("v", F.col("lens"))),
+    "years": ("metadata", "CAST(year AS VARCHAR)", None, None, "", lambda m: m.withColumn("v", F.col("year"))),
+    "ratings": ("versions", "CAST(rating AS VARCHAR)", None, None, "", lambda v: v.withColumn("v", F.col("rating"))),
+    "tags": ("image_tags", "name", 75, None, "AND kind <> 'person'", lambda t: t.filter("kind != 'person'").withColumn("v", F.col("name"))),
+    "ai_tags": ("ai_tags", "name", 75, "image_id", "AND review_state <> 'rejected'", lambda t: t.filter("review_state != 'rejected'").withColumn("v", F.col("name"))),
+}
 
 
-@query("a3_facet_people", ("image_tags", "faces", "people"), f", {PEOPLE} SELECT name AS value, count(DISTINCT image_id) AS count FROM person_images GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 75")
-def _(image_tags, faces, people):
-    return facets.facet(C.person_images(image_tags, faces, people), "name", 75, "image_id")
+for _name, (_table, _value, _limit, _distinct, _more, _rows) in FACETS.items():
+    _n = f"count(DISTINCT {_distinct})" if _distinct else "count(*)"
+    query(f"a2_facet_{_name}", ("images", _table), f"SELECT {_value} AS value, {_n} AS count FROM {_table} WHERE image_id IN {PRESENT} AND coalesce({_value}, '') <> '' {_more} GROUP BY 1" + (f" ORDER BY 2 DESC, lower(value), value LIMIT {_limit}" if _limit else ""))(
+        lambda images, t, r=_rows, n=_limit, d=_distinct: facets.facet(facets.of_present(r(t), images), "v", n, d)
+    )
+
+
+@query("a3_facet_people", ("images", "image_tags", "faces", "people"), f", {PEOPLE} SELECT name AS value, count(DISTINCT image_id) AS count FROM person_images WHERE image_id IN {PRESENT} GROUP BY 1 ORDER BY 2 DESC, lower(value), value LIMIT 75")
+def _(images, image_tags, faces, people):
+    return facets.facet(facets.of_present(C.person_images(image_tags, faces, people), images), "name", 75, "image_id")
 
 
 @query("a4_missing_by_root", ("roots", "images"), "SELECT r.id, r.absolute_path, count(i.id) AS images, coalesce(sum(CASE WHEN i.status = 'missing' THEN 1 ELSE 0 END), 0)::BIGINT AS missing FROM roots r LEFT JOIN images i ON i.root_id = r.id GROUP BY 1, 2")
@@ -268,7 +299,7 @@ def _(images, analysis, faces):
     return left.groupBy("folder_id", "stem").agg(F.min(F.struct("is_raw", "id")).alias("b")).select("b.id")
 
 
-@query("j6_companion_faces", ("faces", "images"), """, p AS (SELECT f.id, f.image_id, f.bbox_x, f.bbox_y, i.folder_id, lower(split_part(i.file_name, '.', 1)) AS stem FROM faces f JOIN images i ON f.image_id = i.id)
+@query("j6_companion_faces", ("faces", "images"), """, p AS (SELECT f.id, f.image_id, f.bbox_x, f.bbox_y, i.folder_id, split_part(i.file_name, '.', 1) AS stem FROM faces f JOIN images i ON f.image_id = i.id)
 SELECT a.id AS face_id, b.id AS companion_id FROM p a JOIN p b ON a.folder_id = b.folder_id AND a.stem = b.stem AND a.image_id <> b.image_id AND abs(a.bbox_x - b.bbox_x) < 0.05 AND abs(a.bbox_y - b.bbox_y) < 0.05""")
 def _(faces, images):
     return C.companions(faces, images)
@@ -315,14 +346,19 @@ def _(job_log):
     return grouping.latest(job_log.select("job_id", "state", "seq", "value"), "job_id", "state").select("job_id", "state", "seq", "value")
 
 
-@query("q25_job_list", ("job_log",), "SELECT job_id, arg_max(state, seq) AS state, max(\"at\") AS updated_at FROM job_log GROUP BY 1 ORDER BY CASE WHEN arg_max(state, seq) IN ('queued', 'running', 'paused', 'cancelling') THEN 0 ELSE 1 END, 3 DESC, 1 LIMIT 100")
+@query("q25_job_list", ("job_log",), "SELECT job_id, arg_max(state, seq) AS state, max(\"at\") AS updated_at FROM job_log GROUP BY 1 ORDER BY CASE WHEN arg_max(state, seq) IN ('running', 'paused', 'cancelling') THEN 0 ELSE 1 END, 3 DESC, 1 LIMIT 100")
 def _(job_log):
     return jobs.job_list(jobs.job_states(job_log)).select("job_id", "state", "updated_at")
 
 
-@query("s6_sidecar_json", ("events",), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("s6_sidecars", ("events",), """SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 6 ELSE 0 END AS rating, CASE WHEN event_id % 4 < 2 THEN 2 ELSE 0 END AS tags, event_id % 4 = 3 AS broken, CASE WHEN event_id % 4 = 0 THEN value ELSE 0 END AS exposure FROM events""")
 def _(events):
-    return events.select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k"))
+    rating = F.from_json("props", "k BIGINT")["k"] % 6
+    plain = F.concat(F.lit('{"version": 1, "rating": '), rating.cast("string"))
+    kinds = F.when(F.col("event_id") % 4 == 0, F.concat(plain, F.lit(', "tags": ["user:a", "b"], "adjustments": {"exposure": '), F.col("value").cast("string"), F.lit("}}"))).when(F.col("event_id") % 4 == 1, F.concat(plain, F.lit(', "tags": ["user:a", "b"], "adjustments": {}}')))
+    text = kinds.when(F.col("event_id") % 4 == 2, F.concat(plain, F.lit("}"))).otherwise(F.lit("{broken"))
+    rows = files.parse_sidecars(events.select(F.col("event_id").cast("string").alias("path"), text.alias("text")))
+    return rows.select(F.col("path").cast("bigint").alias("event_id"), F.col("rating").cast("bigint").alias("rating"), F.size("tags").alias("tags"), "broken", files.adjustment("adjustments", "exposure").alias("exposure"))
 
 
 DOT = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
@@ -346,10 +382,9 @@ c AS (SELECT node, min(root) AS component FROM r GROUP BY 1) SELECT node, compon
 
 @query("g8_medoids", ("embeddings",))
 def _(embeddings):
-    pairs = similarity.similar_pairs(embeddings, embeddings, "vec_id", "embedding", -2.0, True)
-    edges = pairs.filter("similarity >= 0.38")
+    edges = similarity.similar_pairs(embeddings, embeddings, "vec_id", "embedding", 0.38, True)
     members = components.components_with_singletons(embeddings.select(F.col("vec_id").alias("node")), edges, 2)
-    return components.medoids(members, pairs).withColumn("mean_similarity", F.round("mean_similarity", 6))
+    return components.medoids(members, embeddings.select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"))).withColumn("mean_similarity", F.round("mean_similarity", 6))
 
 
 ORACLES["g8_medoids"] = ORACLES["g7_components"].replace(" SELECT node, component, count(*) OVER", ", g AS (SELECT node, component, count(*) OVER").rstrip() + f""")
@@ -407,28 +442,47 @@ def _(lineitem):
     return raster.waveform(_pixels(lineitem), 8)
 
 
-@query("a14_dominant_colors", ("lineitem",))
+@query("a14_dominant_colors", ("lineitem",), f""", p AS ({PIXELS}), q AS (SELECT id, r, g, b, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS d FROM p),
+c AS (SELECT id, CASE WHEN hi = 0 THEN 0 ELSE CAST(d AS DOUBLE) / hi END AS s, hi / 255.0 AS v, CASE WHEN d = 0 THEN 0 WHEN hi = r THEN (CASE WHEN g < b THEN 360 ELSE 0 END) + 60.0 * (g - b) / d WHEN hi = g THEN 120 + 60.0 * (b - r) / d ELSE 240 + 60.0 * (r - g) / d END AS h FROM q),
+n AS (SELECT id, CASE WHEN v < 0.2 THEN 'black' WHEN s < 0.1 AND v > 0.8 THEN 'white' WHEN s < 0.1 THEN 'gray' WHEN (h < 45 OR h >= 340) AND v < 0.6 AND s < 0.7 THEN 'brown' WHEN h < 20 OR h >= 340 THEN 'red' WHEN h < 45 THEN 'orange' WHEN h < 70 THEN 'yellow' WHEN h < 160 THEN 'green' WHEN h < 260 THEN 'blue' ELSE 'purple' END AS color FROM c),
+k AS (SELECT id, color, count(*) AS n, color IN ('black', 'white', 'gray') AS plain FROM n GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY plain, n DESC, color) AS rn, bool_and(plain) OVER (PARTITION BY id) AS drab FROM k)
+SELECT id, color, n FROM o WHERE (NOT plain AND rn <= 2) OR (drab AND rn = 1)""")
 def _(lineitem):
     return raster.dominant_colors(_pixels(lineitem))
 
 
-@query("g16_quality_score", ("lineitem",), """SELECT l_orderkey * 10 + l_linenumber AS id, round(CASE WHEN l_linenumber % 2 = 0 THEN 0.38 * least(log10(l_quantity + 1) / 3, 1) + 0.32 * least(log10(l_extendedprice + 1) / 3, 1) + 0.22 * greatest(0, 1 - 5 * l_tax - 5 * l_discount) + 0.08 * l_discount
-ELSE (0.38 * least(log10(l_quantity + 1) / 3, 1) + 0.32 * least(log10(l_extendedprice + 1) / 3, 1) + 0.22 * greatest(0, 1 - 5 * l_tax - 5 * l_discount)) / 0.92 END, 6) AS quality FROM lineitem""")
+_UNIT = "least(log10({x} + 1) / 3.5, 1)"
+
+
+@query("g16_quality_score", ("lineitem",), f"""SELECT l_orderkey * 10 + l_linenumber AS id, round(CASE WHEN l_linenumber % 2 = 0 THEN 0.38 * {_UNIT.format(x='l_quantity')} + 0.32 * {_UNIT.format(x='l_extendedprice')} + 0.22 * greatest(0, 1 - 5 * l_tax - 5 * l_discount) + 0.08 * l_discount
+ELSE (0.38 * {_UNIT.format(x='l_quantity')} + 0.32 * {_UNIT.format(x='l_extendedprice')} + 0.22 * greatest(0, 1 - 5 * l_tax - 5 * l_discount)) / 0.92 END, 6) AS quality FROM lineitem""")
 def _(lineitem):
     composition = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount"))
     return lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.round(scoring.quality(F.col("l_quantity"), F.col("l_extendedprice"), scoring.exposure_score(F.col("l_tax"), F.col("l_discount")), composition), 6).alias("quality"))
 
 
-@query("g21_preference_ranker", ("labels", "documents"))
-def _(labels, documents):
-    rows = labels.join(documents, "doc_id").select(F.col("doc_id").alias("seq"), F.least(F.col("n_chars") / 5000, F.lit(1.0)).alias("quality"), F.col("quality").alias("keep"))
-    return scoring.fit_ranker(rows).withColumns({"bias": F.round("bias", 6), "weight": F.round("weight", 6)})
+@query("g21_q29_preference_ranker", ("cull_events", "cull_decisions"))
+def _(cull_events, cull_decisions):
+    return scoring.fit_ranker(scoring.ranker_examples(cull_events, cull_decisions)).withColumns({"bias": F.round("bias", 6), "weight": F.round("weight", 6)})
+
+
+POSE = """, z AS (SELECT id, person_id, review_state, confidence, bbox_width, bbox_height, sharpness, sqrt((left_eye_x - right_eye_x) * (left_eye_x - right_eye_x) + (left_eye_y - right_eye_y) * (left_eye_y - right_eye_y)) AS apart, nose_x - (left_eye_x + right_eye_x) / 2 AS off, left_eye_y - right_eye_y AS dy, left_eye_x - right_eye_x AS dx FROM faces),
+w AS (SELECT *, CASE WHEN apart > 0.00000011920929 THEN greatest(0, 1 - 1.35 * least(abs(off) / apart, 1)) END AS frontal, CASE WHEN apart > 0.00000011920929 THEN abs(degrees(atan2(dy, dx))) END AS roll FROM z),
+scored AS (SELECT id, person_id, review_state, confidence, frontal, round(0.48 * coalesce(frontal, 0.12) + 0.14 * least(1, greatest(0, 1 - coalesce(roll, 45) / 35)) + 0.18 * coalesce(sharpness, 0.15) + 0.12 * least(1, greatest(0, sqrt(bbox_width * bbox_height) / 0.2)) + 0.08 * least(1, greatest(0, confidence)), 6) AS score FROM w)"""
+MANUAL = "(SELECT person_id, max(id) AS face_id FROM faces WHERE person_id % 3 = 0 AND (review_state = 'confirmed' OR person_id % 2 = 0) GROUP BY 1)"
+
+
+def _scored(faces):
+    c = F.col
+    pose = scoring.pose((c("right_eye_x"), c("right_eye_y")), (c("left_eye_x"), c("left_eye_y")), c("nose_x"))
+    return faces.withColumn("pose", pose).select("id", "person_id", "review_state", "confidence", c("pose.frontal").alias("frontal"), F.round(scoring.cover_score(c("pose.frontal"), c("pose.roll"), c("sharpness"), c("bbox_width"), c("bbox_height"), c("confidence")), 6).alias("score"))
 
 
-@query("g23_cover_choice", ("faces",), "SELECT person_id, arg_min(id, (-round(0.48 * bbox_x + 0.08 * confidence, 6), id)) AS face_id FROM faces WHERE review_state = 'confirmed' GROUP BY 1")
+@query("g23_cover_choice", ("faces",), f"""{POSE}, best AS (SELECT person_id, arg_min(id, (-score, id)) AS face_id FROM scored WHERE review_state = 'confirmed' GROUP BY 1), manual AS (SELECT m.person_id, m.face_id FROM {MANUAL} m WHERE EXISTS (SELECT 1 FROM faces f WHERE f.id = m.face_id AND f.person_id = m.person_id AND f.review_state = 'confirmed'))
+SELECT person_id, coalesce(m.face_id, b.face_id) AS face_id FROM best b LEFT JOIN manual m USING (person_id)""")
 def _(faces):
-    rows = faces.select("id", "person_id", "review_state", F.round(0.48 * F.col("bbox_x") + 0.08 * F.col("confidence"), 6).alias("score"))
-    return scoring.covers(rows, faces.filter("false").select("person_id", F.col("id").alias("face_id")))
+    manual = faces.filter("person_id % 3 = 0 AND (review_state = 'confirmed' OR person_id % 2 = 0)").groupBy("person_id").agg(F.max("id").alias("face_id"))
+    return scoring.covers(_scored(faces), manual)
 
 
-from prismata.plans import more  # noqa: E402, F401  (registers further queries)
+from prismata.plans import kernels, more, workflow  # noqa: E402, F401  (register further queries)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prismata.functions.parse import extension, resize_target
+from prismata.session import small_side
 
 # File name extensions of camera raw and raster formats.
-RAW_FORMATS = ("3fr", "ari", "arw", "bay", "braw", "cap", "cr2", "cr3", "crw", "dcr", "dcs", "dng", "eip", "erf", "fff", "gpr", "iiq", "k25", "kdc", "mef", "mos", "mrw", "nef", "nrw", "orf", "pef", "raf", "raw", "rw2", "rwl", "sr2", "srf", "srw", "x3f")
-RASTER_FORMATS = ("jpg", "jpeg", "png", "tif", "tiff", "webp", "bmp", "gif", "exr", "hdr", "qoi", "avif", "jxl")
+RAW_FORMATS = ("dng", "pro", "ari", "crw", "cr2", "cr3", "bay", "raw", "erf", "raf", "3fr", "fff", "iiq", "kdc", "k25", "dcs", "dcr", "mos", "rwl", "mef", "mrw", "nef", "nrw", "orf", "rw2", "pef", "ptx", "srw", "x3f", "arw", "srf", "sr2")
+RASTER_FORMATS = ("jpg", "jpeg", "png", "gif", "bmp", "tiff", "tif", "webp", "jxl", "exr", "hdr", "tga", "ico", "dds", "qoi", "ff", "pnm", "pbm", "pgm", "ppm", "pam")
 
 
 def is_raw(path: Column) -> Column:
@@ -122,6 +123,65 @@ def interpolate_lens(wanted: DataFrame, entries: DataFrame) -> DataFrame:
     return both.select("id", *[(F.col(f"lo.{c}") + t * (F.col(f"hi.{c}") - F.col(f"lo.{c}"))).alias(c) for c in "abc"])
 
 
+# Fixed values of the subsequence score: a matching letter, opening and widening a gap, a letter at the start, after a break, at a change of case, right after another; the first letter counts this many times its bonus.
+FUZZY = {"match": 16, "open": -3, "widen": -1, "head": 8, "break": 7, "camel": 6, "next": 4, "first": 3}
+
+
+def fuzzy_score(text: str, pattern: str) -> int:
+    """How well the letters of pattern, in order and without case, are found in text; 0 if they are not."""
+    low, want, k = text.lower(), pattern.lower(), FUZZY
+    if not want or len(low) != len(text):
+        return 0
+
+    def bonus(i: int) -> int:
+        if i == 0:
+            return k["head"]
+        before, here = text[i - 1], text[i]
+        return k["break"] if not before.isalnum() else k["camel"] if before.islower() and here.isupper() else 0
+
+    none = -(10**9)
+    ends = [none] * len(low)  # the best score with the last letter of pattern at each place
+    for j, c in enumerate(want):
+        now, gap = [none] * len(low), none
+        for i, here in enumerate(low):
+            if j and i:
+                gap = max(gap + k["widen"], ends[i - 2] + k["open"] if i > 1 else none)
+            if here != c:
+                continue
+            if j == 0:
+                now[i] = k["match"] + k["first"] * bonus(i)
+            else:
+                straight = ends[i - 1] + k["match"] + max(k["next"], bonus(i)) if i else none
+                now[i] = max(straight, gap + k["match"] + bonus(i))
+        ends = now
+    return max(0, *ends)
+
+
+def match_lenses(wanted: DataFrame, lenses: DataFrame) -> DataFrame:
+    """(id, maker, model): the lens whose name fits best: among those of the maker, half the surplus length against it, or else of all. wanted: id, maker, model; no row if none fits.
+
+    The lens table is small; it is joined by maker, and whole only for what is left.
+    """
+
+    @F.pandas_udf("int")
+    def score(names, models):
+        import pandas as pd
+
+        return pd.Series([fuzzy_score(a, b.strip().strip('"')) for a, b in zip(names, models)])
+
+    asked = wanted.select("id", F.lower(F.trim(F.regexp_replace("maker", '"', ""))).alias("key"), F.col("model").alias("asked"))
+    known = small_side(lenses.select("maker", "model", F.lower("maker").alias("key")))
+    same = asked.join(known, "key").withColumn("score", score("model", "asked"))
+    near = same.withColumn("fit", F.col("score") - F.floor(F.greatest(F.length("model") - F.length(F.trim(F.regexp_replace("asked", '"', ""))), F.lit(0)) / 2))
+    pick = lambda rows, fit: rows.filter("score > 0").groupBy("id").agg(F.max_by(F.struct("maker", "model"), F.struct(fit, F.col("model"))).alias("b")).select("id", "b.*")
+    first = pick(near, F.col("fit"))
+    letters = lambda c: F.array_distinct(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", "")), ""))
+    left = asked.join(first.select("id"), "id", "left_anti").withColumn("letter", F.get(F.array_sort(F.filter(letters("asked"), lambda x: x != "")), 0))
+    by_letter = small_side(lenses.select("maker", "model", F.explode(letters("model")).alias("letter")))  # a lens that fits has every letter of the text
+    rest = left.join(by_letter, "letter").withColumn("score", score("model", "asked"))
+    return first.unionByName(pick(rest, F.col("score")))
+
+
 def read_presets(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(presets, failures): files that parse, and the paths and texts of those that do not."""
     text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ACTIVE = ("queued", "running", "paused", "cancelling")
+ACTIVE = ("running", "paused", "cancelling")
 FINAL = ("completed", "failed", "cancelled")
 
 
@@ -23,8 +23,23 @@ def job_list(states: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def recover(states: DataFrame, now: int) -> DataFrame:
-    """Log rows that close jobs which a crash left unfinished."""
-    return states.filter(F.col("state").isin("queued", "running", "cancelling")).select("job_id", F.lit("failed").alias("state"), F.lit(now).alias("at"))
+    """Log rows that close jobs which a crash left unfinished; queued jobs still wait."""
+    return states.filter(F.col("state").isin(*ACTIVE)).select("job_id", F.lit("failed").alias("state"), F.lit(now).alias("at"))
+
+
+#: Command -> (states from which it is allowed, the state after it).
+COMMANDS = {"pause": (("queued", "running"), "paused"), "resume": (("paused",), "running"), "cancel": (("queued", "running", "paused", "cancelling"), "cancelling"), "retry": (("failed", "cancelled"), "queued")}
+
+
+def control(states: DataFrame, commands: DataFrame) -> DataFrame:
+    """(job_id, state, at, refused) log rows of commands (job_id, command, at): those that the job's present state does not allow are refused and change nothing."""
+    j = commands.join(states.select("job_id", F.col("state").alias("now")), "job_id", "left")
+    ok, then = F.lit(False), F.lit(None).cast("string")
+    for name, (allowed, after) in COMMANDS.items():
+        ok = ok | ((F.col("command") == name) & F.col("now").isin(*allowed))
+        then = F.when(F.col("command") == name, after).otherwise(then)
+    fits = F.coalesce(ok, F.lit(False))
+    return j.select("job_id", F.when(fits, then).otherwise(F.col("now")).alias("state"), "at", (~fits).alias("refused"))
 
 
 def run_incrementally(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, step: Callable[[DataFrame], DataFrame], key: str = "id", files_per_batch: int = 100) -> None:

@@ -32,4 +32,4 @@ def test_query_equals_oracle(spark, name):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(ORACLES)))
 def test_query_without_oracle_runs(spark, name):
-    assert registry.queries()[name](spark, DATA).columns
+    assert registry.queries()[name](spark, DATA).count()
