@@ -9,11 +9,14 @@ exceeds THRESHOLD times its trust. Hosts without either are allowed.
 Null urls and urls without ``://`` have an empty host and path, no rule, and are allowed;
 they are no node of the graph. Links of a page to its own host carry nothing. Repeated
 pages count as often as they occur; a dangling host gives nothing on. Each round is
-written to shared storage; a graph without links needs none.
+written to shared storage; rounds end when ranks hardly change, so a trust reaches hosts at
+any distance. A graph without links needs none.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,9 @@ from prismata.session import materialize, small_side
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 DAMPING = 0.85
-ROUNDS = 10
+#: Ranks change by less than this in all when the rounds end; each round leaves DAMPING of the change before it, so so many rounds suffice.
+TOLERANCE = 1e-3
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
 THRESHOLD = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The host of an absolute or protocol-relative link.
@@ -65,8 +70,13 @@ def _spread(seeds: DataFrame, edges: DataFrame, seed: str, src: str, dst: str, r
     rank = seeds.select("host", F.col(seed).alias("rank"))
     for _ in range(rounds):
         sent = edges.join(rank, edges[src] == rank["host"]).groupBy(F.col(dst).alias("host")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
-        step = seeds.join(sent, "host", "left").select("host", (F.lit(1 - damping) * F.col(seed) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        new = F.lit(1 - damping) * F.col(seed) + F.lit(damping) * F.coalesce("got", F.lit(0.0))
+        step = seeds.join(sent, "host", "left").join(rank.withColumnRenamed("rank", "old"), "host").select("host", new.alias("rank"), "old")
         rank = materialize(step, "url-rank")
+        moved = rank.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
+        rank = rank.select("host", "rank")
+        if moved < TOLERANCE / 100:
+            break
     return rank
 
 
