@@ -12,7 +12,9 @@ verified exactly.
 Equal fingerprints are one node before any join, so groups of exact copies never make
 pairs. A crowded cell is not expanded into all pairs either: the cell's members are swept
 by breadth-first search over a shrinking list, which gives a spanning set of links with
-the same components. Components come from operators.components (distributed).
+the same components. The members of a cell beyond CROWDED pass on to finer cells: of a pair
+that is within one in a half, at most three bits differ in the other, so in one of its
+quarters at most one, and the grid repeats on the quarters. Components come from operators.components (distributed).
 
 Null and empty texts have no words and fingerprint zero, linked like any other. Repeated
 rows and repeated doc_ids keep their rows. Rows with a null doc_id keep their row, and are
@@ -35,6 +37,8 @@ UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 SEED = 42
 #: Members up to which all pairs of a cell are compared at once.
 CELL = 64
+#: Members beyond which a cell is cut into finer ones.
+CROWDED = 1 << 15
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -117,13 +121,13 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = (emb >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
             key = base | np.uint64(half << 32) | (table << np.uint64(33))
             cell.append(key)
-            home.append(np.ones(len(fp), bool))
+            home.append(np.ones(len(fp), np.int32))
             own.append(fp)
             of.append(node)
             for k in range(16):
                 up = ((base >> np.uint64(2 * k)) & np.uint64(3)) < 2
                 cell.append(key[up] + np.uint64(1 << (2 * k)))
-                home.append(np.zeros(int(up.sum()), bool))
+                home.append(np.zeros(int(up.sum()), np.int32))
                 own.append(fp[up])
                 of.append(node[up])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell).view(np.int64)), pa.array(np.concatenate(home)), pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(of))], names=["cell", "home", "fp", "node"])
@@ -136,17 +140,15 @@ def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return ok
 
 
-def _sweep(fp: np.ndarray, home: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the near pairs of one crowded cell connect (pairs of two shown members do not count here)."""
+def _sweep(fp: np.ndarray, home: np.ndarray, node: np.ndarray, radius: int, full: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the near pairs of one cell connect (a pair counts if at each level one of the two is at home)."""
     left = np.arange(len(fp))
     a, b = [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             i = queue.pop()
-            ok = near(fp[i], fp[left], radius)
-            if not home[i]:
-                ok &= home[left]
+            ok = near(fp[i], fp[left], radius) & ((home[i] | home[left]) == full)
             got = left[ok]
             if len(got):
                 a.append(np.full(len(got), node[i]))
@@ -157,15 +159,24 @@ def _sweep(fp: np.ndarray, home: np.ndarray, node: np.ndarray, radius: int) -> t
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
-def _links(radius: int, crowd: int):
-    """Sorted (cell, home, fp, node) rows -> linked pairs of nodes."""
+def _links(radius: int, crowd: int, full: int, most: int | None):
+    """Sorted (cell, home, fp, node) rows -> linked pairs of nodes (a, b); the members (cell, home, fp, node) of cells of more than `most`, as they come."""
+    names = ["a", "b", "cell", "home", "fp", "node"]
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *none], names=names)
+
+    def members(cell, home, fp, node) -> pa.RecordBatch:
+        none = pa.nulls(len(cell), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(cell), pa.array(home.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(node)], names=names)
 
     def cells(cell, home, fp, node):
         out_a, out_b = [], []
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         sizes = np.diff(np.r_[starts, len(cell)])
         for s, n in zip(starts[sizes > crowd].tolist(), sizes[sizes > crowd].tolist()):
-            a, b = _sweep(fp[s : s + n], home[s : s + n], node[s : s + n], radius)
+            a, b = _sweep(fp[s : s + n], home[s : s + n], node[s : s + n], radius, full)
             out_a.append(a)
             out_b.append(b)
         keep = np.repeat(sizes <= crowd, sizes) & np.repeat(sizes > 1, sizes)
@@ -174,34 +185,87 @@ def _links(radius: int, crowd: int):
             at = np.flatnonzero(cell[lag:] == cell[:-lag]) if lag < len(cell) else []
             if not len(at):
                 break
-            at = at[home[at] | home[at + lag]]
+            at = at[(home[at] | home[at + lag]) == full]
             ok = near(fp[at], fp[at + lag], radius)
             out_a.append(node[at[ok]])
             out_b.append(node[at[ok] + lag])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        return pairs(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        held: list[list[np.ndarray]] = []  # pieces of the last cell, which may go on
+        size, passing = 0, None  # its rows so far; the cell whose members pass on
         for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()]
-            rest = [np.concatenate(x) for x in zip(rest, new)]
-            cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0  # the last cell may go on
-            if cut:
-                yield cells(*[x[:cut] for x in rest])
-                rest = [x[cut:] for x in rest]
-        if len(rest[0]):
-            yield cells(*rest)
+            if not batch.num_rows:
+                continue
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()]
+            if passing is not None:
+                on = int(np.searchsorted(new[0], passing, "right"))
+                if on:
+                    yield members(*[x[:on] for x in new])
+                    new = [x[on:] for x in new]
+                if not len(new[0]):
+                    continue
+                passing = None
+            first = int(np.searchsorted(new[0], new[0][-1]))  # where the batch's last cell begins
+            if first or (held and held[0][0][0] != new[0][0]):
+                whole = [np.concatenate(x) for x in zip(*held, [x[:first] for x in new])] if held else [x[:first] for x in new]
+                if len(whole[0]):
+                    yield cells(*whole)
+                held, size = [], 0
+            held.append([x[first:] for x in new])
+            size += len(held[-1][0])
+            if most is not None and size > most:
+                passing = int(new[0][-1])
+                yield members(*[np.concatenate(x) for x in zip(*held)])
+                held, size = [], 0
+        if held:
+            yield cells(*[np.concatenate(x) for x in zip(*held)])
 
     return run
 
 
-def links(prints: DataFrame, radius: int = 3, crowd: int = CELL) -> DataFrame:
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of crowded cells -> finer cells: with each quarter of the other half, where again one of two quarters is within one, at home and one step up."""
+    for batch in batches:
+        cell, home = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        fp, node = batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()
+        other = np.uint64(32) * (np.uint64(1) - ((cell.view(np.uint64) >> np.uint64(32)) & np.uint64(1)))
+        emb = popcounts(fp) >> other
+        out: list[list[np.ndarray]] = [[], [], [], []]
+
+        def put(key: np.ndarray, at: np.ndarray, flag: int) -> None:
+            out[0].append(_mixed(cell[at].view(np.uint64), key))
+            out[1].append(home[at] | flag)
+            out[2].append(fp[at])
+            out[3].append(node[at])
+
+        for q in range(2):
+            base = ((emb >> np.uint64(16 * q)) & np.uint64(0xFFFF)) | np.uint64(q << 16)
+            put(base, np.arange(len(fp)), 2)
+            for k in range(8):
+                up = np.flatnonzero(((base >> np.uint64(2 * k)) & np.uint64(3)) < 2)
+                put(base[up] + np.uint64(1 << (2 * k)), up, 0)
+        key, flags, fps, nodes = (np.concatenate(x) for x in out)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(flags.astype(np.int32)), pa.array(fps.view(np.int64)), pa.array(nodes)], names=["cell", "home", "fp", "node"])
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit key of two numbers; what shares it by chance is compared and told apart."""
+    x = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def links(prints: DataFrame, radius: int = 3, crowd: int = CELL, most: int = CROWDED) -> DataFrame:
     """(a, b): links between nodes whose fingerprints of one table are within radius; in each cell they connect all that are. prints: fp, t, node."""
     if radius > 3:
         raise ValueError("two halves bound a half's distance by one up to radius 3")
-    spots = prints.select("fp", "t", "node").mapInArrow(_cells, "cell bigint, home boolean, fp bigint, node bigint")
-    return spots.repartition("cell").sortWithinPartitions("cell", "node", "fp", "home").mapInArrow(_links(radius, crowd), "a bigint, b bigint").filter("a != b").distinct()
+    cells, met = "cell bigint, home int, fp bigint, node bigint", "a bigint, b bigint, cell bigint, home int, fp bigint, node bigint"
+    dealt = lambda spots: spots.repartition("cell").sortWithinPartitions("cell", "node", "fp", "home")
+    spots = prints.select("fp", "t", "node").mapInArrow(_cells, cells)
+    first = materialize(dealt(spots).mapInArrow(_links(radius, crowd, 1, most), met), "simhash-cells")
+    crowded = first.filter("cell IS NOT NULL").select("cell", "home", "fp", "node")
+    finer = dealt(crowded.mapInArrow(_finer, cells)).mapInArrow(_links(radius, crowd, 3, None), met)
+    return first.select("a", "b").unionByName(finer.select("a", "b")).filter("a != b").distinct()
 
 
 def op6_fingerprint(text: str | None) -> list[int]:

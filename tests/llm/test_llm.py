@@ -373,6 +373,59 @@ def test_url_graph(spark):
     assert urlgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string").filter("false")).count() == 0
 
 
+def test_trust_reaches_hosts_far_away(spark):
+    page = lambda k: f'<a href="http://h{k + 1}.org/">next</a>'
+    rows = [(0, "http://a.net/es/1", page(-1))] + [(k + 1, f"http://h{k}.org/", page(k)) for k in range(24)] + [(99, "http://z.com/", '<a href="http://h30.org/">x</a>')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    known = {r.host: r for r in urlgraph.host_verdicts(pages, rules=(("com", "/", "allow"), ("net", "/es/", "block"))).collect()}
+    assert known["h30.org"].trust > 0
+    chain = {r.host: r for r in urlgraph.host_verdicts(spark.createDataFrame([(k, f"http://h{k}.com/", page(k).replace("org", "com")) for k in range(20)] + [(50, "http://s.net/", page(-1).replace("org", "com"))], "page_id long, url string, html string"), rules=(("net", "/", "allow"),)).collect()}
+    assert chain["h15.com"].trust > 0 and chain["h15.com"].verdict == "allow"
+
+
+def test_crowded_cells_are_cut_finer(spark):
+    r = random.Random(21)
+    base = [r.getrandbits(64) for _ in range(6)]
+    prints = sorted({b ^ sum(1 << k for k in r.sample(range(64), r.randrange(5))) for b in base for _ in range(60)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x), 0, signed(x)) for x in prints], "fp long, t int, node long")
+
+    def roots(pairs):
+        parent = {signed(x): signed(x) for x in prints}
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        return {x: find(x) for x in parent}
+
+    want = roots((signed(x), signed(y)) for x in prints for y in prints if x < y and (x ^ y).bit_count() <= 3)
+    for crowd, most in ((64, 1 << 15), (4, 3), (2, 1)):
+        found = simhash.links(df, 3, crowd, most).collect()
+        assert all(((r.a ^ r.b) & ((1 << 64) - 1)).bit_count() <= 3 for r in found)
+        assert roots((r.a, r.b) for r in found) == want, (crowd, most)
+
+
+def test_fingerprints_of_a_whole_table(spark):
+    import re
+
+    import xxhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r.fingerprint for r in simhash.classify(docs).collect()}
+    for row in docs.select("doc_id", "text").collect():
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in row.text or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        bits = sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+        assert got[row.doc_id] == f"{bits:016x}"
+
+
 def test_merkle_audit(spark):
     rows = [(i, f"u{i}", "x" * (i % 7), "s", 5) for i in range(500)] + [(7, "u7", "x" * 0, "s", 5), (None, "u", "x", "s", 5), (None, "u", "x", "s", 5), (None, "v", "y" * 100_000, "s", 5), (600, None, None, None, None)]
     a = spark.createDataFrame(rows, "page_id long, url string, html string, leaf string, start long")
