@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +41,49 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="prismata-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="prismata-")
+    return _local_dirs[app]
+
+
+#: The folders of local sessions that name none.
+_local_dirs: dict[str, str] = {}
+
+
+class Scratch:
+    """The tables written since it began; at its end all but those kept are deleted."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, whose files outlive the scratch."""
+        own = {os.path.basename(os.path.dirname(f)) for f in df.inputFiles()}  # a folder's name is unique
+        self.kept += [p for p in self.paths if os.path.basename(p) in own]
+        self.paths = [p for p in self.paths if p not in self.kept]
+        return df
+
+
+_open: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Delete at the end what materialize() wrote inside, but for what is kept; a result that is still lazy must not read the rest."""
+    own = Scratch()
+    _open.append(own)
+    try:
+        yield own
+    finally:
+        _open.remove(own)
+        for path in own.paths:
+            _delete(spark, path)
+        if _open:  # what was kept belongs to the scratch around it
+            _open[-1].paths += own.kept
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -51,18 +91,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_materialized(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a table that materialize() wrote and that nothing will read again."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     root = shared_dir(spark)
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
         if os.path.dirname(folder).endswith(root.split("://")[-1]):
-            path.getFileSystem(conf).delete(path, True)
+            _delete(spark, folder)
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
