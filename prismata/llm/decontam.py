@@ -33,26 +33,30 @@ WINDOW = 10
 SHINGLE = 2
 #: Windows up to which the benchmark's side of the joins is broadcast (a window has at most WINDOW words).
 SMALL = 400_000
-#: Runs of characters that make a word, before lower-casing.
-WORD = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
+#: Runs of characters that part words, before lower-casing.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NULL_ID = -(1 << 63)
 
 
+def joined_words(text: Column) -> Column:
+    """The words of a text, joined by spaces."""
+    return F.btrim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), BETWEEN, " "))
+
+
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD), F.lit(1))
+    s = joined_words(text)
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " "))
 
 
 def _ascii_lower(x: Column) -> Column:
     return F.translate(x, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def _keys(w: Column, k: int) -> Column:
-    """For each place the key of the k words from it."""
-    if k == 1:
-        return F.transform(w, lambda a: F.xxhash64(a))
-    later = [F.slice(w, j + 1, F.greatest(F.size(w) - j, F.lit(0))) for j in range(k)]
-    zipped = F.slice(F.arrays_zip(*[x.alias(f"w{j}") for j, x in enumerate(later)]), 1, F.greatest(F.size(w) - k + 1, F.lit(0)))
-    return F.transform(zipped, lambda z: F.xxhash64(*[z[f"w{j}"] for j in range(k)]))
+def _shingles(rows: DataFrame, k: int, *kept: str) -> DataFrame:
+    """(*kept, i, key) of each place of rows with words w: the k words from it; places too near the end are left out."""
+    each = rows.select(*kept, "w", F.posexplode("w").alias("i", "x"))
+    key = F.xxhash64("x", *[F.get("w", F.col("i") + j) for j in range(1, k)])
+    return each.filter(F.col("i") + k <= F.size("w")).select(*kept, "i", key.alias("key"))
 
 
 def _lowered(s: Column) -> Column:
@@ -75,16 +79,17 @@ def keys(docs: DataFrame) -> list[Column]:
 
 def tokenized(docs: DataFrame) -> DataFrame:
     """(k1, k2, s, n) of each row: its words joined by spaces, and their number."""
-    w = docs.select(*keys(docs), words(F.col("text")).alias("w"))
-    return materialize(w.select("k1", "k2", F.array_join("w", " ").alias("s"), F.size("w").alias("n")), "decontam-words")
+    cut = docs.select(*keys(docs), joined_words(F.col("text")).alias("s"))
+    spaces = F.length("s") - F.length(F.replace("s", F.lit(" "), F.lit("")))
+    return materialize(cut.select("k1", "k2", "s", F.when(F.col("s") == "", 0).otherwise(spaces + 1).alias("n")), "decontam-words")
 
 
 def _prefixes(wins: DataFrame, tokens: DataFrame, k: int, hint) -> DataFrame:
     """(key, place, window, length) of each window with shingles of k words: its rarest shingle in the corpus. Windows with a shingle that never occurs are left out."""
     own = wins.filter(F.col("k") == k).select("window", "length").distinct()
-    places = own.select("window", "length", F.posexplode(_keys(_lowered(F.col("window")), k)).alias("place", "key"))
+    places = _shingles(own.withColumn("w", _lowered(F.col("window"))), k, "window", "length").withColumnRenamed("i", "place")
     asked = places.select("key").distinct()
-    counts = tokens.select(F.explode(_keys(_lowered(F.col("s")), k)).alias("key")).join(hint(asked), "key").groupBy("key").agg(F.count("*").alias("n"))
+    counts = _shingles(tokens.select(_lowered(F.col("s")).alias("w")), k).select("key").join(hint(asked), "key").groupBy("key").agg(F.count("*").alias("n"))
     ranked = places.join(counts, "key", "left").select("window", "length", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "place").alias("r"))
     return ranked.groupBy("window", "length").agg(F.min("r").alias("r")).filter("r.n > 0").select("r.key", "r.place", "window", "length")
 
@@ -97,7 +102,7 @@ def occurrences(tokens: DataFrame, wins: DataFrame, size: int = WINDOW) -> DataF
     found = None
     for k in kinds:
         prefix = materialize(_prefixes(wins, tokens, k, hint), "decontam-prefixes")
-        at = tokens.select("k1", "k2", "n", "s", F.posexplode(_keys(_lowered(F.col("s")), k)).alias("i", "key"))
+        at = _shingles(tokens.withColumn("w", _lowered(F.col("s"))), k, "k1", "k2", "n", "s")
         low = F.lit(0)
         if not small:  # only the words around an occurrence are shuffled
             low = F.greatest(F.col("i") - size + 1, F.lit(0))
