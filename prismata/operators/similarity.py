@@ -70,8 +70,9 @@ def _product(left: DataFrame, right: DataFrame | None, key: str, vector: str, th
     same = right is None
     n = -(-left.count() // BLOCK)
     pivots = _pivots(plain(left), min(n, PIVOTS))
-    a = materialize(_blocks(plain(left), pivots, n), "vector-blocks")
-    b = a if same else materialize(_blocks(plain(right), pivots, n), "vector-blocks")
+    written = (lambda df: materialize(df, "vector-blocks")) if n > 1 else (lambda df: df)  # one block is made as fast as it is read
+    a = written(_blocks(plain(left), pivots, n))
+    b = a if same else written(_blocks(plain(right), pivots, n))
     about = lambda df, p: df.select("dim", F.col("block").alias(p), F.col("centre").alias(f"{p}c"), F.col("radius").alias(f"{p}r"))
     size = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     most = dot(F.col("ic"), F.col("jc")) + size("ic") * F.col("jr") + size("jc") * F.col("ir") + F.col("ir") * F.col("jr")
