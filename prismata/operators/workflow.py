@@ -109,6 +109,13 @@ def subject_evidence(images: DataFrame, faces: DataFrame, ai_tags: DataFrame, sp
     return out.fillna(0, ["faces"])
 
 
+def with_image_ids(decisions: DataFrame, images: DataFrame, roots: DataFrame) -> DataFrame:
+    """decisions (path) with the image that stands at each path: the root by its longest prefix, then the path below it by equality; null if there is none."""
+    at = catalog.resolve_roots(decisions.select("path").distinct(), roots)
+    known = at.join(images.select(F.col("id").alias("image_id"), "root_id", F.col("relative_path").alias("relative")), ["root_id", "relative"]).select("path", "image_id")
+    return decisions.join(known, "path", "left")
+
+
 # Face review (an append-only log; the last row of a face is its state).
 
 

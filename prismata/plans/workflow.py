@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prismata.functions import parse
 from prismata.operators import catalog as C
 from prismata.operators import workflow
 from prismata.plans.registry import BASE, HIT, PEOPLE, POSE, SEARCH, VIEW, _scored, query
@@ -237,3 +238,18 @@ def _(images, roots, versions, metadata):
     asked = C.CatalogQuery(root_id=1, min_rating=2, rating=9, year=1700, camera="  building ", date_from=900000000, date_to=800000000, tag_mode="maybe", tags=[" ", ""], limit=3)
     empty = images.sparkSession.createDataFrame([], "image_id bigint, name string, review_state string")
     return C.search(C.base_view(images, roots, versions, metadata), asked.sanitized(), empty, empty, empty).select("id")
+
+
+@query("j11_j12_session_images", ("images", "roots"), f", p AS (SELECT {PATH} || CASE WHEN i.id % 10 = 0 THEN '.gone' ELSE '' END AS path, CASE WHEN i.id % 10 <> 0 THEN i.id END AS image_id FROM images i JOIN roots r ON r.id = i.root_id) SELECT path, image_id FROM p UNION ALL SELECT '/none/x.jpg', NULL")
+def _(images, roots):
+    paths = workflow.full_path(images, roots).select(F.concat("path", F.when(F.col("id") % 10 == 0, ".gone").otherwise("")).alias("path"))
+    none = images.sparkSession.createDataFrame([("/none/x.jpg",)], "path string")
+    return workflow.with_image_ids(paths.unionByName(none), images, roots).select("path", "image_id")
+
+
+@query("f11_x6_numbers", ("part",), "SELECT p_partkey AS id, round(CASE p_partkey % 5 WHEN 0 THEN p_size / 10 WHEN 1 THEN p_size WHEN 2 THEN 1.0 / (p_size + 1) WHEN 3 THEN NULL ELSE p_size + 0.5 END, 6) AS value FROM part")
+def _(part):
+    n, text = F.col("p_size"), lambda *c: F.concat(*c)
+    kind = F.col("p_partkey") % 5
+    form = F.when(kind == 0, text(F.lit("f/"), (n / 10).cast("string"))).when(kind == 1, text(n.cast("string"), F.lit(" mm"))).when(kind == 2, text(F.lit("1/"), (n + 1).cast("string"), F.lit(" s"))).when(kind == 3, text(n.cast("string"), F.lit("/0"))).otherwise(text((n + 0.5).cast("string"), F.lit(" steps")))
+    return part.select(F.col("p_partkey").alias("id"), F.round(parse.parse_number(form), 6).alias("value"))
