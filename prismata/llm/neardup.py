@@ -59,13 +59,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(words: list[bytes]) -> np.ndarray:
-    """The distinct hashes of the shingles, rising."""
+def shingle_set(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the shingles of size words, rising."""
     if not words:
         return np.zeros(0, np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     h = Hashes(b"".join(words)).of(np.cumsum(sizes) - sizes, sizes) ^ mix(sizes.astype(np.uint64))
-    width = min(SHINGLE, len(h))
+    width = min(size, len(h))
     out = h[: len(h) - width + 1] * PLACES[0]
     for k in range(1, width):
         out += h[k : len(h) - width + 1 + k] * PLACES[k]
