@@ -17,7 +17,7 @@ vectors, not from eigenvalues.
 Edge cases. Left out: rows whose vector is null, has a null or non-finite entry or one whose
 whole number does not fit 62 bits, and rows whose length is not the table's most frequent one
 (of equally frequent ones the longest). Equal vectors count once in the fit, and each has its
-rows in the result. A null vec_id stays null. Components whose eigenvalue is zero, as far as
+rows in the result. A null vec_id stays null. A deviation of over 38 digits is null. Components whose eigenvalue is zero, as far as
 double precision can tell (ZERO of the largest), are left out: they cannot be scaled to one.
 So an empty table, a single vector, or vectors that are all equal give no row.
 """
@@ -171,7 +171,7 @@ def _whitened(n: int, sums: list[int], vectors_: np.ndarray, values: np.ndarray,
                 rows = part.num_rows
                 off = offsets(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(rows, -1), n, sums)
                 dev = deviations(off)
-                dev = pa.array(dev, pa.int64()).cast(pa.decimal128(38, 0)) if isinstance(dev, np.ndarray) else pa.array([Decimal(v) for v in dev], pa.decimal128(38, 0))
+                dev = pa.array(dev, pa.int64()).cast(pa.decimal128(38, 0)) if isinstance(dev, np.ndarray) else pa.array([Decimal(v) if v < 10**38 else None for v in dev], pa.decimal128(38, 0))
                 white = (off / n).astype(np.float64) @ (vectors_ / np.sqrt(values))
                 again = pa.array(np.repeat(np.arange(rows), k))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(again), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), rows)), pa.array(np.full(rows * k, n)), dev.take(again), pa.array(white.reshape(-1)), pa.array(np.tile(explained, rows)), pa.array(np.full(rows * k, error))], names=names)

@@ -42,7 +42,7 @@ def test_suffix_dedup_of_a_whole_table(spark):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(x), int(gone.sum()), int((np.diff(np.r_[False, gone].astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest()), i
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - {"op12_prefix_trie", "op13_whiten"}))
 def test_one_row_each(spark, name):
     """Queries over documents and pages give a row for each of theirs (the audit one more for each record that only the replica has)."""
     out = registry.queries()[name](spark, DATA)
