@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismata.functions import parse
+
 #: Names of people, and of exclusions, that a query honours.
 MAX_NAMES = 12
 MAX_ROWS = 20_000
@@ -193,3 +195,17 @@ def distinct_faces(faces: DataFrame, images: DataFrame) -> DataFrame:
     placed = faces.filter("review_state = 'unreviewed'").join(images.filter("status = 'present'").select(F.col("id").alias("image_id"), "folder_id", "file_name"), "image_id")
     key = Window.partitionBy("folder_id", F.substring_index("file_name", ".", 1), F.round("bbox_x", 2), F.round("bbox_y", 2)).orderBy(F.desc("confidence"), "id")
     return placed.withColumn("rn", F.row_number().over(key)).filter("rn = 1").drop("rn")
+
+
+def face_scan_candidates(images: DataFrame, completed: DataFrame, faces: DataFrame) -> DataFrame:
+    """(id, companions): what a face run still has to scan, one image for each name in a folder; its companions, an array of ids, get the result too.
+
+    An image with any face at all, in whatever state, or with a completed scan is done. Of
+    images of one name a JPEG is scanned before others, and what is not raw before raw.
+    """
+    done = completed.select(F.col("image_id").alias("id")).union(faces.select("image_id")).distinct()
+    name = F.lower("file_name")
+    left = images.join(done, "id", "left_anti").withColumn("stem", F.lower(parse.stem_before_last_dot(F.col("file_name"))))
+    order = F.struct((~(name.endswith(".jpg") | name.endswith(".jpeg"))).alias("other"), "is_raw", "id")
+    pairs = left.groupBy("folder_id", "stem").agg(F.array_sort(F.collect_list(order)).alias("all"))
+    return pairs.select(F.col("all")[0]["id"].alias("id"), F.transform(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))), lambda x: x["id"]).alias("companions"))

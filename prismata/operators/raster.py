@@ -15,10 +15,14 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return F.shiftright(218 * r.cast("int") + 732 * g.cast("int") + 74 * b.cast("int"), 10)
 
 
-def histogram(pixels: DataFrame, step: int = 2) -> DataFrame:
-    """(id, channel, bin, n): 256 bins of each channel and luma, from every step-th pixel of a row; empty bins included."""
+def histogram(pixels: DataFrame, width: int | str, step: int = 2) -> DataFrame:
+    """(id, channel, bin, n): 256 bins of each channel and luma, from every step-th pixel of the image read row by row; empty bins included.
+
+    width: pixels of a row (a number, or a column's name); x and y begin at 0.
+    """
+    place = F.col("y") * (F.col(width) if isinstance(width, str) else F.lit(width)) + F.col("x")
     v = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), x.cast("int").alias("bin")) for c, x in (("r", F.col("r")), ("g", F.col("g")), ("b", F.col("b")), ("luma", luma(F.col("r"), F.col("g"), F.col("b"))))]))
-    counts = pixels.filter(F.col("x") % step == 0).select("id", v.alias("v")).groupBy("id", "v.channel", "v.bin").agg(F.count("*").alias("n"))
+    counts = pixels.filter(place % step == 0).select("id", v.alias("v")).groupBy("id", "v.channel", "v.bin").agg(F.count("*").alias("n"))
     grid = pixels.select("id").distinct().select("id", F.explode(F.array(*map(F.lit, ("r", "g", "b", "luma")))).alias("channel")).select("id", "channel", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("bin"))
     return grid.join(counts, ["id", "channel", "bin"], "left").fillna(0, ["n"])
 
@@ -34,6 +38,12 @@ def smoothed(hist: DataFrame, sigma: float = 2.0) -> DataFrame:
     return hist.join(each, ["id", "channel", "bin"])
 
 
+def scaled(smooth: DataFrame, share: float = 0.99) -> DataFrame:
+    """smoothed() with v, the height at which a bin is drawn: s over the value that this share of the channel's bins does not exceed, 1 at most; 0 if that value is none."""
+    top = smooth.groupBy("id", "channel").agg(F.element_at(F.sort_array(F.collect_list("s")), int(255 * share + 0.5) + 1).alias("top"))
+    return smooth.join(top, ["id", "channel"]).withColumn("v", F.when(F.col("top") > 1e-6, F.least(F.lit(1.0), F.col("s") / F.col("top"))).otherwise(0.0)).drop("top")
+
+
 def percentile_bins(hist: DataFrame, *shares: float) -> DataFrame:
     """(id, channel, p...): the first bin at which the cumulative count reaches each share."""
     w = Window.partitionBy("id", "channel").orderBy("bin")

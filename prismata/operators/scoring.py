@@ -55,15 +55,50 @@ def covers(faces: DataFrame, manual: DataFrame) -> DataFrame:
     return own.join(valid, "person_id", "left").select("person_id", F.coalesce("face_id", -F.col("b.k")).alias("face_id"))
 
 
-def cull_plan(rows: DataFrame, least: float = 0.35, soft: float = 100.0) -> DataFrame:
-    """(id, verdict, reason): the representative of a group and unique rows stay; other members, and blurry or poor rows, go.
+def adjusted_score(quality_: Column, adjustment: Column, bias: Column, weight: Column) -> Column:
+    """The score a plan goes by: pose and eyes first, clamped to 0 to 1; then 0.8 of that and 0.2 of what the ranker makes of it (null bias: no ranker)."""
+    own = F.greatest(F.lit(0.0), F.least(F.lit(1.0), quality_ + adjustment))
+    own = F.when(F.coalesce(adjustment, F.lit(0.0)) == 0, quality_).otherwise(own)
+    return F.when(bias.isNull(), own).otherwise(0.8 * own + 0.2 * preference(own, bias, weight))
 
-    rows: id, group_root and representative (null outside groups), quality, sharpness, adjustment, personal (null without a ranker).
+
+def cull_plan(rows: DataFrame, soft: float = 100.0) -> DataFrame:
+    """rows with score, representative, verdict, reason and factors: of each group the best scored stays, the others go; blurry rows outside groups go; nothing else does, whatever its score.
+
+    rows: id, group_root (null outside groups), path, quality, sharpness, adjustment (of pose
+    and eyes), composition (null: unknown), eyes (null: unknown), bias and weight (of the
+    ranker, null without one). Of equal scores the smaller id represents. A row of a group is
+    never blurry: the groups are made first. factors: (id, impact, value), in the order in
+    which they are shown.
     """
-    blended = F.when(F.col("personal").isNull(), F.col("quality")).otherwise(0.8 * F.col("quality") + 0.2 * F.col("personal"))
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), blended + F.coalesce("adjustment", F.lit(0.0)))), 6)
-    reason = F.when(F.col("group_root").isNotNull() & (F.col("id") != F.col("representative")), "duplicate").when(F.col("sharpness") < soft, "blurry").when(score < least, "low quality").when(F.col("group_root").isNotNull(), "best of group").otherwise("unique")
-    return rows.withColumn("score", score).withColumn("reason", reason).withColumn("verdict", F.when(F.col("reason").isin("duplicate", "blurry", "low quality"), "reject").otherwise("keep"))
+    known = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    scored = rows.withColumn("score", adjusted_score(F.col("quality"), F.col("adjustment"), F.col("bias"), F.col("weight")))
+    best = scored.filter("group_root IS NOT NULL").groupBy("group_root").agg(F.max(F.struct("score", (-F.col("id")).alias("k"), "path")).alias("b"))
+    joined = scored.join(best.select("group_root", (-F.col("b.k")).alias("representative"), F.col("b.path").alias("of"), F.col("b.score").alias("best")), "group_root", "left")
+    second = F.col("group_root").isNotNull() & (F.col("id") != F.col("representative"))
+    blurry = F.col("group_root").isNull() & (F.col("sharpness") < soft)
+    reason = F.when(second, F.concat(F.lit("duplicate_of:"), "of")).when(blurry, "blurry").when(F.col("group_root").isNotNull(), "best_in_group").otherwise("unique")
+    goes = second | F.coalesce(blurry, F.lit(False))
+    subject = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("quality") + known("adjustment")))
+    factor = lambda name, impact, value, given: F.when(given, F.struct(F.lit(name).alias("id"), impact.alias("impact"), value.cast("double").alias("value")))
+    context = F.lit("context")
+    factors = F.array_compact(
+        F.array(
+            factor("duplicate", F.lit("reject"), F.col("best"), second),
+            factor("sharpness", F.lit("reject"), F.col("sharpness"), blurry),
+            factor("technical_quality", F.when(goes, "supporting").otherwise("context"), F.col("score"), F.lit(True)),
+            factor("subject_geometry", context, F.col("composition"), F.col("composition").isNotNull()),
+            factor("personalization", context, F.col("score") - subject, F.col("bias").isNotNull()),
+            factor("face_pose_adjustment", context, subject - F.col("quality"), known("adjustment") != 0),
+            factor("eye_state", F.when(F.col("eyes") == "closed", "reject").when(F.col("eyes") == "semi-closed", "supporting").otherwise("context"), F.lit(None), F.col("eyes").isNotNull()),
+        )
+    )
+    return joined.withColumn("reason", reason).withColumn("verdict", F.when(goes, "reject").otherwise("keep")).withColumn("factors", factors).drop("of", "best")
+
+
+def preference(quality_: Column, bias: Column, weight: Column) -> Column:
+    """The ranker's probability that a row of this quality is kept."""
+    return 1 / (1 + F.exp(-(bias + weight * F.greatest(F.lit(0.0), F.least(F.lit(1.0), quality_)))))
 
 
 #: The ranker: passes, step, weight decay, newest rows used and rows needed.
@@ -104,5 +139,5 @@ def fit_ranker(feedback: DataFrame) -> DataFrame:
 
 def rank(rows: DataFrame, model: DataFrame) -> DataFrame:
     """rows with personal: the model's probability, null without a model."""
-    p = 1 / (1 + F.exp(-(F.col("bias") + F.col("weight") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("quality"))))))
+    p = preference(F.col("quality"), F.col("bias"), F.col("weight"))
     return rows.join(F.broadcast(model.limit(1)), how="left").withColumn("personal", p).drop("bias", "weight", "examples")

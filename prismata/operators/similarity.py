@@ -195,21 +195,15 @@ def sigmoid_tags(logits: DataFrame, labels: DataFrame, top: int = 10) -> DataFra
     return scored.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "tag"))).filter(F.col("rn") <= top).select("id", "tag", F.round("score", 6).alias("score"))
 
 
-def with_parents(tags: DataFrame, parents: DataFrame, rounds: int = 16) -> DataFrame:
-    """tags (id, tag, score) with their ancestors at score 0 where absent. parents (child, parent) is a taxonomy of any depth, up to rounds; a loop ends it too."""
-    above = parents.select(F.col("child").alias("tag"), F.col("parent").alias("up")).filter("tag != up").distinct()
-    closed = step = materialize(above, "taxonomy")
-    for _ in range(rounds):
-        step = materialize(step.join(above.withColumnRenamed("tag", "mid").withColumnRenamed("up", "next"), F.col("up") == F.col("mid")).select("tag", F.col("next").alias("up")).distinct().join(closed, ["tag", "up"], "left_anti"), "taxonomy")
-        if step.isEmpty():
-            break
-        closed = closed.unionByName(step)
-    added = tags.join(small_side(closed), "tag").select("id", F.col("up").alias("tag"), F.lit(0.0).alias("score"))
+def with_parents(tags: DataFrame, parents: DataFrame) -> DataFrame:
+    """tags (id, tag, score) with their parents at score 0 where absent: the parents that parents (child, parent) lists for a tag, not those above them."""
+    listed = parents.select(F.col("child").alias("tag"), F.col("parent").alias("up")).distinct()
+    added = tags.join(listed, "tag").select("id", F.col("up").alias("tag"), F.lit(0.0).alias("score"))
     return tags.unionByName(added).groupBy("id", "tag").agg(F.max("score").alias("score"))
 
 
 def softmax_tags(logits: DataFrame, labels: DataFrame, parents: DataFrame, least: float = 0.005, top: int = 10) -> DataFrame:
-    """(id, tag, score): softmax over least, the top ones, and their ancestors at score 0 where absent."""
+    """(id, tag, score): softmax over least, the top ones, and their listed parents at score 0 where absent."""
     whole = logits.withColumn("m", F.array_max("logits")).withColumn("t", F.aggregate("logits", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("m"))))
     each = whole.select("id", "m", "t", F.posexplode("logits").alias("pos", "x"))
     scored = each.join(small_side(labels.select("pos", "tag")), "pos").select("id", "tag", (F.exp(F.col("x") - F.col("m")) / F.col("t")).alias("score")).filter(F.col("score") > least)

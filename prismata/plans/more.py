@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prismata.functions import parse
 from prismata.operators import catalog as C
 from prismata.operators import grouping, raster, review, scoring, similarity
-from prismata.plans.registry import BASE, GROUPED, PIXELS, POSE, VIEW, _pixels, query
+from prismata.plans.registry import BASE, GROUPED, PIXELS, POSE, VIEW, _flat, _pixels, query
 from prismata.sources import files
 from prismata.streaming import jobs
 
@@ -68,27 +68,32 @@ def _(embeddings):
 
 @query("g13_g14_softmax_tags", ("embeddings",), f""", {LOGITS}, t AS (SELECT id, 'tag' || pos AS tag, exp(x - max(x) OVER w) / sum(exp(x)) OVER w * exp(max(x) OVER w) AS score FROM each WINDOW w AS (PARTITION BY id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tag) AS rn FROM t WHERE score > 0.03), b AS (SELECT id, tag, round(score, 6) AS score FROM r WHERE rn <= 4),
-up AS (SELECT * FROM (VALUES ('tag1', 'tag2'), ('tag2', 'bird'), ('tag1', 'bird'), ('bird', 'animal'), ('tag2', 'animal'), ('tag1', 'animal'), ('tag9', 'tag4')) v(child, parent))
+up AS (SELECT * FROM (VALUES ('tag1', 'tag2'), ('tag2', 'bird'), ('bird', 'animal'), ('tag9', 'tag4')) v(child, parent))
 SELECT id, tag, max(score) AS score FROM (SELECT * FROM b UNION ALL SELECT id, parent, 0.0 FROM b JOIN up ON b.tag = up.child) GROUP BY 1, 2""")
 def _(embeddings):
     parents = embeddings.sparkSession.createDataFrame([("tag1", "tag2"), ("tag2", "bird"), ("bird", "animal"), ("tag9", "tag4")], "child string, parent string")
     return similarity.softmax_tags(_logits(embeddings), _labels(embeddings.sparkSession), parents, 0.03, 4)
 
 
-@query("g19_g20_cull_plan", BASE, f"""{GROUPED}, q AS (SELECT id, group_id, round((id % 97) / 97.0, 4) AS quality, CAST(id % 300 AS DOUBLE) AS sharpness,
-CASE WHEN id % 4 <> 0 THEN (id % 21) / 20.0 END AS frontal, CASE id % 5 WHEN 0 THEN 0.7 WHEN 1 THEN 0.3 WHEN 2 THEN 0.29 END AS p, CASE WHEN id % 3 <> 0 THEN (id % 11) / 10.0 END AS personal FROM grouped),
+@query("g19_g20_cull_plan", BASE, f"""{GROUPED}, q AS (SELECT g.id, g.group_id, i.relative_path AS path, round((g.id % 97) / 97.0, 4) AS quality, CAST(g.id % 300 AS DOUBLE) AS sharpness, CASE WHEN g.id % 4 <> 0 THEN (g.id % 21) / 20.0 END AS frontal,
+CASE g.id % 5 WHEN 0 THEN 0.7 WHEN 1 THEN 0.3 WHEN 2 THEN 0.29 END AS p, CASE WHEN g.id % 6 = 1 THEN (g.id % 11) / 10.0 END AS composition, CASE WHEN g.id % 2 = 0 THEN -1.5 END AS bias, 3.0 AS weight FROM grouped g JOIN images i ON i.id = g.id),
 j AS (SELECT *, greatest(-0.2, least(0.04, CASE WHEN frontal IS NULL THEN 0 ELSE greatest(-0.04, least(0.04, (frontal - 0.5) * 0.08)) END + CASE WHEN p >= 0.7 OR p IS NULL THEN 0 WHEN p >= 0.3 THEN -0.05 ELSE -0.15 END)) AS adjustment FROM q),
-x AS (SELECT *, round(greatest(0, least(1, CASE WHEN personal IS NULL THEN quality ELSE 0.8 * quality + 0.2 * personal END + adjustment)), 6) AS score FROM j),
-r AS (SELECT *, CASE WHEN group_id IS NOT NULL THEN first_value(id) OVER (PARTITION BY group_id ORDER BY quality DESC, id) END AS rep FROM x)
-SELECT id, score, CASE WHEN reason IN ('duplicate', 'blurry', 'low quality') THEN 'reject' ELSE 'keep' END AS verdict, reason FROM (SELECT id, score, CASE WHEN group_id IS NOT NULL AND id <> rep THEN 'duplicate' WHEN sharpness < 100 THEN 'blurry' WHEN score < 0.35 THEN 'low quality' WHEN group_id IS NOT NULL THEN 'best of group' ELSE 'unique' END AS reason FROM r)""")
+k AS (SELECT *, CASE WHEN adjustment = 0 THEN quality ELSE greatest(0, least(1, quality + adjustment)) END AS own FROM j),
+x AS (SELECT *, CASE WHEN bias IS NULL THEN own ELSE own * 0.8 + 0.2 / (1 + exp(-(bias + weight * own))) END AS score FROM k),
+r AS (SELECT *, CASE WHEN group_id IS NOT NULL THEN first_value(id) OVER w END AS rep, CASE WHEN group_id IS NOT NULL THEN first_value(path) OVER w END AS rep_path FROM x WINDOW w AS (PARTITION BY group_id ORDER BY round(score, 9) DESC, id)),
+v AS (SELECT *, CASE WHEN id <> rep THEN 'duplicate_of:' || rep_path WHEN group_id IS NULL AND sharpness < 100 THEN 'blurry' WHEN group_id IS NOT NULL THEN 'best_in_group' ELSE 'unique' END AS reason FROM r)
+SELECT id, round(score, 6) AS score, reason, CASE WHEN reason IN ('unique', 'best_in_group') THEN 'keep' ELSE 'reject' END AS verdict,
+concat_ws(' ', CASE WHEN reason LIKE 'dup%' THEN 'duplicate:reject' END, CASE WHEN reason = 'blurry' THEN 'sharpness:reject' END, CASE WHEN reason IN ('unique', 'best_in_group') THEN 'technical_quality:context' ELSE 'technical_quality:supporting' END,
+CASE WHEN composition IS NOT NULL THEN 'subject_geometry:context' END, CASE WHEN bias IS NOT NULL THEN 'personalization:context' END, CASE WHEN adjustment <> 0 THEN 'face_pose_adjustment:context' END,
+CASE WHEN p >= 0.7 THEN 'eye_state:context' WHEN p >= 0.3 THEN 'eye_state:supporting' WHEN p IS NOT NULL THEN 'eye_state:reject' END) AS factors FROM v""")
 def _(*views):
     i = F.col("id")
-    g = grouping.sibling_groups(C.base_view(*views)).select("id", "group_id", F.round((i % 97) / 97.0, 4).alias("quality"), (i % 300).cast("double").alias("sharpness"))
-    best = g.filter("group_id IS NOT NULL").groupBy("group_id").agg((-F.max(F.struct("quality", (-i).alias("k")))["k"]).alias("representative"))
+    paths = views[0].select("id", F.col("relative_path").alias("path"))
+    g = grouping.sibling_groups(C.base_view(*views)).select("id", F.col("group_id").alias("group_root"), F.round((i % 97) / 97.0, 4).alias("quality"), (i % 300).cast("double").alias("sharpness")).join(paths, "id")
     eyes = scoring.eye_state(F.when(i % 5 == 0, 0.7).when(i % 5 == 1, 0.3).when(i % 5 == 2, 0.29))
     adjustment = scoring.subject_adjustment(F.when(i % 4 != 0, (i % 21) / 20.0), eyes)
-    rows = g.join(best, "group_id", "left").select("id", F.col("representative").alias("group_root"), "representative", "quality", "sharpness", adjustment.alias("adjustment"), F.when(i % 3 != 0, (i % 11) / 10.0).alias("personal"))
-    return scoring.cull_plan(rows).select("id", "score", "verdict", "reason")
+    rows = g.select("*", adjustment.alias("adjustment"), eyes.alias("eyes"), F.when(i % 6 == 1, (i % 11) / 10.0).alias("composition"), F.when(i % 2 == 0, -1.5).alias("bias"), F.lit(3.0).alias("weight"))
+    return scoring.cull_plan(rows).select("id", F.round("score", 6).alias("score"), "reason", "verdict", F.array_join(F.transform("factors", lambda f: F.concat_ws(":", f["id"], f["impact"])), " ").alias("factors"))
 
 
 @query("g22_pose", ("faces",), f"{POSE} SELECT id, person_id, round(frontal, 6) AS frontal, round(roll, 6) AS roll FROM w")
@@ -144,9 +149,11 @@ def _(images):
     return review.cache_hits(cache, images, "v3").select("image_id", F.round("quality_score", 6).alias("quality_score"))
 
 
-@query("m1_m2_replacements", ("ai_tags",), "SELECT id, image_id FROM (SELECT *, max(model_revision) OVER (PARTITION BY image_id, model_id) AS last FROM ai_tags) WHERE model_revision = last")
+@query("m1_m2_replacements", ("ai_tags",), "SELECT id, image_id, model_revision FROM (SELECT *, id % 3 AS seq, max(id % 3) OVER (PARTITION BY image_id, model_id, model_revision) AS last FROM ai_tags) WHERE seq = last")
 def _(ai_tags):
-    return review.present_rows(ai_tags.withColumnRenamed("model_revision", "seq"), "image_id", "model_id").select("id", "image_id")
+    """A run replaces the rows of its own image, model and revision; what older revisions found stays."""
+    runs = ai_tags.withColumn("seq", F.col("id") % 3)
+    return review.present_rows(runs, "image_id", "model_id", "model_revision").select("id", "image_id", "model_revision")
 
 
 @query("u4_u5_tag_sets", ("image_tags",), ", t AS (SELECT image_id, list_sort(list(DISTINCT name)) AS t FROM image_tags GROUP BY 1) SELECT image_id, len(list_filter(list_distinct(list_append(t, 'new')), x -> x <> 'Brand#11')) AS n FROM t".replace("x -> x", "lambda x: x"))
@@ -222,6 +229,6 @@ def _(lineitem):
     return p.select("id", "x", "y", raster.combine_masks(raster.combine_masks(added, F.col("b"), "subtract"), F.lit(200), "intersect").alias("mask"))
 
 
-@query("a16_clipping", ("lineitem",), f", p AS ({PIXELS}), l AS (SELECT id, (218 * r + 732 * g + 74 * b) >> 10 AS v FROM p WHERE x % 2 = 0) SELECT id, round(count(*) FILTER (v < 5) / count(*), 6) AS dark, round(count(*) FILTER (v >= 250) / count(*), 6) AS bright FROM l WHERE v BETWEEN 0 AND 255 GROUP BY 1")
+@query("a16_clipping", ("lineitem",), f", p AS ({PIXELS}), l AS (SELECT id, (218 * r + 732 * g + 74 * b) >> 10 AS v FROM p WHERE (y * 7 + x - 1) % 2 = 0) SELECT id, round(count(*) FILTER (v < 5) / count(*), 6) AS dark, round(count(*) FILTER (v >= 250) / count(*), 6) AS bright FROM l WHERE v BETWEEN 0 AND 255 GROUP BY 1")
 def _(lineitem):
-    return raster.clipping(raster.histogram(_pixels(lineitem))).select("id", F.round("dark", 6).alias("dark"), F.round("bright", 6).alias("bright"))
+    return raster.clipping(raster.histogram(_flat(lineitem), 7)).select("id", F.round("dark", 6).alias("dark"), F.round("bright", 6).alias("bright"))

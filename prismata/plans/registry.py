@@ -243,14 +243,21 @@ def _(faces, images):
     return C.distinct_faces(faces, images).select("id", "image_id", "confidence")
 
 
-@query("q15_unreviewed_clusters", ("faces",), "SELECT cluster_id, count(*) AS members, min(id) AS representative FROM faces WHERE review_state = 'unreviewed' GROUP BY 1 ORDER BY 2 DESC, 1")
-def _(faces):
-    return faces.filter("review_state = 'unreviewed'").groupBy("cluster_id").agg(F.count("*").alias("members"), F.min("id").alias("representative")).orderBy(F.desc("members"), "cluster_id")
+@query("q15_unreviewed_clusters", ("clusters", "faces", "images", "roots"), """SELECT c.id AS cluster_id, count(m.id) AS members, c.representative_face_id AS representative, r.absolute_path || '/' || i.relative_path AS path FROM clusters c JOIN faces m ON m.cluster_id = c.id
+JOIN faces f ON f.id = c.representative_face_id JOIN images i ON i.id = f.image_id JOIN roots r ON r.id = i.root_id WHERE c.state = 'unreviewed' GROUP BY 1, 3, 4 ORDER BY 2 DESC, 1""")
+def _(clusters, faces, images, roots):
+    """Clusters by their own state, with the path of their stored representative; one whose face is gone is not listed."""
+    open_ = clusters.filter("state = 'unreviewed'").select(F.col("id").alias("cluster_id"), F.col("representative_face_id").alias("representative"))
+    members = faces.groupBy("cluster_id").agg(F.count("*").alias("members"))
+    shown = faces.select(F.col("id").alias("representative"), F.col("image_id")).join(open_, "representative").join(images.select(F.col("id").alias("image_id"), "root_id", "relative_path"), "image_id")
+    named = shown.join(roots.select(F.col("id").alias("root_id"), "absolute_path"), "root_id").select("cluster_id", "representative", F.concat_ws("/", "absolute_path", "relative_path").alias("path"))
+    return named.join(members, "cluster_id").orderBy(F.desc("members"), "cluster_id")
 
 
-@query("q16_face_status", ("faces",), "SELECT count(*) AS faces, count(*) FILTER (review_state = 'confirmed') AS confirmed, count(DISTINCT cluster_id) FILTER (review_state = 'unreviewed') AS open_clusters FROM faces")
-def _(faces):
-    return faces.agg(F.count("*").alias("faces"), F.count_if(F.col("review_state") == "confirmed").alias("confirmed"), F.count_distinct(F.when(F.col("review_state") == "unreviewed", F.col("cluster_id"))).alias("open_clusters"))
+@query("q16_face_status", ("faces", "clusters"), "SELECT count(*) AS detected, count(embedding_id) AS embedded, count(*) FILTER (review_state = 'confirmed') AS confirmed, (SELECT count(*) FROM clusters WHERE state = 'unreviewed') AS unknown_clusters FROM faces")
+def _(faces, clusters):
+    counts = faces.agg(F.count("*").alias("detected"), F.count("embedding_id").alias("embedded"), F.count_if(F.col("review_state") == "confirmed").alias("confirmed"))
+    return counts.join(clusters.agg(F.count_if(F.col("state") == "unreviewed").alias("unknown_clusters")))  # two single rows
 
 
 SUGGESTED = "SELECT t.id, t.image_id, t.name, t.confidence FROM ai_tags t JOIN images i ON t.image_id = i.id WHERE t.review_state = 'suggested' AND i.status = 'present'"
@@ -291,12 +298,11 @@ def _(images, analysis):
     return C.pending(images, analysis, "tags").select("id")
 
 
-@query("q32_face_scan_candidates", ("images", "analysis", "faces"), """, done AS (SELECT image_id FROM analysis WHERE state = 'completed' UNION SELECT image_id FROM faces WHERE review_state = 'confirmed'),
-p AS (SELECT id, row_number() OVER (PARTITION BY folder_id, lower(regexp_replace(file_name, '\\.[^.]*$', '')) ORDER BY is_raw, id) AS rn FROM images WHERE status = 'present' AND id NOT IN (SELECT image_id FROM done)) SELECT id FROM p WHERE rn = 1""")
+@query("q32_face_scan_candidates", ("images", "analysis", "faces"), """, done AS (SELECT image_id FROM analysis WHERE state = 'completed' UNION SELECT image_id FROM faces WHERE image_id % 3 > 0), left_ AS (SELECT *, lower(regexp_replace(file_name, '\\.[^.]*$', '')) AS stem FROM images WHERE status = 'present' AND id NOT IN (SELECT image_id FROM done)),
+p AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY folder_id, stem) AS n FROM left_ WINDOW w AS (PARTITION BY folder_id, stem ORDER BY CASE WHEN lower(file_name) LIKE '%.jpg' OR lower(file_name) LIKE '%.jpeg' THEN 0 ELSE 1 END, is_raw, id)) SELECT id, n - 1 AS companions FROM p WHERE rn = 1""")
 def _(images, analysis, faces):
-    done = analysis.filter("state = 'completed'").select("image_id").union(faces.filter("review_state = 'confirmed'").select("image_id")).distinct().withColumnRenamed("image_id", "id")
-    left = images.filter("status = 'present'").join(done, "id", "left_anti").withColumn("stem", F.lower(parse.stem_before_last_dot(F.col("file_name"))))
-    return left.groupBy("folder_id", "stem").agg(F.min(F.struct("is_raw", "id")).alias("b")).select("b.id")
+    """Faces of two thirds of the images only, as nearly every image of the test tables has some."""
+    return C.face_scan_candidates(images.filter("status = 'present'"), analysis.filter("state = 'completed'"), faces.filter("image_id % 3 > 0")).select("id", F.size("companions").cast("bigint").alias("companions"))
 
 
 @query("j6_companion_faces", ("faces", "images"), """, p AS (SELECT f.id, f.image_id, f.bbox_x, f.bbox_y, i.folder_id, split_part(i.file_name, '.', 1) AS stem FROM faces f JOIN images i ON f.image_id = i.id)
@@ -424,17 +430,29 @@ def _pixels(lineitem):
     return lineitem.selectExpr("l_orderkey % 20 AS id", "l_orderkey AS y", "l_linenumber AS x", "CAST(l_quantity * 5 AS INT) AS r", "CAST(l_discount * 2000 AS INT) AS g", "CAST(l_tax * 3000 AS INT) AS b")
 
 
-HIST = f""", p AS ({PIXELS}), h AS (SELECT id, channel, bin, count(*) AS n FROM (SELECT id, unnest(['r', 'g', 'b', 'luma']) AS channel, unnest([r, g, b, (218 * r + 732 * g + 74 * b) >> 10]) AS bin FROM p WHERE x % 2 = 0) GROUP BY 1, 2, 3)"""
+def _flat(lineitem):
+    """Pixels as an image of rows of seven, numbered from 0."""
+    return _pixels(lineitem).withColumn("x", F.col("x") - 1)
+
+
+HIST = f""", p AS ({PIXELS}), h AS (SELECT id, channel, bin, count(*) AS n FROM (SELECT id, unnest(['r', 'g', 'b', 'luma']) AS channel, unnest([r, g, b, (218 * r + 732 * g + 74 * b) >> 10]) AS bin FROM p WHERE (y * 7 + x - 1) % 2 = 0) GROUP BY 1, 2, 3)"""
 
 
 @query("a11_histogram", ("lineitem",), f"{HIST} SELECT id, channel, bin, n FROM h WHERE n > 0")
 def _(lineitem):
-    return raster.histogram(_pixels(lineitem)).filter("n > 0").select("id", "channel", "bin", "n")
+    return raster.histogram(_flat(lineitem), 7).filter("n > 0").select("id", "channel", "bin", "n")
+
+
+@query("a11_histogram_shown", ("lineitem",), f"""{HIST}, e AS (SELECT id, channel, bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT id FROM p) CROSS JOIN (SELECT unnest(['r', 'g', 'b', 'luma']) AS channel) CROSS JOIN (SELECT unnest(range(256)) AS bin) LEFT JOIN h USING (id, channel, bin)),
+t AS (SELECT k, exp(-k * k / 8.0) / sum(exp(-k * k / 8.0)) OVER () AS w FROM (SELECT unnest(range(-6, 7)) AS k)), s AS (SELECT a.id, a.channel, a.bin, sum(t.w * b.n) AS s FROM e a CROSS JOIN t JOIN e b ON b.id = a.id AND b.channel = a.channel AND b.bin = greatest(0, least(255, a.bin + t.k)) GROUP BY 1, 2, 3),
+m AS (SELECT id, channel, list(s ORDER BY s)[253] AS top FROM s GROUP BY 1, 2) SELECT id, channel, bin, round(CASE WHEN top > 0.000001 THEN least(1, s / top) ELSE 0 END, 6) AS v FROM s JOIN m USING (id, channel)""")
+def _(lineitem):
+    return raster.scaled(raster.smoothed(raster.histogram(_flat(lineitem), 7))).select("id", "channel", F.col("bin").cast("bigint").alias("bin"), F.round("v", 6).alias("v"))
 
 
 @query("a13_percentiles", ("lineitem",), f"{HIST}, c AS (SELECT id, channel, bin, sum(n) OVER (PARTITION BY id, channel ORDER BY bin) AS c, sum(n) OVER (PARTITION BY id, channel) AS t FROM h) SELECT id, channel, min(CASE WHEN c >= 0.01 * t THEN bin END) AS p1, min(CASE WHEN c >= 0.5 * t THEN bin END) AS p50, min(CASE WHEN c >= 0.99 * t THEN bin END) AS p99 FROM c GROUP BY 1, 2")
 def _(lineitem):
-    return raster.percentile_bins(raster.histogram(_pixels(lineitem)), 0.01, 0.5, 0.99)
+    return raster.percentile_bins(raster.histogram(_flat(lineitem), 7), 0.01, 0.5, 0.99)
 
 
 @query("a12_waveform", ("lineitem",), f", p AS ({PIXELS}) SELECT id, CAST(floor(x * 256 / 8) AS INT) AS \"column\", (218 * r + 732 * g + 74 * b) >> 10 AS level, count(*) AS n FROM p GROUP BY 1, 2, 3")

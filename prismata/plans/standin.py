@@ -50,6 +50,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
            CASE WHEN l_partkey % 5 <> 0 THEN 10 * l_linenumber + l_quantity END AS left_eye_x, 10 * l_linenumber AS right_eye_x, 100 * l_tax AS left_eye_y, 50 * l_discount AS right_eye_y, 10 * l_linenumber + l_quantity * l_discount * 8 AS nose_x,
            CASE WHEN l_suppkey % 4 <> 0 THEN l_tax * 12 END AS sharpness FROM lineitem""",
     ),
+    "clusters": (("lineitem",), "SELECT id, max(CASE WHEN n = 1 THEN face END) AS representative_face_id, CASE WHEN id % 4 = 0 THEN 'accepted' ELSE 'unreviewed' END AS state FROM (SELECT l_suppkey % 40 AS id, l_orderkey * 10 + l_linenumber AS face, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) f GROUP BY id"),
     "cluster_state": (("supplier",), "SELECT s_suppkey AS cluster_id, CASE s_suppkey % 4 WHEN 0 THEN 'accepted' ELSE 'unreviewed' END AS state, CAST(s_nationkey AS BIGINT) AS updated_at FROM supplier"),
     "species": (
         ("lineitem", "part"),

@@ -88,7 +88,7 @@ def _(job_log):
 
 
 @query("n2_job_control", ("job_log",), """, s AS (SELECT job_id, arg_max(state, seq) AS now FROM job_log GROUP BY 1), c AS (SELECT job_id, now, CASE job_id % 4 WHEN 0 THEN 'pause' WHEN 1 THEN 'resume' WHEN 2 THEN 'cancel' ELSE 'retry' END AS command FROM s)
-SELECT job_id, CASE WHEN command = 'pause' AND now IN ('queued', 'running') THEN 'paused' WHEN command = 'resume' AND now = 'paused' THEN 'running' WHEN command = 'cancel' AND now IN ('queued', 'running', 'paused', 'cancelling') THEN 'cancelling' WHEN command = 'retry' AND now IN ('failed', 'cancelled') THEN 'queued' ELSE now END AS state,
+SELECT job_id, CASE WHEN command = 'pause' AND now IN ('queued', 'running') THEN 'paused' WHEN command = 'resume' AND now = 'paused' THEN 'running' WHEN command = 'cancel' AND now IN ('queued', 'running', 'paused', 'cancelling') THEN 'cancelling' ELSE now END AS state,
 NOT ((command = 'pause' AND now IN ('queued', 'running')) OR (command = 'resume' AND now = 'paused') OR (command = 'cancel' AND now IN ('queued', 'running', 'paused', 'cancelling')) OR (command = 'retry' AND now IN ('failed', 'cancelled'))) AS refused FROM c""")
 def _(job_log):
     states = jobs.job_states(job_log)
@@ -96,6 +96,18 @@ def _(job_log):
     return jobs.control(states, states.select("job_id", kinds.alias("command"), F.lit(0).alias("at"))).select("job_id", "state", "refused")
 
 
+@query("n2_retried_jobs", ("job_log",), """, s AS (SELECT job_id, arg_max(state, seq) AS state, max("at") AS last_at FROM job_log GROUP BY 1), j AS (SELECT *, CASE job_id % 5 WHEN 0 THEN 'catalog_scan' WHEN 1 THEN 'deblur' WHEN 2 THEN 'face_detection' WHEN 3 THEN 'cull_analysis' ELSE 'export' END AS kind, CASE WHEN job_id % 3 > 0 THEN job_id % 4 END AS root_id,
+CASE WHEN job_id % 2 = 0 THEN '{"imageId": ' || job_id || '}' ELSE '{"recursive": true}' END AS payload FROM s), e AS (SELECT *, CASE WHEN state NOT IN ('failed', 'cancelled') THEN 'only failed or cancelled jobs can be retried' WHEN kind = 'export' THEN 'no retry for export' WHEN kind = 'catalog_scan' AND root_id IS NULL THEN 'no root' WHEN kind = 'deblur' AND job_id % 2 > 0 THEN 'no source image' END AS error FROM j)
+SELECT CASE WHEN error IS NULL THEN job_id || '-' || last_at END AS job_id, kind, root_id, payload, CASE WHEN error IS NULL THEN 'queued' END AS state, job_id AS retried_from, error FROM e""")
+def _(job_log):
+    i = F.col("job_id")
+    kinds = F.element_at(F.array(*map(F.lit, ("catalog_scan", "deblur", "face_detection", "cull_analysis", "export"))), (i % 5).cast("int") + 1)
+    payload = F.when(i % 2 == 0, F.concat(F.lit('{"imageId": '), i.cast("string"), F.lit("}"))).otherwise(F.lit('{"recursive": true}'))
+    states = jobs.job_states(job_log)
+    known = states.select("job_id", kinds.alias("kind"), F.when(i % 3 > 0, i % 4).alias("root_id"), payload.alias("payload"), "state")
+    return jobs.retried(known, states.select("job_id", F.lit("retry").alias("command"), F.col("updated_at").alias("at"))).drop("at")
+
+
 @query("q27_cull_sessions", ("cull_sessions",), "SELECT id, root_id, scope_path, state, updated_at FROM cull_sessions ORDER BY updated_at DESC, id LIMIT 100")
 def _(cull_sessions):
     return cull_sessions.select("id", "root_id", "scope_path", "state", "updated_at").orderBy(F.desc("updated_at"), "id").limit(100)

@@ -27,8 +27,11 @@ def recover(states: DataFrame, now: int) -> DataFrame:
     return states.filter(F.col("state").isin(*ACTIVE)).select("job_id", F.lit("failed").alias("state"), F.lit(now).alias("at"))
 
 
-#: Command -> (states from which it is allowed, the state after it).
-COMMANDS = {"pause": (("queued", "running"), "paused"), "resume": (("paused",), "running"), "cancel": (("queued", "running", "paused", "cancelling"), "cancelling"), "retry": (("failed", "cancelled"), "queued")}
+#: Command -> (states from which it is allowed, the state after it; none: it stays).
+COMMANDS = {"pause": (("queued", "running"), "paused"), "resume": (("paused",), "running"), "cancel": (("queued", "running", "paused", "cancelling"), "cancelling"), "retry": (("failed", "cancelled"), None)}
+# Kinds of jobs that can be started again, and what a kind's payload must have for it.
+RETRIED = ("catalog_scan", "ram_plus_tagging", "ai_tagging", "face_detection", "face_recognition", "raw_denoise", "rgb_denoise", "deblur", "upscale", "cull_analysis", "model_download", "thumbnail_generation", "metadata_extraction", "sidecar_metadata")
+NEEDED = {"raw_denoise": "imageId", "rgb_denoise": "imageId", "deblur": "imageId", "upscale": "imageId"}
 
 
 def control(states: DataFrame, commands: DataFrame) -> DataFrame:
@@ -37,11 +40,34 @@ def control(states: DataFrame, commands: DataFrame) -> DataFrame:
     ok, then = F.lit(False), F.lit(None).cast("string")
     for name, (allowed, after) in COMMANDS.items():
         ok = ok | ((F.col("command") == name) & F.col("now").isin(*allowed))
-        then = F.when(F.col("command") == name, after).otherwise(then)
+        then = F.when(F.col("command") == name, F.lit(after) if after else F.col("now")).otherwise(then)
     fits = F.coalesce(ok, F.lit(False))
     return j.select("job_id", F.when(fits, then).otherwise(F.col("now")).alias("state"), "at", (~fits).alias("refused"))
 
 
+def retried(jobs: DataFrame, commands: DataFrame) -> DataFrame:
+    """(job_id, kind, root_id, payload, state, at, retried_from, error) of retry commands: each allowed one is a new queued job of the old one's kind and payload.
+
+    jobs: job_id, kind, root_id, payload (JSON), state. The old job keeps its state, as history.
+    The new id is made of the old one and the time, so a command that is seen again makes the
+    same job. A command that cannot be followed is a row with an error and no new job.
+    """
+    asked = commands.filter("command = 'retry'").select("job_id", "at").distinct().join(jobs, "job_id", "left")
+    missing = F.lit(False)
+    for kind, field in NEEDED.items():
+        missing = missing | ((F.col("kind") == kind) & F.get_json_object("payload", f"$.{field}").try_cast("bigint").isNull())
+    error = (
+        F.when(F.col("kind").isNull(), "no such job")
+        .when(~F.col("state").isin(*COMMANDS["retry"][0]), "only failed or cancelled jobs can be retried")
+        .when(~F.col("kind").isin(*RETRIED), F.concat(F.lit("no retry for "), "kind"))
+        .when((F.col("kind") == "catalog_scan") & F.col("root_id").isNull(), "no root")
+        .when(missing, "no source image")
+    )
+    new = F.when(F.col("error").isNull(), F.concat_ws("-", "job_id", "at"))
+    fresh = F.when(F.col("error").isNull(), F.lit("queued"))
+    return asked.withColumn("error", error).select(new.alias("job_id"), "kind", "root_id", "payload", fresh.alias("state"), "at", F.col("job_id").alias("retried_from"), "error")
+
+
 def run_incrementally(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, step: Callable[[DataFrame], DataFrame], key: str = "id", files_per_batch: int = 100) -> None:
     """Process what is new in source, once: micro-batches through step, appended with their batch number; a batch that runs again replaces itself.
 
