@@ -30,6 +30,18 @@ def query(name: str, views: tuple[str, ...] = (), oracle: str | None = None):
     return keep
 
 
+def file_query(name: str, views: tuple[str, ...] = (), oracle: str | None = None):
+    """Register a function of (spark, sf_dir), for queries that read the tables as a stream or write on the way; oracle is SQL over the views."""
+
+    def keep(build):
+        QUERIES[name] = build
+        if oracle:
+            ORACLES[name] = sql(views, oracle)
+        return build
+
+    return keep
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
@@ -503,4 +515,4 @@ def _(faces):
     return scoring.covers(_scored(faces), manual)
 
 
-from prismata.plans import kernels, more, workflow  # noqa: E402, F401  (register further queries)
+from prismata.plans import kernels, mechanisms, more, workflow  # noqa: E402, F401  (register further queries)
