@@ -337,8 +337,9 @@ def test_extraction_of_undeclared_pages():
     blocks = extract.main_text(page).split("\n\n")
     assert blocks[:2] == ["Head", "Short."] and blocks[-2:] == ["a point", "The end."] and len(blocks) == 13
     assert extract.main_text("<div><p>a few</p><p>words</p></div>") == "a few\n\nwords"
-    # teasers are declared articles too, but no surge lies in them
-    assert extract.main_text(f"<article>{line(3)}<p>end</p></article><article><p>teaser</p></article>").endswith("2\n\nend")
+    # teasers are declared articles too, but no surge lies in them and they link to something; other short articles stay
+    assert extract.main_text(f"<article>{line(3)}<p>end</p></article><article><h2><a href=x>More</a></h2><p>teaser</p></article>").endswith("2\n\nend")
+    assert extract.main_text(f"<article>{line(3)}<p>end</p></article><article><p>short</p></article>").endswith("2\n\nend\n\nshort")
     assert extract.main_text("İ<SCRIPT>x</SCRIPT><p>two</p>") == "İ\n\ntwo"
 
 
