@@ -515,4 +515,4 @@ def _(faces):
     return scoring.covers(_scored(faces), manual)
 
 
-from prismata.plans import kernels, mechanisms, more, workflow  # noqa: E402, F401  (register further queries)
+from prismata.plans import kernels, mechanisms, more, pixels, workflow  # noqa: E402, F401  (register further queries)
