@@ -130,13 +130,6 @@ def _(lineitem):
     return raster.softest_cell(_gray(lineitem)).select("id", "col", "row")
 
 
-@query("g24_stitching_order", ("embeddings",))
-def _(embeddings):
-    pairs = similarity.similar_pairs(embeddings, embeddings, "vec_id", "embedding", 0.3, True)
-    scoped = pairs.select((F.col("src") % 1).alias("set"), "src", "dst", F.floor(F.col("similarity") * 1000).cast("bigint").alias("inliers"))
-    return grouping.stitching_order(scoped)
-
-
 @query("x5_lens_specification", ("part",), "SELECT p_partkey AS id, CASE WHEN p_size % 7 = 0 THEN NULL ELSE (CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS VARCHAR) ELSE CAST(p_size AS VARCHAR) || '-' || CAST(p_size + 50 AS VARCHAR) END) || ' mm' || CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 2 = 0 THEN ', f/2.5' ELSE ', f/2.5-5' END END AS spec FROM part")
 def _(part):
     n = F.col("p_size").cast("bigint")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prismata.operators import tiles
+from prismata.operators import grouping, matching, similarity, tiles
 from prismata.plans.registry import query
 
 #: Four images of rows of WIDE pixels; a last row that is not full is left out. Tiles are small, so that images have many.
@@ -69,3 +69,43 @@ SELECT id, x, y, round(CASE k WHEN 'r' THEN v WHEN 'b' THEN diagonal ELSE coales
 def _(orders):
     out = tiles.demosaic(tiles.to_tiles(_image(orders), "v", size=TILE), size=TILE)
     return tiles.to_pixels(out, "r", "g", "b", size=TILE).select("id", "x", "y", *[F.round(c, 6).alias(c) for c in "rgb"])
+
+
+#: Two images of each of five sets of vectors: the second is the first moved by (30, -12), a third of its features drawn a bit differently, and every seventh somewhere else.
+STEPS = (-0.125, -0.0625, 0.0625, 0.125)
+FEATURES = f""", f AS (SELECT vec_id AS i, vec_id % 5 AS s, vec_id * 37 % 1000 AS x, vec_id * 91 % 700 AS y, [{" + ".join(f"(e > {t})::INT" for t in STEPS)} FOR e IN embedding] AS c FROM embeddings),
+g AS (SELECT i, s, CASE WHEN i % 7 = 0 THEN x + 700 + 13 * (i % 11) ELSE x + 30 END AS x, CASE WHEN i % 7 = 0 THEN y + 300 - 17 * (i % 13) ELSE y - 12 END AS y, [CASE WHEN i % 3 = 0 AND k <= 4 THEN 4 - c[k] ELSE c[k] END FOR k IN range(1, 65)] AS c FROM f),
+d AS (SELECT f.s, f.i, g.i AS j, f.x AS x1, f.y AS y1, g.x AS x2, g.y AS y2, list_sum([abs(f.c[k] - g.c[k]) FOR k IN range(1, 65)]) AS apart FROM f JOIN g ON f.s = g.s),
+r AS (SELECT *, row_number() OVER w AS rn, lead(apart) OVER w AS runner FROM d WINDOW w AS (PARTITION BY s, i ORDER BY apart, j)), m AS (SELECT 2 * s AS a, 2 * s + 1 AS b, i, j, x1, y1, x2, y2 FROM r WHERE rn = 1 AND runner > 0 AND CAST(apart AS FLOAT) / CAST(runner AS FLOAT) < CAST(0.8 AS FLOAT))"""
+
+
+def _features(embeddings):
+    i = F.col("vec_id")
+    seventh, third = i % 7 == 0, i % 3 == 0
+    over = lambda v, t: F.transform(v, lambda e: e - F.lit(t).cast("float"))
+    words = lambda v: F.array(*[similarity.sign_hash(over(v, t)) for t in STEPS])
+    turned = F.transform("embedding", lambda e, k: F.when(third & (k < 4), -e).otherwise(e))
+    x, y = i * 37 % 1000, i * 91 % 700
+    first = embeddings.select((i % 5 * 2).alias("image"), i.alias("i"), x.alias("x"), y.alias("y"), words(F.col("embedding")).alias("words"))
+    second = embeddings.select((i % 5 * 2 + 1).alias("image"), i.alias("i"), F.when(seventh, x + 700 + 13 * (i % 11)).otherwise(x + 30).alias("x"), F.when(seventh, y + 300 - 17 * (i % 13)).otherwise(y - 12).alias("y"), words(turned).alias("words"))
+    pairs = embeddings.select((i % 5 * 2).alias("a"), (i % 5 * 2 + 1).alias("b")).distinct()
+    return first.unionByName(second), pairs
+
+
+@query("g25_feature_matches", ("embeddings",), f"{FEATURES} SELECT a, b, i, j FROM m")
+def _(embeddings):
+    return matching.match_features(*_features(embeddings)).select("a", "b", "i", "j")
+
+
+@query("g25_consensus", ("embeddings",), f"{FEATURES} SELECT a, b, count(*) AS matches, count(*) FILTER ((x2 - x1 - 30) ** 2 + (y2 - y1 + 12) ** 2 < 25) AS inliers, 30.0 AS dx, -12.0 AS dy FROM m GROUP BY 1, 2 HAVING inliers >= 15")
+def _(embeddings):
+    found = matching.consensus(matching.match_features(*_features(embeddings)))
+    return found.select("a", "b", F.col("matches").cast("bigint").alias("matches"), F.col("inliers").cast("bigint").alias("inliers"), F.round(F.col("map")[2], 3).alias("dx"), F.round(F.col("map")[5], 3).alias("dy"))
+
+
+@query("g24_stitching_order", ("embeddings",))
+def _(embeddings):
+    """Five vectors' nearest relatives as a set of images: links are as strong as vectors are alike."""
+    near = similarity.similar_pairs(embeddings, embeddings, "vec_id", "embedding", 0.3, True)
+    links = near.filter("src % 5 = dst % 5").select((F.col("src") % 5).alias("set"), "src", "dst", F.floor(F.col("similarity") * 1000).cast("bigint").alias("inliers"))
+    return grouping.stitching_order(links)

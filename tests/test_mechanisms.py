@@ -133,3 +133,88 @@ def test_exif_fields_and_broken_bytes(spark):
         assert (by[i].Make, by[i].Model, by[i].ExposureTime, by[i].FNumber, by[i].ISOSpeed, by[i].FocalLength) == ("Lumo", "X1", "1.5 s", "f/2.8", "400", None), i
     assert by[4].Make == "Me" and by[5].Make is None and by[6].Make is None and by[6].ExposureTime is None and by[6].FNumber is None
     assert all(by[i].Make is None and by[i].FNumber is None for i in range(7, 14)) and len(by) == 13
+
+
+def test_matching_needs_a_clear_best_and_consensus_needs_fifteen(spark):
+    import numpy as np
+
+    from prismata.operators import matching
+
+    rng = np.random.default_rng(6)
+    words = rng.integers(-(1 << 62), 1 << 62, (40, 4)).tolist()
+    place = rng.integers(0, 1000, (40, 2)).tolist()
+    h = np.array([[1.02, 0.05, 20.0], [-0.04, 0.98, -7.0], [1e-5, 2e-5, 1.0]])
+    rows = []
+    for i in range(40):
+        x, y = place[i]
+        u, v, z = h @ [x, y, 1]
+        u, v = (u / z, v / z) if i % 5 else (u / z + 300 + 40 * i, v / z - 90)
+        rows += [(0, i, float(x), float(y), words[i]), (1, i, float(u), float(v), words[i])]
+        if i < 12:
+            rows.append((2, i, float(x), float(y), words[i]))  # too few to agree
+    rows += [(3, 0, 0.0, 0.0, words[0]), (3, 1, 1.0, 1.0, words[0])]  # two equal features: none is clearly best
+    features = spark.createDataFrame(rows, "image long, i long, x double, y double, words array<long>")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (0, 9)], "a long, b long")
+    found = matching.match_features(features, pairs).collect()
+    assert sorted((r.i, r.j) for r in found if r.b == 1) == [(i, i) for i in range(40)] and not [r for r in found if r.b == 3]
+    old, matching.SLICE = matching.SLICE, 7
+    try:
+        assert sorted(matching.match_features(features, pairs).collect()) == sorted(found)
+    finally:
+        matching.SLICE = old
+    got = matching.consensus(matching.match_features(features, pairs)).collect()
+    assert [(r.a, r.b, r.matches, r.inliers) for r in got] == [(0, 1, 40, 32)]
+    assert np.allclose(np.array(got[0].map).reshape(3, 3), h, atol=1e-6)
+
+
+def brute_stencils(image, strength):
+    """Denoising by loops over a whole image."""
+    import numpy as np
+
+    from prismata.operators import tiles
+
+    def smooth(p, gap):
+        n, m = p.shape
+        rows = sum(t * p[:, np.clip(np.arange(m) + k * gap, 0, m - 1)] for k, t in zip(range(-2, 3), tiles.TAPS))
+        return sum(t * rows[np.clip(np.arange(n) + k * gap, 0, n - 1)] for k, t in zip(range(-2, 3), tiles.TAPS))
+
+    out = []
+    for plane, weights in zip(np.tensordot(tiles.TO_YCC, image, 1), (tiles.LUMA, tiles.CHROMA, tiles.CHROMA)):
+        now, kept = plane, 0
+        for level, w in enumerate(weights):
+            s = smooth(now, 1 << level)
+            kept, now = kept + (now - s) * (1 - min(1, strength * w)), s
+        out.append(kept + now)
+    return np.maximum(np.tensordot(tiles.FROM_YCC, np.stack(out), 1), 0)
+
+
+def test_tiles_of_any_size_give_the_whole_image(spark):
+    import numpy as np
+
+    from prismata.operators import tiles
+
+    rng = np.random.default_rng(1)
+    images = {1: rng.random((3, 23, 31)), 2: rng.random((3, 1, 40)), 3: rng.random((3, 5, 5))}
+    px = spark.createDataFrame([(i, x, y, *map(float, a[:, y, x])) for i, a in images.items() for y in range(a.shape[1]) for x in range(a.shape[2])], "id long, x int, y int, r double, g double, b double")
+    for size in (4, 8, 64):  # reaches of sixteen pixels cross several tiles
+        cut = tiles.to_tiles(px, "r", "g", "b", size=size)
+        rows = tiles.to_pixels(tiles.wavelet_denoise(cut, 0.9, size), "r", "g", "b", size=size).collect()
+        for i, a in images.items():
+            got = np.zeros_like(a)
+            for r in rows:
+                if r.id == i:
+                    got[:, r.y, r.x] = r.r, r.g, r.b
+            assert np.allclose(got, brute_stencils(a, 0.9), atol=1e-12), (i, size)
+    assert tiles.to_tiles(px.filter("false"), "r").count() == 0
+
+
+def test_hot_pixels_and_demosaicing(spark):
+    from prismata.operators import tiles
+
+    flat = [(1, x, y, 100.0 + 10 * (x % 2 + y % 2)) for x in range(8) for y in range(8)]
+    flat = [(i, x, y, 4000.0 if (x, y) == (3, 4) else 0.0 if (x, y) == (0, 0) else v) for i, x, y, v in flat]
+    px = spark.createDataFrame(flat + [(2, x, 0, 9.0 * x) for x in range(4)], "id long, x int, y int, v double")
+    mended = {(r.id, r.x, r.y): r.v for r in tiles.to_pixels(tiles.mend_pixels(tiles.to_tiles(px, "v", size=4), 0.02, 4000.0, 4), "v", size=4).collect()}
+    assert mended[1, 3, 4] == 110.0 and mended[1, 0, 0] == 0.0 and mended[1, 5, 5] == 120.0 and mended[2, 3, 0] == 27.0
+    rgb = {(r.x, r.y): (r.r, r.g, r.b) for r in tiles.to_pixels(tiles.demosaic(tiles.to_tiles(px.filter("id = 1"), "v", size=4), size=4), "r", "g", "b", size=4).collect()}
+    assert rgb[6, 6] == (100.0, 110.0, 120.0) and rgb[5, 5] == (100.0, 110.0, 120.0) and rgb[5, 6] == (110.0, 110.0, 110.0)
