@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismata.functions.parse import extension, stem_before_last_dot
@@ -96,6 +96,17 @@ def top_per_group(rows: DataFrame, group: str, k: int, *order) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rn") <= k)
 
 
+def numbered(rows: DataFrame, *order: str | Column, name: str = "place") -> DataFrame:
+    """rows with their place from 1 in the order of all of them: sorted by ranges, numbered within each, and moved on by what the ranges before hold (one number a partition)."""
+    number = F.monotonically_increasing_id()  # the partition, and the row in it
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", number)
+    held = materialize(ranged, "numbered").withColumn("_part", F.shiftright("_n", 33)).withColumn("_n", F.col("_n").bitwiseAND((1 << 33) - 1))
+    counts = sorted((r["_part"], r["n"]) for r in held.groupBy("_part").agg(F.count("*").alias("n")).collect())  # as many as partitions
+    offsets = [(part, sum(n for _, n in counts[:k])) for k, (part, _) in enumerate(counts)]
+    before = rows.sparkSession.createDataFrame(offsets, "_part bigint, _before bigint")
+    return held.join(F.broadcast(before), "_part").withColumn(name, (F.col("_n") + F.col("_before") + 1).cast("bigint")).drop("_n", "_part", "_before")
+
+
 def stitching_order(edges: DataFrame) -> DataFrame:
     """(set, place, node): the images of each set in the order of stitching: a spanning tree of the strongest links, walked breadth first from the first image with the fewest links. edges: set, src, dst, inliers.
 

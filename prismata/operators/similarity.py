@@ -33,7 +33,7 @@ def _pivots(vectors: DataFrame, n: int) -> list[list[float]]:
 
 
 def _blocks(vectors: DataFrame, pivots: list[list[float]], blocks: int) -> DataFrame:
-    """(dim, block, ids, flat, centre, radius): vectors by nearest pivot, cut by hash into blocks; vectors of different lengths never meet."""
+    """(dim, cell, block, ids, flat, centre, radius, reach): vectors by nearest pivot (the cell), cut by hash into blocks; vectors of different lengths never meet. reach: the largest distance from the pivot, infinite without one."""
 
     @F.pandas_udf("int")
     def nearest(v):
@@ -49,19 +49,35 @@ def _blocks(vectors: DataFrame, pivots: list[list[float]], blocks: int) -> DataF
     cut = F.pmod(F.xxhash64("id"), F.col("parts"))
     parts = small_side(placed.groupBy(F.size("v").alias("dim"), "cell").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("parts")))
     keyed = placed.withColumn("dim", F.size("v")).join(parts, ["dim", "cell"]).withColumn("block", F.concat_ws("-", "cell", cut))
-    rows = keyed.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    flat = rows.select("dim", "block", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat"))
+    rows = keyed.groupBy("dim", "cell", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    flat = rows.select("dim", "block", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat"), "cell")
 
     def measure(batches):
         for batch in batches:
-            centres, radii = [], []
-            for dim, x in zip(batch.column(0).to_pylist(), batch.column(3)):
+            centres, radii, reach = [], [], []
+            for dim, x, cell in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(4).to_pylist()):
                 x = x.values.to_numpy().reshape(-1, max(dim, 1))
                 centres.append(x.mean(0))
                 radii.append(float(np.sqrt(((x - x.mean(0)) ** 2).sum(1)).max(initial=0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64())], names=["dim", "block", "ids", "flat", "centre", "radius"])
+                known = bool(pivots) and len(pivots[cell]) == dim
+                reach.append(float(np.sqrt(((x - pivots[cell]) ** 2).sum(1)).max(initial=0)) if known else float("inf"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64()), pa.array(reach, pa.float64())], names=["dim", "block", "ids", "flat", "cell", "centre", "radius", "reach"])
 
-    return flat.mapInArrow(measure, "dim int, block string, ids array<bigint>, flat array<double>, centre array<double>, radius double")
+    return flat.mapInArrow(measure, "dim int, block string, ids array<bigint>, flat array<double>, cell int, centre array<double>, radius double, reach double")
+
+
+def _cell_pairs(a: DataFrame, b: DataFrame, pivots: list[list[float]], threshold: float | None) -> DataFrame:
+    """(dim, cell, other): cells of a and b that can reach the threshold, by their pivots and reaches. At most PIVOTS cells a length; their pairs are made, those of their blocks only where a pair is left."""
+    named = a.sparkSession.createDataFrame([(k, [float(x) for x in p]) for k, p in enumerate(pivots)], "cell int, p array<double>")
+    cells = lambda df: df.groupBy("dim", "cell").agg(F.max("reach").alias("reach")).join(F.broadcast(named), "cell", "left")
+    x, y = cells(a), cells(b).select("dim", F.col("cell").alias("other"), F.col("reach").alias("far"), F.col("p").alias("q"))
+    pairs = x.join(y, "dim")
+    if threshold is None:
+        return pairs.select("dim", "cell", "other")
+    size = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    most = dot(F.col("p"), F.col("q")) + size("p") * F.col("far") + size("q") * F.col("reach") + F.col("reach") * F.col("far")
+    unknown = F.col("p").isNull() | F.col("q").isNull() | (F.col("reach") == float("inf")) | (F.col("far") == float("inf"))
+    return pairs.filter(unknown | (most >= threshold - 1e-9)).select("dim", "cell", "other")
 
 
 def _product(left: DataFrame, right: DataFrame | None, key: str, vector: str, threshold: float | None, keep) -> DataFrame:
@@ -73,10 +89,14 @@ def _product(left: DataFrame, right: DataFrame | None, key: str, vector: str, th
     written = (lambda df: materialize(df, "vector-blocks")) if n > 1 else (lambda df: df)  # one block is made as fast as it is read
     a = written(_blocks(plain(left), pivots, n))
     b = a if same else written(_blocks(plain(right), pivots, n))
-    about = lambda df, p: df.select("dim", F.col("block").alias(p), F.col("centre").alias(f"{p}c"), F.col("radius").alias(f"{p}r"))
+    about = lambda df, p, c: df.select("dim", F.col("cell").alias(c), F.col("block").alias(p), F.col("centre").alias(f"{p}c"), F.col("radius").alias(f"{p}r"))
     size = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     most = dot(F.col("ic"), F.col("jc")) + size("ic") * F.col("jr") + size("jc") * F.col("ir") + F.col("ir") * F.col("jr")
-    pairs = about(a, "i").join(about(b, "j"), "dim")
+    if n > 1:
+        reachable = small_side(_cell_pairs(a, b, pivots, threshold))
+        pairs = about(a, "i", "cell").join(reachable, ["dim", "cell"]).join(about(b, "j", "other"), ["dim", "other"])
+    else:  # one block
+        pairs = about(a, "i", "cell").join(about(b, "j", "other"), "dim")
     pairs = pairs.filter("i <= j") if same else pairs
     pairs = (pairs if threshold is None else pairs.filter(most >= threshold - 1e-9)).select("dim", "i", "j")
     first = a.select("dim", F.col("block").alias("i"), F.col("ids").alias("a"), F.col("flat").alias("x"))

@@ -143,9 +143,10 @@ def confirmed_cluster(faces: DataFrame, images: DataFrame, cluster_id: int, pers
     return joined.withColumn("person_id", F.when(changes, F.lit(person_id)).otherwise(F.col("person_id"))).withColumn("review_state", F.when(changes, "confirmed").otherwise(F.col("review_state"))).drop("hit")
 
 
-def cleared_faces(*tables: DataFrame) -> list[DataFrame]:
-    """The face tables, emptied for a new index; people and images stay as they are."""
-    return [t.limit(0) for t in tables]
+def cleared_faces(rows: DataFrame, clears: DataFrame) -> DataFrame:
+    """Rows of a face table's log (seq) after the last command to clear it (clears: seq); people and images are not touched. Without a command all rows stay."""
+    last = clears.agg(F.max("seq").alias("cleared"))  # one row
+    return rows.join(F.broadcast(last)).filter("cleared IS NULL OR seq > cleared").drop("cleared")
 
 
 # Bulk edits of sidecars and catalog.

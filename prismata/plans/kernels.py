@@ -148,14 +148,15 @@ def _(events):
     return v.select(F.col("event_id").alias("id"), F.round(files.adjustment("v", "exposure", scale=20.0), 6).alias("exposure"), F.round(files.adjustment("v", "grain.size", default=50.0, scale=100.0), 6).alias("luma"), edited.alias("edited"))
 
 
-LENSES = [("Argent", "Argent 24-70mm f/2.8 Pro"), ("Argent", "Argent 50mm f/1.4"), ("Lumo", "Lumo 50mm f/1.4 II"), ("Lumo", "Lumo Macro 100mm")]
-WANTED = [(1, "argent", "50mm f/1.4"), (2, "Unknown", "Macro 100"), (3, "Lumo", "zzz"), (4, "ARGENT", '"24-70mm"')]
-
-
-@query("j13_lens_match", ("region",), "SELECT * FROM (VALUES (1, 'Argent', 'Argent 50mm f/1.4'), (2, 'Lumo', 'Lumo Macro 100mm'), (4, 'Argent', 'Argent 24-70mm f/2.8 Pro')) v(id, maker, model)")
-def _(region):
-    spark = region.sparkSession
-    return files.match_lenses(spark.createDataFrame(WANTED, "id int, maker string, model string"), spark.createDataFrame(LENSES, "maker string, model string"))
+@query("j13_lens_match", ("part",), """, lens AS (SELECT DISTINCT p_brand AS maker, p_type AS model FROM part), asked AS (SELECT p_partkey AS id, p_brand, p_type FROM part WHERE p_partkey % 11 = 0 AND p_partkey % 7 > 0)
+SELECT id, maker, model FROM asked JOIN lens ON p_type = model AND maker = CASE WHEN id % 4 = 3 THEN (SELECT max(l.maker) FROM lens l WHERE l.model = p_type) ELSE p_brand END""")
+def _(part):
+    """Types as lenses of their brands; asked for by their names in lower case, some in quotes, a quarter without a known maker, a seventh by a name that none has."""
+    i = F.col("p_partkey")
+    lenses = part.select(F.col("p_brand").alias("maker"), F.col("p_type").alias("model")).distinct()
+    model = F.when(i % 7 == 0, "###").when(i % 2 == 0, F.concat(F.lit('"'), "p_type", F.lit('"'))).otherwise(F.lower("p_type"))
+    wanted = part.filter(i % 11 == 0).select(i.alias("id"), F.when(i % 4 == 3, "nobody").otherwise(F.lower("p_brand")).alias("maker"), model.alias("model"))
+    return files.match_lenses(wanted, lenses)
 
 
 @query("x12_lens_interpolation", ("part",), """, e AS (SELECT * FROM (VALUES (24.0, 0.1, -0.2, 0.3), (50.0, 0.2, -0.1, 0.1), (70.0, 0.4, 0.0, 0.0)) v(focal, a, b, c)), w AS (SELECT p_partkey AS id, CAST(p_size * 2 AS DOUBLE) AS f FROM part),

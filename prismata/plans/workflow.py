@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prismata.functions import parse
 from prismata.operators import catalog as C
-from prismata.operators import workflow
+from prismata.operators import grouping, workflow
 from prismata.plans.registry import BASE, HIT, PEOPLE, POSE, SEARCH, VIEW, _scored, query
 from prismata.streaming import jobs
 
@@ -15,11 +15,8 @@ PATH = "r.absolute_path || '/' || i.relative_path"
 
 @query("q1_catalog_list", BASE, f", {VIEW} SELECT id, absolute_path || '/' || relative_path AS path, row_number() OVER (ORDER BY lower(relative_path), id) AS place FROM view_ WHERE starts_with(relative_path, 'nation_3/')")
 def _(*views):
-    from pyspark.sql import Window
-
     rows = C.base_view(*views).filter(C.folder_scope(F.col("relative_path"), "nation_3"))
-    place = F.row_number().over(Window.orderBy(F.lower("relative_path"), "id")).cast("bigint")
-    return rows.select("id", F.concat("absolute_path", F.lit("/"), "relative_path").alias("path"), place.alias("place"))
+    return grouping.numbered(rows.select("id", F.concat("absolute_path", F.lit("/"), "relative_path").alias("path"), F.lower("relative_path").alias("sort")), "sort", "id").drop("sort")
 
 
 @query("q9_people_all_states", ("people", "faces"), "SELECT p.id, p.display_name, p.state, p.merged_into, count(f.id) AS confirmed FROM people p LEFT JOIN faces f ON f.person_id = p.id AND f.review_state = 'confirmed' GROUP BY ALL")
@@ -180,9 +177,15 @@ def _collections(spark):
     return workflow.saved_collections(old, spark.createDataFrame(CHANGES, "seq bigint, name string, query string"))
 
 
-@query("m9_q37_collections", ("roots",), "SELECT * FROM (VALUES ('Best raws', '" + STORED + "', true), ('France', '{\"text\": \"france\"}', true), ('Old', '{}', true)) v(name, query, valid)")
-def _(roots):
-    return workflow.collection_list(_collections(roots.sparkSession))
+@query("m9_q37_collections", ("part",), """, c AS (SELECT p_partkey AS seq, CASE WHEN p_partkey % 9 = 0 THEN '  ' WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE ' ' || p_brand END AS name, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '{broken' WHEN 2 THEN '[3]' ELSE '{"minRating": ' || p_size || '}' END AS query FROM part),
+k AS (SELECT lower(trim(name)) AS k, arg_min(trim(name), seq) AS name, arg_max({'q': query}, seq).q AS query FROM c WHERE trim(name) <> '' AND (query IS NULL OR starts_with(query, '{"')) GROUP BY 1) SELECT name, query, true AS valid FROM k WHERE query IS NOT NULL""")
+def _(part):
+    """Each part changes the stored query of its brand: sets it, deletes it, or is refused."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    name = F.when(k % 9 == 0, "  ").when(k % 2 == 0, F.upper("p_brand")).otherwise(F.concat(F.lit(" "), "p_brand"))
+    text = F.when(n % 5 == 1, "{broken").when(n % 5 == 2, "[3]").when(n % 5 > 2, F.concat(F.lit('{"minRating": '), n.cast("string"), F.lit("}")))
+    changes = part.select(k.alias("seq"), name.alias("name"), text.alias("query"))
+    return workflow.collection_list(workflow.saved_collections(changes.select("name", "query").limit(0), changes))
 
 
 @query("q37_apply_collection", SEARCH, f", {VIEW}, {PEOPLE} SELECT id, relative_path, date, rating FROM view_ WHERE rating >= 3 AND is_raw AND {HIT.format(t='image_tags', w='', n='brand#1')} AND NOT " + HIT.format(t="ai_tags", w="t.review_state <> 'rejected' AND", n="economy"))
@@ -215,9 +218,7 @@ UNION ALL SELECT d.id, a.own || b.own || c.own || d.own, 3 FROM t d JOIN t c ON
 UNION ALL SELECT e.id, a.own || b.own || c.own || d.own || e.own, 4 FROM t e JOIN t d ON e.parent_id = d.id JOIN t c ON d.parent_id = c.id JOIN t b ON c.parent_id = b.id JOIN t a ON b.parent_id = a.id AND a.parent_id IS NULL)
 SELECT id, depth, row_number() OVER (ORDER BY sort) AS place FROM l""")
 def _(album_tree):
-    from pyspark.sql import Window
-
-    return workflow.sorted_tree(album_tree).select("id", "depth", F.row_number().over(Window.orderBy("sort")).cast("bigint").alias("place"))
+    return grouping.numbered(workflow.sorted_tree(album_tree).select("id", "depth", "sort"), "sort").drop("sort")
 
 
 PLAN = "items AS (SELECT id, id % 3 <> 0 AS keep, id % 5 = 0 AS has_conflict, relative_path AS path FROM images)"
@@ -235,14 +236,12 @@ def _(images):
     return workflow.undo_plan(workflow.apply_plan(items, "/lib", conflict="overwrite"))
 
 
-@query("m11_cleared_faces", ("faces", "people"), "SELECT 0 AS faces, count(*) AS people FROM people")
-def _(faces, people):
-    (none,) = workflow.cleared_faces(faces)
-    return facets_of(none, people)
-
-
-def facets_of(faces, people):
-    return people.agg(F.count("*").alias("people")).join(F.broadcast(faces.agg(F.count("*").cast("int").alias("faces"))))
+@query("m11_cleared_faces", ("faces", "orders"), "SELECT f.id, f.image_id FROM faces f JOIN orders o ON o.o_orderkey = f.image_id WHERE f.id > (SELECT max(o_orderkey * 10 + 5) FROM orders WHERE o_custkey % 7 = 0)")
+def _(faces, orders):
+    """Some orders stand for commands to clear the index; faces found after the last of them are what a new index has."""
+    clears = orders.filter("o_custkey % 7 = 0").select((F.col("o_orderkey") * 10 + 5).alias("seq"))
+    found = faces.join(orders.select(F.col("o_orderkey").alias("image_id")), "image_id", "left_semi").withColumn("seq", F.col("id"))
+    return workflow.cleared_faces(found, clears).select("id", "image_id")
 
 
 @query("f13_sanitized_query", BASE, f", {VIEW} SELECT id FROM view_ WHERE rating >= 2 AND date >= 800000000 AND date <= 900000000 AND contains(lower(concat_ws(' ', camera_make, camera_model)), 'building')")

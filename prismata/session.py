@@ -11,8 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if its estimated or counted size stays below this many rows.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if it has at most this many rows, and its files this many bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def session(app: str = "prismata", cpus: str | int = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -109,9 +109,30 @@ def drop_materialized(spark: SparkSession, df: DataFrame) -> None:
             _delete(spark, folder)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a bounded count proves it small, else df as it is (Spark then shuffles both sides)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Nodes of a plan that only reads files.
+READS = ("Project", "Filter", "LogicalRelation", "DataSourceV2ScanRelation", "LocalRelation", "ResolvedHint")
+
+
+def reads_files(df: DataFrame) -> bool:
+    """Whether df is no more than columns and rows of files: to run it again costs a scan."""
+    nodes = [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() not in READS:
+            return False
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return True
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is proved small, else df as it is (Spark then shuffles both sides).
+
+    What is more than a scan is written first, so it runs once, not for the count and again for the join.
+    """
+    known = df if reads_files(df) else materialize(df, "side")
+    small = int(str(known._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= size and known.limit(rows + 1).count() <= rows
+    return F.broadcast(known) if small else known
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

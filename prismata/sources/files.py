@@ -173,7 +173,7 @@ def match_lenses(wanted: DataFrame, lenses: DataFrame) -> DataFrame:
     known = small_side(lenses.select("maker", "model", F.lower("maker").alias("key")))
     same = asked.join(known, "key").withColumn("score", score("model", "asked"))
     near = same.withColumn("fit", F.col("score") - F.floor(F.greatest(F.length("model") - F.length(F.trim(F.regexp_replace("asked", '"', ""))), F.lit(0)) / 2))
-    pick = lambda rows, fit: rows.filter("score > 0").groupBy("id").agg(F.max_by(F.struct("maker", "model"), F.struct(fit, F.col("model"))).alias("b")).select("id", "b.*")
+    pick = lambda rows, fit: rows.filter("score > 0").groupBy("id").agg(F.max_by(F.struct("maker", "model"), F.struct(fit, F.col("model"), F.col("maker"))).alias("b")).select("id", "b.*")
     first = pick(near, F.col("fit"))
     letters = lambda c: F.array_distinct(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", "")), ""))
     left = asked.join(first.select("id"), "id", "left_anti").withColumn("letter", F.get(F.array_sort(F.filter(letters("asked"), lambda x: x != "")), 0))
