@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from prismata.plans.registry import ORACLES, file_query, query
 from prismata.plans.standin import catalog
 from prismata.session import materialize, shared_dir
-from prismata.sources import cache, exif
+from prismata.sources import cache, exif, presets
 from prismata.streaming import queue
 
 LEASE = 12 * 3600
@@ -75,3 +75,46 @@ CASE WHEN NOT lost THEN '-5' || CASE WHEN c % 9 > 0 THEN '.' || c % 9 ELSE '' EN
 def _(orders):
     found = exif.metadata(materialize(camera_bytes(orders), "camera-files"))
     return found.select("id", "Make", "Model", "ExposureTime", "FNumber", "PhotographicSensitivity", "ShutterSpeedValue", "FocalLength", "DateTimeOriginal", "LensSpecification")
+
+
+def preset_texts(part):
+    """(path, value): foreign presets made of parts; every 6th has a broken number, every 7th gives an attribute twice, every 10th is no preset."""
+    i, n = F.col("p_partkey"), F.col("p_size")
+    s = lambda c: c.cast("string")
+    attribute = lambda name, value: F.concat(F.lit(f' crs:{name}="'), value, F.lit('"'))
+    point = lambda x, y: F.concat(F.lit("<rdf:li>"), s(x), F.lit(", "), s(y), F.lit("</rdf:li>"))
+    body = F.concat(
+        F.lit("<rdf:Description"),
+        attribute("Exposure2012", F.concat(F.lit("+"), s(n % 5), F.lit(".5"))),
+        F.when(i % 7 == 0, attribute("Contrast2012", F.lit("1"))).otherwise(""),
+        attribute("Contrast2012", F.when(i % 6 == 0, "soft").otherwise(s(n - 25))),
+        attribute("Shadows2012", s(n * 2)),
+        attribute("Sharpness", s(n * 4)),
+        attribute("Temperature", s(2000 + n * 100)),
+        F.when(i % 2 == 0, attribute("AsShotTemperature", s(4000 + n * 10))).otherwise(""),
+        attribute("HueAdjustmentOrange", s(n)),
+        attribute("ColorGradeBlending", s(n)),
+        attribute("NobodyKnows", s(n)),
+        F.lit(">\n<crs:Name>\n<rdf:Alt><rdf:li xml:lang=\"x\"> Look "), s(n), F.lit(" </rdf:li></rdf:Alt>\n</crs:Name>"),
+        F.lit("<crs:ToneCurvePV2012>\n <rdf:Seq>"), point(F.lit(0), n), point(n, n + 40), point(F.lit(255), F.lit(250)), F.lit("</rdf:Seq>\n</crs:ToneCurvePV2012></rdf:Description>"),
+    )
+    return part.select(s(i).alias("path"), F.when(i % 10 == 0, "no preset").otherwise(body).alias("value"))
+
+
+_PRESETS = ", p AS (SELECT CAST(p_partkey AS VARCHAR) AS path, p_partkey AS i, p_size AS n FROM part WHERE p_partkey % 10 <> 0)"
+
+
+@query("s15_converted_presets", ("part",), f"""{_PRESETS}, t AS (SELECT path, i, n, 1000000.0 / CASE WHEN i % 2 = 0 THEN 4000 + n * 10 ELSE 5500 END - 1000000.0 / (2000 + n * 100) AS mired FROM p),
+v AS (SELECT path, 'exposure' AS target, n % 5 + 0.5 AS value FROM t UNION ALL SELECT path, 'contrast', n - 25 FROM t WHERE i % 6 <> 0 UNION ALL SELECT path, 'shadows', least(100, n * 3.0) FROM t UNION ALL SELECT path, 'sharpness', least(100, n * 4 / 1.5) FROM t UNION ALL SELECT path, 'temperature', greatest(-100, least(100, mired / 1.5)) FROM t
+UNION ALL SELECT path, 'hsl.oranges.hue', n * 0.75 FROM t UNION ALL SELECT path, 'colorGrading.blending', n FROM t) SELECT path, target, round(CAST(value AS DOUBLE), 6) AS value FROM v""")
+def _(part):
+    return presets.adjustments(preset_texts(part)).select("path", "target", F.round("value", 6).alias("value"))
+
+
+@query("s15_curves_names_failures", ("part",), f"""{_PRESETS}, c AS (SELECT path, unnest([0, 1, 2]) AS place, unnest([0, n, 255]) AS x, unnest([n, n + 40, 250]) AS y FROM p)
+SELECT path, 'curve ' || place || ' ' || x || ' ' || CASE WHEN y > x AND x < 64 THEN CAST(round(x + (y - x) * (0.8 + 0.2 * x / 64)) AS INT) ELSE y END AS what FROM c UNION ALL SELECT path, 'name Look ' || n FROM p UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'name Imported Preset' FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT path, 'unread Contrast2012 soft' FROM p WHERE i % 6 = 0""")
+def _(part):
+    texts = preset_texts(part)
+    points = presets.curves(texts).select("path", F.concat_ws(" ", F.lit("curve"), "place", "x", "y").alias("what"))
+    named = presets.names(texts).select("path", F.concat_ws(" ", F.lit("name"), "name").alias("what"))
+    return points.unionByName(named).unionByName(presets.unread(texts).select("path", F.concat_ws(" ", F.lit("unread"), "attribute", "raw").alias("what")))

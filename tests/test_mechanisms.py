@@ -218,3 +218,54 @@ def test_hot_pixels_and_demosaicing(spark):
     assert mended[1, 3, 4] == 110.0 and mended[1, 0, 0] == 0.0 and mended[1, 5, 5] == 120.0 and mended[2, 3, 0] == 27.0
     rgb = {(r.x, r.y): (r.r, r.g, r.b) for r in tiles.to_pixels(tiles.demosaic(tiles.to_tiles(px.filter("id = 1"), "v", size=4), size=4), "r", "g", "b", size=4).collect()}
     assert rgb[6, 6] == (100.0, 110.0, 120.0) and rgb[5, 5] == (100.0, 110.0, 120.0) and rgb[5, 6] == (110.0, 110.0, 110.0)
+
+
+def test_file_sink_writes_all_or_nothing_and_each_file_once(spark, tmp_path):
+    import pytest
+
+    from prismata.sources.sink import FileSink
+
+    spark.dataSource.register(FileSink)
+    target = tmp_path / "out"
+    files = lambda: {os.path.relpath(os.path.join(d, f), target): open(os.path.join(d, f)).read() for d, _, names in os.walk(target) for f in names}
+    rows = spark.createDataFrame([(f"a/{i % 3}/f{i}.xmp", f"text {i}") for i in range(20)], "path string, content string").repartition(4)
+    rows.write.format("files").mode("append").save(str(target))
+    want = {f"a/{i % 3}/f{i}.xmp": f"text {i}" for i in range(20)}
+    assert files() == want
+    broken = rows.select(F.concat(F.lit("new/"), "path").alias("path"), F.when(F.col("path").endswith("f7.xmp"), F.raise_error(F.lit("lost"))).otherwise(F.col("content")).alias("content"))
+    outside = spark.createDataFrame([("../x", "y"), ("fine", "z")], "path string, content string").repartition(2)
+    for bad in (broken, outside):
+        with pytest.raises(Exception):
+            bad.write.format("files").mode("append").save(str(target))
+        assert files() == want and not [d for d in os.listdir(target) if d.startswith(".staging")]
+    spark.createDataFrame([("a/0/f0.xmp", "changed"), ("b", None)], "path string, content string").write.format("files").mode("append").save(f"file://{target}")
+    assert files() == want | {"a/0/f0.xmp": "changed", "b": ""}
+    spark.createDataFrame([(bytearray(b"\x00\x01"), "raw")], "content binary, path string").write.format("files").mode("overwrite").save(str(target))
+    assert list(files()) == ["raw"]
+
+
+def test_a_task_that_runs_again_leaves_its_files_once(tmp_path):
+    """Two attempts of one task: only the folder whose message reaches the commit counts."""
+    from unittest import mock
+
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from prismata.sources.sink import FileWriter
+
+    writer = FileWriter(str(tmp_path), StructType([StructField("path", StringType()), StructField("content", StringType())]), False)
+    done = []
+    for attempt, rows in ((1, [("a", "old"), ("left over", "x")]), (2, [("a", "new")])):
+        with mock.patch("pyspark.TaskContext.get", return_value=mock.Mock(partitionId=lambda: 0, taskAttemptId=lambda a=attempt: a)):
+            done.append(writer.write(iter(rows)))
+    writer.commit([done[1], None])
+    assert sorted(os.listdir(tmp_path)) == ["a"] and (tmp_path / "a").read_text() == "new"
+
+
+def test_preset_conversion(spark):
+    from prismata.sources import presets
+
+    texts = spark.createDataFrame([("a", '<x crs:Tint="+200" crs:Sharpness="-3" crs:Dehaze="1e1" crs:Vibrance=" 5" crs:Clarity2012="inf" crs:Temperature="0" crs:Whites2012="1" crs:Whites2012="++2"/>'), ("b", '<x crs:Temperature="5500"/>'), ("c", None), ("d", "")], "path string, value string")
+    got = {(r.path, r.target): r.value for r in presets.adjustments(texts).collect()}
+    assert got == {("a", "tint"): 100.0, ("a", "sharpness"): 0.0, ("a", "dehaze"): 10.0, ("a", "whites"): 2.0, ("b", "temperature"): 0.0}
+    assert sorted((r.attribute, r.raw) for r in presets.unread(texts).collect()) == [("Clarity2012", "inf"), ("Vibrance", " 5")]
+    assert len(presets.targets()) == len({t for _, t, *_ in presets.targets()}) == 67
