@@ -197,6 +197,35 @@ def distinct_faces(faces: DataFrame, images: DataFrame) -> DataFrame:
     return placed.withColumn("rn", F.row_number().over(key)).filter("rn = 1").drop("rn")
 
 
+def provenance(images: DataFrame, roots: DataFrame, versions: DataFrame, metadata: DataFrame, ai_tags: DataFrame, faces: DataFrame, species: DataFrame, errors: DataFrame) -> DataFrame:
+    """What is known of each image and from where (F15, Q23): id, path, camera, lens, year, rating, and as arrays its machine tags, faces and species, each in the order in which they are shown, and the messages of failed analyses.
+
+    Each part is gathered by image before it is joined, so parts do not multiply; filter images
+    for those that are asked for. errors: image_id, message. Equal ranks go by id.
+    """
+    own = images.select("id", "root_id", "relative_path").join(roots.select(F.col("id").alias("root_id"), "absolute_path"), "root_id")
+    about = metadata.select(F.col("image_id").alias("id"), F.when(F.coalesce("camera_make", "camera_model").isNotNull(), F.concat_ws(" ", "camera_make", "camera_model")).alias("camera"), "lens", "year")
+    stars = versions.filter("copy_id = ''").select(F.col("image_id").alias("id"), "rating")
+
+    def part(rows: DataFrame, name: str, columns: tuple[str, ...], *order) -> DataFrame:
+        item = F.struct(*order, F.struct(*columns).alias("item"))
+        return rows.groupBy(F.col("image_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]).alias(name))
+
+    down = -F.col("confidence")
+    state = F.when(F.col("review_state") == "accepted", 0).when(F.col("review_state") == "suggested", 1).otherwise(2)
+    parts = [
+        part(ai_tags, "ai_tags", ("id", "name", "confidence", "review_state", "model_id"), down.alias("a"), F.col("id").alias("b")),
+        part(faces, "faces", ("id", "person_id", "confidence", "bbox_x", "bbox_y", "bbox_width", "bbox_height", "review_state"), down.alias("a"), F.col("id").alias("b")),
+        part(species, "species", ("id", "scientific_name", "common_name", "taxon_rank", "confidence", "review_state", "is_ambiguous"), state.alias("s"), down.alias("a"), F.col("id").alias("b")),
+        errors.filter("message IS NOT NULL").groupBy(F.col("image_id").alias("id")).agg(F.array_sort(F.collect_list("message")).alias("errors")),
+    ]
+    out = own.join(about, "id", "left").join(stars, "id", "left")
+    for p in parts:
+        out = out.join(p, "id", "left")
+    whole = {name: F.coalesce(F.col(name), F.array().cast(out.schema[name].dataType)) for name in ("ai_tags", "faces", "species", "errors")}
+    return out.select("id", F.concat_ws("/", "absolute_path", "relative_path").alias("path"), "camera", "lens", "year", F.coalesce("rating", F.lit(0)).alias("rating"), *[c.alias(n) for n, c in whole.items()])
+
+
 def face_scan_candidates(images: DataFrame, completed: DataFrame, faces: DataFrame) -> DataFrame:
     """(id, companions): what a face run still has to scan, one image for each name in a folder; its companions, an array of ids, get the result too.
 

@@ -243,3 +243,121 @@ def demosaic(tiles: DataFrame, pattern: tuple[int, int, int, int] = RGGB, size:
         return np.stack([red, green, blue])
 
     return stencil(tiles, 1, 1, fill, size)
+
+
+# Geometry (K7)
+
+#: Places of an image -> the places that they are drawn from: (x, y, height, width) to (x, y), all as arrays of doubles.
+Inverse = Callable[[np.ndarray, np.ndarray, int, int], tuple[np.ndarray, np.ndarray]]
+ASKED = "id bigint, ty int, tx int, to_y int, to_x int, asked binary"
+
+
+def gather(tiles: DataFrame, channels: int, inverse: Inverse, size: int = SIZE) -> DataFrame:
+    """Tiles of images of the same sizes whose pixels are drawn from elsewhere, mixed of the four pixels around; 0 where those are not all inside.
+
+    Each tile asks the tiles that its pixels are drawn from for weighted shares of theirs, and adds
+    up what comes back: at most four shares a pixel, however far an image is scaled down or turned.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, ty, tx, height, width in zip(*(c.to_pylist() for c in batch.columns)):
+                h, w = _span(ty, size, height), _span(tx, size, width)
+                y, x = np.mgrid[ty * size : ty * size + h, tx * size : tx * size + w].reshape(2, -1).astype(float)
+                sx, sy = inverse(x, y, height, width)
+                at = np.flatnonzero((sx >= 0) & (sy >= 0) & (sx < width - 1) & (sy < height - 1))
+                x0, y0 = np.floor(sx[at]).astype(np.int64), np.floor(sy[at]).astype(np.int64)
+                fx, fy = sx[at] - x0, sy[at] - y0
+                to, px, py, share = (np.concatenate(p) for p in zip(*[(at, x0 + dx, y0 + dy, (fx if dx else 1 - fx) * (fy if dy else 1 - fy)) for dy in (0, 1) for dx in (0, 1)]))
+                tile = (py // size) * (-(-width // size)) + px // size
+                spot = (py % size) * np.minimum(size, width - px // size * size) + px % size
+                order = np.argsort(tile, kind="stable")
+                rows = []
+                for own in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
+                    if len(own):
+                        packed = to[own].astype("<i4").tobytes() + spot[own].astype("<i4").tobytes() + share[own].tobytes()
+                        rows.append((i, int(py[own[0]]) // size, int(px[own[0]]) // size, ty, tx, packed))
+                kinds = (pa.int64(), *[pa.int32()] * 4, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["id", "ty", "tx", "to_y", "to_x", "asked"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ty, tx, height, width, data, asked in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4, 5, 8))):
+                n = len(asked) // 16
+                to, spot, share = np.frombuffer(asked, "<i4", n), np.frombuffer(asked, "<i4", n, 4 * n), np.frombuffer(asked, np.float64, n, 8 * n)
+                block = _planes(data, channels, _span(ty, size, height), _span(tx, size, width)).reshape(channels, -1)
+                places, at = np.unique(to, return_inverse=True)
+                sums = np.stack([np.bincount(at, block[k][spot] * share, len(places)) for k in range(channels)])
+                out.append(places.astype("<i4").tobytes() + sums.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(6), batch.column(7), batch.column(3), batch.column(4), pa.array(out, pa.binary())], names=NAMES)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        first = {c: table.column(c)[0].as_py() for c in NAMES[:5]}
+        h, w = _span(first["ty"], size, first["height"]), _span(first["tx"], size, first["width"])
+        whole = np.zeros((channels, h * w))
+        for raw in table.column("data").to_pylist():
+            n = len(raw) // (4 + 8 * channels)
+            whole[:, np.frombuffer(raw, "<i4", n)] += np.frombuffer(raw, np.float64, n * channels, 4 * n).reshape(channels, n)
+        return _table([(*first.values(), whole.tobytes())])
+
+    asked = tiles.select(*NAMES[:5]).mapInArrow(ask, ASKED)
+    met = tiles.select(*NAMES).join(asked, ["id", "ty", "tx"]).select(*NAMES, "to_y", "to_x", "asked")
+    nothing = tiles.select(*NAMES[:5], F.unhex(F.lit("")).alias("data"))
+    # a tile gets four shares a pixel at most
+    return met.mapInArrow(answer, TILE).unionByName(nothing).groupBy("id", "ty", "tx").applyInArrow(add_up, TILE)
+
+
+def warp_matrix(height: int, width: int, rotate: float = 0.0, scale: float = 100.0, aspect: float = 0.0, x_offset: float = 0.0, y_offset: float = 0.0, vertical: float = 0.0, horizontal: float = 0.0) -> np.ndarray:
+    """Where a place of the image goes, in homogeneous coordinates about its centre: scaled and stretched, turned (degrees), put into perspective, moved (per cent of the image)."""
+    cx, cy = width / 2, height / 2
+    wide = 1 + aspect / 100 if aspect >= 0 else 1 / (1 - aspect / 100)
+    turn, s = np.radians(rotate), scale / 100
+    centre = np.array([[1, 0, cx], [0, 1, cy], [0, 0, 1.0]])
+    moved = np.array([[1, 0, x_offset / 100 * width], [0, 1, y_offset / 100 * height], [0, 0, 1.0]])
+    view = np.array([[1, 0, 0], [0, 1, 0], [-horizontal / 100_000 * 2000 / width, vertical / 100_000 * 2000 / height, 1.0]])
+    turned = np.array([[np.cos(turn), -np.sin(turn), 0], [np.sin(turn), np.cos(turn), 0], [0, 0, 1.0]])
+    back = np.array([[1, 0, -cx], [0, 1, -cy], [0, 0, 1.0]])
+    return centre @ moved @ view @ turned @ np.diag([s * wide, s, 1.0]) @ back
+
+
+def warp(tiles: DataFrame, channels: int, size: int = SIZE, **params: float) -> DataFrame:
+    """Tiles of warped images; params are those of warp_matrix(). A map that cannot be undone leaves the image as it is."""
+
+    def inverse(x: np.ndarray, y: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        matrix = warp_matrix(height, width, **params)
+        back = np.linalg.inv(matrix) if abs(np.linalg.det(matrix)) > 1e-12 else np.eye(3)
+        u, v, z = back @ np.stack([x, y, np.ones_like(x)])
+        far = np.abs(z) <= 1e-6
+        z = np.where(far, 1.0, z)
+        return np.where(far, -1.0, u / z), np.where(far, -1.0, v / z)
+
+    return gather(tiles, channels, inverse, size)
+
+
+def _sizes(pixels: DataFrame) -> DataFrame:
+    return pixels.join(pixels.groupBy("id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h")), "id")
+
+
+def turned(pixels: DataFrame, steps: int) -> DataFrame:
+    """Pixel rows turned clockwise by quarters."""
+    x, y, w, h = (F.col(c) for c in ("x", "y", "_w", "_h"))
+    to = {0: (x, y), 1: (h - 1 - y, x), 2: (w - 1 - x, h - 1 - y), 3: (y, w - 1 - x)}[steps % 4]
+    return _sizes(pixels).withColumns({"x": to[0], "y": to[1]}).drop("_w", "_h")
+
+
+def flipped(pixels: DataFrame, horizontal: bool, vertical: bool) -> DataFrame:
+    """Pixel rows mirrored left to right, then top to bottom."""
+    to = {"x": F.col("_w") - 1 - F.col("x") if horizontal else F.col("x"), "y": F.col("_h") - 1 - F.col("y") if vertical else F.col("y")}
+    return _sizes(pixels).withColumns(to).drop("_w", "_h")
+
+
+def cropped(pixels: DataFrame, x: float, y: float, width: float, height: float) -> DataFrame:
+    """Pixel rows of a part, numbered from 0, as far as it lies inside; an image that has none of it, or a part without an area, is left whole."""
+    left, top, wide, high = (int(np.floor(v + 0.5)) for v in (x, y, width, height))
+    if wide <= 0 or high <= 0:
+        return pixels
+    sized = _sizes(pixels).withColumn("_in", (F.lit(left) < F.col("_w")) & (F.lit(top) < F.col("_h")))
+    part = (F.col("x") >= left) & (F.col("x") < left + wide) & (F.col("y") >= top) & (F.col("y") < top + high)
+    kept = sized.filter(~F.col("_in") | part)
+    return kept.withColumns({"x": F.when(F.col("_in"), F.col("x") - left).otherwise(F.col("x")), "y": F.when(F.col("_in"), F.col("y") - top).otherwise(F.col("y"))}).drop("_w", "_h", "_in")

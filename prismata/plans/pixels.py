@@ -109,3 +109,23 @@ def _(embeddings):
     near = similarity.similar_pairs(embeddings, embeddings, "vec_id", "embedding", 0.3, True)
     links = near.filter("src % 5 = dst % 5").select((F.col("src") % 5).alias("set"), "src", "dst", F.floor(F.col("similarity") * 1000).cast("bigint").alias("inliers"))
     return grouping.stitching_order(links)
+
+
+_TURN = "radians(17.0)"
+
+
+@query("k7_warped", ("orders",), f"""{IMAGE}, c AS (SELECT id, x, y, my, {WIDE} / 2.0 AS cx, (my + 1) / 2.0 AS cy, x - {WIDE} / 2.0 - 0.04 * {WIDE} AS u, y - (my + 1) / 2.0 + 0.03 * (my + 1) AS v FROM place JOIN size USING (id)),
+s AS (SELECT id, x, y, my, cx + (cos({_TURN}) * u + sin({_TURN}) * v) / 1.2 / 1.1 AS sx, cy + (-sin({_TURN}) * u + cos({_TURN}) * v) / 1.2 AS sy FROM c),
+n AS (SELECT s.id, s.x, s.y, sum(p.v * (1 - abs(s.sx - p.x)) * (1 - abs(s.sy - p.y))) AS v FROM s JOIN place p ON p.id = s.id AND p.x BETWEEN floor(s.sx) AND floor(s.sx) + 1 AND p.y BETWEEN floor(s.sy) AND floor(s.sy) + 1 WHERE sx >= 0 AND sy >= 0 AND sx < {WIDE - 1} AND sy < my GROUP BY 1, 2, 3)
+SELECT id, x, y, round(coalesce(n.v, 0), 5) AS v FROM (SELECT id, x, y FROM place) LEFT JOIN n USING (id, x, y)""")
+def _(orders):
+    out = tiles.warp(tiles.to_tiles(_image(orders), "v", size=TILE), 1, TILE, rotate=17.0, scale=120.0, aspect=10.0, x_offset=4.0, y_offset=-3.0)
+    return tiles.to_pixels(out, "v", size=TILE).select("id", "x", "y", F.round("v", 5).alias("v"))
+
+
+@query("k7_turned_flipped_cropped", ("orders",), f"""{IMAGE}, t AS (SELECT id, my - y AS x, x AS y, v, my + 1 AS w, {WIDE} AS h FROM place JOIN size USING (id)), f AS (SELECT id, w - 1 - x AS x, y, v, w FROM t)
+SELECT id, x - 3 AS x, y - 6 AS y, round(v, 6) AS v FROM f WHERE x >= 3 AND x < 53 AND y >= 6 AND y < 26""")
+def _(orders):
+    """In the order of an edit: turned by a quarter, mirrored, cropped."""
+    image = _image(orders).select("id", "x", "y", "v")
+    return tiles.cropped(tiles.flipped(tiles.turned(image, 1), True, False), 3.2, 5.5, 50.0, 20.4).select("id", "x", "y", F.round("v", 6).alias("v"))

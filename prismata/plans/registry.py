@@ -230,10 +230,16 @@ def _(roots, images):
     return roots.join(n, "id", "left").select("id", F.coalesce("label", "absolute_path").alias("name"), F.coalesce("images", F.lit(0)).alias("images")).orderBy(F.lower("name"))
 
 
-@query("q8_people_list", ("people", "faces"), "SELECT p.id, p.display_name, count(f.id) AS confirmed FROM people p LEFT JOIN faces f ON f.person_id = p.id AND f.review_state = 'confirmed' WHERE p.state = 'active' GROUP BY 1, 2 ORDER BY 3 DESC, lower(p.display_name)")
+@query("q8_people_list", ("people", "faces"), """, best AS (SELECT person_id, max(id) AS cover FROM faces WHERE review_state = 'confirmed' AND person_id % 4 > 0 GROUP BY 1), n AS (SELECT person_id, count(*) AS confirmed FROM faces WHERE review_state = 'confirmed' GROUP BY 1)
+SELECT p.id, p.display_name, p.state, coalesce(n.confirmed, 0) AS confirmed, b.cover, any_value(c.image_id) AS cover_image FROM people p LEFT JOIN n ON n.person_id = p.id LEFT JOIN best b ON b.person_id = p.id LEFT JOIN faces c ON c.id = b.cover AND c.person_id = p.id WHERE p.state = 'active' GROUP BY p.id, p.display_name, p.state, n.confirmed, b.cover""")
 def _(people, faces):
-    n = faces.filter("review_state = 'confirmed'").groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("confirmed"))
-    return people.filter("state = 'active'").join(n, "id", "left").select("id", "display_name", F.coalesce("confirmed", F.lit(0)).alias("confirmed")).orderBy(F.desc("confirmed"), F.lower("display_name"))
+    """Active people with their confirmed faces and the face that stands for them; a person without a cover is listed too."""
+    confirmed = faces.filter("review_state = 'confirmed'")
+    n = confirmed.groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("confirmed"))
+    chosen = confirmed.filter("person_id % 4 > 0").groupBy(F.col("person_id").alias("id")).agg(F.max("id").alias("cover"))
+    shown = faces.select(F.col("person_id").alias("id"), F.col("id").alias("cover"), F.col("image_id").alias("cover_image")).distinct()
+    rows = people.filter("state = 'active'").join(n, "id", "left").join(chosen, "id", "left").join(shown, ["id", "cover"], "left")
+    return rows.select("id", "display_name", "state", F.coalesce("confirmed", F.lit(0)).alias("confirmed"), "cover", "cover_image").orderBy(F.desc("confirmed"), F.lower("display_name"))
 
 
 @query("q10_people_autocomplete", ("people", "faces"), "SELECT p.id, p.display_name, count(f.id) AS confirmed FROM people p LEFT JOIN faces f ON f.person_id = p.id AND f.review_state = 'confirmed' WHERE p.state = 'active' AND contains(lower(p.display_name), 'supplier#00000001') GROUP BY 1, 2 ORDER BY CASE WHEN lower(p.display_name) = 'supplier#00000001' THEN 0 ELSE 1 END, 3 DESC, 2 LIMIT 25")
@@ -295,14 +301,15 @@ def _(ai_tags):
     return ai_tags.groupBy("review_state").agg(F.count("*").alias("n"))
 
 
-@query("q23_provenance", ("images", "image_tags", "ai_tags", "faces"), """SELECT i.id, i.file_name, (SELECT count(*) FROM image_tags t WHERE t.image_id = i.id) AS tags, (SELECT count(*) FROM ai_tags t WHERE t.image_id = i.id AND t.review_state = 'accepted') AS accepted,
-(SELECT max(confidence) FROM ai_tags t WHERE t.image_id = i.id) AS best, (SELECT count(*) FROM faces f WHERE f.image_id = i.id) AS faces FROM images i""")
-def _(images, image_tags, ai_tags, faces):
-    n = lambda rows, *aggs: rows.groupBy(F.col("image_id").alias("id")).agg(*aggs)
-    one = images.select("id", "file_name")
-    for part in (n(image_tags, F.count("*").alias("tags")), n(ai_tags, F.count_if(F.col("review_state") == "accepted").alias("accepted"), F.max("confidence").alias("best")), n(faces, F.count("*").alias("faces"))):
-        one = one.join(part, "id", "left")
-    return one.fillna(0, ["tags", "accepted", "faces"])
+@query("q23_provenance", (*BASE, "ai_tags", "faces", "species", "analysis"), """, t AS (SELECT image_id, string_agg(name || ':' || review_state || ':' || model_id, ',' ORDER BY confidence DESC, id, name, review_state) AS t FROM ai_tags GROUP BY 1), f AS (SELECT image_id, string_agg(id || ':' || review_state, ',' ORDER BY confidence DESC, id, person_id NULLS FIRST, bbox_x, bbox_y, bbox_width, bbox_height, review_state) AS f FROM faces GROUP BY 1),
+s AS (SELECT image_id, string_agg(scientific_name || ':' || review_state, ',' ORDER BY CASE review_state WHEN 'accepted' THEN 0 WHEN 'suggested' THEN 1 ELSE 2 END, confidence DESC, id, scientific_name) AS s FROM species GROUP BY 1), e AS (SELECT image_id, string_agg('failed at ' || image_modified_at, ',' ORDER BY image_modified_at) AS e FROM analysis WHERE state = 'failed' GROUP BY 1)
+SELECT i.id, r.absolute_path || '/' || i.relative_path AS path, CASE WHEN camera_make IS NULL THEN camera_model WHEN camera_model IS NULL THEN camera_make ELSE camera_make || ' ' || camera_model END AS camera, m.lens, m.year, coalesce(v.rating, 0) AS rating, coalesce(t, '') AS ai_tags, coalesce(f, '') AS faces, coalesce(s, '') AS species, coalesce(e, '') AS errors
+FROM images i JOIN roots r ON r.id = i.root_id LEFT JOIN metadata m ON m.image_id = i.id LEFT JOIN versions v ON v.image_id = i.id AND v.copy_id = '' LEFT JOIN t ON t.image_id = i.id LEFT JOIN f ON f.image_id = i.id LEFT JOIN s ON s.image_id = i.id LEFT JOIN e ON e.image_id = i.id""")
+def _(images, roots, versions, metadata, ai_tags, faces, species, analysis):
+    errors = analysis.filter("state = 'failed'").select("image_id", F.concat(F.lit("failed at "), F.col("image_modified_at").cast("string")).alias("message"))
+    joined = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[f] for f in fields])), ",").alias(c)
+    rows = C.provenance(images, roots, versions, metadata, ai_tags, faces, species, errors)
+    return rows.select("id", "path", "camera", "lens", "year", "rating", joined("ai_tags", "name", "review_state", "model_id"), joined("faces", "id", "review_state"), joined("species", "scientific_name", "review_state"), F.array_join("errors", ",").alias("errors"))
 
 
 @query("j4_q30_pending", ("images", "analysis"), "SELECT id FROM images i WHERE status = 'present' AND NOT EXISTS (SELECT 1 FROM analysis a WHERE a.image_id = i.id AND a.image_modified_at = i.modified_at AND a.state = 'completed' AND a.analysis_kind = 'tags')")

@@ -63,12 +63,39 @@ def adjustment(column: str, path: str, kind: str = "double", default: float = 0.
     return F.coalesce(F.try_variant_get(column, f"$.{path}", kind), F.lit(default)) / scale
 
 
+# Geometry with its defaults; lens corrections with their switch, strength (per cent) and parameters with defaults.
+GEOMETRY = {"transformDistortion": 0.0, "transformVertical": 0.0, "transformHorizontal": 0.0, "transformRotate": 0.0, "transformAspect": 0.0, "transformScale": 100.0, "transformXOffset": 0.0, "transformYOffset": 0.0}
+LENS = {
+    "Distortion": {"k1": 0.0, "k2": 0.0, "k3": 0.0},
+    "Tca": {"tca_vr": 1.0, "tca_vb": 1.0},
+    "Vignette": {"vig_k1": 0.0, "vig_k2": 0.0, "vig_k3": 0.0},
+}
+
+
 def is_edited(column: str, defaults: dict[str, float]) -> Column:
-    """Whether any adjustment differs from its default."""
-    out = F.lit(False)
+    """Whether an image's adjustments (a variant) show (F14): masks or patches, a crop that is moved, a turn or a mirror, geometry or lens corrections in effect, or any of the plain adjustments off its default.
+
+    What is null or no object is not edited. Adjustments of another type than expected count as absent.
+    """
+    get = lambda path, kind: F.try_variant_get(column, f"$.{path}", kind)
+    number = lambda path, default=0.0: F.coalesce(get(path, "double"), F.lit(default))
+    flag = lambda path, default: F.coalesce(get(path, "boolean"), F.lit(default))
+    some = lambda path: F.coalesce(F.size(get(path, "array<variant>")) > 0, F.lit(False))
+    out = some("aiPatches") | some("masks")
+    sides = [get(f"crop.{c}", "double") for c in ("x", "y", "width", "height")]
+    out = out | (sum((c.isNotNull().cast("int") for c in sides), F.lit(0)) == 4) & F.coalesce((F.abs(sides[0]) > 0.1) | (F.abs(sides[1]) > 0.1), F.lit(False))
+    steps = get("orientationSteps", "bigint")
+    out = out | F.coalesce(steps > 0, F.lit(False)) | (F.abs(number("rotation")) > 0.001) | flag("flipHorizontal", False) | flag("flipVertical", False)
+    for name, value in GEOMETRY.items():
+        out = out | (number(name, value) != value)
+    for name, values in LENS.items():
+        moved = F.abs(number(f"lens{name}Amount", 100.0) / 100 - 1) >= 1e-4
+        for k, value in values.items():
+            moved = moved | (F.abs(number(f"lensDistortionParams.{k}", value) - value) >= 1e-6)
+        out = out | flag(f"lens{name}Enabled", True) & moved
     for name, value in defaults.items():
         out = out | (adjustment(column, name, default=value) != value)
-    return out
+    return F.coalesce(F.schema_of_variant(column).startswith("OBJECT"), F.lit(False)) & out
 
 
 def parse_xmp(text: Column) -> Column:

@@ -62,3 +62,36 @@ def test_terms():
     assert read("ISO >= 400") == ("iso", ">=", "400") and read("iso:>400") == ("iso", ">", "400") and read("rating3") == ("rating", "=", "3")
     assert read("focal 50") == ("f", "=", "ocal 50") and read("sunset") == ("s", "=", "unset") and read("shutter<1/250") == ("shutter", "<", "1/250")
     assert read("bird") is None and read("iso") is None and read("") is None and read("color: Red") == ("color", "=", "red") and read("camera==x") == ("camera", "=", "=x")
+
+
+def test_edited_by_any_rule(spark):
+    from pyspark.sql import functions as F
+
+    from prismata.sources import files
+
+    texts = {
+        "{}": False, "null": False, "[1]": False, '{"exposure": 0.0}': False, '{"exposure": 0.2}': True, '{"masks": []}': False, '{"masks": [{}]}': True, '{"aiPatches": [1]}': True,
+        '{"crop": {"x": 0.05, "y": 0, "width": 9, "height": 9}}': False, '{"crop": {"x": 0.2, "y": 0, "width": 9, "height": 9}}': True, '{"crop": {"x": 5, "y": 5}}': False, '{"crop": null}': False,
+        '{"orientationSteps": 0}': False, '{"orientationSteps": 2}': True, '{"rotation": 0.0005}': False, '{"rotation": -1.5}': True, '{"flipVertical": true}': True, '{"flipHorizontal": false}': False,
+        '{"transformScale": 100}': False, '{"transformScale": 99}': True, '{"transformXOffset": 1}': True, '{"lensDistortionAmount": 100}': False, '{"lensDistortionAmount": 60}': True,
+        '{"lensDistortionAmount": 60, "lensDistortionEnabled": false}': False, '{"lensDistortionParams": {"k2": 0.01}}': True, '{"lensDistortionParams": {"k2": 0.01}, "lensDistortionEnabled": false}': False,
+        '{"lensDistortionParams": {"tca_vr": 1.002}}': True, '{"lensDistortionParams": {"vig_k1": -0.1}, "lensVignetteEnabled": true}': True, '{"exposure": "much"}': False,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", F.try_parse_json("t").alias("v"))
+    got = {r.t: r.e for r in rows.select("t", files.is_edited("v", {"exposure": 0.0}).alias("e")).collect()}
+    assert got == texts | {None: False}
+
+
+def test_provenance_parts_do_not_multiply(spark):
+    images = spark.createDataFrame([(1, 1, "a.jpg"), (2, 1, "b.jpg")], "id long, root_id long, relative_path string")
+    roots = spark.createDataFrame([(1, "/r")], "id long, absolute_path string")
+    versions = spark.createDataFrame([(1, "", 3), (1, "vc", 5)], "image_id long, copy_id string, rating int")
+    metadata = spark.createDataFrame([(1, None, "M", "L", 2020), (2, "K", None, None, None)], "image_id long, camera_make string, camera_model string, lens string, year int")
+    tags = spark.createDataFrame([(7, 1, "x", "clip", 0.5, "suggested"), (8, 1, "y", "clip", 0.9, "rejected")], "id long, image_id long, name string, model_id string, confidence double, review_state string")
+    faces = spark.createDataFrame([(k, 1, None, 0.5, 0.0, 0.0, 1.0, 1.0, "unreviewed") for k in (5, 4)], "id long, image_id long, person_id long, confidence double, bbox_x double, bbox_y double, bbox_width double, bbox_height double, review_state string")
+    species = spark.createDataFrame([(1, 1, "s", None, "species", 0.9, "rejected", False), (2, 1, "t", "c", "genus", 0.1, "accepted", True)], "id long, image_id long, scientific_name string, common_name string, taxon_rank string, confidence double, review_state string, is_ambiguous boolean")
+    errors = spark.createDataFrame([(1, "lost"), (1, None)], "image_id long, message string")
+    by = {r.id: r for r in C.provenance(images, roots, versions, metadata, tags, faces, species, errors).collect()}
+    one = by[1]
+    assert (one.path, one.camera, one.lens, one.rating) == ("/r/a.jpg", "M", "L", 3) and [t.name for t in one.ai_tags] == ["y", "x"] and [f.id for f in one.faces] == [4, 5] and [s.scientific_name for s in one.species] == ["t", "s"] and one.errors == ["lost"]
+    assert (by[2].camera, by[2].rating, by[2].ai_tags, by[2].errors) == ("K", 0, [], [])

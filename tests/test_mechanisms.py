@@ -269,3 +269,32 @@ def test_preset_conversion(spark):
     assert got == {("a", "tint"): 100.0, ("a", "sharpness"): 0.0, ("a", "dehaze"): 10.0, ("a", "whites"): 2.0, ("b", "temperature"): 0.0}
     assert sorted((r.attribute, r.raw) for r in presets.unread(texts).collect()) == [("Clarity2012", "inf"), ("Vibrance", " 5")]
     assert len(presets.targets()) == len({t for _, t, *_ in presets.targets()}) == 67
+
+
+def test_warp_against_a_loop_over_the_image(spark):
+    import numpy as np
+
+    from prismata.operators import tiles
+
+    rng = np.random.default_rng(9)
+    image = rng.random((2, 19, 26))
+    px = spark.createDataFrame([(5, x, y, *map(float, image[:, y, x])) for y in range(19) for x in range(26)], "id long, x int, y int, a double, b double")
+    for params in ({"rotate": 30.0}, {"vertical": 40.0, "horizontal": -60.0, "scale": 80.0}, {"scale": 10.0}, {"scale": 0.0}):
+        matrix = tiles.warp_matrix(19, 26, **params)
+        back = np.linalg.inv(matrix) if abs(np.linalg.det(matrix)) > 1e-12 else np.eye(3)
+        want = np.zeros_like(image)
+        for y in range(19):
+            for x in range(26):
+                u, v, z = back @ [x, y, 1.0]
+                u, v = u / z, v / z
+                if 0 <= u < 25 and 0 <= v < 18:
+                    i, j, p, q = int(u), int(v), u - int(u), v - int(v)
+                    want[:, y, x] = image[:, j, i] * (1 - p) * (1 - q) + image[:, j, i + 1] * p * (1 - q) + image[:, j + 1, i] * (1 - p) * q + image[:, j + 1, i + 1] * p * q
+        got = np.zeros_like(image)
+        for r in tiles.to_pixels(tiles.warp(tiles.to_tiles(px, "a", "b", size=8), 2, 8, **params), "a", "b", size=8).collect():
+            got[:, r.y, r.x] = r.a, r.b
+        assert np.allclose(got, want, atol=1e-9), params
+    turned = {(r.x, r.y): r.a for r in tiles.turned(px, 1).collect()}
+    assert all(turned[x, y] == v for (y, x), v in np.ndenumerate(np.rot90(image[0], -1)))
+    whole = tiles.cropped(px, 40.0, 0.0, 5.0, 5.0)
+    assert whole.count() == 19 * 26 and tiles.cropped(px, 20.0, 10.0, 100.0, 3.0).count() == 6 * 3
