@@ -8,8 +8,8 @@ functions; two sets agree in a coordinate with the probability of their similari
    ones first (by a sketch of their counts, which decides only the cost). Two signatures
    that agree in MATCHES coordinates share a pair among the first COORDINATES - MATCHES + 1
    of each, so the others, the longest lists of all, are skipped.
-2. Nodes that meet in a list are compared on the rest of their signatures (a byte for each
-   coordinate): what agrees in MATCHES coordinates is a candidate. Lists of over CROWD nodes
+2. Nodes that meet in a list are compared on the rest of their signatures (four bits of each
+   coordinate, so nothing that agrees is missed): what agrees in MATCHES coordinates is a candidate. Lists of over CROWD nodes
    are not expanded into pairs, but swept (below).
 3. Candidates' components are swept once more, now on the whole shingle sets: only links
    that the sets confirm stay, and their components are the classes.
@@ -75,6 +75,18 @@ def pairs_of(sig: np.ndarray) -> np.ndarray:
     return (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)) | sig.astype(np.uint64)
 
 
+def briefs(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, two coordinates a byte (rows of a matrix)."""
+    low = sig.astype(np.uint8) & 15
+    return low[:, ::2] | low[:, 1::2] << 4
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many coordinates the briefs of a (rows) agree with b."""
+    apart = a ^ b
+    return np.count_nonzero(apart & 15 == 0, axis=1) + np.count_nonzero(apart < 16, axis=1)
+
+
 def counters(pairs: np.ndarray) -> np.ndarray:
     return (mix(pairs) & np.uint64(SKETCH - 1)).astype(np.int64)
 
@@ -117,7 +129,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _posts(shared, matches: int):
-    """(x, n, sig) -> (key, x, n, brief): the prefix of each signature; brief is a byte of each coordinate."""
+    """(x, n, sig) -> (key, x, n, brief): the prefix of each signature, and its brief."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, length = shared.value, COORDINATES - matches + 1
@@ -127,7 +139,7 @@ def _posts(shared, matches: int):
             pairs = (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)) | sig
             order = ranks[counters(pairs)].astype(np.uint64) << np.uint64(48) | (mix(pairs) >> np.uint64(16))  # one order for all signatures
             first = np.take_along_axis(pairs, np.argsort(order, axis=1)[:, :length], 1)
-            brief = pa.array([b.tobytes() for b in sig.astype(np.uint8)], pa.binary())
+            brief = pa.array([b.tobytes() for b in briefs(sig)], pa.binary())
             again = pa.array(np.repeat(np.arange(rows), length))
             yield pa.RecordBatch.from_arrays([pa.array(first.reshape(-1).astype(np.int64)), batch.column(0).take(again), batch.column(1).take(again), brief.take(again)], names=["key", "x", "n", "brief"])
 
@@ -157,7 +169,7 @@ def _meet(matches: int, crowd: int):
             x, n = [r[0] for r in held], np.array([r[1] for r in held])
             brief = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), -1)
             for i in range(len(held) - 1):
-                ok = _sized(n[i + 1 :], n[i]) & ((brief[i + 1 :] == brief[i]).sum(1) >= matches)
+                ok = _sized(n[i + 1 :], n[i]) & (agreeing(brief[i + 1 :], brief[i]) >= matches)
                 pairs.update((x[i], x[j]) if x[i] < x[j] else (x[j], x[i]) for j in (np.flatnonzero(ok) + i + 1).tolist())
 
         for batch in batches:
@@ -205,7 +217,7 @@ class Members:
     def near(self, i: int, others: np.ndarray) -> np.ndarray:
         """Those of the others that are alike node i."""
         ok = others[_sized(self.n[others], self.n[i])]
-        ok = ok[(self.brief[ok] == self.brief[i]).sum(1) >= self.matches]
+        ok = ok[agreeing(self.brief[ok], self.brief[i]) >= self.matches]
         if self.ids is None or not len(ok):
             return ok
         own = self.ids[self.starts[i] : self.starts[i + 1]]
@@ -311,7 +323,8 @@ def candidates(measured: DataFrame, nodes: DataFrame, matches: int = MATCHES, cr
 def _brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(grp, x, n, sig) -> (grp, x, n, brief)."""
     for batch in batches:
-        brief = [np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in batch.column(3).to_pylist()]
+        sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        brief = [b.tobytes() for b in briefs(sig)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(brief, pa.binary())], names=["grp", "x", "n", "brief"])
 
 

@@ -94,7 +94,7 @@ def test_a_large_group_makes_no_pairs(spark):
     rows = [(i, " ".join(base[: i % 140] + [f"new{i}"] + base[i % 140 + 1 :])) for i in range(600)]
     got = minhash.classify(spark.createDataFrame(rows, "doc_id long, text string"), crowd=4, most=100, most_shingles=20_000)
     assert {r.component_id for r in got.collect()} == {0}
-    members = spark.createDataFrame([("g", f"x{i:03}".encode(), 100, bytes([i % 3] * 64), 1) for i in range(600)], "grp string, x binary, n long, brief binary, w long")
+    members = spark.createDataFrame([("g", f"x{i:03}".encode(), 100, bytes([17 * (i % 3)] * 32), 1) for i in range(600)], "grp string, x binary, n long, brief binary, w long")
     links = minhash.connect(members, 100, 28).count()
     assert 597 <= links < 1500
 
@@ -107,6 +107,15 @@ def test_signatures_estimate_similarity():
     assert abs(agree - 700 / 900) < 0.02
 
 
+def test_briefs_miss_nothing_that_agrees():
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 1 << 32, (50, minhash.COORDINATES)).astype(np.uint32)
+    sig[1:, :40] = np.where(rng.random((49, 40)) < 0.5, sig[0, :40], sig[1:, :40])
+    brief = minhash.briefs(sig)
+    want = ((sig & 15) == (sig[0] & 15)).sum(1)
+    assert (minhash.agreeing(brief, brief[0]) == want).all() and (want >= (sig == sig[0]).sum(1)).all() and want[0] == 64
+
+
 # Trie
 
 
