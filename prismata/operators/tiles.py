@@ -361,3 +361,46 @@ def cropped(pixels: DataFrame, x: float, y: float, width: float, height: float)
     part = (F.col("x") >= left) & (F.col("x") < left + wide) & (F.col("y") >= top) & (F.col("y") < top + high)
     kept = sized.filter(~F.col("_in") | part)
     return kept.withColumns({"x": F.when(F.col("_in"), F.col("x") - left).otherwise(F.col("x")), "y": F.when(F.col("_in"), F.col("y") - top).otherwise(F.col("y"))}).drop("_w", "_h", "_in")
+
+
+# Masks (K6)
+
+
+def grow_pixels(width: int, height: int, grow: float) -> int:
+    """Pixels by which a strength of -100 to 100 grows a mask (shrinks it, if negative): a hundredth of the shorter side at full strength."""
+    return int(np.copysign(np.floor(abs(grow) / 100 * min(width, height) * 0.01 + 0.5), grow))
+
+
+def feather_sigma(width: int, height: int, feather: float) -> float:
+    """The width of the blur for a strength of 0 to 100: half a hundredth of the shorter side at full strength."""
+    return max(0.0, feather / 100 * min(width, height) * 0.005)
+
+
+def grown(tiles: DataFrame, pixels: int, size: int = SIZE) -> DataFrame:
+    """Tiles of masks grown by so many pixels: the largest value in the square around each pixel, rows first, then columns; shrunk by a negative number, to the smallest."""
+    if not pixels:
+        return tiles
+    reach, pick = abs(pixels), np.maximum if pixels > 0 else np.minimum
+
+    def step(padded: np.ndarray, *_) -> np.ndarray:
+        h, w = padded.shape[1] - 2 * reach, padded.shape[2] - 2 * reach
+        rows = pick.reduce([padded[:, :, k : k + w] for k in range(2 * reach + 1)])
+        return pick.reduce([rows[:, k : k + h] for k in range(2 * reach + 1)])
+
+    return stencil(tiles, 1, reach, step, size)
+
+
+def feathered(tiles: DataFrame, sigma: float, size: int = SIZE) -> DataFrame:
+    """Tiles of masks blurred by a Gaussian of reach 2 * sigma, edges repeated; a sigma of a hundredth or less changes nothing."""
+    if sigma <= 0.01:
+        return tiles
+    reach = int(np.ceil(2 * sigma))
+    taps = np.exp(-np.arange(-reach, reach + 1) ** 2 / (2 * sigma * sigma))
+    taps /= taps.sum()
+
+    def step(padded: np.ndarray, *_) -> np.ndarray:
+        h, w = padded.shape[1] - 2 * reach, padded.shape[2] - 2 * reach
+        rows = sum(t * padded[:, :, k : k + w] for k, t in enumerate(taps))
+        return sum(t * rows[:, k : k + h] for k, t in enumerate(taps))
+
+    return stencil(tiles, 1, reach, step, size)

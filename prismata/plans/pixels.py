@@ -129,3 +129,13 @@ def _(orders):
     """In the order of an edit: turned by a quarter, mirrored, cropped."""
     image = _image(orders).select("id", "x", "y", "v")
     return tiles.cropped(tiles.flipped(tiles.turned(image, 1), True, False), 3.2, 5.5, 50.0, 20.4).select("id", "x", "y", F.round("v", 6).alias("v"))
+
+
+@query("k6_grown_feathered_mask", ("orders",), f"""{IMAGE}, m AS (SELECT id, x, y, CASE WHEN v > 700 THEN v % 256 ELSE 0 END AS v FROM place), d AS (SELECT unnest(range(-2, 3)) AS k), g AS (SELECT a.id, a.x, a.y, max(b.v) AS v FROM m a CROSS JOIN d JOIN m b ON b.id = a.id AND b.y = a.y AND b.x = a.x + k GROUP BY 1, 2, 3),
+h AS (SELECT a.id, a.x, a.y, max(b.v) AS v FROM g a CROSS JOIN d JOIN g b ON b.id = a.id AND b.x = a.x AND b.y = a.y + k GROUP BY 1, 2, 3), e AS (SELECT k, exp(-k * k / 4.5) / sum(exp(-k * k / 4.5)) OVER () AS w FROM (SELECT unnest(range(-3, 4)) AS k)),
+r AS (SELECT a.id, a.x, a.y, sum(w * b.v) AS v FROM h a CROSS JOIN e JOIN h b ON b.id = a.id AND b.y = a.y AND b.x = greatest(0, least({WIDE - 1}, a.x + k)) GROUP BY 1, 2, 3)
+SELECT a.id, a.x, a.y, round(sum(w * b.v), 5) AS v FROM r a JOIN size USING (id) CROSS JOIN e JOIN r b ON b.id = a.id AND b.x = a.x AND b.y = greatest(0, least(my, a.y + k)) GROUP BY 1, 2, 3""")
+def _(orders):
+    mask = _image(orders).select("id", "x", "y", F.when(F.col("v") > 700, F.col("v") % 256).otherwise(0.0).alias("v"))
+    out = tiles.feathered(tiles.grown(tiles.to_tiles(mask, "v", size=TILE), 2, TILE), 1.5, TILE)
+    return tiles.to_pixels(out, "v", size=TILE).select("id", "x", "y", F.round("v", 5).alias("v"))
