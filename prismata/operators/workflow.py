@@ -133,8 +133,15 @@ def reviewed_faces(faces: DataFrame, decisions: DataFrame, images: DataFrame, pe
     return joined.withColumn("person_id", F.when(F.col("d").isNull(), F.col("person_id")).otherwise(F.col("d.person_id"))).withColumn("review_state", F.coalesce("d.review_state", "review_state")).drop("d")
 
 
-def confirmed_cluster(faces: DataFrame, images: DataFrame, cluster_id: int, person_id: int) -> DataFrame:
-    """faces after a cluster is given to a person: its unreviewed faces, and the unreviewed companions of any of its faces, are confirmed."""
+def confirmed_cluster(faces: DataFrame, images: DataFrame, people: DataFrame, cluster_id: int, person_id: int) -> DataFrame:
+    """faces after a cluster is given to a person: its unreviewed faces, and the unreviewed companions of any of its faces, are confirmed.
+
+    The person must be active, and the cluster must have a face to review: else it is an error.
+    """
+    if people.filter((F.col("id") == person_id) & (F.col("state") == "active")).isEmpty():
+        raise ValueError(f"person {person_id} is not active")
+    if faces.filter((F.col("cluster_id") == cluster_id) & (F.col("review_state") == "unreviewed")).isEmpty():
+        raise ValueError(f"cluster {cluster_id} has no face to review")
     members = faces.filter(F.col("cluster_id") == cluster_id).select("id")
     also = catalog.companions(faces, images).join(members.withColumnRenamed("id", "face_id"), "face_id", "left_semi").select(F.col("companion_id").alias("id"))
     hit = members.union(also).distinct().withColumn("hit", F.lit(True))
@@ -143,6 +150,12 @@ def confirmed_cluster(faces: DataFrame, images: DataFrame, cluster_id: int, pers
     return joined.withColumn("person_id", F.when(changes, F.lit(person_id)).otherwise(F.col("person_id"))).withColumn("review_state", F.when(changes, "confirmed").otherwise(F.col("review_state"))).drop("hit")
 
 
+def accepted_clusters(clusters: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """clusters (id, state) after some (confirmed: id) were given to people: accepted, so they leave the list of open ones."""
+    done = confirmed.select("id").distinct().withColumn("done", F.lit(True))
+    return clusters.join(done, "id", "left").withColumn("state", F.when(F.col("done"), "accepted").otherwise(F.col("state"))).drop("done")
+
+
 def cleared_faces(rows: DataFrame, clears: DataFrame) -> DataFrame:
     """Rows of a face table's log (seq) after the last command to clear it (clears: seq); people and images are not touched. Without a command all rows stay."""
     last = clears.agg(F.max("seq").alias("cleared"))  # one row

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from prismata.plans.registry import ORACLES, file_query, query
 from prismata.plans.standin import catalog
 from prismata.session import materialize, shared_dir
-from prismata.sources import cache, exif, presets
-from prismata.streaming import queue
+from prismata.sources import cache, exif, files, presets
+from prismata.streaming import jobs, queue
 
 LEASE = 12 * 3600
 
@@ -118,3 +118,53 @@ def _(part):
     points = presets.curves(texts).select("path", F.concat_ws(" ", F.lit("curve"), "place", "x", "y").alias("what"))
     named = presets.names(texts).select("path", F.concat_ws(" ", F.lit("name"), "name").alias("what"))
     return points.unionByName(named).unionByName(presets.unread(texts).select("path", F.concat_ws(" ", F.lit("unread"), "attribute", "raw").alias("what")))
+
+
+@query("s13_lut_tables", ("part",), """, l AS (SELECT p_partkey // 10 AS path, p_partkey % 10 AS k, p_size AS n FROM part) SELECT CAST(path AS VARCHAR) AS path, 2 AS size, row_number() OVER (PARTITION BY path ORDER BY k) - 1 AS i, round(n / 100.0, 6) AS r, round(k / 10.0, 6) AS g, -0.5 AS b FROM l WHERE k > 2 AND path IN (SELECT path FROM l WHERE k = 1)""")
+def _(part):
+    """Tables as lines of text, ten parts each: a comment, a size, a title, then entries."""
+    k = F.col("p_partkey") % 10
+    entry = F.concat_ws(" ", (F.col("p_size") / 100).cast("string"), (k / 10).cast("string"), F.lit("-0.5"))
+    text = F.when(k == 0, "# made of parts").when(k == 1, "LUT_3D_SIZE 2").when(k == 2, 'TITLE "x"').otherwise(entry)
+    lines = part.select(F.floor(F.col("p_partkey") / 10).cast("string").alias("path"), k.alias("line_number"), text.alias("value"))
+    found = files.parse_cube(lines).filter("size IS NOT NULL")
+    return found.select("path", "size", F.col("i").cast("bigint").alias("i"), *[F.round(c, 6).alias(c) for c in "rgb"])
+
+
+@file_query("s14_lens_database", ("part",), """SELECT p_brand AS maker, p_type || ' ' || p_partkey AS model, CASE WHEN p_partkey % 3 > 0 THEN p_size * k END AS focal, CASE WHEN p_partkey % 3 > 0 THEN round(p_size / 1000.0 * k, 6) END AS a FROM part, (SELECT unnest([1.0, 2.0]) AS k) WHERE p_partkey % 3 > 0 OR k = 1""")
+def s14(spark, sf_dir):
+    """A lens database as XML files, written of parts and read again; a third of the lenses have no calibration."""
+    (part,) = catalog(spark, sf_dir, "part")
+    s = lambda c: c.cast("string")
+    entry = lambda k: F.concat(F.lit('<distortion model="ptlens" focal="'), s(F.col("p_size") * k), F.lit('" a="'), s(F.col("p_size") / 1000 * k), F.lit('" b="0.5" c="-1"/>'))
+    calibrated = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("<calibration>"), entry(1), entry(2), F.lit("</calibration>"))).otherwise("")
+    text = F.concat(F.lit("<lens><maker>"), "p_brand", F.lit("</maker><model>"), "p_type", F.lit(" "), s(F.col("p_partkey")), F.lit("</model><mount>M</mount><cropfactor>1.5</cropfactor>"), calibrated, F.lit("</lens>"))
+    place = f"{shared_dir(spark)}/lenses-{uuid.uuid4().hex}"
+    block = part.select(F.floor(F.col("p_partkey") / 50).alias("file"), text.alias("lens")).groupBy("file").agg(F.concat(F.lit("<lensdatabase>"), F.array_join(F.collect_list("lens"), ""), F.lit("</lensdatabase>")).alias("value"))
+    block.select("value").write.option("maxRecordsPerFile", 1).text(place)  # fifty lenses a file
+    return files.read_lenses(spark, place).select("maker", "model", "focal", F.round("a", 6).alias("a"))
+
+
+@file_query("n4_incremental_batches", ("orders",), """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 > 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS value, CASE WHEN o_orderkey % 10 = 0 THEN 'no picture' END AS error FROM orders""")
+def n4(spark, sf_dir):
+    """Orders that come in three parts, each processed by a run of its own, the last run finding nothing; items that fail are rows with an error."""
+    (orders,) = catalog(spark, sf_dir, "orders")
+    place = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    rows = orders.select(F.col("o_orderkey").alias("id"), "o_totalprice")
+    fine = F.col("id") % 10 > 0
+    step = lambda batch: batch.select("id", F.when(fine, F.floor("o_totalprice").cast("bigint")).alias("value"), F.when(~fine, "no picture").alias("error"))
+    for part in (0, 1, 2, None):
+        if part is not None:
+            rows.filter(F.col("id") % 3 == part).write.mode("append").parquet(f"{place}/in")
+        jobs.run_incrementally(spark, f"{place}/in", rows.schema, f"{place}/out", f"{place}/checkpoint", step)
+    return spark.read.parquet(f"{place}/out").select("id", "value", "error")
+
+
+@query("s4_upserted_images", ("images",), """, n AS (SELECT id + CASE WHEN id % 3 = 0 THEN 1000000 ELSE 0 END AS id, CASE WHEN id % 4 > 0 THEN 'new/' || relative_path END AS relative_path, modified_at + 5 AS modified_at FROM images WHERE id % 2 = 0)
+SELECT coalesce(n.id, i.id) AS id, coalesce(n.relative_path, i.relative_path) AS relative_path, coalesce(n.modified_at, i.modified_at) AS modified_at FROM images i FULL JOIN n ON n.id = i.id""")
+def _(images):
+    """A scan finds half of the images again, some under new ids, a quarter of them without a path."""
+    i = F.col("id")
+    old = images.select("id", "relative_path", "modified_at")
+    new = images.filter(i % 2 == 0).select((i + F.when(i % 3 == 0, 1_000_000).otherwise(0)).alias("id"), F.when(i % 4 > 0, F.concat(F.lit("new/"), "relative_path")).alias("relative_path"), (F.col("modified_at") + 5).alias("modified_at"))
+    return files.upsert(old, new, "id")

@@ -149,9 +149,15 @@ def _(faces, images, people):
     return workflow.reviewed_faces(faces, log, images, people).select("id", "image_id", "person_id", "review_state")
 
 
-@query("m4_confirmed_cluster", ("faces", "images"), f", {PLACED}, hit AS (SELECT id FROM faces WHERE cluster_id = 7 UNION SELECT companion_id FROM pairs WHERE face_id IN (SELECT id FROM faces WHERE cluster_id = 7)) SELECT f.id, f.image_id, CASE WHEN f.review_state = 'unreviewed' AND f.id IN (SELECT id FROM hit) THEN 9 ELSE f.person_id END AS person_id, CASE WHEN f.review_state = 'unreviewed' AND f.id IN (SELECT id FROM hit) THEN 'confirmed' ELSE f.review_state END AS review_state FROM faces f")
-def _(faces, images):
-    return workflow.confirmed_cluster(faces, images, 7, 9).select("id", "image_id", F.col("person_id").cast("bigint").alias("person_id"), "review_state")
+@query("m4_cluster_states", ("clusters", "faces"), "SELECT c.id, CASE WHEN c.id IN (SELECT cluster_id FROM faces WHERE review_state = 'confirmed' AND person_id % 9 = 0) THEN 'accepted' ELSE c.state END AS state, c.representative_face_id FROM clusters c")
+def _(clusters, faces):
+    confirmed = faces.filter("review_state = 'confirmed' AND person_id % 9 = 0").select(F.col("cluster_id").alias("id"))
+    return workflow.accepted_clusters(clusters, confirmed).select("id", "state", "representative_face_id")
+
+
+@query("m4_confirmed_cluster", ("faces", "images", "people"), f", {PLACED}, hit AS (SELECT id FROM faces WHERE cluster_id = 7 UNION SELECT companion_id FROM pairs WHERE face_id IN (SELECT id FROM faces WHERE cluster_id = 7)) SELECT f.id, f.image_id, CASE WHEN f.review_state = 'unreviewed' AND f.id IN (SELECT id FROM hit) THEN 9 ELSE f.person_id END AS person_id, CASE WHEN f.review_state = 'unreviewed' AND f.id IN (SELECT id FROM hit) THEN 'confirmed' ELSE f.review_state END AS review_state FROM faces f")
+def _(faces, images, people):
+    return workflow.confirmed_cluster(faces, images, people, 7, 9).select("id", "image_id", F.col("person_id").cast("bigint").alias("person_id"), "review_state")
 
 
 @query("m8_bulk_edits", ("images", "image_tags"), """, e AS (SELECT id, CASE WHEN id % 3 = 0 THEN id % 6 END AS rating, CASE id % 4 WHEN 0 THEN 'red' WHEN 1 THEN '' END AS color FROM images), t AS (SELECT image_id AS id, list(DISTINCT name) AS tags FROM image_tags GROUP BY 1)
