@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from prismata.functions import keys
 from prismata.plans.registry import ORACLES, file_query, query
 from prismata.plans.standin import catalog
 from prismata.session import materialize, shared_dir
@@ -168,3 +169,13 @@ def _(images):
     old = images.select("id", "relative_path", "modified_at")
     new = images.filter(i % 2 == 0).select((i + F.when(i % 3 == 0, 1_000_000).otherwise(0)).alias("id"), F.when(i % 4 > 0, F.concat(F.lit("new/"), "relative_path")).alias("relative_path"), (F.col("modified_at") + 5).alias("modified_at"))
     return files.upsert(old, new, "id")
+
+
+@query("x7_cache_keys", ("events",), """, e AS (SELECT event_id AS id, event_id % 5 AS k, user_id AS u FROM events), g AS (SELECT *, CASE WHEN k > 0 THEN 'steps=' || k || '|' ELSE '' END || 'transformRotate=' || u || CASE WHEN k = 2 THEN '|lensModel="L"' ELSE '' END AS geometry, CASE WHEN k = 3 THEN 'blur|lensBlurAmount=' || u ELSE 'sharp' END AS blur FROM e)
+SELECT id, sha256(geometry) AS geometry, sha256(sha256(geometry) || '|' || blur) AS thumbnail, sha256('path=/p/' || u || '|exposure=' || k || CASE WHEN k = 3 THEN '|lensBlurAmount=' || u || '|lensBlurEnabled=true' ELSE '' END) AS visual FROM g""")
+def _(events):
+    i, k, u = F.col("event_id"), F.col("event_id") % 5, F.col("user_id").cast("string")
+    s = k.cast("string")
+    text = F.concat(F.lit('{"transformRotate": '), u, F.lit(', "exposure": '), s, F.lit(', "rotation": 1.5'), F.when(k > 0, F.concat(F.lit(', "orientationSteps": '), s)).otherwise(""), F.when(k == 2, ', "lensModel": "L"').otherwise(""), F.when(k == 3, F.concat(F.lit(', "lensBlurEnabled": true, "lensBlurAmount": '), u)).otherwise(""), F.lit("}"))
+    v = events.select(i.alias("id"), F.concat(F.lit("/p/"), u).alias("path"), F.parse_json(text).alias("v"))
+    return v.select("id", keys.geometry_key("v").alias("geometry"), keys.thumbnail_key("v").alias("thumbnail"), keys.visual_key(F.col("path"), "v").alias("visual"))

@@ -95,3 +95,31 @@ def test_provenance_parts_do_not_multiply(spark):
     one = by[1]
     assert (one.path, one.camera, one.lens, one.rating) == ("/r/a.jpg", "M", "L", 3) and [t.name for t in one.ai_tags] == ["y", "x"] and [f.id for f in one.faces] == [4, 5] and [s.scientific_name for s in one.species] == ["t", "s"] and one.errors == ["lost"]
     assert (by[2].camera, by[2].rating, by[2].ai_tags, by[2].errors) == ("K", 0, [], [])
+
+
+def test_keys_change_with_what_they_name_and_with_nothing_else(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from prismata.functions import keys
+
+    base = {"exposure": 1.0, "crop": {"x": 1, "y": 2}, "aiPatches": [{"id": "a", "patchData": {"color": "cc", "mask": "m"}}], "transformRotate": 3}
+    changes = {
+        "exposure": ({"exposure": 2.0}, {"visual", "job"}),
+        "crop": ({"crop": {"x": 5, "y": 2}}, {"transform", "job"}),
+        "turn": ({"orientationSteps": 1}, {"geometry", "thumbnail", "transform", "job"}),
+        "geometry": ({"transformRotate": 4}, {"geometry", "thumbnail", "transform", "job"}),
+        "blur off": ({"lensBlurAmount": 4}, {"visual", "job"}),
+        "blur": ({"lensBlurEnabled": True, "lensBlurAmount": 4}, {"thumbnail", "transform", "visual", "job"}),
+        "hidden blur": ({"lensBlurEnabled": True, "sectionVisibility": {"effects": False}}, {"visual", "job"}),
+        "patch of the same size": ({"aiPatches": [{"id": "a", "patchData": {"color": "dd", "mask": "m"}}]}, {"geometry", "thumbnail", "visual", "job"}),
+        "larger patch": ({"aiPatches": [{"id": "a", "patchData": {"color": "ccc", "mask": "m"}}]}, {"geometry", "thumbnail", "transform", "visual", "job"}),
+        "nothing": ({"exposure": 1.0}, set()),
+    }
+    rows = [("base", json.dumps(base))] + [(n, json.dumps(base | c)) for n, (c, _) in changes.items()]
+    df = spark.createDataFrame(rows, "name string, t string").select("name", F.parse_json("t").alias("v"))
+    path = F.lit("/p")
+    got = {r.name: r for r in df.select("name", keys.geometry_key("v").alias("geometry"), keys.thumbnail_key("v").alias("thumbnail"), keys.visual_key(path, "v").alias("visual"), keys.transform_key("v").alias("transform"), keys.job_key(path, "v").alias("job")).collect()}
+    for name, (_, want) in changes.items():
+        assert {k for k in ("geometry", "thumbnail", "visual", "transform", "job") if got[name][k] != got["base"][k]} == want, name
