@@ -3,7 +3,8 @@
 Nulls and empty texts have no words: every count is 0 and the document is rejected.
 Repeated rows are judged one by one; columns beyond doc_id and text are ignored here
 and kept by keep_good(). Equal three-word windows are found by their 64-bit XXH64
-within one document. Cost is n log n in the words of a document.
+within one document. Cost is n log n in the words of a document. The stop words are those of four
+languages, and a twentieth of the words must be of them: a clean text in any other language is rejected.
 """
 
 from __future__ import annotations
