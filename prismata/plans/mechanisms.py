@@ -121,7 +121,7 @@ def _(part):
     return points.unionByName(named).unionByName(presets.unread(texts).select("path", F.concat_ws(" ", F.lit("unread"), "attribute", "raw").alias("what")))
 
 
-@query("s13_lut_tables", ("part",), """, l AS (SELECT p_partkey // 10 AS path, p_partkey % 10 AS k, p_size AS n FROM part) SELECT CAST(path AS VARCHAR) AS path, 2 AS size, row_number() OVER (PARTITION BY path ORDER BY k) - 1 AS i, round(n / 100.0, 6) AS r, round(k / 10.0, 6) AS g, -0.5 AS b FROM l WHERE k > 2 AND path IN (SELECT path FROM l WHERE k = 1)""")
+@query("s13_lut_tables", ("part",), """, l AS (SELECT p_partkey // 10 AS path, p_partkey % 10 AS k, p_size AS n FROM part) SELECT CAST(path AS VARCHAR) AS path, 2 AS size, row_number() OVER (PARTITION BY path ORDER BY k) - 1 AS i, round(n / 100.0, 6) AS r, round(k / 10.0, 6) AS g, -0.5::DOUBLE AS b FROM l WHERE k > 2 AND path IN (SELECT path FROM l WHERE k = 1)""")
 def _(part):
     """Tables as lines of text, ten parts each: a comment, a size, a title, then entries."""
     k = F.col("p_partkey") % 10
@@ -132,7 +132,7 @@ def _(part):
     return found.select("path", "size", F.col("i").cast("bigint").alias("i"), *[F.round(c, 6).alias(c) for c in "rgb"])
 
 
-@file_query("s14_lens_database", ("part",), """SELECT p_brand AS maker, p_type || ' ' || p_partkey AS model, CASE WHEN p_partkey % 3 > 0 THEN p_size * k END AS focal, CASE WHEN p_partkey % 3 > 0 THEN round(p_size / 1000.0 * k, 6) END AS a FROM part, (SELECT unnest([1.0, 2.0]) AS k) WHERE p_partkey % 3 > 0 OR k = 1""")
+@file_query("s14_lens_database", ("part",), """SELECT p_brand AS maker, p_type || ' ' || p_partkey AS model, CASE WHEN p_partkey % 3 > 0 THEN CAST(p_size * k AS DOUBLE) END AS focal, CASE WHEN p_partkey % 3 > 0 THEN round(p_size / 1000.0 * k, 6) END AS a FROM part, (SELECT unnest([1.0, 2.0]) AS k) WHERE p_partkey % 3 > 0 OR k = 1""")
 def s14(spark, sf_dir):
     """A lens database as XML files, written of parts and read again; a third of the lenses have no calibration."""
     (part,) = catalog(spark, sf_dir, "part")

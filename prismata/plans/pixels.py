@@ -97,7 +97,7 @@ def _(embeddings):
     return matching.match_features(*_features(embeddings)).select("a", "b", "i", "j")
 
 
-@query("g25_consensus", ("embeddings",), f"{FEATURES} SELECT a, b, count(*) AS matches, count(*) FILTER ((x2 - x1 - 30) ** 2 + (y2 - y1 + 12) ** 2 < 25) AS inliers, 30.0 AS dx, -12.0 AS dy FROM m GROUP BY 1, 2 HAVING inliers >= 15")
+@query("g25_consensus", ("embeddings",), f"{FEATURES} SELECT a, b, count(*) AS matches, count(*) FILTER ((x2 - x1 - 30) ** 2 + (y2 - y1 + 12) ** 2 < 25) AS inliers, 30.0::DOUBLE AS dx, -12.0::DOUBLE AS dy FROM m GROUP BY 1, 2 HAVING inliers >= 15")
 def _(embeddings):
     found = matching.consensus(matching.match_features(*_features(embeddings)))
     return found.select("a", "b", F.col("matches").cast("bigint").alias("matches"), F.col("inliers").cast("bigint").alias("inliers"), F.round(F.col("map")[2], 3).alias("dx"), F.round(F.col("map")[5], 3).alias("dy"))
