@@ -30,6 +30,15 @@ class Staged(WriterCommitMessage):
     files: int
 
 
+def _make(folder: str, made: set[str]) -> None:
+    """Make a folder and what is missing above it, down from those already made; an error if these are gone."""
+    if folder not in made:
+        _make(os.path.dirname(folder), made)
+        if not os.path.isdir(folder):
+            os.mkdir(folder)
+        made.add(folder)
+
+
 class FileSink(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -48,6 +57,7 @@ class FileWriter(DataSourceWriter):
             raise ValueError(f"not a mounted folder: {target}")
         self.target = target.removeprefix("file://").removeprefix("file:").rstrip("/")
         self.staging = os.path.join(self.target, f".staging-{uuid.uuid4().hex}")  # one for the whole write
+        os.makedirs(self.staging)
         self.at = [f.name for f in schema.fields].index("path"), [f.name for f in schema.fields].index("content")
         self.overwrite = overwrite
 
@@ -56,13 +66,13 @@ class FileWriter(DataSourceWriter):
 
         task = TaskContext.get()
         folder = os.path.join(self.staging, f"{task.partitionId()}-{task.taskAttemptId()}")
-        n = 0
+        n, made = 0, {self.staging}
         for row in rows:
             path, content = row[self.at[0]], row[self.at[1]]
             place = os.path.normpath(os.path.join(folder, (path or "").lstrip("/")))
             if not path or not place.startswith(folder + os.sep):
                 raise ValueError(f"not below the target: {path!r}")
-            os.makedirs(os.path.dirname(place), exist_ok=True)
+            _make(os.path.dirname(place), made)
             with open(place, "wb") as out:
                 out.write(content.encode() if isinstance(content, str) else bytes(content or b""))
             n += 1
@@ -83,4 +93,10 @@ class FileWriter(DataSourceWriter):
         shutil.rmtree(self.staging, ignore_errors=True)
 
     def abort(self, messages: list[Staged | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        """Tasks that still run lose their folder at once: it is moved away before it is deleted, and none makes it anew."""
+        gone = self.staging + "-aborted"
+        try:
+            os.rename(self.staging, gone)
+        except FileNotFoundError:
+            return
+        shutil.rmtree(gone, ignore_errors=True)
