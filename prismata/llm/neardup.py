@@ -1,24 +1,28 @@
-"""Near-duplicates by word shingles: the popcount bound of the SimHash operator on whole shingle sets.
+"""Near-duplicates by word shingles: SimHash links, what fingerprints cannot reach, and an exact check on whole shingle sets.
 
 A document is the set of its SHINGLE-word shingles, seen as a bitmap over their 64-bit
 hashes. The bitmap is embedded as the bit counts of its segments (powers of two, about
 LOAD bits each); the Manhattan distance of two embeddings never exceeds the number of
 differing bits, and a similarity (Jaccard) of at least s allows (1 - s) / (1 + s) of the
-bits of both to differ. A 64-bit fingerprint cannot reach these pairs: at 0.8 about ten of
-its bits differ. The steps:
+bits of both to differ. The steps:
 
 1. Equal word sequences are one node, named by a 128-bit hash, whatever the number of copies.
-2. Each set gives its first n - ceil(s * n) + 1 shingles, rare ones first (by a sketch of
-   their counts, which decides only the cost). Two sets of similarity s always share one,
-   so they meet in its cell; sizes and places prune there.
-3. Pairs of a small cell, and all members of a crowded one, are compared on their
+2. Each set has a SimHash fingerprint; fingerprints within RADIUS bits meet on the grid of
+   segment popcounts of the SimHash operator, which bounds and then verifies their distance.
+   Links whose sets the embeddings do not rule out stay; what they connect is a class.
+3. At s = 0.8 about ten bits of a fingerprint differ, so further pairs are sought between
+   classes, never within one. Each set gives its first n - ceil(s * n) + 1 shingles, rare
+   ones first (by a sketch of their counts, which decides only the cost). Two sets of
+   similarity s always share one, so they meet in its cell; sizes and places prune there.
+4. Pairs of a small cell, and all members of a crowded one, are compared on their
    embeddings. A crowd is swept by breadth-first search, in blocks if it is very large, so
-   that only a spanning set of its links leaves it.
-4. What these links connect is compared on the whole shingle sets, by the same kind of sweep
-   over verified links, in blocks of about BLOCK shingles; components of verified links are the groups.
+   that only a spanning set of its links leaves it; members of a class are reached together.
+5. What the links of both kinds connect is compared on the whole shingle sets, by the same kind
+   of sweep over verified links, in blocks of about BLOCK shingles; components of verified links are the groups.
 
 Nothing is lost at any step: each keeps all that can be alike, and the last compares all
-that is connected. Results do not depend on partitions or the order of rows.
+that is connected, so that a pair within a class needs no further link. Results do not depend
+on partitions or the order of rows.
 
 Null texts are empty; texts without words are copies of each other; a text of fewer words
 is one shingle. Rows without a doc_id take part like any other and come last in their
@@ -34,12 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismata.llm import simhash
 from prismata.llm.simhash import words_of
 from prismata.llm.suffixdedup import Hashes
 from prismata.operators.components import connected_components
 from prismata.session import materialize, scratch, small_side
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Differing bits of fingerprints that are linked.
+RADIUS = 3
 #: Shingles in a segment of the embedding, at most.
 LOAD = 4
 #: Counters of the shingle sketch (a power of two), and the slices in which tasks hand it over.
@@ -102,13 +109,13 @@ def _counters(hashes: np.ndarray) -> np.ndarray:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, t, text) -> (k, t, x, n, pop) of each row; then the task's sketch of shingle counts, in slices."""
+    """(k, t, text) -> (k, t, x, n, pop, fp) of each row; then the task's sketch of shingle counts, in slices."""
     import zstandard
 
-    names, total = ["k", "t", "x", "n", "pop", "slice", "counts"], np.zeros(SKETCH, np.uint32)
+    names, total = ["k", "t", "x", "n", "pop", "fp", "slice", "counts"], np.zeros(SKETCH, np.uint32)
     held, size = [], 0
     for batch in batches:
-        x, n, pop = [], [], []
+        x, n, pop, fp = [], [], [], []
         for text in batch.column(2):
             words = words_of(text.as_py())
             own = shingle_set(words)
@@ -120,13 +127,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x.append(content(words))
             n.append(len(own))
             pop.append(popcounts(own).tobytes())
+            fp.append(simhash.fold(own))
         rows = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary()), pa.array(n, pa.int32()), pa.array(pop, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary()), pa.array(n, pa.int32()), pa.array(pop, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
     if held:
         total += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
     if total.any():
         parts = [zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(p.view(np.uint8).reshape(-1, 4).T).tobytes()) for p in np.split(total, SLICES)]
-        none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())]
+        none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64())]
         yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
 
@@ -266,6 +274,7 @@ def _crowds(similarity: float):
     def run(table: pa.Table) -> pa.Table:
         x, pops = table.column("x").to_pylist(), table.column("pop").to_pylist()
         n, place, own = (table.column(c).to_numpy() for c in ("n", "place", "own"))
+        kin = table.column("kin").combine_chunks().dictionary_encode().indices.to_numpy()
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         width = np.fromiter(map(len, pops), np.int64, len(pops))
         a, b = [], []
@@ -273,12 +282,16 @@ def _crowds(similarity: float):
             at = np.flatnonzero((width == size) | (width == 2 * size))
             exact = width[at] == size
             grid = np.stack([np.frombuffer(pops[j], np.uint8) if w else folded(np.frombuffer(pops[j], np.uint8)[None, :])[0] for j, w in zip(at.tolist(), exact.tolist())])
-            sizes, places, blocks = n[at].astype(np.int64), place[at].astype(np.int64), own[at]
+            sizes, places, blocks, of = n[at].astype(np.int64), place[at].astype(np.int64), own[at], kin[at]
             left = np.arange(len(at))
             while len(left):
                 queue, left = [int(left[0])], left[1:]
                 while queue and len(left):
                     i = queue.pop()
+                    linked = of[left] == of[i]  # by fingerprints, so no link is needed
+                    if linked.any():
+                        queue += left[linked].tolist()
+                        left = left[~linked]
                     low, high = np.minimum(sizes[left], sizes[i]), np.maximum(sizes[left], sizes[i])
                     first = np.where(sizes[left] <= sizes[i], places[left], places[i])
                     second = np.where(sizes[left] <= sizes[i], places[i], places[left])
@@ -325,19 +338,41 @@ def _dealt(rows: DataFrame, group: str, node: str, blocks: DataFrame) -> DataFra
     return spread.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other")
 
 
+def _within_bound(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): the pairs (a, b) of different classes whose embeddings are near enough. nodes: x, n, pop, kin."""
+    side = lambda c, n, p, k: nodes.select(F.col("x").alias(c), F.col("n").alias(n), F.col("pop").alias(p), F.col("kin").alias(k))
+    both = pairs.join(side("a", "n", "pop", "kin"), "a").join(side("b", "m", "other", "kind"), "b").filter("kin != kind")
+    return both.select("a", "b", "n", "m", "pop", "other").mapInArrow(_near_pairs(similarity), "src binary, dst binary")
+
+
+def fingerprint_links(nodes: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """(src, dst): links between nodes whose SimHash fingerprints are within radius bits and whose embeddings are near enough. Nodes with one fingerprint are linked with the first of them. nodes: x, n, pop, fp."""
+    some = nodes.filter("n > 0")
+    heads = materialize(some.groupBy("fp").agg(F.min("x").alias("head")), "near-prints")
+    head = lambda c, x: heads.select(F.col("fp").alias(c), F.col("head").alias(x))
+    met = simhash.links(heads.select("fp", F.lit(0).alias("t"), F.col("fp").alias("node")), radius).toDF("p", "q")
+    apart = met.join(head("p", "a"), "p").join(head("q", "b"), "q").select("a", "b")
+    same = some.select("fp", F.col("x").alias("b")).join(head("fp", "a"), "fp").filter("a != b").select("a", "b")
+    return _within_bound(apart.unionByName(same), some.withColumn("kin", F.col("x")), similarity)
+
+
+def with_kin(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """nodes with the class (kin) that the links found connect them to; a node without links is its own."""
+    of = connected_components(found).select(F.col("node").alias("x"), F.col("component").alias("kin"))
+    return nodes.join(of, "x", "left").withColumn("kin", F.coalesce("kin", "x"))
+
+
 def candidates(texts: DataFrame, measured: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """(src, dst): links between nodes; whatever has at least this similarity is linked, or joined by a path of links. nodes: x, n, pop."""
+    """(src, dst): links between nodes of different classes; whatever has at least this similarity is linked, or joined by a path of links and classes. nodes: x, n, pop, kin."""
     shared = texts.sparkSession.sparkContext.broadcast(shingle_ranks(measured))  # SKETCH bytes
     spots = texts.mapInArrow(_prefixes(shared, similarity), "key bigint, x binary, n int, place int")
     sorted_ = spots.repartition("key").sortWithinPartitions("key", "n", "x", "place").select("key", "n", "x", "place")
     met = materialize(sorted_.mapInArrow(_meet(similarity, crowd), "cell bigint, a binary, b binary, n int, place int"), "near-cells")
     pairs = met.filter("cell IS NULL").select("a", "b").distinct()
-    side = lambda c, n, p: nodes.select(F.col("x").alias(c), F.col("n").alias(n), F.col("pop").alias(p))
-    both = pairs.join(side("a", "n", "pop"), "a").join(side("b", "m", "other"), "b").select("a", "b", "n", "m", "pop", "other")
-    few = both.mapInArrow(_near_pairs(similarity), "src binary, dst binary")
+    few = _within_bound(pairs, nodes, similarity)
     members = met.filter("cell IS NOT NULL").select("cell", F.col("a").alias("x"), "n", "place")
     blocks = materialize(members.groupBy("cell").agg(F.ceil(F.count("*") / CROWD_BLOCK).cast("int").alias("blocks")), "near-crowds")
-    dealt = _dealt(members.join(nodes.select("x", "pop"), "x"), "cell", "x", blocks)
+    dealt = _dealt(members.join(nodes.select("x", "pop", "kin"), "x"), "cell", "x", blocks)
     many = dealt.groupBy("cell", "lo", "hi").applyInArrow(_crowds(similarity), "src binary, dst binary")
     return few.unionByName(many).distinct()
 
@@ -385,7 +420,7 @@ def _sweep(similarity: float):
 
 
 def verified_links(found: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(src, dst): links that connect what all pairs of at least this similarity connect. found: candidates(); nodes: x, n, k, t (of one row that has the text)."""
+    """(src, dst): links that connect what all pairs of at least this similarity connect. found: links of fingerprint_links() and candidates(); nodes: x, n, k, t (of one row that has the text)."""
     of = materialize(connected_components(found).withColumnRenamed("node", "x"), "near-parts")
     placed = of.join(nodes.select("x", "n", "k", "t"), "x")
     blocks = materialize(placed.groupBy("component").agg(F.ceil(F.sum(F.col("n").cast("bigint")) / block).cast("int").alias("blocks")), "near-blocks")
@@ -399,11 +434,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         raise ValueError("a prefix needs a similarity above 0")
     texts = _texts(docs)
     with scratch(docs.sparkSession) as tables:
-        measured = materialize(texts.mapInArrow(_measure, "k bigint, t bigint, x binary, n int, pop binary, slice int, counts binary"), "near-measured")
-        rows = measured.filter("slice IS NULL").select("k", "t", "x", "n", "pop")
+        measured = materialize(texts.mapInArrow(_measure, "k bigint, t bigint, x binary, n int, pop binary, fp bigint, slice int, counts binary"), "near-measured")
+        rows = measured.filter("slice IS NULL").select("k", "t", "x", "n", "pop", "fp")
         order = F.struct((F.col("k") == NULL_ID).alias("none"), "k", "t")
-        nodes = materialize(rows.groupBy("x").agg(F.min(F.struct(order.alias("o"), "n", "pop")).alias("r")).select("x", "r.o", "r.o.k", "r.o.t", "r.n", "r.pop"), "near-nodes")
-        links = verified_links(candidates(texts, measured, nodes, similarity), texts, nodes, similarity)
+        nodes = materialize(rows.groupBy("x").agg(F.min(F.struct(order.alias("o"), "n", "pop", "fp")).alias("r")).select("x", "r.o", "r.o.k", "r.o.t", "r.n", "r.pop", "r.fp"), "near-nodes")
+        found = materialize(fingerprint_links(nodes, similarity), "near-links")
+        kin = materialize(with_kin(nodes, found), "near-kin")
+        links = verified_links(found.unionByName(candidates(texts, measured, kin, similarity)), texts, nodes, similarity)
         parts = materialize(connected_components(links).withColumnRenamed("node", "x"), "near-groups")
         named = nodes.select("x", "o").join(parts, "x", "left").withColumn("component", F.coalesce("component", "x"))
         least = named.groupBy("component").agg(F.min("o").alias("least"))
