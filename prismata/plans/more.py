@@ -68,10 +68,12 @@ def _(embeddings):
 
 @query("g13_g14_softmax_tags", ("embeddings",), f""", {LOGITS}, t AS (SELECT id, 'tag' || pos AS tag, exp(x - max(x) OVER w) / sum(exp(x)) OVER w * exp(max(x) OVER w) AS score FROM each WINDOW w AS (PARTITION BY id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tag) AS rn FROM t WHERE score > 0.03), b AS (SELECT id, tag, round(score, 6) AS score FROM r WHERE rn <= 4),
-up AS (SELECT * FROM (VALUES ('tag1', 'tag2'), ('tag2', 'bird'), ('bird', 'animal'), ('tag9', 'tag4')) v(child, parent))
+up AS (SELECT * FROM (VALUES ('tag1', 'tag2'), ('tag2', 'bird'), ('tag1', 'bird'), ('bird', 'animal'), ('tag2', 'animal'), ('tag1', 'animal'), ('tag9', 'tag4')) v(child, parent))
 SELECT id, tag, max(score) AS score FROM (SELECT * FROM b UNION ALL SELECT id, parent, 0.0 FROM b JOIN up ON b.tag = up.child) GROUP BY 1, 2""")
 def _(embeddings):
-    parents = embeddings.sparkSession.createDataFrame([("tag1", "tag2"), ("tag2", "bird"), ("bird", "animal"), ("tag9", "tag4")], "child string, parent string")
+    # a tag's list names all that stands above it, as the lists of the original do
+    listed = {"tag1": ["tag2", "bird", "animal"], "tag2": ["bird", "animal"], "bird": ["animal"], "tag9": ["tag4"]}
+    parents = embeddings.sparkSession.createDataFrame([(child, up) for child, ups in listed.items() for up in ups], "child string, parent string")
     return similarity.softmax_tags(_logits(embeddings), _labels(embeddings.sparkSession), parents, 0.03, 4)
 
 
