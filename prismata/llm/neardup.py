@@ -122,7 +122,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(_counters(own))
             size += len(own)
             if size > SKETCH // 2:
-                total += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
+                np.add.at(total, np.concatenate(held), np.uint32(1))
                 held, size = [], 0
             x.append(content(words))
             n.append(len(own))
@@ -131,7 +131,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = batch.num_rows
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary()), pa.array(n, pa.int32()), pa.array(pop, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
     if held:
-        total += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
+        np.add.at(total, np.concatenate(held), np.uint32(1))
     if total.any():
         parts = [zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(p.view(np.uint8).reshape(-1, 4).T).tobytes()) for p in np.split(total, SLICES)]
         none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64())]
@@ -347,10 +347,10 @@ def _within_bound(pairs: DataFrame, nodes: DataFrame, similarity: float) -> Data
 
 def fingerprint_links(nodes: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(src, dst): links between nodes whose SimHash fingerprints are within radius bits and whose embeddings are near enough. Nodes with one fingerprint are linked with the first of them. nodes: x, n, pop, fp."""
-    some = nodes.filter("n > 0")
-    heads = materialize(some.groupBy("fp").agg(F.min("x").alias("head")), "near-prints")
+    some, rows = nodes.filter("n > 0"), nodes.count()
+    heads = materialize(some.groupBy("fp").agg(F.min("x").alias("head")), "near-prints", rows)
     head = lambda c, x: heads.select(F.col("fp").alias(c), F.col("head").alias(x))
-    met = simhash.links(heads.select("fp", F.lit(0).alias("t"), F.col("fp").alias("node")), radius).toDF("p", "q")
+    met = simhash.links(heads.select("fp", F.lit(0).alias("t"), F.col("fp").alias("node")), radius, rows=rows).toDF("p", "q")
     apart = met.join(head("p", "a"), "p").join(head("q", "b"), "q").select("a", "b")
     same = some.select("fp", F.col("x").alias("b")).join(head("fp", "a"), "fp").filter("a != b").select("a", "b")
     return _within_bound(apart.unionByName(same), some.withColumn("kin", F.col("x")), similarity)
@@ -358,20 +358,21 @@ def fingerprint_links(nodes: DataFrame, similarity: float = SIMILARITY, radius:
 
 def with_kin(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """nodes with the class (kin) that the links found connect them to; a node without links is its own."""
-    of = connected_components(found).select(F.col("node").alias("x"), F.col("component").alias("kin"))
+    of = connected_components(found, rows=nodes.count()).select(F.col("node").alias("x"), F.col("component").alias("kin"))
     return nodes.join(of, "x", "left").withColumn("kin", F.coalesce("kin", "x"))
 
 
 def candidates(texts: DataFrame, measured: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """(src, dst): links between nodes of different classes; whatever has at least this similarity is linked, or joined by a path of links and classes. nodes: x, n, pop, kin."""
     shared = texts.sparkSession.sparkContext.broadcast(shingle_ranks(measured))  # SKETCH bytes
+    rows = nodes.count()
     spots = texts.mapInArrow(_prefixes(shared, similarity), "key bigint, x binary, n int, place int")
     sorted_ = spots.repartition("key").sortWithinPartitions("key", "n", "x", "place").select("key", "n", "x", "place")
-    met = materialize(sorted_.mapInArrow(_meet(similarity, crowd), "cell bigint, a binary, b binary, n int, place int"), "near-cells")
+    met = materialize(sorted_.mapInArrow(_meet(similarity, crowd), "cell bigint, a binary, b binary, n int, place int"), "near-cells", rows)
     pairs = met.filter("cell IS NULL").select("a", "b").distinct()
     few = _within_bound(pairs, nodes, similarity)
     members = met.filter("cell IS NOT NULL").select("cell", F.col("a").alias("x"), "n", "place")
-    blocks = materialize(members.groupBy("cell").agg(F.ceil(F.count("*") / CROWD_BLOCK).cast("int").alias("blocks")), "near-crowds")
+    blocks = materialize(members.groupBy("cell").agg(F.ceil(F.count("*") / CROWD_BLOCK).cast("int").alias("blocks")), "near-crowds", rows)
     dealt = _dealt(members.join(nodes.select("x", "pop", "kin"), "x"), "cell", "x", blocks)
     many = dealt.groupBy("cell", "lo", "hi").applyInArrow(_crowds(similarity), "src binary, dst binary")
     return few.unionByName(many).distinct()
@@ -421,10 +422,11 @@ def _sweep(similarity: float):
 
 def verified_links(found: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(src, dst): links that connect what all pairs of at least this similarity connect. found: links of fingerprint_links() and candidates(); nodes: x, n, k, t (of one row that has the text)."""
-    of = materialize(connected_components(found).withColumnRenamed("node", "x"), "near-parts")
+    rows = nodes.count()
+    of = materialize(connected_components(found, rows=rows).withColumnRenamed("node", "x"), "near-parts", rows)
     placed = of.join(nodes.select("x", "n", "k", "t"), "x")
-    blocks = materialize(placed.groupBy("component").agg(F.ceil(F.sum(F.col("n").cast("bigint")) / block).cast("int").alias("blocks")), "near-blocks")
-    tasks = small_side(materialize(_dealt(placed.select("x", "k", "t", "component"), "component", "x", blocks), "near-tasks"))
+    blocks = materialize(placed.groupBy("component").agg(F.ceil(F.sum(F.col("n").cast("bigint")) / block).cast("int").alias("blocks")), "near-blocks", rows)
+    tasks = small_side(materialize(_dealt(placed.select("x", "k", "t", "component"), "component", "x", blocks), "near-tasks", rows))
     return texts.join(tasks, ["k", "t"]).select("component", "lo", "hi", "x", "text").groupBy("component", "lo", "hi").applyInArrow(_sweep(similarity), "src binary, dst binary")
 
 
@@ -436,16 +438,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     with scratch(docs.sparkSession) as tables:
         measured = materialize(texts.mapInArrow(_measure, "k bigint, t bigint, x binary, n int, pop binary, fp bigint, slice int, counts binary"), "near-measured")
         rows = measured.filter("slice IS NULL").select("k", "t", "x", "n", "pop", "fp")
+        many = rows.count()
         order = F.struct((F.col("k") == NULL_ID).alias("none"), "k", "t")
-        nodes = materialize(rows.groupBy("x").agg(F.min(F.struct(order.alias("o"), "n", "pop", "fp")).alias("r")).select("x", "r.o", "r.o.k", "r.o.t", "r.n", "r.pop", "r.fp"), "near-nodes")
-        found = materialize(fingerprint_links(nodes, similarity), "near-links")
-        kin = materialize(with_kin(nodes, found), "near-kin")
+        nodes = materialize(rows.groupBy("x").agg(F.min(F.struct(order.alias("o"), "n", "pop", "fp")).alias("r")).select("x", "r.o", "r.o.k", "r.o.t", "r.n", "r.pop", "r.fp"), "near-nodes", many)
+        found = materialize(fingerprint_links(nodes, similarity), "near-links", many)
+        kin = materialize(with_kin(nodes, found), "near-kin", many)
         links = verified_links(found.unionByName(candidates(texts, measured, kin, similarity)), texts, nodes, similarity)
-        parts = materialize(connected_components(links).withColumnRenamed("node", "x"), "near-groups")
+        parts = materialize(connected_components(links, rows=many).withColumnRenamed("node", "x"), "near-groups", many)
         named = nodes.select("x", "o").join(parts, "x", "left").withColumn("component", F.coalesce("component", "x"))
         least = named.groupBy("component").agg(F.min("o").alias("least"))
         of = named.join(least, "component").select("x", F.col("least.k").alias("least_k"), F.col("least.t").alias("least_t"))
-        return tables.keep(materialize(rows.select("k", "t", "x").distinct().join(of, "x").select("k", "t", "least_k", "least_t"), "near-classes"))
+        return tables.keep(materialize(rows.select("k", "t", "x").distinct().join(of, "x").select("k", "t", "least_k", "least_t"), "near-classes", many))
 
 
 def _id(column: str):

@@ -255,14 +255,14 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def links(prints: DataFrame, radius: int = 3, crowd: int = CELL, most: int = CROWDED) -> DataFrame:
-    """(a, b): links between nodes whose fingerprints of one table are within radius; in each cell they connect all that are. prints: fp, t, node."""
+def links(prints: DataFrame, radius: int = 3, crowd: int = CELL, most: int = CROWDED, rows: int | None = None) -> DataFrame:
+    """(a, b): links between nodes whose fingerprints of one table are within radius; in each cell they connect all that are. prints: fp, t, node. rows: about how many there are."""
     if radius > 3:
         raise ValueError("two halves bound a half's distance by one up to radius 3")
     cells, met = "cell bigint, home int, fp bigint, node bigint", "a bigint, b bigint, cell bigint, home int, fp bigint, node bigint"
     dealt = lambda spots: spots.repartition("cell").sortWithinPartitions("cell", "node", "fp", "home")
     spots = prints.select("fp", "t", "node").mapInArrow(_cells, cells)
-    first = materialize(dealt(spots).mapInArrow(_links(radius, crowd, 1, most), met), "simhash-cells")
+    first = materialize(dealt(spots).mapInArrow(_links(radius, crowd, 1, most), met), "simhash-cells", rows)
     crowded = first.filter("cell IS NOT NULL").select("cell", "home", "fp", "node")
     finer = dealt(crowded.mapInArrow(_finer, cells)).mapInArrow(_links(radius, crowd, 3, None), met)
     return first.select("a", "b").unionByName(finer.select("a", "b")).filter("a != b").distinct()

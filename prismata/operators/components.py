@@ -32,22 +32,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionAll(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """(node, component) for each node of an edge; component is the smallest node reachable.
 
     edges: src and dst of any ordered type; nulls, loops, repeats and either direction are
-    allowed. An empty table gives an empty result.
+    allowed. An empty table gives an empty result. rows: about how many edges there are, for
+    the files of the first table; a round never adds edges, so later ones know.
     """
     spark = edges.sparkSession
     start = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src != dst")
-    now = materialize(start.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "components")
+    now = materialize(start.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "components", rows)
     before = None
     for _ in range(max_rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
         before = tuple(state)
-        step = materialize(_small_star(_large_star(now).distinct()).filter("u != v").distinct(), "components")
+        step = materialize(_small_star(_large_star(now).distinct()).filter("u != v").distinct(), "components", state[0])
         drop_materialized(spark, now)
         now = step
     else:

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+from prismata import session
 from prismata.llm import neardup, simhash
+from prismata.operators import components
 
 UPPER = {c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 SPACE = " \t\n\x0b\x0c\r"
@@ -140,3 +142,33 @@ def test_fingerprints_link_first_and_the_rest_is_sought_between_classes(spark, m
     monkeypatch.setattr(neardup, "candidates", lambda texts, measured, nodes, *more: whole(texts, measured, nodes, *more).limit(0))
     alone = {r.doc_id for r in neardup.keep_one(docs).collect()}  # by fingerprints and the exact check
     assert kept < alone < set(sets)
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Round 3, pipeline: each table had a file for each partition of a shuffle, and each file started processes beside the executor."""
+    written, whole = [], session.materialize
+
+    def watched(df, label, *more):
+        out = whole(df, label, *more)
+        written.append((label, len(out.inputFiles())))
+        return out
+
+    for module in (neardup, simhash, components):
+        monkeypatch.setattr(module, "materialize", watched)
+    rows = corpus(4, bases=20)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 16)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    expected = groups(rows)
+    assert got == {i: min(rows[k][0] for k, g in enumerate(expected) if g == own) for (i, _), own in zip(rows, expected)}
+    assert {"near-nodes", "components", "simhash-cells", "near-groups"} <= {label for label, _ in written}
+    assert all(files <= 3 for _, files in written), written
+    many = 3 * session.ROWS_A_FILE  # larger ones keep their tasks
+    assert len(whole(spark.range(many).repartition(8), "wide", many).inputFiles()) == 3
+    assert len(whole(spark.range(many).repartition(2), "wide", many).inputFiles()) == len(whole(spark.range(many).repartition(2), "wide").inputFiles()) == 2
