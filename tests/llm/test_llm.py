@@ -79,6 +79,22 @@ def test_suffix_dedup_against_brute_force(spark):
     assert suffixdedup.dedup_digest(df.filter("false"), 64).count() == 0
 
 
+def test_suffix_digest_has_the_text_that_is_left(spark, tmp_path):
+    """Repeats of 400 bytes go wherever they stand, one byte less stays; what is left can be read beside its digest."""
+    passage = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(400))
+    texts = {1: "one-" + passage + " end", 2: "two+" + passage, 3: None, 4: "", 5: "three=" + passage[:399], 6: "é" + "z" * 401 + "é"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffixdedup.op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    want = texts | {1: "one- end", 2: "two+", 6: "éé"}
+    assert {i: r.text for i, r in got.items()} == want
+    for i, t in want.items():
+        left = (t or "").encode()
+        assert got[i].kept_sha256 == hashlib.sha256(left).hexdigest() and got[i].n_bytes - got[i].n_removed == len(left), i
+    # the second byte of é and of ĩ is the same: the first alone is left, which the digest has and the text has not
+    cut = spark.createDataFrame([(1, "aé" + "k" * 70), (2, "bĩ" + "k" * 70)], "doc_id long, text string")
+    assert {(r.doc_id, r.text, r.kept_sha256) for r in suffixdedup.dedup_digest(cut, 64).collect()} == {(1, "a", hashlib.sha256(b"a\xc3").hexdigest()), (2, "b", hashlib.sha256(b"b\xc4").hexdigest())}
+
+
 def test_suffix_order_in_a_file(tmp_path, monkeypatch):
     monkeypatch.setattr(suffixdedup, "IN_MEMORY", 10)
     bodies = [b"q" * 10 + b"abcdefgh" * 12, b"abcdefgh" * 11, b"r" * 90]
