@@ -122,13 +122,16 @@ def with_image_ids(decisions: DataFrame, images: DataFrame, roots: DataFrame) ->
 def reviewed_faces(faces: DataFrame, decisions: DataFrame, images: DataFrame, people: DataFrame) -> DataFrame:
     """faces with person and state after decisions (seq, face_id, person_id, review_state), which companion faces of raw and JPEG pairs share.
 
-    Decisions that name a person who is not active, or that confirm without one, are void.
+    Decisions that name a person who is not active, or that confirm without one, are void. Of
+    equal seq that on the face with the largest id counts, then the larger person and state, so
+    that a result depends on the rows only.
     """
     active = people.filter("state = 'active'").select(F.col("id").alias("person_id"))
     named = decisions.filter("person_id IS NOT NULL").join(active, "person_id", "left_semi").select("seq", "face_id", "person_id", "review_state")
     valid = named.unionByName(decisions.filter("person_id IS NULL AND review_state != 'confirmed'").select("seq", "face_id", "person_id", "review_state"))
-    also = catalog.companions(faces, images).distinct().join(valid, "face_id").select("seq", F.col("companion_id").alias("face_id"), "person_id", "review_state")
-    last = latest(valid.unionByName(also).select("seq", "face_id", F.struct("person_id", "review_state").alias("d")), "face_id").select(F.col("face_id").alias("id"), "d")
+    also = catalog.companions(faces, images).distinct().join(valid, "face_id").select("seq", F.col("companion_id").alias("face_id"), "person_id", "review_state", F.col("face_id").alias("decided"))
+    every = valid.withColumn("decided", F.col("face_id")).unionByName(also)
+    last = latest(every.select(F.struct("seq", "decided", "person_id", "review_state").alias("seq"), "face_id", F.struct("person_id", "review_state").alias("d")), "face_id").select(F.col("face_id").alias("id"), "d")
     joined = faces.join(last, "id", "left")
     return joined.withColumn("person_id", F.when(F.col("d").isNull(), F.col("person_id")).otherwise(F.col("d.person_id"))).withColumn("review_state", F.coalesce("d.review_state", "review_state")).drop("d")
 

@@ -69,3 +69,14 @@ def test_a_sanitized_query_lists_every_row(spark, monkeypatch):
     monkeypatch.setattr(catalog, "MAX_ROWS", 5)
     rows = registry.queries()["f13_sanitized_query"](spark, DATA)
     assert rows.count() == rows.distinct().count() == 96
+
+
+def test_decisions_of_one_time_do_not_depend_on_the_order_of_rows(spark):
+    faces = spark.createDataFrame([(1, 10, None, "unreviewed", 0.2, 0.2), (2, 11, None, "unreviewed", 0.2, 0.2), (3, 11, None, "unreviewed", 0.21, 0.2)], "id long, image_id long, person_id long, review_state string, bbox_x double, bbox_y double")
+    images = spark.createDataFrame([(10, 1, "a.ARW"), (11, 1, "a.JPG")], "id long, folder_id long, file_name string")
+    people = spark.createDataFrame([(7, "active")], "id long, state string")
+    log = [(5, 1, 7, "confirmed"), (5, 2, None, "rejected"), (4, 3, None, "rejected")]
+    for rows in (log, log[::-1]):
+        decisions = spark.createDataFrame(rows, "seq long, face_id long, person_id long, review_state string").coalesce(1)
+        got = {r.id: (r.person_id, r.review_state) for r in workflow.reviewed_faces(faces, decisions, images, people).collect()}
+        assert got == {1: (None, "rejected"), 2: (None, "rejected"), 3: (7, "confirmed")}
