@@ -10,11 +10,70 @@ logarithm of the longest path. Nothing but two sums a round reaches the driver.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismata.functions.parse import dot
-from prismata.session import drop_materialized, materialize
+from prismata.session import drop_materialized, materialize, small_side
+
+
+def join_all(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join in comp (the smallest place of each place's component) the components of places a[k] and b[k]."""
+    while True:
+        u, v = comp[a], comp[b]
+        open_ = u != v
+        if not open_.any():
+            return
+        a, b, u, v = a[open_], b[open_], u[open_], v[open_]
+        np.minimum.at(comp, np.maximum(u, v), np.minimum(u, v))
+        while (comp[comp] != comp).any():
+            comp[:] = comp[comp]
+
+
+def forest_of(src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges of the spanning forest of the largest weights (ties: the smaller src, then dst), in this order: what Kruskal's walk takes, by rounds in which each component takes its best edge."""
+    order = np.lexsort((dst, src, -weight))
+    src, dst, weight = src[order], dst[order], weight[order]
+    nodes, code = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b, left = code[: len(src)], code[len(src) :], np.arange(len(src))
+    comp, taken = np.arange(len(nodes)), np.zeros(len(src), bool)
+    while True:
+        left = left[comp[a[left]] != comp[b[left]]]
+        if not len(left):
+            return src[taken], dst[taken], weight[taken]
+        best = np.full(len(nodes), len(src))
+        np.minimum.at(best, comp[a[left]], left)
+        np.minimum.at(best, comp[b[left]], left)
+        chosen = np.unique(best[best < len(src)])
+        taken[chosen] = True
+        join_all(comp, a[chosen], b[chosen])
+
+
+def spanning_forest(links: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """links (scope, src, dst, weight) without those that are in no spanning forest of the largest weights (ties: the smaller src, then dst): what remains of a scope is at most `most` rows, or about as many as its nodes.
+
+    A scope is dealt out, each part keeps its own forest, and again until that no longer helps: no task holds more than about `most` rows.
+    """
+    now, before = materialize(links, "links"), None
+    schema = "scope bigint, src bigint, dst bigint, weight bigint"
+
+    def reduced(table: pa.Table) -> pa.Table:
+        src, dst, weight = forest_of(*(table.column(c).to_numpy() for c in ("src", "dst", "weight")))
+        return pa.table({"scope": pa.array(np.full(len(src), table.column("scope")[0].as_py(), np.int64)), "src": src, "dst": dst, "weight": weight})
+
+    while True:
+        sizes = now.groupBy("scope").agg(F.count("*").alias("n"))
+        rows = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        if rows[1] <= most or before is not None and rows[0] > 0.8 * before:
+            return now
+        before = rows[0]
+        parts = small_side(sizes.select("scope", F.ceil(F.col("n") / most).cast("int").alias("parts")))
+        dealt = now.join(parts, "scope").withColumn("part", F.pmod(F.xxhash64("src", "dst"), "parts"))
+        step = materialize(dealt.select("scope", "src", "dst", "weight", "part").groupBy("scope", "part").applyInArrow(reduced, schema), "links")
+        drop_materialized(links.sparkSession, now)
+        now = step
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Vector and hash similarity joins, labels and tag scores.
 
-All-pairs joins are blocked: vectors near one pivot stand in blocks of at most BLOCK, each a
+All-pairs joins are blocked: vectors near one pivot stand in blocks of about BLOCK, each a
 row of flat numbers; a pair of blocks whose centres and radii rule out the threshold is
-never made, every other is one multiplication in a task, and only pairs over the threshold
-leave it. No pair of rows is materialised, and a task holds two blocks.
+never made, every other is multiplied in a task by strips, and only pairs over the threshold
+leave it. No pair of rows is materialised, and a task holds two blocks and a strip. Who needs
+only the components of the pairs, or a spanning forest, takes connecting_pairs or strongest_links.
 """
 
 from __future__ import annotations
@@ -14,9 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismata.functions.parse import dot
+from prismata.operators import components
 from prismata.session import materialize, small_side
 
-BLOCK = 2048
+#: Vectors of a block, and hashes of one.
+BLOCK, HASHES = 8192, 2048
+#: Products of a strip that are held at once, and links that a task gathers before it reduces them.
+PRODUCTS, HELD = 1 << 22, 1 << 21
+#: Blocks that a block may meet on average for pairs to fetch their blocks by joins.
+MEETS = 4
 #: Most pivots by which vectors are sorted into blocks.
 PIVOTS = 256
 #: Model -> (least similarity to suggest, least similarity to cluster).
@@ -32,8 +39,18 @@ def _pivots(vectors: DataFrame, n: int) -> list[list[float]]:
     return [r["v"] for r in taken]
 
 
-def _blocks(vectors: DataFrame, pivots: list[list[float]], blocks: int) -> DataFrame:
-    """(dim, cell, block, ids, flat, centre, radius, reach): vectors by nearest pivot (the cell), cut by hash into blocks; vectors of different lengths never meet. reach: the largest distance from the pivot, infinite without one."""
+def _plain(df: DataFrame, key: str, vector: str, scope: Column | None = None) -> DataFrame:
+    """(id, scope, v): v keeps floats, which double precision holds, and casts the rest to double."""
+    v = F.col(vector) if df.schema[vector].dataType.simpleString() == "array<float>" else F.transform(vector, lambda x: x.cast("double"))
+    return df.select(F.col(key).cast("bigint").alias("id"), (F.lit(0) if scope is None else scope).cast("bigint").alias("scope"), v.alias("v")).filter("v IS NOT NULL AND id IS NOT NULL AND scope IS NOT NULL")
+
+
+def _blocks(vectors: DataFrame, pivots: list[list[float]], least: float | None = None) -> DataFrame:
+    """(dim, scope, cell, block, ids, flat, labels, centre, radius, reach): vectors by nearest pivot (the cell), cut by hash into blocks; vectors of different lengths or scopes never meet.
+
+    ids, flat and labels are the bytes of arrays. reach: the largest distance from the pivot, infinite without one. labels: with
+    least, the smallest id that pairs of at least that product within the block connect each row to.
+    """
 
     @F.pandas_udf("int")
     def nearest(v):
@@ -45,25 +62,35 @@ def _blocks(vectors: DataFrame, pivots: list[list[float]], blocks: int) -> DataF
             return pd.Series(((p * p).sum(1)[None, :] - 2 * np.array(own).reshape(len(own), -1) @ p.T).argmin(1))
         return pd.Series([int(((p - x) ** 2).sum(1).argmin()) if p.size and len(x) == p.shape[1] else 0 for x in own])
 
-    placed = vectors.withColumn("cell", nearest("v") if pivots else F.lit(0))
+    keys = ("dim", "scope", "cell")
+    placed = vectors.withColumn("cell", nearest("v") if pivots else F.lit(0)).withColumn("dim", F.size("v"))
     cut = F.pmod(F.xxhash64("id"), F.col("parts"))
-    parts = small_side(placed.groupBy(F.size("v").alias("dim"), "cell").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("parts")))
-    keyed = placed.withColumn("dim", F.size("v")).join(parts, ["dim", "cell"]).withColumn("block", F.concat_ws("-", "cell", cut))
-    rows = keyed.groupBy("dim", "cell", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    flat = rows.select("dim", "block", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat"), "cell")
+    parts = small_side(placed.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("parts")))
+    keyed = placed.join(parts, [*keys]).withColumn("block", F.concat_ws("-", "cell", cut))
+    rows = keyed.groupBy(*keys, "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    flat = rows.select(*keys, "block", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat"))
 
     def measure(batches):
         for batch in batches:
-            centres, radii, reach = [], [], []
-            for dim, x, cell in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(4).to_pylist()):
-                x = x.values.to_numpy().reshape(-1, max(dim, 1))
-                centres.append(x.mean(0))
-                radii.append(float(np.sqrt(((x - x.mean(0)) ** 2).sum(1)).max(initial=0)))
+            named, made = batch.schema.names, {k: [] for k in ("ids", "flat", "labels", "centre", "radius", "reach")}
+            for row, (dim, cell) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                ids, kept = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in (4, 5))
+                x = kept.reshape(len(ids), dim).astype(float)
+                labels = np.zeros(0, np.int64)
+                if least is not None:
+                    comp = np.arange(len(ids))
+                    _connect(x, x, comp, comp.copy(), comp.copy(), least)
+                    first = np.full(len(ids), np.iinfo(np.int64).max)
+                    np.minimum.at(first, comp, ids)
+                    labels = first[comp]
                 known = bool(pivots) and len(pivots[cell]) == dim
-                reach.append(float(np.sqrt(((x - pivots[cell]) ** 2).sum(1)).max(initial=0)) if known else float("inf"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64()), pa.array(reach, pa.float64())], names=["dim", "block", "ids", "flat", "cell", "centre", "radius", "reach"])
+                about = (ids.tobytes(), kept.tobytes(), labels.tobytes(), x.mean(0), float(np.sqrt(((x - x.mean(0)) ** 2).sum(1)).max(initial=0)), float(np.sqrt(((x - pivots[cell]) ** 2).sum(1)).max(initial=0)) if known else float("inf"))
+                for k, value in zip(made, about):
+                    made[k].append(value)
+            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(v, t) for v, t in zip(made.values(), kinds))], names=[*named[:4], *made])
 
-    return flat.mapInArrow(measure, "dim int, block string, ids array<bigint>, flat array<double>, cell int, centre array<double>, radius double, reach double")
+    return flat.mapInArrow(measure, "dim int, scope bigint, cell int, block string, ids binary, flat binary, labels binary, centre array<double>, radius double, reach double")
 
 
 def _cell_pairs(a: DataFrame, b: DataFrame, pivots: list[list[float]], threshold: float | None) -> DataFrame:
@@ -80,42 +107,139 @@ def _cell_pairs(a: DataFrame, b: DataFrame, pivots: list[list[float]], threshold
     return pairs.filter(unknown | (most >= threshold - 1e-9)).select("dim", "cell", "other")
 
 
-def _product(left: DataFrame, right: DataFrame | None, key: str, vector: str, threshold: float | None, keep) -> DataFrame:
-    """Rows (src, dst, similarity) that keep() takes from the product of each pair of blocks that can reach the threshold. right None: left with itself."""
-    plain = lambda df: df.select(F.col(key).cast("bigint").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("v IS NOT NULL AND id IS NOT NULL")
+def _block_pairs(left: DataFrame, right: DataFrame | None, key: str, vector: str, threshold: float | None, scope: Column | None = None, labelled: bool = False) -> tuple[DataFrame, DataFrame, tuple[np.dtype, np.dtype]]:
+    """Pairs of blocks (dim, scope, i, j, a, x, la, b, y, lb) that can reach the threshold, the blocks of left, and the kinds of numbers in x and y. right None: left with itself.
+
+    Where a block meets few others, pairs fetch their blocks by joins. Where it meets many, joins would write each block
+    once for each pair, the square of the input; there each task reads the files of two parts of the blocks and nothing is shuffled.
+    """
     same = right is None
     n = -(-left.count() // BLOCK)
-    pivots = _pivots(plain(left), min(n, PIVOTS))
-    written = (lambda df: materialize(df, "vector-blocks")) if n > 1 else (lambda df: df)  # one block is made as fast as it is read
-    a = written(_blocks(plain(left), pivots, n))
-    b = a if same else written(_blocks(plain(right), pivots, n))
-    about = lambda df, p, c: df.select("dim", F.col("cell").alias(c), F.col("block").alias(p), F.col("centre").alias(f"{p}c"), F.col("radius").alias(f"{p}r"))
+    one, two = _plain(left, key, vector, scope), None if same else _plain(right, key, vector, scope)
+    pivots = _pivots(one, min(n, PIVOTS))
+    written = (lambda df: materialize(df, "vector-blocks")) if n > 1 or labelled else (lambda df: df)  # one block is made as fast as it is read
+    a = written(_blocks(one, pivots, threshold if labelled else None))
+    b = a if same else written(_blocks(two, pivots))
+    kinds = tuple(np.dtype("f4" if df.schema["v"].dataType.simpleString() == "array<float>" else "f8") for df in (one, one if same else two))
+    about = lambda df, p, c: df.select("dim", "scope", F.col("cell").alias(c), F.col("block").alias(p), F.col("centre").alias(f"{p}c"), F.col("radius").alias(f"{p}r"))
     size = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     most = dot(F.col("ic"), F.col("jc")) + size("ic") * F.col("jr") + size("jc") * F.col("ir") + F.col("ir") * F.col("jr")
+    fits = (F.col("i") < F.col("j") if labelled else F.col("i") <= F.col("j")) if same else F.lit(True)
+    fits = fits if threshold is None else fits & (most >= threshold - 1e-9)
     if n > 1:
         reachable = small_side(_cell_pairs(a, b, pivots, threshold))
-        pairs = about(a, "i", "cell").join(reachable, ["dim", "cell"]).join(about(b, "j", "other"), ["dim", "other"])
+        pairs = about(a, "i", "cell").join(reachable, ["dim", "cell"]).join(about(b, "j", "other"), ["dim", "scope", "other"])
     else:  # one block
-        pairs = about(a, "i", "cell").join(about(b, "j", "other"), "dim")
-    pairs = pairs.filter("i <= j") if same else pairs
-    pairs = (pairs if threshold is None else pairs.filter(most >= threshold - 1e-9)).select("dim", "i", "j")
-    first = a.select("dim", F.col("block").alias("i"), F.col("ids").alias("a"), F.col("flat").alias("x"))
-    second = b.select("dim", F.col("block").alias("j"), F.col("ids").alias("b"), F.col("flat").alias("y"))
-    joined = pairs.join(first, ["dim", "i"]).join(second, ["dim", "j"])
+        pairs = about(a, "i", "cell").join(about(b, "j", "other"), ["dim", "scope"])
+    pairs = pairs.filter(fits).select("dim", "scope", "i", "j")
+    names = ["dim", "scope", "i", "j", "a", "x", "la", "b", "y", "lb"]
+    first = a.select("dim", "scope", F.col("block").alias("i"), F.col("ids").alias("a"), F.col("flat").alias("x"), F.col("labels").alias("la"), F.col("centre").alias("ic"), F.col("radius").alias("ir"))
+    second = b.select("dim", "scope", F.col("block").alias("j"), F.col("ids").alias("b"), F.col("flat").alias("y"), F.col("labels").alias("lb"), F.col("centre").alias("jc"), F.col("radius").alias("jr"))
+    if n > 1 and pairs.count() > MEETS * (a.count() + (0 if same else b.count())):
+        second = second.select(F.col("dim").alias("d"), F.col("scope").alias("s"), "j", "b", "y", "lb", "jc", "jr")
+        return first.hint("shuffle_replicate_nl").join(second, (F.col("dim") == F.col("d")) & (F.col("scope") == F.col("s")) & fits).select(*names), a, kinds
+    return pairs.join(first, ["dim", "scope", "i"]).join(second, ["dim", "scope", "j"]).select(*names), a, kinds
+
+
+def _each_pair(batches, kinds):
+    """(scope, whether a block meets itself, ids, rows, labels of the one block, and of the other) of each pair of blocks."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            dim, scope, i, j = (batch.column(k)[row].as_py() for k in range(4))
+            raw = [batch.column(k)[row].as_buffer() for k in range(4, 10)]
+            ia, la, ib, lb = (np.frombuffer(raw[k], np.int64) for k in (0, 2, 3, 5))
+            x, y = (np.frombuffer(raw[k], kind).astype(float).reshape(len(ids), dim) for k, kind, ids in ((1, kinds[0], ia), (4, kinds[1], ib)))
+            yield scope, i == j, ia, x, la, ib, y, lb
+
+
+def _strips(x: np.ndarray, y: np.ndarray):
+    """Slices of rows of x whose products with all of y are few enough to hold."""
+    step = max(1, PRODUCTS // max(len(y), 1))
+    return (slice(k, k + step) for k in range(0, len(x), step))
+
+
+def _product(left: DataFrame, right: DataFrame | None, key: str, vector: str, threshold: float | None, keep) -> DataFrame:
+    """Rows (src, dst, similarity) that keep() takes from the products of the rows of each pair of blocks that can reach the threshold. right None: left with itself."""
+    same = right is None
+    joined, _, kinds = _block_pairs(left, right, key, vector, threshold)
 
     def run(batches):
-        for batch in batches:
-            dims, i, j = (batch.column(k).to_pylist() for k in range(3))
-            for k, dim in enumerate(dims):
-                ia, x, ib, y = (batch.column(c)[k].values.to_numpy() for c in range(3, 7))
-                s = x.reshape(-1, max(dim, 1)) @ y.reshape(-1, max(dim, 1)).T
-                p, q = keep(s, ia, ib, same and i[k] == j[k])
-                src, dst = ia[p], ib[q]
+        for _, own, ia, x, _, ib, y, _ in _each_pair(batches, kinds):
+            for part in _strips(x, y):
+                s = x[part] @ y.T
+                p, q = keep(s, ia[part], ib, same and own)
+                src, dst = ia[part][p], ib[q]
                 if same:
                     src, dst = np.minimum(src, dst), np.maximum(src, dst)
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(s[p, q])], names=["src", "dst", "similarity"])
 
-    return joined.select("dim", "i", "j", "a", "x", "b", "y").mapInArrow(run, "src bigint, dst bigint, similarity double")
+    return joined.mapInArrow(run, "src bigint, dst bigint, similarity double")
+
+
+def _connect(x: np.ndarray, y: np.ndarray, comp: np.ndarray, at: np.ndarray, to: np.ndarray, least: float) -> None:
+    """Join in comp what pairs of rows of x and y with a product of at least least connect; at and to are the places of the rows in comp. Products of two rows of the component that most of y is in are not made."""
+    for part in _strips(x, y):
+        most = np.bincount(comp[to]).argmax()
+        inside, outside = comp[at[part]] == most, np.flatnonzero(comp[to] != most)
+        for rows, columns in ((np.flatnonzero(~inside), np.arange(len(y))), (np.flatnonzero(inside), outside)):
+            if len(rows) and len(columns):
+                p, q = np.nonzero(x[part][rows] @ y[columns].T >= least)
+                components.join_all(comp, at[part][rows[p]], to[columns[q]])
+
+
+def connecting_pairs(rows: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    """(src, dst): edges with the components of all pairs of rows with an inner product of at least threshold (similar_pairs), of which they are at most as many as rows and, for each pair of blocks, as rows in the two.
+
+    Each block is reduced to its components when it is made; a pair of blocks gives edges between those only, and what
+    is known to be connected is not compared. An edge stands for a path, not for a pair over the threshold.
+    """
+    joined, blocks, kinds = _block_pairs(rows, None, key, vector, threshold, labelled=True)
+
+    def inside(batches):
+        for batch in batches:
+            for ids, labels in zip(batch.column(0), batch.column(1)):
+                ids, labels = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(labels.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(labels[ids != labels]), pa.array(ids[ids != labels])], names=["src", "dst"])
+
+    def between(batches):
+        for _, _, _, x, la, _, y, lb in _each_pair(batches, kinds):
+            labels, code = np.unique(np.concatenate([la, lb]), return_inverse=True)
+            comp = np.arange(len(labels))
+            _connect(x, y, comp, code[: len(la)], code[len(la) :], threshold)
+            moved = np.flatnonzero(comp != np.arange(len(comp)))
+            yield pa.RecordBatch.from_arrays([pa.array(labels[comp[moved]]), pa.array(labels[moved])], names=["src", "dst"])
+
+    return blocks.select("ids", "labels").mapInArrow(inside, "src bigint, dst bigint").unionAll(joined.mapInArrow(between, "src bigint, dst bigint"))
+
+
+def strongest_links(rows: DataFrame, key: str, vector: str, threshold: float, scope: Column, scale: int) -> DataFrame:
+    """(scope, src, dst, weight): of the pairs of each scope with an inner product of at least threshold those that can be in its spanning forest of the largest weights (ties: the smaller src, then dst); weight: the product times scale, rounded down.
+
+    A pair that closes a circle of better ones is in no such forest, so each task passes on the forest of what it has seen.
+    """
+    joined, _, kinds = _block_pairs(rows, None, key, vector, threshold, scope)
+    names = ["scope", "src", "dst", "weight"]
+
+    def run(batches):
+        seen: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        sizes: dict[int, tuple[int, int]] = {}  # rows held, and rows at which they are reduced
+        for scope, own, ia, x, _, ib, y, _ in _each_pair(batches, kinds):
+            for part in _strips(x, y):
+                s = x[part] @ y.T
+                p, q = np.nonzero(s >= threshold)
+                a, b, w = ia[part][p], ib[q], np.floor(s[p, q] * scale).astype(np.int64)
+                ok = a < b if own else np.ones(len(a), bool)
+                seen.setdefault(scope, []).append((np.minimum(a, b)[ok], np.maximum(a, b)[ok], w[ok]))
+                held, most = sizes.get(scope, (0, HELD))
+                sizes[scope] = (held + int(ok.sum()), most)
+                if sizes[scope][0] > most:
+                    seen[scope] = [components.forest_of(*map(np.concatenate, zip(*seen[scope])))]
+                    sizes[scope] = (len(seen[scope][0][0]), max(HELD, 2 * len(seen[scope][0][0])))
+        for scope in list(seen):
+            src, dst, weight = components.forest_of(*map(np.concatenate, zip(*seen.pop(scope))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), scope, np.int64)), pa.array(src), pa.array(dst), pa.array(weight)], names=names)
+
+    return joined.mapInArrow(run, "scope bigint, src bigint, dst bigint, weight bigint")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, threshold: float, same: bool) -> DataFrame:
@@ -131,7 +255,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, thre
     return _product(left, None if same else right, key, vector, threshold, keep)
 
 
-def hamming_pairs(rows: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+def hamming_pairs(rows: DataFrame, threshold: int, block: int = HASHES) -> DataFrame:
     """(scope, src, dst, bits): all pairs of one scope whose hashes differ in at most threshold bits (exact). rows: scope, id, words (array of 64-bit words).
 
     A scope is dealt into blocks; each pair of blocks is compared in a task of its own, so no task holds a scope.

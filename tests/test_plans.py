@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from prismata import session
-from prismata.operators import catalog, grouping, similarity, workflow
+from prismata.operators import catalog, components, grouping, similarity, workflow
 from prismata.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -80,3 +80,25 @@ def test_decisions_of_one_time_do_not_depend_on_the_order_of_rows(spark):
         decisions = spark.createDataFrame(rows, "seq long, face_id long, person_id long, review_state string").coalesce(1)
         got = {r.id: (r.person_id, r.review_state) for r in workflow.reviewed_faces(faces, decisions, images, people).collect()}
         assert got == {1: (None, "rejected"), 2: (None, "rejected"), 3: (7, "confirmed")}
+
+
+def crowd(spark, n=400):
+    """Vectors of two lengths, some apart from all others, and their pairs over 0.5."""
+    rng = np.random.default_rng(8)
+    rows = [(7 * i, rng.standard_normal(6 if i % 9 else 4).tolist()) for i in range(n)]
+    rows = [(i, (np.array(v) / np.linalg.norm(v) * (1 if i % 4 else 0.8)).tolist()) for i, v in rows]
+    want = {(a, b): float(np.dot(x, y)) for a, x in rows for b, y in rows if a < b and len(x) == len(y) and np.dot(x, y) >= 0.5}
+    return spark.createDataFrame(rows, "id long, v array<double>"), want
+
+
+def test_dense_blocks_meet_without_a_shuffle_for_each_pair(spark, monkeypatch):
+    df, want = crowd(spark)
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "PRODUCTS", 50)
+    found = similarity.similar_pairs(df, df, "id", "v", 0.5, True)
+    assert "CartesianProduct" in plan(found) and "Exchange" not in plan(found)
+    assert {(r.src, r.dst): round(r.similarity, 9) for r in found.collect()} == {k: round(s, 9) for k, s in want.items()}
+    left, right = df.filter("id % 2 = 0"), df.filter("id % 2 = 1")
+    both = similarity.similar_pairs(left, right, "id", "v", 0.5, False)
+    assert "CartesianProduct" in plan(both)
+    assert {(r.src, r.dst) for r in both.collect()} == {(a, b) if a % 2 == 0 else (b, a) for a, b in want if (a + b) % 2}
