@@ -407,7 +407,7 @@ c AS (SELECT node, min(root) AS component FROM r GROUP BY 1) SELECT node, compon
 
 @query("g8_medoids", ("embeddings",))
 def _(embeddings):
-    edges = similarity.similar_pairs(embeddings, embeddings, "vec_id", "embedding", 0.38, True)
+    edges = similarity.connecting_pairs(embeddings, "vec_id", "embedding", 0.38)
     members = components.components_with_singletons(embeddings.select(F.col("vec_id").alias("node")), edges, 2)
     return components.medoids(members, embeddings.select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"))).withColumn("mean_similarity", F.round("mean_similarity", 6))
 

@@ -102,3 +102,19 @@ def test_dense_blocks_meet_without_a_shuffle_for_each_pair(spark, monkeypatch):
     both = similarity.similar_pairs(left, right, "id", "v", 0.5, False)
     assert "CartesianProduct" in plan(both)
     assert {(r.src, r.dst) for r in both.collect()} == {(a, b) if a % 2 == 0 else (b, a) for a, b in want if (a + b) % 2}
+
+
+def test_connecting_pairs_have_the_components_of_all_pairs(spark, monkeypatch):
+    df, want = crowd(spark)
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "PRODUCTS", 50)
+    edges = similarity.connecting_pairs(df, "id", "v", 0.5)
+    roots = {n: n for pair in want for n in pair}
+    for _ in range(40):
+        for a, b in want:
+            roots[a] = roots[b] = min(roots[a], roots[b])
+    got = {r.node: r.component for r in components.connected_components(edges).collect()}
+    assert got == roots and edges.count() < len(want) / 2
+    monkeypatch.setattr(similarity, "BLOCK", 4096)
+    one = similarity.connecting_pairs(df, "id", "v", 0.5)
+    assert {r.node: r.component for r in components.connected_components(one).collect()} == roots and one.count() == len(roots) - len(set(roots.values()))
