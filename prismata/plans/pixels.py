@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prismata.operators import grouping, matching, similarity, tiles
+from prismata.operators import components, grouping, matching, similarity, tiles
 from prismata.plans.registry import query
 
 #: Four images of rows of WIDE pixels; a last row that is not full is left out. Tiles are small, so that images have many.
@@ -106,9 +106,9 @@ def _(embeddings):
 @query("g24_stitching_order", ("embeddings",))
 def _(embeddings):
     """Five vectors' nearest relatives as a set of images: links are as strong as vectors are alike."""
-    near = similarity.similar_pairs(embeddings, embeddings, "vec_id", "embedding", 0.3, True)
-    links = near.filter("src % 5 = dst % 5").select((F.col("src") % 5).alias("set"), "src", "dst", F.floor(F.col("similarity") * 1000).cast("bigint").alias("inliers"))
-    return grouping.stitching_order(links)
+    links = similarity.strongest_links(embeddings, "vec_id", "embedding", 0.3, F.col("vec_id") % 5, 1000)
+    kept = components.spanning_forest(links).select(F.col("scope").alias("set"), "src", "dst", F.col("weight").alias("inliers"))
+    return grouping.stitching_order(kept)
 
 
 _TURN = "radians(17.0)"

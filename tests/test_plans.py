@@ -118,3 +118,17 @@ def test_connecting_pairs_have_the_components_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 4096)
     one = similarity.connecting_pairs(df, "id", "v", 0.5)
     assert {r.node: r.component for r in components.connected_components(one).collect()} == roots and one.count() == len(roots) - len(set(roots.values()))
+
+
+def test_links_of_a_set_are_cut_to_a_forest_before_they_meet(spark, monkeypatch):
+    df, want = crowd(spark)
+    links = [(a % 5, a, b, int(np.floor(s * 100))) for (a, b), s in want.items() if a % 5 == b % 5]
+    everything = spark.createDataFrame(links, "set long, src long, dst long, inliers long")
+    order = lambda e: sorted((r.set, r.place, r.node) for r in grouping.stitching_order(e).collect())
+    for block, held, most in ((16, 30, 40), (4096, 1 << 20, 1 << 20)):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        monkeypatch.setattr(similarity, "PRODUCTS", 50)
+        monkeypatch.setattr(similarity, "HELD", held)
+        some = similarity.strongest_links(df, "id", "v", 0.5, F.col("id") % 5, 100)
+        kept = components.spanning_forest(some, most).select(F.col("scope").alias("set"), "src", "dst", F.col("weight").alias("inliers"))
+        assert some.count() < len(links) and kept.count() < 400 and order(kept) == order(everything)
