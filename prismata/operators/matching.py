@@ -16,15 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismata.session import materialize
+
 #: A match must be this much better than the second best.
 RATIO = 0.8
 #: Pixels within which a match agrees with a map, matches that must agree, and hypotheses tried.
 NEAR, AGREE, HYPOTHESES = 5.0, 15, 2500
-#: Features of the first image that a task compares at once.
-SLICE = 2048
+#: Features of the first image that a task compares at once, and matches that it scores; hypotheses times matches that are held at once.
+SLICE, SCORED = 2048, 1 << 18
+#: Slices of an image at most: each takes a copy of the other image's features, which a task holds anyway.
+SLICES = 16
 NONE = (1 << 32) - 1
 
 
@@ -38,7 +42,7 @@ def match_features(features: DataFrame, pairs: DataFrame, ratio: float = RATIO)
     side = lambda c: features.select(F.col("image").alias(c), "i", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "words")
     each = pairs.select("a", "b").distinct()
     first = each.join(side("a"), "a").withColumn("part", F.floor(F.pmod(F.xxhash64("i"), F.lit(1 << 20))))
-    sizes = first.groupBy("a", "b").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("parts"))
+    sizes = first.groupBy("a", "b").agg(F.least(F.ceil(F.count("*") / SLICE), F.lit(SLICES)).cast("int").alias("parts"))
     first = first.join(sizes, ["a", "b"]).withColumn("part", (F.col("part") % F.col("parts")).cast("int")).withColumn("second", F.lit(False)).drop("parts")
     second = each.join(side("b"), "b").join(sizes, ["a", "b"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("second", F.lit(True)).drop("parts")
     names = ["a", "b", "i", "j", "x1", "y1", "x2", "y2"]
@@ -51,11 +55,16 @@ def match_features(features: DataFrame, pairs: DataFrame, ratio: float = RATIO)
         if one.num_rows and two.num_rows:
             words = [np.array(t.column("words").to_pylist(), np.int64).view(np.uint64) for t in (one, two)]
             best, at, runner = [], [], []
+            kind = np.uint16 if words[1].shape[1] < 1000 else np.uint32
+            columns = np.ascontiguousarray(words[1].T)
             for row in words[0]:
-                apart = np.bitwise_count(words[1] ^ row).sum(1, dtype=np.int64)
+                apart = np.zeros(two.num_rows, kind)
+                for column, word in zip(columns, row):
+                    apart += np.bitwise_count(column ^ word)
                 at.append(int(apart.argmin()))
                 best.append(int(apart[at[-1]]))
-                runner.append(int(np.partition(apart, 1)[1]) if len(apart) > 1 else NONE)
+                apart[at[-1]] = np.iinfo(kind).max
+                runner.append(int(apart.min()) if len(apart) > 1 else NONE)
             best, runner = np.array(best, np.float32), np.array(runner, np.float32)
             ok = (runner > 0) & (np.divide(best, runner, out=np.ones_like(best), where=runner > 0) < np.float32(ratio))
             picked = (np.flatnonzero(ok), np.array(at)[ok])
@@ -82,34 +91,61 @@ def maps_of(points: np.ndarray) -> np.ndarray:
     return out
 
 
+def inliers_of(maps: np.ndarray, points: np.ndarray, near: float) -> np.ndarray:
+    """How many of the matches (m x (x1, y1, x2, y2)) each map (n x 9) takes within near."""
+    x, y, u, v = points.T
+    step = max(1, SCORED // max(len(points), 1))
+    out = np.zeros(len(maps), np.int64)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        for k in range(0, len(maps), step):
+            h = maps[k : k + step].T[:, :, None]
+            z = h[6] * x + h[7] * y + h[8]
+            dx, dy = u - (h[0] * x + h[1] * y + h[2]) / z, v - (h[3] * x + h[4] * y + h[5]) / z
+            out[k : k + step] = ((np.abs(z) >= 1e-8) & (dx * dx + dy * dy < near * near)).sum(1)
+    return out
+
+
 def consensus(matches: DataFrame, hypotheses: int = HYPOTHESES, near: float = NEAR, agree: int = AGREE) -> DataFrame:
-    """(a, b, matches, inliers, map): for each pair of images the projective map (nine numbers, by rows) that most of its matches agree with, if at least `agree` do. Of equally good hypotheses the first counts."""
-    point = F.struct("x1", "y1", "x2", "y2")
-    sets = matches.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("i", "j", point.alias("p")))).alias("all"))
-    sets = sets.filter(F.size("all") >= 4).select("a", "b", F.transform("all", lambda m: m["p"]).alias("all"))
-    tried = sets.select("a", "b", "all", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))).alias("k"))
-    pick = [F.pmod(F.xxhash64("a", "b", "k", F.lit(s)), F.size("all")).cast("int").alias(f"p{s}") for s in range(4)]
-    chosen = tried.select("a", "b", "k", "all", *pick).filter("p0 != p1 AND p0 != p2 AND p0 != p3 AND p1 != p2 AND p1 != p3 AND p2 != p3")
-    four = chosen.select("a", "b", "k", "all", F.flatten(F.array(*[F.transform(F.array(F.get("all", F.col(f"p{s}"))), lambda q: F.array(q["x1"], q["y1"], q["x2"], q["y2"]))[0] for s in range(4)])).alias("four"))
+    """(a, b, matches, inliers, map): for each pair of images the projective map (nine numbers, by rows) that most of its matches agree with, if at least `agree` do. Of equally good hypotheses the first counts.
+
+    A hypothesis is four rows that are looked up by their places; it is scored on slices of the matches, whose counts add up.
+    """
+    point = ["x1", "y1", "x2", "y2"]
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("i", "j", *point)) - 1
+    placed = materialize(matches.select("a", "b", place.cast("bigint").alias("place"), *point), "matches")
+    sizes = placed.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n >= 4")
+    tried = sizes.select("a", "b", "n", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))).alias("k"))
+    pick = [F.pmod(F.xxhash64("a", "b", "k", F.lit(s)), F.col("n")).alias(f"p{s}") for s in range(4)]
+    chosen = tried.select("a", "b", "k", *pick).filter("p0 != p1 AND p0 != p2 AND p0 != p3 AND p1 != p2 AND p1 != p3 AND p2 != p3")
+    asked = chosen.select("a", "b", "k", F.posexplode(F.array("p0", "p1", "p2", "p3")).alias("s", "place"))
+    four = asked.join(placed, ["a", "b", "place"]).groupBy("a", "b", "k").agg(F.array_sort(F.collect_list(F.struct("s", F.array(*point).alias("q")))).alias("f")).select("a", "b", "k", F.flatten(F.transform("f", lambda x: x["q"])).alias("four"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = np.array(batch.column(4).flatten()).reshape(batch.num_rows, 4, 4)
+            points = np.array(batch.column(3).flatten()).reshape(batch.num_rows, 4, 4)
             found = maps_of(points).reshape(-1, 9) if len(points) else np.zeros((0, 9))
             ok = np.isfinite(found).all(1)
             lists = pa.ListArray.from_arrays(np.arange(0, 9 * int(ok.sum()) + 1, 9, dtype=np.int32), pa.array(found[ok].reshape(-1)))
             kept = batch.filter(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in range(4)), lists], names=["a", "b", "k", "all", "map"])
+            yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in range(3)), lists], names=["a", "b", "k", "map"])
 
     kinds = dict(four.dtypes)
-    solved = four.mapInArrow(solve, f"a {kinds['a']}, b {kinds['b']}, k int, all {kinds['all']}, map array<double>")
-    h = [F.col("map")[k] for k in range(9)]
-
-    def agrees(q):
-        z = h[6] * q["x1"] + h[7] * q["y1"] + h[8]
-        dx, dy = q["x2"] - (h[0] * q["x1"] + h[1] * q["y1"] + h[2]) / z, q["y2"] - (h[3] * q["x1"] + h[4] * q["y1"] + h[5]) / z
-        return F.when(F.abs(z) >= 1e-8, dx * dx + dy * dy < near * near).otherwise(False)
-
-    scored = solved.select("a", "b", F.size("all").alias("n"), F.size(F.filter("all", agrees)).alias("inliers"), "k", "map")
-    best = scored.groupBy("a", "b").agg(F.max(F.struct("inliers", (-F.col("k")).alias("k"), "n", "map")).alias("s"))
-    return best.filter(F.col("s.inliers") >= agree).select("a", "b", F.col("s.n").alias("matches"), F.col("s.inliers").alias("inliers"), F.col("s.map").alias("map"))
+    keys = f"a {kinds['a']}, b {kinds['b']}"
+    solved = materialize(four.mapInArrow(solve, f"{keys}, k int, map array<double>"), "maps")
+    maps = solved.groupBy("a", "b").agg(F.collect_list(F.struct("k", "map")).alias("m")).join(sizes, ["a", "b"])
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / SLICE))).alias("part")
+    maps = maps.select("a", "b", parts, F.col("m.k").alias("ks"), F.flatten("m.map").alias("maps"))
+    slices = placed.groupBy("a", "b", F.floor(F.col("place") / SLICE).alias("part")).agg(F.flatten(F.collect_list(F.array(*point))).alias("points"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ks, h, points = (batch.column(c)[row].values for c in (2, 3, 4))
+                counts = inliers_of(h.to_numpy().reshape(-1, 9), points.to_numpy().reshape(-1, 4), near)
+                one = batch.slice(row, 1)
+                yield pa.RecordBatch.from_arrays([*(one.column(c).take(pa.array(np.zeros(len(ks), np.int64))) for c in (0, 1)), ks, pa.array(counts)], names=["a", "b", "k", "inliers"])
+
+    scored = maps.join(slices, ["a", "b", "part"]).select("a", "b", "ks", "maps", "points").mapInArrow(score, f"{keys}, k int, inliers bigint")
+    best = scored.groupBy("a", "b", "k").agg(F.sum("inliers").alias("inliers")).groupBy("a", "b").agg(F.max(F.struct("inliers", (-F.col("k")).alias("k"))).alias("s")).filter(F.col("s.inliers") >= agree)
+    named = best.select("a", "b", (-F.col("s.k")).alias("k"), F.col("s.inliers").cast("int").alias("inliers"))
+    return named.join(solved, ["a", "b", "k"]).join(sizes, ["a", "b"]).select("a", "b", F.col("n").cast("int").alias("matches"), "inliers", "map")

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from prismata import session
-from prismata.operators import catalog, components, grouping, similarity, workflow
+from prismata.operators import catalog, components, grouping, matching, similarity, workflow
 from prismata.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -132,3 +132,22 @@ def test_links_of_a_set_are_cut_to_a_forest_before_they_meet(spark, monkeypatch)
         some = similarity.strongest_links(df, "id", "v", 0.5, F.col("id") % 5, 100)
         kept = components.spanning_forest(some, most).select(F.col("scope").alias("set"), "src", "dst", F.col("weight").alias("inliers"))
         assert some.count() < len(links) and kept.count() < 400 and order(kept) == order(everything)
+
+
+def test_consensus_scores_slices_of_the_matches(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    at = rng.integers(0, 500, (90, 2)).astype(float)
+    moved = at + [30.0, -12.0] + np.where(np.arange(90)[:, None] % 4 == 0, rng.integers(20, 90, (90, 2)), 0)
+    rows = [(a, a + 1, i, i, *at[i].tolist(), *moved[i].tolist()) for a, n in ((0, 90), (2, 40), (4, 3)) for i in range(n)]
+    matches = spark.createDataFrame(rows, "a long, b long, i long, j long, x1 double, y1 double, x2 double, y2 double")
+    whole = sorted(matching.consensus(matches, 200).collect())
+    monkeypatch.setattr(matching, "SLICE", 7)
+    monkeypatch.setattr(matching, "SCORED", 50)
+    got = matching.consensus(matches.repartition(3), 200)
+    assert sorted(got.collect()) == whole and [(r.a, r.matches, r.inliers) for r in whole] == [(0, 90, 67), (2, 40, 30)]
+    maps = np.array([r.map for r in whole])
+    assert np.allclose(maps.reshape(-1, 3, 3), [[1, 0, 30], [0, 1, -12], [0, 0, 1]], atol=1e-6)
+    points = np.hstack([at, moved])
+    by_hand = [[(abs(z := h[6] * x + h[7] * y + h[8]) >= 1e-8) and (u - (h[0] * x + h[1] * y + h[2]) / z) ** 2 + (v - (h[3] * x + h[4] * y + h[5]) / z) ** 2 < 25 for x, y, u, v in points] for h in maps]
+    assert matching.inliers_of(maps, points, 5.0).tolist() == [sum(r) for r in by_hand]
+    assert not [s for s in plan(got).split("\n") if "MapInArrow" in s and "all#" in s]
