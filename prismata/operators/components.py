@@ -131,9 +131,9 @@ def medoids(members: DataFrame, vectors: DataFrame) -> DataFrame:
     with all members add up to the product with the sum of their vectors. Ties go to the
     smaller node.
     """
-    rows = members.join(vectors, "node").select("component", "node", F.transform("v", lambda x: x.cast("double")).alias("v"))
-    places = rows.select("component", F.posexplode("v").alias("i", "x")).groupBy("component", "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    rows = members.join(vectors, "node").select("component", "node", "v")
+    places = rows.select("component", F.posexplode("v").alias("i", "x")).groupBy("component", "i").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
     total = places.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("s"), F.max("n").alias("n"))
     mean = (dot(F.col("v"), F.col("s")) - dot(F.col("v"), F.col("v")) + 1.0) / F.col("n")
-    best = rows.join(total, "component").select("component", "node", F.round(mean, 9).alias("mean")).groupBy("component").agg(F.max(F.struct("mean", (-F.col("node")).alias("k"))).alias("b"))
+    best = rows.join(small_side(total), "component").select("component", "node", F.round(mean, 9).alias("mean")).groupBy("component").agg(F.max(F.struct("mean", (-F.col("node")).alias("k"))).alias("b"))
     return best.select("component", (-F.col("b.k")).alias("medoid"), F.col("b.mean").alias("mean_similarity"))

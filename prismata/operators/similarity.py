@@ -21,7 +21,7 @@ from prismata.session import materialize, small_side
 #: Vectors of a block, and hashes of one.
 BLOCK, HASHES = 8192, 2048
 #: Products of a strip that are held at once, and links that a task gathers before it reduces them.
-PRODUCTS, HELD = 1 << 22, 1 << 21
+PRODUCTS, HELD = 1 << 20, 1 << 19
 #: Blocks that a block may meet on average for pairs to fetch their blocks by joins.
 MEETS = 4
 #: Most pivots by which vectors are sorted into blocks.
