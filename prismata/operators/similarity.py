@@ -22,8 +22,8 @@ from prismata.session import materialize, small_side
 BLOCK, HASHES = 8192, 2048
 #: Products of a strip that are held at once, and links that a task gathers before it reduces them.
 PRODUCTS, HELD = 1 << 20, 1 << 19
-#: Blocks that a block may meet on average for pairs to fetch their blocks by joins.
-MEETS = 4
+#: Pairs of blocks for each block, up to which pairs fetch their blocks by joins.
+MEETS = 2
 #: Most pivots by which vectors are sorted into blocks.
 PIVOTS = 256
 #: Model -> (least similarity to suggest, least similarity to cluster).
